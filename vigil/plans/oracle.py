@@ -1,0 +1,235 @@
+"""DuckDB twins of the seeded corpus, for the SQL correctness oracle.
+
+Every function returns SQL text over the driver's pre-registered views
+(``documents``, ``pages``, ``part``, ...).  ``corpus_ctes()`` rebuilds the
+``files`` / ``scanned`` / ``lines`` tables exactly like
+:mod:`vigil.sources.corpus` and :mod:`vigil.sources.files` do in Spark, so a
+rule's SQL only has to state the rule.
+"""
+
+from __future__ import annotations
+
+import re
+
+from ..rules import packs as R
+from ..sources import corpus as C
+
+# RE2 spelling of the line-break set (same text works for both engines)
+LB = C.LINE_BREAKS
+PY_WS_RE2 = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+NL = "chr(10)"
+
+
+def q(s: str) -> str:
+    """SQL string literal (DuckDB keeps backslashes literally)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def case_pick(expr: str, values: list[str]) -> str:
+    arms = " ".join(f"WHEN {i} THEN {q(v)}" for i, v in enumerate(values))
+    return f"(CASE {expr} {arms} END)"
+
+
+def first_match(col: str, patterns: list[str], values: list[str] | None = None) -> str:
+    """CASE returning values[i] (default: i) of the first matching pattern."""
+    vals = values if values is not None else [str(i) for i in range(len(patterns))]
+    arms = " ".join(f"WHEN regexp_matches({col}, {q(p)}) THEN {q(v) if values is not None else v}"
+                    for p, v in zip(patterns, vals))
+    return f"(CASE {arms} END)"
+
+
+def any_match(col: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({col}, {q(p)})" for p in patterns) + ")"
+
+
+def py_strip(col: str) -> str:
+    return f"regexp_replace({col}, {q('^' + PY_WS_RE2 + '+|' + PY_WS_RE2 + '+\\z')}, '', 'g')"
+
+
+def snippet(col: str, n: int = 120) -> str:
+    return f"substring({py_strip(col)}, 1, {n})"
+
+
+def pkg(col: str) -> str:
+    return f"('src' || CAST(({col}) % {C.N_PACKAGES} AS VARCHAR))"
+
+
+def corpus_ctes() -> str:
+    """``WITH`` body defining files, scanned and lines."""
+    ext = case_pick("doc_id % 6", C.DOC_EXTS)
+    snip = case_pick(f"doc_id % {len(C.SNIPPETS)}", C.SNIPPETS)
+    art = case_pick(f"page_id % {len(C.ARTIFACT_PATHS)}", C.ARTIFACT_PATHS)
+    dep = (f"CASE WHEN p_partkey % 50 < {len(C.PLANTED_DEPS)} THEN {case_pick('p_partkey % 50', C.PLANTED_DEPS)} "
+           f"ELSE replace(coalesce(p_name, 'pkg'), ' ', '-') END")
+    tool = case_pick(f"(conv_id * 7 + turn) % {len(C.SKILL_TOOLS)}", C.SKILL_TOOLS)
+    item = f"CASE WHEN turn % 5 = 4 THEN '#### ' || {tool} ELSE '- ' || {tool} END"
+    desc = case_pick(f"pk % {len(C.DESCRIPTIONS)}", C.DESCRIPTIONS)
+    skill_desc = f"CASE WHEN pk % 6 = 0 THEN {q(C.SKILL_INJECTION)} ELSE {desc} END"
+    scanned_sfx = ", ".join(q(s) for s in R.SCANNED_SUFFIXES)
+    excl = ", ".join(q(d) for d in R.EXCLUDED_DIRS)
+    return f"""
+docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, {ext} AS ext, {snip} AS snippet FROM documents),
+doc_files AS (
+  SELECT source AS package_id, 'd' || CAST(doc_id AS VARCHAR) || ext AS path,
+         (CASE WHEN ext LIKE '%.py' THEN '# ' || regexp_replace(text, {q(LB)}, {NL} || '# ', 'g') ELSE text END)
+           || {NL} || snippet || {NL} AS content
+  FROM docs),
+art_files AS (
+  SELECT {pkg('page_id')} AS package_id, replace({art}, '{{id}}', CAST(page_id AS VARCHAR)) AS path,
+         coalesce(html, '') AS content FROM pages),
+deps AS (
+  SELECT DISTINCT {pkg('p_partkey')} AS package_id, {dep} AS dep FROM part),
+pkgs AS (
+  SELECT DISTINCT package_id, CAST(regexp_extract(package_id, '(\\d+)$', 1) AS INTEGER) AS pk FROM deps),
+man_files AS (
+  SELECT package_id, 'package.json' AS path, '{{}}' AS content FROM pkgs
+  UNION ALL SELECT package_id, 'requirements.txt', '' FROM pkgs WHERE pk % 4 = 0
+  UNION ALL SELECT package_id, 'setup.py',
+     CASE WHEN pk % 8 = 0 THEN {q(C.SETUP_PY_CMDCLASS)} ELSE {q(C.SETUP_PY_PLAIN)} END FROM pkgs WHERE pk % 4 = 0
+  UNION ALL SELECT package_id, 'install/hook.py', {q(C.HOOK_PY)} FROM pkgs WHERE pk % {len(C.NPM_HOOKS)} = 1),
+skill_items AS (
+  SELECT {pkg('conv_id')} AS package_id, conv_id, turn, {item} AS item FROM conversations),
+skill_files AS (
+  SELECT package_id, 'SKILL.md' AS path,
+         '# Skill ' || package_id || {NL} || '## Description' || {NL} || {skill_desc} || {NL} || '## Tools' || {NL}
+           || string_agg(item, {NL} ORDER BY conv_id, turn) || {NL} AS content
+  FROM (SELECT *, CAST(regexp_extract(package_id, '(\\d+)$', 1) AS INTEGER) AS pk FROM skill_items)
+  GROUP BY package_id, pk),
+files AS (
+  SELECT package_id, path, content FROM doc_files
+  UNION ALL SELECT package_id, path, content FROM art_files
+  UNION ALL SELECT package_id, path, content FROM man_files
+  UNION ALL SELECT package_id, path, content FROM skill_files),
+scanned AS (
+  SELECT * FROM files
+  WHERE regexp_extract(path, '(\\.[^./]*)$', 1) IN ({scanned_sfx})
+    AND NOT list_has_any(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), [{excl}])),
+split_lines AS (
+  SELECT package_id, path, string_split_regex(content, {q(LB)}) AS parts FROM scanned),
+lines AS (
+  SELECT package_id, path, CAST(line_no AS INTEGER) AS line_no, line FROM (
+    SELECT package_id, path, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line, len(parts) AS n
+    FROM split_lines)
+  WHERE NOT (line_no = n AND line = ''))"""
+
+
+def with_corpus(body: str, extra_ctes: str = "") -> str:
+    ctes = corpus_ctes()
+    if extra_ctes:
+        ctes += ",\n" + extra_ctes
+    return f"WITH {ctes}\n{body}"
+
+
+# ---------------------------------------------------------------- rule SQL pieces
+def is_test_path(col: str) -> str:
+    return f"regexp_matches(lower({col}), {q('|'.join(R.TEST_PATH_WORDS))})"
+
+
+def p1_rows() -> str:
+    pats = [p for _, p, _ in R.SECRET_PATTERNS]
+    names = [n for n, _, _ in R.SECRET_PATTERNS]
+    sevs = [s for _, _, s in R.SECRET_PATTERNS]
+    return f"""SELECT package_id, path, line_no AS line, 'P1' AS rule_id,
+  {first_match('line', pats, sevs)} AS severity,
+  'Hardcoded credential: ' || {first_match('line', pats, names)} AS title,
+  1 AS eng, 0 AS phase, CAST(0 AS BIGINT) AS k
+FROM lines
+WHERE {any_match('line', pats)} AND NOT regexp_matches(line, {q(R.PLACEHOLDER_PATTERN)})
+  AND NOT {is_test_path('path')}"""
+
+
+def ip_ok(ip: str, line: str) -> str:
+    private = " OR ".join(f"starts_with({ip}, {q(p)})" for p in R.IP_SKIP_PREFIXES)
+    pos = f"instr({line}, {ip})"
+    ctx = f"substring({line}, greatest({pos} - 15, 1), least({pos} - 1, 15))"
+    five = f"regexp_extract({line}, {q(R.FIVE_PART)}, 0)"
+    return (f"(list_bool_and(list_transform(string_split({ip}, '.'), lambda o: CAST(o AS INTEGER) <= 255))"
+            f" AND NOT ({private}) AND NOT contains(lower({line}), 'version')"
+            f" AND NOT regexp_matches({ctx}, {q(R.VERSION_CONTEXT)})"
+            f" AND NOT ({five} <> '' AND contains({five}, {ip})))")
+
+
+def p4_ip_rows() -> str:
+    return f"""SELECT package_id, path, line_no AS line, 'P4' AS rule_id, 'medium' AS severity,
+  'Hardcoded public IP: ' || ip AS title, 1 AS eng, 0 AS phase, CAST(3000 + i - 1 AS BIGINT) AS k
+FROM (SELECT package_id, path, line_no, line, unnest(ips) AS ip, unnest(range(1, len(ips) + 1)) AS i
+      FROM (SELECT *, regexp_extract_all(line, {q(R.IPV4_RE2)}, 1) AS ips FROM lines) WHERE len(ips) > 0)
+WHERE {ip_ok('ip', 'line')}"""
+
+
+def ddns_patterns() -> list[str]:
+    out = list(R.DYNAMIC_DNS_PATTERNS)
+    for g in R.DYNAMIC_DNS_GLOBS:
+        rx = re.escape(g.lstrip("*"))
+        if rx not in out:
+            out.append(rx)
+    return out
+
+
+def p4_ddns_rows() -> str:
+    rx = "(?i)(?:" + "|".join(ddns_patterns()) + ")"
+    return f"""SELECT package_id, path, line_no AS line, 'P4' AS rule_id, 'high' AS severity,
+  'Dynamic DNS domain detected' AS title, 1 AS eng, 0 AS phase, CAST(4000 AS BIGINT) AS k
+FROM lines WHERE regexp_matches(line, {q(rx)})"""
+
+
+def p6_rows() -> str:
+    pats = [p for p, _ in R.PROMPT_INJECTION_PATTERNS]
+    sevs = [s for _, s in R.PROMPT_INJECTION_PATTERNS]
+    return f"""SELECT package_id, path, line_no AS line, 'P6' AS rule_id, {first_match('line', pats, sevs)} AS severity,
+  'Prompt injection pattern detected' AS title, 1 AS eng, 0 AS phase, CAST(5000 AS BIGINT) AS k
+FROM lines WHERE {any_match('line', pats)}"""
+
+
+def p9_long_rows() -> str:
+    return f"""SELECT package_id, path, line_no AS line, 'P9' AS rule_id, 'medium' AS severity,
+  'Extremely long line (possible minified/obfuscated code)' AS title, 1 AS eng, 5 AS phase, CAST(0 AS BIGINT) AS k
+FROM lines WHERE length(line) > {R.LONG_LINE}"""
+
+
+def suspicious_tlds() -> list[str]:
+    return sorted(set(R.SUSPICIOUS_TLDS_BUILTIN + R.SUSPICIOUS_TLDS_PACK))
+
+
+def p8_rows() -> str:
+    iocs = R.IOC_PATTERNS
+    ipats = ["(?i)" + p for p, _, _ in iocs]
+    tlds = suspicious_tlds()
+    tpats = ["(?i)" + re.escape(t) + r"(?:[:/\s]|$)" for t in tlds]
+    base = f"""(SELECT package_id, path, line_no, unnest(urls) AS url, unnest(range(1, len(urls) + 1)) AS i
+      FROM (SELECT *, regexp_extract_all(line, {q(R.URL_PATTERN)}, 0) AS urls FROM lines) WHERE len(urls) > 0)"""
+    return f"""SELECT package_id, path, line_no AS line, 'P8' AS rule_id, {first_match('url', ipats, [s for _, s, _ in iocs])} AS severity,
+  'IOC match: ' || {first_match('url', ipats, [d for _, _, d in iocs])} AS title, 1 AS eng, 3 AS phase,
+  CAST((i - 1) * 2 AS BIGINT) AS k
+FROM {base} WHERE {any_match('url', ipats)}
+UNION ALL
+SELECT package_id, path, line_no AS line, 'P8' AS rule_id, 'medium' AS severity,
+  'URL with suspicious TLD: ' || {first_match('url', tpats, tlds)} AS title, 1 AS eng, 3 AS phase,
+  CAST((i - 1) * 2 + 1 AS BIGINT) AS k
+FROM {base} WHERE {any_match('url', tpats)}"""
+
+
+def p10_rows() -> str:
+    labels = dict(R.TACTIC_LABELS)
+    arms = []
+    for i, (p, tactic, sev) in enumerate(R.MANIPULATION_PATTERNS):
+        arms.append(f"""SELECT package_id, path, line_no, {i} AS pidx, {q(tactic)} AS tactic, {q(sev)} AS severity,
+  {q('Agent manipulation: ' + labels[tactic])} AS title,
+  'Matched: ' || substring(regexp_extract(line, {q(p)}, 0), 1, 80) AS evidence
+FROM lines WHERE regexp_matches(line, {q(p)})""")
+    cand = "\nUNION ALL\n".join(arms)
+    return f"""SELECT package_id, path, line_no AS line, 'P10' AS rule_id, severity, title, 1 AS eng, 6 AS phase,
+  CAST(pidx AS BIGINT) AS k, evidence
+FROM (SELECT *, row_number() OVER (PARTITION BY package_id, path, tactic ORDER BY line_no, pidx) AS rn
+      FROM ({cand})) WHERE rn = 1"""
+
+
+def text_subset_rows() -> str:
+    """Union of the line rules both engines compute identically (no decoded
+    payload text): P1, P4, P6, P8, P9 long lines, P10."""
+    parts = [p1_rows(), p4_ip_rows(), p4_ddns_rows(), p6_rows(), p8_rows(), p9_long_rows(),
+             "SELECT package_id, path, line, rule_id, severity, title, eng, phase, k FROM (" + p10_rows() + ")"]
+    return "\nUNION ALL\n".join("SELECT package_id, path, line, rule_id, severity, title, eng, phase, k FROM (" + p + ")"
+                                for p in parts)

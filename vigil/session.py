@@ -15,6 +15,7 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.ui.showConsoleProgress": "false",
     # Rule dimensions are tiny and fixed; anything bigger must not be
     # broadcast implicitly.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
