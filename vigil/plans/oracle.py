@@ -233,3 +233,102 @@ def text_subset_rows() -> str:
              "SELECT package_id, path, line, rule_id, severity, title, eng, phase, k FROM (" + p10_rows() + ")"]
     return "\nUNION ALL\n".join("SELECT package_id, path, line, rule_id, severity, title, eng, phase, k FROM (" + p + ")"
                                 for p in parts)
+
+
+def nl_count(expr: str) -> str:
+    return f"(length({expr}) - length(replace({expr}, {NL}, '')))"
+
+
+def b64_decode(tok: str) -> str:
+    """Python-lenient base64 validity, then strict UTF-8 text (NULL otherwise)."""
+    data = f"replace({tok}, '=', '')"
+    n = f"length({data})"
+    p = f"(length({tok}) - {n})"
+    r = f"({n} % 4)"
+    ok = f"({r} = 0 OR ({r} = 2 AND {p} >= 2) OR ({r} = 3 AND {p} >= 1))"
+    padded = f"({data} || repeat('=', CAST((4 - {r}) % 4 AS INTEGER)))"
+    return f"(CASE WHEN {ok} THEN TRY(decode(from_base64({padded}))) END)"
+
+
+def p2_rows() -> str:
+    sev = (f"CASE WHEN regexp_matches(dec, {q(R.B64_SHELL_WORDS)}) THEN 'critical' "
+           f"WHEN regexp_matches(dec, {q(R.B64_URL)}) OR regexp_matches(dec, {q(R.B64_CODE_WORDS)}) THEN 'high' END")
+    return f"""SELECT package_id, path, line_no AS line, 'P2' AS rule_id, severity,
+  'Base64 encoded suspicious content' AS title, 'Decoded: ' || substring(dec, 1, 100) AS evidence
+FROM (SELECT *, {sev} AS severity FROM (
+  SELECT package_id, path, line_no, {b64_decode('tok')} AS dec FROM (
+    SELECT package_id, path, line_no, unnest(toks) AS tok
+    FROM (SELECT *, regexp_extract_all(line, {q(R.B64_TOKEN)}, 1) AS toks FROM lines) WHERE len(toks) > 0)))
+WHERE severity IS NOT NULL"""
+
+
+def p3_rows() -> str:
+    hx = f"len(regexp_extract_all(line, {q(R.HEX_ESCAPE)}))"
+    ux = f"len(regexp_extract_all(line, {q(R.UNICODE_ESCAPE)}))"
+    return f"""SELECT package_id, path, line_no AS line, 'P3' AS rule_id, 'medium' AS severity,
+  'Hex/Unicode escape obfuscation' AS title,
+  'Line contains ' || CAST(hx + ux AS VARCHAR) || ' escape sequences, possible obfuscation' AS description
+FROM (SELECT *, {hx} AS hx, {ux} AS ux FROM lines)
+WHERE (hx >= {R.ESCAPE_MIN} OR ux >= {R.ESCAPE_MIN}) AND NOT regexp_matches(line, {q(R.REGEX_CONTEXT)})
+  AND NOT regexp_matches(line, {q(R.MAGIC_BYTES)}) AND NOT regexp_matches(line, {q(R.CHAR_CLASS_RANGE)})"""
+
+
+def entropy(tok: str) -> str:
+    ch = f"string_split({tok}, '')"
+    cnt = f"len(list_filter({ch}, lambda x: x = c))"
+    return (f"(CASE WHEN length({tok}) < 2 THEN 0.0 ELSE -list_sum(list_transform(list_distinct({ch}), "
+            f"lambda c: ({cnt} / len({ch})) * log2({cnt} / len({ch})))) END)")
+
+
+def p7_rows() -> str:
+    secrets = [p for _, p, _ in R.SECRET_PATTERNS]
+    return f"""SELECT package_id, path, line_no AS line, 'P7' AS rule_id, 'medium' AS severity,
+  printf('High-entropy string (entropy=%.1f)', e) AS title,
+  printf('String length=%d, entropy=%.2f (threshold=4.5)', length(tok), e) AS evidence
+FROM (SELECT *, {entropy('tok')} AS e FROM (
+  SELECT package_id, path, line_no, unnest(toks) AS tok
+  FROM (SELECT *, regexp_extract_all(line, {q(R.QUOTED_TOKEN)}, 1) AS toks FROM lines) WHERE len(toks) > 0))
+WHERE NOT regexp_matches(tok, {q(R.UUID_PATTERN)}) AND NOT regexp_matches(tok, {q(R.PLACEHOLDER_PATTERN)})
+  AND NOT {any_match('tok', secrets)} AND e > {R.ENTROPY_THRESHOLD} AND length(tok) > 20"""
+
+
+def p5_rows() -> str:
+    arms = []
+    for sid, name, pat, multi, sev, _tags, _refs in R.SIGNATURES:
+        rx = ("(?is)" if multi else "(?i)") + pat
+        arms.append(f"""SELECT package_id, path, 1 + {nl_count(f"string_split_regex(content, {q(rx)})[1]")} AS line,
+  'P5' AS rule_id, {q(sev)} AS severity, {q('Malicious signature: ' + name)} AS title,
+  {q(f'Signature {sid} matched (SHA256: ')} || substring(sha256(content), 1, 16) || '...)' AS evidence
+FROM scanned WHERE regexp_matches(content, {q(rx)})""")
+    return "\nUNION ALL\n".join(arms)
+
+
+def p9_obf_rows() -> str:
+    arms = []
+    for lang, pats in (("js", R.JS_OBFUSCATION_PATTERNS), ("py", R.PY_OBFUSCATION_PATTERNS)):
+        cond = ("(ends_with(path, '.js') OR ends_with(path, '.mjs') OR ends_with(path, '.cjs'))"
+                if lang == "js" else "ends_with(path, '.py')")
+        for pat, desc in pats:
+            pieces = f"string_split_regex(content, {q(pat)})"
+            ms = f"regexp_extract_all(content, {q(pat)})"
+            line = (f"1 + {nl_count(f'array_to_string(list_slice(pieces, 1, i), {chr(39)}{chr(39)})')}"
+                    f" + {nl_count(f'array_to_string(list_slice(ms, 1, i - 1), {chr(39)}{chr(39)})')}")
+            arms.append(f"""SELECT package_id, path, CAST({line} AS INTEGER) AS line, 'P9' AS rule_id, 'high' AS severity,
+  {q('Code obfuscation: ' + desc)} AS title
+FROM (SELECT package_id, path, pieces, ms, unnest(range(1, len(ms) + 1)) AS i
+      FROM (SELECT package_id, path, {pieces} AS pieces, {ms} AS ms FROM scanned
+            WHERE {cond} AND regexp_matches(content, {q(pat)})))""")
+    return "\nUNION ALL\n".join(arms)
+
+
+def p6_skill_rows() -> str:
+    pats = ["(?i)" + p for p in R.SKILL_INJECTION_PATTERNS]
+    head = f"substring(content, 1, {R.SKILL_DESCRIPTION_CHARS})"
+    matched = "(CASE " + " ".join(f"WHEN regexp_matches(head, {q(p)}) THEN regexp_extract(head, {q(p)}, 0)"
+                                  for p in pats) + " END)"
+    return f"""SELECT m.package_id, 'SKILL.md' AS path, min(l.line_no) AS line, 'P6' AS rule_id, 'critical' AS severity,
+  'Prompt injection detected in skill description' AS title, 'Matched pattern: ' || m.matched AS evidence
+FROM (SELECT package_id, {matched} AS matched FROM (SELECT package_id, {head} AS head FROM files WHERE path = 'SKILL.md')) m
+LEFT JOIN (SELECT * FROM lines WHERE path = 'SKILL.md') l
+  ON l.package_id = m.package_id AND contains(lower(l.line), lower(m.matched))
+WHERE m.matched IS NOT NULL GROUP BY m.package_id, m.matched"""

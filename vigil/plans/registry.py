@@ -130,3 +130,37 @@ def grade(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minimum slice end to end: files -> lines -> P4a + P9b -> grade."""
     return grade(spark, sf_dir)
+
+
+@register("p2_encoded_payload", _sql_rows(O.p2_rows(), FIND_COLS + ["evidence"]))
+def p2_encoded_payload(spark, sf_dir):
+    return _line_rule(spark, sf_dir, ("P2",), cols=FIND_COLS + ["evidence"])
+
+
+@register("p3_escape_obfuscation", _sql_rows(O.p3_rows(), FIND_COLS + ["description"]))
+def p3_escape_obfuscation(spark, sf_dir):
+    return _line_rule(spark, sf_dir, ("P3",), cols=FIND_COLS + ["description"])
+
+
+@register("p7_entropy", _sql_rows(O.p7_rows(), FIND_COLS + ["evidence"]))
+def p7_entropy(spark, sf_dir):
+    return _line_rule(spark, sf_dir, ("P7",), cols=FIND_COLS + ["evidence"])
+
+
+@register("p5_signatures", _sql_rows(O.p5_rows(), FIND_COLS + ["evidence"]))
+def p5_signatures(spark, sf_dir):
+    _, scanned, _ = corpus(spark, sf_dir)
+    return TR.p5_signatures(scanned).select(*FIND_COLS, "evidence")
+
+
+@register("p9_obfuscation", _sql_rows(O.p9_obf_rows()))
+def p9_obfuscation(spark, sf_dir):
+    _, scanned, _ = corpus(spark, sf_dir)
+    return TR.p9_obfuscation(scanned).select(*FIND_COLS)
+
+
+@register("p6_skill_injection", _sql_rows(O.p6_skill_rows(), FIND_COLS + ["evidence"]))
+def p6_skill_injection(spark, sf_dir):
+    files, _, _ = corpus(spark, sf_dir)
+    skill = files.where(F.col("path") == "SKILL.md")
+    return TR.p6_skill_injection(skill, to_lines(skill)).select(*FIND_COLS, "evidence")
