@@ -164,3 +164,35 @@ def p6_skill_injection(spark, sf_dir):
     files, _, _ = corpus(spark, sf_dir)
     skill = files.where(F.col("path") == "SKILL.md")
     return TR.p6_skill_injection(skill, to_lines(skill)).select(*FIND_COLS, "evidence")
+
+
+# ------------------------------------------------------------------ code rules (Python parse -> no SQL twin)
+def _code_inputs(spark, sf_dir):
+    from ..operators.code_rules import code_inputs
+    _, scanned, _ = corpus(spark, sf_dir)
+    return scanned, code_inputs(scanned)
+
+
+@register("s_rules")
+def s_rules(spark, sf_dir):
+    """S1-S10, S12-S14 over every parsed .py file of the corpus."""
+    from ..operators.code_rules import code_findings
+    scanned, inp = _code_inputs(spark, sf_dir)
+    return code_findings(scanned, inputs=inp).select(*FIND_COLS, "evidence")
+
+
+@register("reaching_defs")
+def reaching_defs_q(spark, sf_dir):
+    """For every name use, the definition it reads."""
+    from ..operators.taint import name_refs, reaching_defs, split_facts
+    from ..sources.code_facts import code_facts
+    _, scanned, _ = corpus(spark, sf_dir)
+    p = split_facts(code_facts(scanned))
+    return reaching_defs(p["defs"], name_refs(p["exprs"], p["leaves"]))
+
+
+@register("taint_levels")
+def taint_levels(spark, sf_dir):
+    """Resolved taint level of every assignment."""
+    _, inp = _code_inputs(spark, sf_dir)
+    return inp["state"].select("package_id", "path", "def_key", "level", "src_type", "src_desc")
