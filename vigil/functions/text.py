@@ -58,6 +58,12 @@ def newline_count(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
 
+def py_fixed(x: Column, digits: int) -> Column:
+    """Python ``f"{x:.{digits}f}"``: ties go to the even digit (Java's
+    formatter rounds them up)."""
+    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+
+
 def shannon_entropy(s: Column) -> Column:
     """Shannon entropy in bits per character; strings shorter than 2 give 0."""
     chars = F.split(s, "")
@@ -90,8 +96,8 @@ def b64_decode_lenient(token: Column) -> Column:
 
 def human_size(size: Column) -> Column:
     mb = F.lit(1024 * 1024)
-    return (F.when(size > mb, F.format_string("%.1f MB", size / 1024 / 1024))
-            .when(size > 1024, F.format_string("%.1f KB", size / 1024))
+    return (F.when(size > mb, F.format_string("%.1f MB", F.bround(size / 1024 / 1024, 1)))
+            .when(size > 1024, F.format_string("%.1f KB", F.bround(size / 1024, 1)))
             .otherwise(F.concat(size.cast("string"), F.lit(" bytes"))))
 
 

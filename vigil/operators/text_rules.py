@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import (any_match, b64_decode_lenient, first_match, newline_count, pick,
-                              py_strip, shannon_entropy, snippet)
+                              py_fixed, py_strip, shannon_entropy, snippet)
 from ..rules import packs as R
 from ..schemas import HIT, findings_from_hits, hit
 
@@ -155,9 +155,10 @@ def p7_hits(line: Column) -> Column:
                 & ~any_match(t, [p for _, p, _ in R.SECRET_PATTERNS])
                 & (e > R.ENTROPY_THRESHOLD) & (F.length(t) > 20))
         return F.when(cond, hit(
-            "P7", "medium", 0.6, F.format_string("High-entropy string (entropy=%.1f)", e),
+            "P7", "medium", 0.6, F.concat(F.lit("High-entropy string (entropy="), py_fixed(e, 1), F.lit(")")),
             "String has high randomness, possibly a secret or encoded payload",
-            evidence=F.format_string("String length=%d, entropy=%.2f (threshold=4.5)", F.length(t), e),
+            evidence=F.concat(F.lit("String length="), F.length(t).cast("string"), F.lit(", entropy="), py_fixed(e, 2),
+                              F.lit(" (threshold=4.5)")),
             tags=["entropy", "possible_secret"],
             remediation="If this is a secret, move to environment variable or secrets manager.",
             phase=PH_P7, k=i))

@@ -66,6 +66,10 @@ def corpus_ctes() -> str:
     item = f"CASE WHEN turn % 5 = 4 THEN '#### ' || {tool} ELSE '- ' || {tool} END"
     desc = case_pick(f"pk % {len(C.DESCRIPTIONS)}", C.DESCRIPTIONS)
     skill_desc = f"CASE WHEN pk % 6 = 0 THEN {q(C.SKILL_INJECTION)} ELSE {desc} END"
+    pdesc = case_pick(f"pk % {len(C.DESCRIPTIONS)}", C.DESCRIPTIONS)
+    hook_k = case_pick(f"pk % {len(C.NPM_HOOKS)}", [h for h, _ in C.NPM_HOOKS])
+    hook_v = case_pick(f"pk % {len(C.NPM_HOOKS)}", [v for _, v in C.NPM_HOOKS])
+    ext_l = case_pick("l.doc_id % 6", C.DOC_EXTS)
     scanned_sfx = ", ".join(q(s) for s in R.SCANNED_SUFFIXES)
     excl = ", ".join(q(d) for d in R.EXCLUDED_DIRS)
     return f"""
@@ -83,12 +87,45 @@ deps AS (
   SELECT DISTINCT {pkg('p_partkey')} AS package_id, {dep} AS dep FROM part),
 pkgs AS (
   SELECT DISTINCT package_id, CAST(regexp_extract(package_id, '(\\d+)$', 1) AS INTEGER) AS pk FROM deps),
+dep_obj AS (
+  SELECT package_id, json_group_object(dep, '^1.0.0') AS dj,
+         '# requirements' || {NL} || string_agg(dep || '>=1.0', {NL} ORDER BY dep) || {NL} AS reqs
+  FROM deps GROUP BY package_id),
+pkg_json AS (
+  SELECT p.package_id, p.pk,
+         CAST(json_object('name', p.package_id, 'description', {pdesc},
+                          'scripts', json_object({hook_k}, {hook_v}), 'dependencies', d.dj) AS VARCHAR) AS content,
+         d.reqs
+  FROM pkgs p JOIN dep_obj d ON p.package_id = d.package_id),
 man_files AS (
-  SELECT package_id, 'package.json' AS path, '{{}}' AS content FROM pkgs
-  UNION ALL SELECT package_id, 'requirements.txt', '' FROM pkgs WHERE pk % 4 = 0
+  SELECT package_id, 'package.json' AS path, content FROM pkg_json
+  UNION ALL SELECT package_id, 'requirements.txt', reqs FROM pkg_json WHERE pk % 4 = 0
   UNION ALL SELECT package_id, 'setup.py',
      CASE WHEN pk % 8 = 0 THEN {q(C.SETUP_PY_CMDCLASS)} ELSE {q(C.SETUP_PY_PLAIN)} END FROM pkgs WHERE pk % 4 = 0
   UNION ALL SELECT package_id, 'install/hook.py', {q(C.HOOK_PY)} FROM pkgs WHERE pk % {len(C.NPM_HOOKS)} = 1),
+mcp_items AS (
+  SELECT {pkg('s_suppkey')} AS package_id, s_suppkey,
+         CASE WHEN s_suppkey % 5 = 0 THEN 'network' WHEN s_suppkey % 5 = 1 THEN 'shell'
+              ELSE 'tool_' || CAST(s_suppkey AS VARCHAR) END AS name FROM supplier),
+mcp_files AS (
+  SELECT package_id, 'mcp.json' AS path,
+         CASE WHEN pk % 9 = 4 THEN '{{"tools": ' || tools
+              ELSE '{{"tools": ' || tools || ', "permissions": ' ||
+                   CASE WHEN pk % 4 = 0 THEN '{{"filesystem": "/", "network": true}}'
+                        WHEN pk % 4 = 1 THEN '{{"shell": "*"}}' WHEN pk % 4 = 2 THEN '{{"fs": ["~/docs"]}}'
+                        ELSE '{{}}' END || '}}' END AS content
+  FROM (SELECT package_id, CAST(regexp_extract(package_id, '(\\d+)$', 1) AS INTEGER) AS pk,
+               CAST(to_json(list({{'name': name}} ORDER BY s_suppkey)) AS VARCHAR) AS tools
+        FROM mcp_items GROUP BY package_id)),
+ign_rows AS (
+  SELECT d.source AS package_id, l.doc_id,
+         CASE WHEN l.toxic = 1 THEN 'P4:d' || CAST(l.doc_id AS VARCHAR) || {ext_l}
+              WHEN l.quality = 0 THEN 'P7:d' || CAST(l.doc_id AS VARCHAR) || '*' END AS entry
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+ign_files AS (
+  SELECT package_id, {q(R.IGNORE_FILE)} AS path,
+         '# suppressions' || {NL} || 'S5' || {NL} || string_agg(entry, {NL} ORDER BY doc_id) || {NL} AS content
+  FROM ign_rows WHERE entry IS NOT NULL GROUP BY package_id),
 skill_items AS (
   SELECT {pkg('conv_id')} AS package_id, conv_id, turn, {item} AS item FROM conversations),
 skill_files AS (
@@ -101,7 +138,9 @@ files AS (
   SELECT package_id, path, content FROM doc_files
   UNION ALL SELECT package_id, path, content FROM art_files
   UNION ALL SELECT package_id, path, content FROM man_files
-  UNION ALL SELECT package_id, path, content FROM skill_files),
+  UNION ALL SELECT package_id, path, content FROM skill_files
+  UNION ALL SELECT package_id, path, content FROM mcp_files
+  UNION ALL SELECT package_id, path, content FROM ign_files),
 scanned AS (
   SELECT * FROM files
   WHERE regexp_extract(path, '(\\.[^./]*)$', 1) IN ({scanned_sfx})
@@ -332,3 +371,166 @@ FROM (SELECT package_id, {matched} AS matched FROM (SELECT package_id, {head} AS
 LEFT JOIN (SELECT * FROM lines WHERE path = 'SKILL.md') l
   ON l.package_id = m.package_id AND contains(lower(l.line), lower(m.matched))
 WHERE m.matched IS NOT NULL GROUP BY m.package_id, m.matched"""
+
+
+# ---------------------------------------------------------------- manifest rules
+def norm_dep(col: str) -> str:
+    return f"regexp_replace(lower({col}), '[-_]', '', 'g')"
+
+
+def m4_rows() -> str:
+    top = "[" + ", ".join(q(t) for t in R.TOP_PACKAGES) + "]"
+    return f"""SELECT d.package_id, d.file AS path, CAST(NULL AS INTEGER) AS line, 'M4' AS rule_id, 'critical' AS severity,
+  'Possible typo-squatting: "' || d.dep || '" (similar to "' || min(t.top) || '")' AS title
+FROM (
+  SELECT package_id, 'package.json' AS file, unnest(json_keys(json_extract(content, '$.dependencies'))) AS dep
+  FROM files WHERE path = 'package.json' AND json_valid(content)
+  UNION ALL
+  SELECT package_id, 'requirements.txt' AS file, dep FROM (
+    SELECT package_id, trim(regexp_extract(l, '^([^>=<!\\[~; \\t]*)', 1)) AS dep FROM (
+      SELECT package_id, {py_strip('x')} AS l FROM (
+        SELECT package_id, unnest(string_split_regex(content, {q(LB)})) AS x FROM files
+        WHERE path = 'requirements.txt'
+          AND package_id IN (SELECT package_id FROM files WHERE path IN ('setup.py', 'pyproject.toml'))))
+    WHERE l <> '' AND NOT starts_with(l, '#')) WHERE dep <> ''
+) d
+JOIN (SELECT unnest({top}) AS top) t ON levenshtein({norm_dep('d.dep')}, {norm_dep('t.top')}) = 1
+WHERE {norm_dep('d.dep')} NOT IN (SELECT {norm_dep('x')} FROM (SELECT unnest({top}) AS x))
+GROUP BY d.package_id, d.file, d.dep"""
+
+
+def m5_hook_rows() -> str:
+    arms = []
+    for h in R.INSTALL_HOOKS:
+        s = f"json_extract_string(content, '$.scripts.{h}')"
+        arms.append(f"""SELECT package_id, 'package.json' AS path, CAST(NULL AS INTEGER) AS line, 'M5' AS rule_id,
+  CASE WHEN regexp_matches({s}, {q(R.HOOK_ESCALATE)}) THEN 'critical' ELSE 'high' END AS severity,
+  'Install-time script: {h}' AS title
+FROM files WHERE path = 'package.json' AND json_valid(content) AND {s} IS NOT NULL""")
+    return "\nUNION ALL\n".join(arms)
+
+
+def m5_pip_rows() -> str:
+    return """SELECT package_id, 'setup.py' AS path, CAST(NULL AS INTEGER) AS line, 'M5' AS rule_id, 'high' AS severity,
+  'Custom install command in setup.py' AS title
+FROM files WHERE path = 'setup.py' AND contains(content, 'cmdclass')
+  AND (contains(content, 'install') OR contains(content, 'develop'))"""
+
+
+def m2b_tool_rows() -> str:
+    tools = ", ".join(q(t) for t in R.DANGEROUS_TOOLS)
+    return f"""SELECT package_id, 'SKILL.md' AS path, CAST(NULL AS INTEGER) AS line, 'M2b' AS rule_id, 'high' AS severity,
+  'Skill requests dangerous tool: ' || tool AS title
+FROM (
+  SELECT package_id, lower(regexp_extract(s, '^[-*]\\s+`?(\\w[\\w_.-]*)`?', 1)) AS tool FROM st
+  WHERE sec = 'T' AND kind IS NULL
+  UNION ALL
+  SELECT package_id, lower(regexp_extract(s, '^#{{2,4}}\\s+`?(\\w[\\w_.-]*)`?', 1)) AS tool FROM st
+  WHERE sec = 'T' AND kind IS NULL)
+WHERE tool IN ({tools})"""
+
+
+def skill_section_cte() -> str:
+    return f"""st AS (
+  SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY package_id ORDER BY line_no
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sec
+  FROM (SELECT package_id, line_no, s,
+          CASE WHEN regexp_matches(s, '(?i)^#{{1,3}}\\s+tools?\\b') THEN 'T'
+               WHEN regexp_matches(s, '^#{{1,3}}\\s+') THEN 'H' END AS kind
+        FROM (SELECT package_id, line_no, {py_strip('line')} AS s FROM lines WHERE path = 'SKILL.md')))"""
+
+
+def mcp_cte() -> str:
+    return """mcp AS (
+  SELECT package_id, path AS manifest, content, json_valid(content) AS ok FROM files WHERE path = 'mcp.json'
+  UNION ALL
+  SELECT package_id, path, content, json_valid(content) FROM files
+  WHERE path = 'manifest.json' AND package_id NOT IN (SELECT package_id FROM files WHERE path = 'mcp.json'))"""
+
+
+def m6_rows() -> str:
+    return """SELECT package_id, manifest AS path, CAST(NULL AS INTEGER) AS line, 'M6' AS rule_id, 'medium' AS severity,
+  'Malformed manifest: ' || manifest AS title FROM mcp WHERE NOT ok"""
+
+
+def m2b_perm_rows() -> str:
+    return """SELECT package_id, manifest AS path, CAST(NULL AS INTEGER) AS line, 'M2b' AS rule_id, 'high' AS severity, title
+FROM (
+  SELECT package_id, manifest, key, v, json_type(v) AS t FROM (
+    SELECT package_id, manifest, key, json_extract(content, '$.permissions."' || key || '"') AS v FROM (
+      SELECT package_id, manifest, content, unnest(json_keys(json_extract(content, '$.permissions'))) AS key
+      FROM mcp WHERE ok AND json_type(json_extract(content, '$.permissions')) = 'OBJECT'))),
+LATERAL (
+  SELECT 'Overly broad permission: ' || key AS title
+  WHERE (t = 'BOOLEAN' AND CAST(v AS VARCHAR) = 'true') OR (t = 'VARCHAR' AND json_extract_string(v, '$') = '*')
+  UNION ALL
+  SELECT 'Broad filesystem permission: ' || key
+  WHERE key IN ('filesystem', 'file', 'fs') AND t IN ('VARCHAR', 'ARRAY')
+    AND (CASE WHEN t = 'VARCHAR' THEN json_extract_string(v, '$') ELSE CAST(v AS VARCHAR) END = '/'
+         OR contains(CAST(v AS VARCHAR), '~') OR contains(CAST(v AS VARCHAR), '*')))"""
+
+
+def glob_re2(g: str) -> str:
+    from ..functions.text import path_glob_regex
+    return path_glob_regex(g)
+
+
+def m7_matches_cte() -> str:
+    arms = []
+    excl = ", ".join(q(d) for d in R.DEBUG_EXCLUDED_DIRS)
+    for i, (g, desc, sev) in enumerate(R.DEBUG_ARTIFACTS):
+        arms.append(f"SELECT package_id, path, strlen(content) AS size, {i} AS pi, {q(g)} AS pat, {q(desc)} AS descr, "
+                    f"{q(sev)} AS sev FROM files WHERE regexp_matches(path, {q(glob_re2(g))}) "
+                    f"AND NOT list_has_any(string_split(path, '/'), [{excl}])")
+    return "m7 AS (\n" + "\nUNION ALL\n".join(arms) + ")"
+
+
+def human_size(col: str) -> str:
+    return (f"CASE WHEN {col} > 1048576 THEN printf('%.1f MB', {col} / 1024 / 1024) "
+            f"WHEN {col} > 1024 THEN printf('%.1f KB', {col} / 1024) ELSE CAST({col} AS VARCHAR) || ' bytes' END")
+
+
+def m7_rows() -> str:
+    return f"""SELECT package_id, path, CAST(NULL AS INTEGER) AS line, 'M7' AS rule_id, sev AS severity,
+  'Publishable package contains ' || lower(descr) || ': ' || path AS title,
+  'File: ' || path || ' (' || {human_size('size')} || ')' AS evidence
+FROM (SELECT *, row_number() OVER (PARTITION BY package_id, pi ORDER BY path) AS rn FROM m7)
+WHERE rn <= {R.DEBUG_PER_PATTERN}"""
+
+
+def m7_rollup_rows() -> str:
+    return f"""SELECT package_id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS line, 'M7' AS rule_id,
+  sev AS severity, 'Multiple ' || lower(descr) || ' files found (' || CAST(n AS VARCHAR) || ' total)' AS title,
+  'Total: ' || CAST(n AS VARCHAR) || ' files matching ' || pat AS evidence
+FROM (SELECT package_id, pi, pat, descr, sev, count(*) AS n FROM m7 GROUP BY ALL)
+WHERE n > {R.DEBUG_PER_PATTERN}"""
+
+
+def category_rows() -> str:
+    ranks = " ".join(f"WHEN path = {q(n)} THEN {i}" for i, n in enumerate(R.DESCRIPTION_FILES))
+    names = ", ".join(q(n) for n in R.DESCRIPTION_FILES)
+    counts = []
+    for i, (cat, kws) in enumerate(R.CATEGORY_KEYWORDS):
+        n = " + ".join(f"CAST(contains(d, {q(k)}) AS INTEGER)" for k in kws)
+        counts.append(f"SELECT package_id, {q(cat)} AS category, {i} AS ci, {n} AS n FROM descs")
+    return f"""WITH descs AS (
+  SELECT package_id, lower(string_agg(t, {NL} ORDER BY r)) AS d FROM (
+    SELECT package_id, CASE {ranks} END AS r, substring(content, 1, {R.DESCRIPTION_CHARS}) AS t
+    FROM files WHERE path IN ({names})
+    UNION ALL
+    SELECT package_id, 10, json_extract_string(content, '$.description') FROM files
+    WHERE path = 'package.json' AND json_valid(content)
+      AND coalesce(json_extract_string(content, '$.description'), '') <> '')
+  GROUP BY package_id),
+counts AS ({' UNION ALL '.join(counts)})
+SELECT package_id, category FROM (
+  SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY n DESC, ci) AS rn FROM counts WHERE n > 0)
+WHERE rn = 1"""
+
+
+def platform_rows() -> str:
+    return """SELECT package_id,
+  CASE WHEN bool_or(path = 'SKILL.md') THEN 'clawhub' WHEN bool_or(path IN ('mcp.json', 'manifest.json')) THEN 'mcp'
+       WHEN bool_or(path = 'package.json') THEN 'npm'
+       WHEN bool_or(path IN ('setup.py', 'pyproject.toml', 'requirements.txt')) THEN 'pip' END AS platform
+FROM files GROUP BY package_id"""

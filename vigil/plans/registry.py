@@ -196,3 +196,60 @@ def taint_levels(spark, sf_dir):
     """Resolved taint level of every assignment."""
     _, inp = _code_inputs(spark, sf_dir)
     return inp["state"].select("package_id", "path", "def_key", "level", "src_type", "src_desc")
+
+
+# ------------------------------------------------------------------ manifest rules
+def _mani(fn_name, cols=FIND_COLS):
+    def run(spark, sf_dir):
+        from ..operators import manifest_rules as M
+        files, _, _ = corpus(spark, sf_dir)
+        return getattr(M, fn_name)(files).select(*cols)
+    return run
+
+
+QUERIES["m4_typosquat"] = _mani("typosquat")
+ORACLE["m4_typosquat"] = _sql_rows(O.m4_rows())
+QUERIES["m5_install_hook"] = _mani("npm_install_hooks")
+ORACLE["m5_install_hook"] = _sql_rows(O.m5_hook_rows())
+QUERIES["m5_pip_cmdclass"] = _mani("pip_cmdclass")
+ORACLE["m5_pip_cmdclass"] = _sql_rows(O.m5_pip_rows())
+QUERIES["m2b_dangerous_tool"] = _mani("dangerous_tools")
+ORACLE["m2b_dangerous_tool"] = O.with_corpus(
+    f"SELECT package_id, path, line, rule_id, severity, title FROM ({O.m2b_tool_rows()})", O.skill_section_cte())
+QUERIES["m2b_broad_permission"] = _mani("broad_permissions")
+ORACLE["m2b_broad_permission"] = O.with_corpus(
+    f"SELECT package_id, path, line, rule_id, severity, title FROM ({O.m2b_perm_rows()})", O.mcp_cte())
+QUERIES["m6_malformed_manifest"] = _mani("malformed_manifest")
+ORACLE["m6_malformed_manifest"] = O.with_corpus(
+    f"SELECT package_id, path, line, rule_id, severity, title FROM ({O.m6_rows()})", O.mcp_cte())
+
+
+@register("m7_debug_artifacts", O.with_corpus(
+    f"SELECT package_id, path, line, rule_id, severity, title, evidence FROM ({O.m7_rows()})", O.m7_matches_cte()))
+def m7_debug_artifacts(spark, sf_dir):
+    from ..operators.manifest_rules import debug_artifacts
+    files, _, _ = corpus(spark, sf_dir)
+    return debug_artifacts(files).where(F.col("path").isNotNull()).select(*FIND_COLS, "evidence")
+
+
+@register("m7_debug_rollup", O.with_corpus(
+    f"SELECT package_id, path, line, rule_id, severity, title, evidence FROM ({O.m7_rollup_rows()})",
+    O.m7_matches_cte()))
+def m7_debug_rollup(spark, sf_dir):
+    from ..operators.manifest_rules import debug_artifacts
+    files, _, _ = corpus(spark, sf_dir)
+    return debug_artifacts(files).where(F.col("path").isNull()).select(*FIND_COLS, "evidence")
+
+
+@register("category", O.with_corpus(O.category_rows().replace("WITH descs", "SELECT * FROM (WITH descs", 1) + ")"))
+def category(spark, sf_dir):
+    from ..operators.manifest_rules import detect_category
+    files, _, _ = corpus(spark, sf_dir)
+    return detect_category(files)
+
+
+@register("platform", O.with_corpus(O.platform_rows()))
+def platform(spark, sf_dir):
+    from ..sources.files import detect_platform
+    files, _, _ = corpus(spark, sf_dir)
+    return detect_platform(files)

@@ -16,6 +16,8 @@ ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # duplicate JSON object keys: the last one wins, as in Python's json
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Rule dimensions are tiny and fixed; anything bigger must not be
     # broadcast implicitly.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
