@@ -26,11 +26,11 @@ def parse_ignore_files(files: DataFrame, name: str = R.IGNORE_FILE) -> DataFrame
     e = py_strip(F.col("line"))
     parts = F.split(e, ":")
     rows = ln.select("package_id", e.alias("e"), parts.alias("p")).where((F.col("e") != "") & ~F.col("e").startswith("#"))
-    line_txt = F.when(F.size("p") > 2, F.col("p")[2])
+    line_txt = F.get(F.col("p"), 2)
     out = rows.select(
-        "package_id", F.col("p")[0].alias("rule_id"),
-        F.when(F.size("p") > 1, F.col("p")[1]).otherwise(F.lit("*")).alias("glob"),
-        F.expr("try_cast(trim(p[2]) AS INT)").alias("line"), line_txt.alias("line_txt"))
+        "package_id", F.get(F.col("p"), 0).alias("rule_id"),
+        F.coalesce(F.get(F.col("p"), 1), F.lit("*")).alias("glob"),
+        F.expr("try_cast(trim(get(p, 2)) AS INT)").alias("line"), line_txt.alias("line_txt"))
     return out.where(F.col("line_txt").isNull() | F.col("line").isNotNull()).drop("line_txt")
 
 
@@ -45,7 +45,7 @@ def glob_regex(glob: Column) -> Column:
 
 def _sup_match(f: DataFrame, s: DataFrame) -> Column:
     return ((f["package_id"] == s["package_id"]) & (f["rule_id"] == s["rule_id"])
-            & ((s["glob"] == "*") | (f["path"].isNotNull() & (f["path"] != "") & f["path"].rlike(s["rx"])))
+            & ((s["glob"] == "*") | (f["path"].isNotNull() & (f["path"] != "") & F.regexp_like(f["path"], s["rx"])))
             & (s["line"].isNull() | (f["line"] == s["line"])))
 
 

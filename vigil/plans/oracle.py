@@ -534,3 +534,57 @@ def platform_rows() -> str:
        WHEN bool_or(path = 'package.json') THEN 'npm'
        WHEN bool_or(path IN ('setup.py', 'pyproject.toml', 'requirements.txt')) THEN 'pip' END AS platform
 FROM files GROUP BY package_id"""
+
+
+# ---------------------------------------------------------------- suppression and scoring
+def ignore_cte() -> str:
+    return f"""sup AS (
+  SELECT package_id, p[1] AS rule_id, CASE WHEN len(p) > 1 THEN p[2] ELSE '*' END AS gpat,
+         CASE WHEN len(p) > 2 THEN TRY_CAST(trim(p[3]) AS INTEGER) END AS line, len(p) AS np
+  FROM (SELECT package_id, string_split(e, ':') AS p FROM (
+    SELECT package_id, {py_strip('x')} AS e FROM (
+      SELECT package_id, unnest(string_split_regex(content, {q(LB)})) AS x FROM files WHERE path = {q(R.IGNORE_FILE)}))
+    WHERE e <> '' AND NOT starts_with(e, '#'))),
+sup_ok AS (
+  SELECT package_id, rule_id, gpat, line,
+         '^(?s:' || array_to_string(list_transform(string_split(gpat, ''), lambda c:
+            CASE WHEN c = '*' THEN '.*' WHEN c = '?' THEN '.' ELSE '\\Q' || c || '\\E' END), '') || ')$' AS rx
+  FROM sup WHERE np <= 2 OR line IS NOT NULL),
+tf AS ({text_subset_rows()}),
+tfs AS (
+  SELECT tf.*, EXISTS (SELECT 1 FROM sup_ok s WHERE s.package_id = tf.package_id AND s.rule_id = tf.rule_id
+      AND (s.gpat = '*' OR (tf.path IS NOT NULL AND tf.path <> '' AND regexp_matches(tf.path, s.rx)))
+      AND (s.line IS NULL OR tf.line = s.line)) AS suppressed
+  FROM tf),
+act AS (SELECT * FROM tfs WHERE NOT suppressed)"""
+
+
+def score_of(col: str) -> str:
+    return (f"CASE {col} WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 5 "
+            f"WHEN 'low' THEN 1 ELSE 0 END")
+
+
+def rank_of(col: str) -> str:
+    return (f"CASE {col} WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 "
+            f"WHEN 'low' THEN 4 ELSE 5 END")
+
+
+def key_risks_rows() -> str:
+    return f"""SELECT p.package_id, coalesce(k.key_risks, CAST([] AS VARCHAR[])) AS key_risks FROM
+  (SELECT DISTINCT package_id FROM files) p LEFT JOIN (
+  SELECT package_id, list(txt ORDER BY neg, eng, path, phase, line, k) AS key_risks FROM (
+    SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY neg, eng, path, phase, line, k) AS rn FROM (
+      SELECT *, row_number() OVER (PARTITION BY package_id, rule_id ORDER BY neg, eng, path, phase, line, k) AS rr
+      FROM (SELECT *, -({score_of('severity')}) AS neg,
+                   upper(severity) || ': ' || title || ' (' || rule_id || ')' AS txt
+            FROM act WHERE severity <> 'info'))
+    WHERE rr = 1) WHERE rn <= 5 GROUP BY package_id) k ON p.package_id = k.package_id"""
+
+
+def behavior_tags_rows() -> str:
+    arms = " ".join(f"WHEN {q(r)} THEN {q(t)}" for r, t in R.BEHAVIOR_TAGS)
+    return f"""SELECT p.package_id, coalesce(t.tags, CAST([] AS VARCHAR[])) AS behavior_tags FROM
+  (SELECT DISTINCT package_id FROM files) p LEFT JOIN (
+  SELECT package_id, list(DISTINCT tag ORDER BY tag) AS tags FROM (
+    SELECT package_id, CASE regexp_extract(rule_id, '^([^/]+)', 1) {arms} END AS tag FROM act)
+  WHERE tag IS NOT NULL GROUP BY package_id) t ON p.package_id = t.package_id"""

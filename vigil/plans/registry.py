@@ -253,3 +253,109 @@ def platform(spark, sf_dir):
     from ..sources.files import detect_platform
     files, _, _ = corpus(spark, sf_dir)
     return detect_platform(files)
+
+
+# ------------------------------------------------------------------ suppression and scoring (text subset)
+SUBSET = ("P1", "P4", "P6", "P8", "P9", "P10")
+
+
+def subset_scan(spark, sf_dir):
+    """Text-rule findings of the corpus with the packages' ignore files applied."""
+    files, _, lines = corpus(spark, sf_dir)
+    f = TR.text_findings(lines, rules=SUBSET)
+    f = S.apply_suppressions(f, S.parse_ignore_files(files))
+    return files, f
+
+
+def _sc(body: str) -> str:
+    return O.with_corpus(body, O.ignore_cte())
+
+
+@register("suppressed", _sc("SELECT package_id, path, line, rule_id, severity, title, suppressed FROM tfs"))
+def suppressed(spark, sf_dir):
+    _, f = subset_scan(spark, sf_dir)
+    return f.select(*FIND_COLS, "suppressed")
+
+
+@register("ignore_entries", O.with_corpus(
+    'SELECT package_id, rule_id, gpat AS "glob", line FROM sup_ok', O.ignore_cte()))
+def ignore_entries(spark, sf_dir):
+    files, _, _ = corpus(spark, sf_dir)
+    return S.parse_ignore_files(files)
+
+
+@register("severity_grades", _sc(_grade_sql(
+    "SELECT package_id, rule_id, severity FROM act")))
+def severity_grades(spark, sf_dir):
+    files, f = subset_scan(spark, sf_dir)
+    return S.grades(files.select("package_id").distinct(), f).drop("risk_level")
+
+
+@register("key_risks", _sc(O.key_risks_rows()))
+def key_risks_q(spark, sf_dir):
+    files, f = subset_scan(spark, sf_dir)
+    k = S.key_risks(f)
+    return files.select("package_id").distinct().join(k, "package_id", "left").select(
+        "package_id", F.coalesce("key_risks", F.array().cast("array<string>")).alias("key_risks"))
+
+
+@register("behavior_tags", _sc(O.behavior_tags_rows()))
+def behavior_tags_q(spark, sf_dir):
+    files, f = subset_scan(spark, sf_dir)
+    t = S.behavior_tags(f)
+    return files.select("package_id").distinct().join(t, "package_id", "left").select(
+        "package_id", F.coalesce("behavior_tags", F.array().cast("array<string>")).alias("behavior_tags"))
+
+
+@register("fail_on", _sc(f"""SELECT p.package_id, coalesce(a.fail, false) AS fail
+FROM (SELECT DISTINCT package_id FROM files) p LEFT JOIN (
+  SELECT package_id, bool_or({O.rank_of('severity')} <= 2) AS fail FROM act GROUP BY package_id) a
+  ON p.package_id = a.package_id"""))
+def fail_on_q(spark, sf_dir):
+    files, f = subset_scan(spark, sf_dir)
+    return S.fail_on(f, files.select("package_id").distinct(), "high")
+
+
+@register("sarif_results", _sc("""SELECT package_id, rule_id AS ruleId,
+  CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, title AS message,
+  coalesce(nullif(path, ''), '.') AS uri, coalesce(line, 1) AS startLine FROM act"""))
+def sarif_results_q(spark, sf_dir):
+    _, f = subset_scan(spark, sf_dir)
+    return S.sarif_results(f)
+
+
+@register("sarif_rules", _sc("""SELECT package_id, rule_id, name FROM (
+  SELECT package_id, rule_id, title AS name,
+         row_number() OVER (PARTITION BY package_id, rule_id ORDER BY eng, path, phase, line, k) AS rn FROM act)
+WHERE rn = 1"""))
+def sarif_rules_q(spark, sf_dir):
+    _, f = subset_scan(spark, sf_dir)
+    return S.sarif_rules(f)
+
+
+def _grade_summary_sql() -> str:
+    labels = " ".join(f"WHEN '{g}' THEN {O.q(lbl)}" for g, lbl, _ in R.GRADE_INFO)
+    recs = " ".join(f"WHEN '{g}' THEN {O.q(rec)}" for g, _, rec in R.GRADE_INFO)
+    return _sc(f"""SELECT package_id, grade, CASE grade {labels} END AS label, CASE grade {recs} END AS recommendation,
+  n_critical, n_high, n_medium, n_low, n_info FROM ({_grade_sql("SELECT package_id, rule_id, severity FROM act")})""")
+
+
+@register("grade_summary", _grade_summary_sql())
+def grade_summary_q(spark, sf_dir):
+    files, f = subset_scan(spark, sf_dir)
+    return S.grade_summary(S.grades(files.select("package_id").distinct(), f))
+
+
+@register("layered_report", _sc(f"""SELECT package_id, 'behavior' AS layer, rule_id, severity, title, path, line,
+  {O.score_of('severity')} AS score FROM act WHERE severity <> 'info'"""))
+def layered_report_q(spark, sf_dir):
+    _, f = subset_scan(spark, sf_dir)
+    return S.layered_report(f).select("package_id", "layer", "rule_id", "severity", "title", "path", "line", "score")
+
+
+@register("detail_order", _sc(f"""SELECT package_id, rule_id, severity, title,
+  CASE WHEN line IS NOT NULL THEN path || ':' || CAST(line AS VARCHAR) ELSE path END AS location,
+  {O.rank_of('severity')} AS rank FROM act"""))
+def detail_order_q(spark, sf_dir):
+    _, f = subset_scan(spark, sf_dir)
+    return S.detail_order(f).select("package_id", "rule_id", "severity", "title", "location", "rank")
