@@ -588,3 +588,122 @@ def behavior_tags_rows() -> str:
   SELECT package_id, list(DISTINCT tag ORDER BY tag) AS tags FROM (
     SELECT package_id, CASE regexp_extract(rule_id, '^([^/]+)', 1) {arms} END AS tag FROM act)
   WHERE tag IS NOT NULL GROUP BY package_id) t ON p.package_id = t.package_id"""
+
+
+# ---------------------------------------------------------------- fleet (residue)
+def fleet_ctes() -> str:
+    from ..sources import fleet as FL
+    kw = case_pick(f"c_custkey % {len(R.AGENT_KEYWORDS)}", R.AGENT_KEYWORDS)
+    rd = case_pick(f"c_custkey % {len(R.KNOWN_RESIDUE_DIRS)}", R.KNOWN_RESIDUE_DIRS)
+    os_ = case_pick("c_nationkey % 3", FL.OS_BY_NATION)
+
+    def hf(cond, parent, name, is_dir="false", size="0", mode="33188", is_exec="false", head="''"):
+        return (f"SELECT host_id, os, {parent} || '/' || {name} AS path, {name} AS name, {parent} AS parent, "
+                f"{is_dir} AS is_dir, CAST({size} AS BIGINT) AS size, CAST({mode} AS INTEGER) AS mode, "
+                f"{is_exec} AS is_exec, {head} AS head FROM hosts WHERE {cond}")
+    hs = "CAST(host_id AS VARCHAR)"
+    files = [
+        hf("host_id % 4 = 0", "'~/Library/LaunchAgents'", "'com.' || kw || '.helper.plist'"),
+        hf("host_id % 4 = 1", "'~/Library/LaunchAgents'", f"'com.apple.update' || {hs} || '.plist'"),
+        hf("host_id % 5 = 0", "'/etc/systemd/system'", "kw || '-sync.service'"),
+        hf("host_id % 11 = 0", "'/etc/sudoers.d'", "kw || '-nopasswd'"),
+        hf("host_id % 6 = 0", f"'~/Projects/p' || {hs} || '/.git/hooks'", "'post-commit'", is_exec="true",
+           head=f"'#!/bin/sh' || {NL} || kw || ' sync' || {NL}"),
+        hf("host_id % 6 = 1", f"'~/Projects/p' || {hs} || '/.git/hooks'", "'pre-commit.sample'", is_exec="true",
+           head=f"'#!/bin/sh' || {NL} || '# agent sample' || {NL}"),
+        hf("host_id % 3 = 0", "'~/.config'", "rd", is_dir="true"),
+        hf("host_id % 7 = 0", "'~/.claude'", "'credentials.json'",
+           mode="CASE WHEN host_id % 14 = 0 THEN 33188 ELSE 33152 END"),
+    ]
+    cache = ("SELECT host_id, os, '~/.config/' || rd || '/o' || CAST(o_orderkey AS VARCHAR) || '.bin' AS path, "
+             "'o' || CAST(o_orderkey AS VARCHAR) || '.bin' AS name, '~/.config/' || rd AS parent, false AS is_dir, "
+             "CAST(o_totalprice * 1000 AS BIGINT) AS size, 33188 AS mode, false AS is_exec, '' AS head "
+             "FROM orders JOIN hosts ON o_custkey = host_id WHERE host_id % 3 = 0")
+    ok = "o_orderkey"
+
+    def fmt(t):
+        return f"replace(replace(replace({t}, '{{kw}}', kw), '{{o}}', CAST({ok} AS VARCHAR)), '{{m}}', CAST({ok} % 250 AS VARCHAR))"
+    cron = fmt(case_pick(f"{ok} % {len(FL.CRON_LINES)}", FL.CRON_LINES))
+    shp = case_pick(f"{ok} % 3", FL.SHELL_FILES)
+    shl = fmt(case_pick(f"CAST(floor({ok} / 3) AS BIGINT) % {len(FL.SHELL_LINES)}", FL.SHELL_LINES))
+    hol = fmt(case_pick(f"{ok} % {len(FL.HOSTS_LINES)}", FL.HOSTS_LINES))
+    pkn = fmt(case_pick(f"{ok} % {len(FL.PKG_NAMES)}", FL.PKG_NAMES))
+    return f"""hosts AS (
+  SELECT c_custkey AS host_id, {os_} AS os, {kw} AS kw, {rd} AS rd FROM customer),
+host_files AS ({' UNION ALL '.join(files + [cache])}),
+hl AS (
+  SELECT host_id, o_orderkey, 'crontab' AS path, {cron} AS line FROM orders JOIN hosts ON o_custkey = host_id
+  UNION ALL SELECT host_id, o_orderkey, {shp}, {shl} FROM orders JOIN hosts ON o_custkey = host_id
+  UNION ALL SELECT host_id, o_orderkey, '/etc/hosts', {hol} FROM orders JOIN hosts ON o_custkey = host_id),
+host_lines AS (
+  SELECT host_id, path, CAST(row_number() OVER (PARTITION BY host_id, path ORDER BY o_orderkey) AS INTEGER) AS line_no,
+         line FROM hl),
+host_packages AS (
+  SELECT host_id, 'pip' AS manager, {pkn} AS name, '1.' || CAST({ok} % 10 AS VARCHAR) AS version
+  FROM orders JOIN hosts ON o_custkey = host_id)"""
+
+
+def has_kw(col: str) -> str:
+    return "(" + " OR ".join(f"contains({col}, {q(k)})" for k in R.AGENT_KEYWORDS) + ")"
+
+
+def residue_rows() -> str:
+    stem = "regexp_replace(name, '\\.[^.]*$', '')"
+    la = ", ".join(q(d) for d in R.LAUNCH_AGENT_DIRS)
+    sd = ", ".join(q(d) for d in R.SYSTEMD_DIRS)
+    sc_paths = ", ".join(q(p) for p, _ in R.SHELL_CONFIGS)
+    sc_sev = " ".join(f"WHEN {q(p)} THEN {q(s)}" for p, s in R.SHELL_CONFIGS)
+    r5 = " UNION ALL ".join(
+        f"SELECT host_id, path, line_no, {q('Shell config modification: ' + d)} AS title, CASE path {sc_sev} END AS sev "
+        f"FROM host_lines WHERE path IN ({sc_paths}) AND regexp_matches(line, {q(p)})"
+        for p, d in R.SHELL_CONFIG_PATTERNS)
+    roots = "|".join(r.replace(".", "\\.") for r in R.GIT_HOOK_ROOTS)
+    hook_rx = f"^(?:{roots})(?:/[^/]+){{0,3}}/\\.git/hooks$"
+    rroots = ", ".join(q(r) for r in R.RESIDUE_ROOTS)
+    rdirs = ", ".join(q(d) for d in R.KNOWN_RESIDUE_DIRS)
+    root_rx = "^(" + "|".join(r.replace(".", "\\.") for r in R.RESIDUE_ROOTS) + ")/([^/]+)/"
+    creds = ", ".join(q(c) for c in R.CREDENTIAL_FILES)
+    std = ", ".join(q(s) for s in R.STANDARD_HOSTS)
+    strip = py_strip("line")
+    return f"""
+SELECT CAST(host_id AS VARCHAR) AS package_id, 'R1' AS rule_id,
+  CASE WHEN {has_kw('lower(s)')} THEN 'high' ELSE 'medium' END AS severity,
+  CASE WHEN {has_kw('lower(s)')} THEN 'Suspicious crontab entry' ELSE 'Crontab entry runs from temporary directory' END AS title,
+  CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS line
+FROM (SELECT host_id, {strip} AS s FROM host_lines WHERE path = 'crontab')
+WHERE s <> '' AND NOT starts_with(s, '#') AND ({has_kw('lower(s)')} OR regexp_matches(s, {q(R.CRON_TMP)}))
+UNION ALL
+SELECT CAST(host_id AS VARCHAR), 'R2', 'high', 'Suspicious LaunchAgent: ' || name, path, NULL FROM host_files
+WHERE os = 'macos' AND parent IN ({la}) AND ends_with(name, '.plist') AND {has_kw(f'lower({stem})')}
+UNION ALL
+SELECT CAST(host_id AS VARCHAR), 'R3', 'high', 'Suspicious systemd service: ' || name, path, NULL FROM host_files
+WHERE os = 'linux' AND parent IN ({sd}) AND ends_with(name, '.service') AND {has_kw(f'lower({stem})')}
+UNION ALL
+SELECT CAST(host_id AS VARCHAR), 'R4', 'critical', 'Suspicious sudoers modification: ' || name, path, NULL
+FROM host_files WHERE os = 'macos' AND parent = '/etc/sudoers.d' AND NOT is_dir AND {has_kw('lower(name)')}
+UNION ALL
+SELECT CAST(host_id AS VARCHAR), 'R5', sev, title, path, line_no FROM ({r5})
+UNION ALL
+SELECT DISTINCT CAST(host_id AS VARCHAR), 'R6', 'medium', 'Agent-related git hook: ' || name, path, NULL FROM host_files
+WHERE regexp_matches(parent, {q(hook_rx)}) AND NOT is_dir AND is_exec AND NOT ends_with(name, '.sample')
+  AND {has_kw("lower(substring(coalesce(head, ''), 1, 2000))")}
+UNION ALL
+SELECT CAST(d.host_id AS VARCHAR), 'R7', 'low',
+  'Residual directory: ' || d.name || ' (' || printf('%.1f', coalesce(s.b, 0) / 1048576) || ' MB)', d.path, NULL
+FROM (SELECT * FROM host_files WHERE is_dir AND parent IN ({rroots}) AND lower(name) IN ({rdirs})) d
+LEFT JOIN (SELECT host_id, regexp_extract(path, {q(root_rx)}, 1) || '/' || regexp_extract(path, {q(root_rx)}, 2) AS p,
+                  sum(size) AS b FROM host_files WHERE NOT is_dir AND regexp_matches(path, {q(root_rx)}) GROUP BY ALL) s
+  ON d.host_id = s.host_id AND d.path = s.p
+UNION ALL
+SELECT CAST(host_id AS VARCHAR), 'R8', CASE WHEN mode & 4 <> 0 THEN 'high' ELSE 'medium' END,
+  'Residual credentials: ' || name || ' (perms: ' || right(format('{{:o}}', mode), 3) || ')', path, NULL
+FROM host_files WHERE path IN ({creds})
+UNION ALL
+SELECT CAST(host_id AS VARCHAR), 'R9', 'medium', 'Non-standard /etc/hosts entry: ' || hn, '/etc/hosts', line_no FROM (
+  SELECT host_id, line_no, lower(string_split_regex(s, '\\s+')[2]) AS hn
+  FROM (SELECT host_id, line_no, {strip} AS s FROM host_lines WHERE path = '/etc/hosts')
+  WHERE s <> '' AND NOT starts_with(s, '#'))
+WHERE hn IS NOT NULL AND hn NOT IN ({std}) AND {has_kw('hn')}
+UNION ALL
+SELECT CAST(host_id AS VARCHAR), 'R10', 'low', 'Residual pip package: ' || name || '==' || coalesce(version, '?'),
+  NULL, NULL FROM host_packages WHERE manager = 'pip' AND {has_kw('lower(name)')}"""

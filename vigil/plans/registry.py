@@ -359,3 +359,47 @@ def layered_report_q(spark, sf_dir):
 def detail_order_q(spark, sf_dir):
     _, f = subset_scan(spark, sf_dir)
     return S.detail_order(f).select("package_id", "rule_id", "severity", "title", "location", "rank")
+
+
+# ------------------------------------------------------------------ fleet residue
+def fleet(spark, sf_dir):
+    from ..sources import fleet as FL
+    return FL.host_files(spark, sf_dir), FL.host_lines(spark, sf_dir), FL.host_packages(spark, sf_dir)
+
+
+def _residue(fn_name, src):
+    def run(spark, sf_dir):
+        from ..operators import residue_rules as RR
+        hf, hl, hp = fleet(spark, sf_dir)
+        arg = {"files": hf, "lines": hl, "packages": hp}[src]
+        return getattr(RR, fn_name)(arg).select("package_id", "rule_id", "severity", "title", "path", "line")
+    return run
+
+
+_FLEET_SQL = O.fleet_ctes()
+_RES_SQL = O.residue_rows()
+for _key, _fn, _src, _rid in [
+        ("r1_crontab", "r1_crontab", "lines", "R1"), ("r2_launch_agents", "r2_launch_agents", "files", "R2"),
+        ("r3_systemd", "r3_systemd", "files", "R3"), ("r4_sudoers", "r4_sudoers", "files", "R4"),
+        ("r5_shell_config", "r5_shell_config", "lines", "R5"), ("r6_git_hooks", "r6_git_hooks", "files", "R6"),
+        ("r7_residue_dirs", "r7_residue_dirs", "files", "R7"), ("r8_credentials", "r8_credentials", "files", "R8"),
+        ("r9_hosts", "r9_hosts", "lines", "R9"), ("r10_packages", "r10_packages", "packages", "R10")]:
+    QUERIES[_key] = _residue(_fn, _src)
+    ORACLE[_key] = (f"WITH {_FLEET_SQL}\nSELECT package_id, rule_id, severity, title, path, line "
+                    f"FROM ({_RES_SQL}) WHERE rule_id = '{_rid}'")
+
+
+@register("cleanup_plan", f"""WITH {_FLEET_SQL}
+SELECT CAST(host_id AS VARCHAR) AS host_id, type, rule_id, count(*) AS n_actions FROM (
+  SELECT package_id AS host_id, rule_id,
+    CASE WHEN rule_id IN ('R2', 'R3', 'R4', 'R6', 'R7') AND path IS NOT NULL THEN 'remove_file'
+         WHEN rule_id = 'R5' AND path IS NOT NULL AND line IS NOT NULL THEN 'remove_line'
+         WHEN rule_id = 'R8' AND path IS NOT NULL THEN 'fix_permissions'
+         WHEN rule_id = 'R1' THEN 'remove_crontab' END AS type
+  FROM ({_RES_SQL})) WHERE type IS NOT NULL GROUP BY ALL""")
+def cleanup_plan_q(spark, sf_dir):
+    """R11 plan, summarised per host and action type (numbering is per host)."""
+    from ..operators import residue_rules as RR
+    hf, hl, hp = fleet(spark, sf_dir)
+    plan = RR.cleanup_plan(RR.residue_findings(hf, hl, hp))
+    return plan.groupBy("host_id", "type", "rule_id").agg(F.count("*").alias("n_actions"))
