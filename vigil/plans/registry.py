@@ -403,3 +403,143 @@ def cleanup_plan_q(spark, sf_dir):
     hf, hl, hp = fleet(spark, sf_dir)
     plan = RR.cleanup_plan(RR.residue_findings(hf, hl, hp))
     return plan.groupBy("host_id", "type", "rule_id").agg(F.count("*").alias("n_actions"))
+
+
+# ------------------------------------------------------------------ corpus analytics (over the text-subset scan)
+def subset_scores(spark, sf_dir):
+    files, f = subset_scan(spark, sf_dir)
+    return files, f, S.scores(files.select("package_id").distinct(), f)
+
+
+_GRADES_SQL = _grade_sql("SELECT package_id, rule_id, severity FROM act")
+
+
+@register("grade_distribution", _sc(f"""SELECT d.grade, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
+  round(coalesce(c.n, 0) * 100.0 / sum(coalesce(c.n, 0)) OVER (), 1) AS pct
+FROM (SELECT unnest(['A', 'B', 'C', 'D', 'F']) AS grade) d
+LEFT JOIN (SELECT grade, count(*) AS n FROM ({_GRADES_SQL}) GROUP BY grade) c ON d.grade = c.grade"""))
+def grade_distribution_q(spark, sf_dir):
+    from .analytics import grade_distribution
+    _, _, sc = subset_scores(spark, sf_dir)
+    return grade_distribution(sc)
+
+
+@register("severity_distribution", _sc("""SELECT d.severity, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
+  round(coalesce(c.n, 0) * 100.0 / sum(coalesce(c.n, 0)) OVER (), 1) AS pct
+FROM (SELECT unnest(['critical', 'high', 'medium', 'low', 'info']) AS severity) d
+LEFT JOIN (SELECT severity, count(*) AS n FROM act GROUP BY severity) c ON d.severity = c.severity"""))
+def severity_distribution_q(spark, sf_dir):
+    from .analytics import severity_distribution
+    _, f = subset_scan(spark, sf_dir)
+    return severity_distribution(f)
+
+
+@register("top_rules", _sc("""SELECT CAST(row_number() OVER (ORDER BY hits DESC, rule_id) AS INTEGER) AS rank, rule_id, hits
+FROM (SELECT rule_id, count(*) AS hits FROM act GROUP BY rule_id) ORDER BY hits DESC, rule_id LIMIT 15"""))
+def top_rules_q(spark, sf_dir):
+    from .analytics import top_rules
+    _, f = subset_scan(spark, sf_dir)
+    return top_rules(f)
+
+
+@register("rule_severity_matrix", _sc("""SELECT rule_id,
+  count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high,
+  count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low,
+  count(*) FILTER (WHERE severity = 'info') AS info FROM act GROUP BY rule_id"""))
+def rule_severity_matrix_q(spark, sf_dir):
+    from .analytics import rule_severity_matrix
+    _, f = subset_scan(spark, sf_dir)
+    return rule_severity_matrix(f)
+
+
+@register("tag_distribution", _sc(f"""SELECT tag, count(DISTINCT package_id) AS packages,
+  round(count(DISTINCT package_id) * 100.0 / (SELECT count(DISTINCT package_id) FROM files), 1) AS pct
+FROM (SELECT package_id, unnest(behavior_tags) AS tag FROM ({O.behavior_tags_rows()})) GROUP BY tag"""))
+def tag_distribution_q(spark, sf_dir):
+    from .analytics import tag_distribution
+    _, _, sc = subset_scores(spark, sf_dir)
+    return tag_distribution(sc)
+
+
+@register("riskiest_packages", _sc(f"""SELECT package_id, grade, n_critical, n_high, n_medium, n_low
+FROM ({_GRADES_SQL}) ORDER BY CASE grade WHEN 'F' THEN 0 WHEN 'D' THEN 1 WHEN 'C' THEN 2 WHEN 'B' THEN 3 ELSE 4 END,
+  n_critical DESC, n_high DESC, n_medium DESC, package_id LIMIT 10"""))
+def riskiest_packages_q(spark, sf_dir):
+    from .analytics import riskiest_packages
+    _, _, sc = subset_scores(spark, sf_dir)
+    return riskiest_packages(sc)
+
+
+@register("safe_packages", _sc(f"SELECT package_id FROM ({_GRADES_SQL}) WHERE grade = 'A'"))
+def safe_packages_q(spark, sf_dir):
+    from .analytics import safe_packages
+    _, _, sc = subset_scores(spark, sf_dir)
+    return safe_packages(sc)
+
+
+@register("findings_per_package", _sc(f"""SELECT package_id, n_critical, n_high, n_medium, n_low, n_info,
+  n_critical + n_high + n_medium + n_low + n_info AS total FROM ({_GRADES_SQL})"""))
+def findings_per_package_q(spark, sf_dir):
+    from .analytics import findings_per_package
+    files, f = subset_scan(spark, sf_dir)
+    return findings_per_package(f, files.select("package_id").distinct())
+
+
+@register("findings_histogram", _sc(f"""SELECT d.bucket, d.bi, CAST(coalesce(c.packages, 0) AS BIGINT) AS packages
+FROM (SELECT unnest(['0', '1-5', '6-10', '11-20', '21-50', '50+']) AS bucket,
+             unnest([0, 1, 2, 3, 4, 5]) AS bi) d
+LEFT JOIN (SELECT CASE WHEN t = 0 THEN '0' WHEN t <= 5 THEN '1-5' WHEN t <= 10 THEN '6-10' WHEN t <= 20 THEN '11-20'
+                       WHEN t <= 50 THEN '21-50' ELSE '50+' END AS bucket, count(*) AS packages
+           FROM (SELECT package_id, n_critical + n_high + n_medium + n_low + n_info AS t FROM ({_GRADES_SQL}))
+           GROUP BY 1) c ON d.bucket = c.bucket"""))
+def findings_histogram_q(spark, sf_dir):
+    from .analytics import findings_histogram
+    files, f = subset_scan(spark, sf_dir)
+    return findings_histogram(f, files.select("package_id").distinct())
+
+
+@register("platform_distribution", O.with_corpus(
+    f"SELECT platform, count(*) AS packages FROM ({O.platform_rows()}) GROUP BY platform"))
+def platform_distribution_q(spark, sf_dir):
+    from ..sources.files import detect_platform
+    from .analytics import platform_distribution
+    files, _, _ = corpus(spark, sf_dir)
+    return platform_distribution(detect_platform(files))
+
+
+@register("packages_with", _sc("""SELECT DISTINCT 'critical' AS criterion, package_id FROM act WHERE severity = 'critical'
+UNION SELECT DISTINCT 'S8', package_id FROM act WHERE rule_id = 'S8'
+UNION SELECT DISTINCT 'S13', package_id FROM act WHERE rule_id = 'S13'"""))
+def packages_with_q(spark, sf_dir):
+    from .analytics import packages_with
+    _, f = subset_scan(spark, sf_dir)
+    return packages_with(f)
+
+
+@register("systematic_sample", O.with_corpus("""SELECT package_id, CAST(rk AS BIGINT) AS rank FROM (
+  SELECT package_id, row_number() OVER (ORDER BY package_id) - 1 AS rk FROM (
+    SELECT DISTINCT package_id FROM files
+    WHERE regexp_extract(path, '(\\.[^./]*)$', 1) IN ('.py', '.js', '.ts', '.sh', '.mjs', '.cjs', '.jsx', '.tsx', '.bash')))
+WHERE rk % 34 = 0"""))
+def systematic_sample_q(spark, sf_dir):
+    from .analytics import systematic_sample
+    files, _, _ = corpus(spark, sf_dir)
+    return systematic_sample(files, 34)
+
+
+@register("scan_diff", _sc(f"""SELECT coalesce(b.package_id, a.package_id) AS package_id,
+  coalesce(b.t, 0) AS n_before, coalesce(a.t, 0) AS n_after,
+  CASE WHEN coalesce(b.t, 0) > 0 THEN round((coalesce(b.t, 0) - coalesce(a.t, 0)) * 100.0 / b.t, 1) END AS reduction_pct,
+  coalesce(b.grade, 'A') AS grade_before, coalesce(a.grade, 'A') AS grade_after
+FROM (SELECT package_id, n_critical + n_high + n_medium + n_low + n_info AS t, grade
+      FROM ({_grade_sql("SELECT package_id, rule_id, severity FROM tfs")}) WHERE n_critical + n_high + n_medium + n_low + n_info > 0) b
+FULL OUTER JOIN (SELECT package_id, n_critical + n_high + n_medium + n_low + n_info AS t, grade
+      FROM ({_GRADES_SQL}) WHERE n_critical + n_high + n_medium + n_low + n_info > 0) a
+  ON a.package_id = b.package_id"""))
+def scan_diff_q(spark, sf_dir):
+    """The scan without suppressions (before) against the scan with the
+    packages' ignore files applied (after)."""
+    from .analytics import scan_diff
+    _, f = subset_scan(spark, sf_dir)
+    before = f.withColumn("suppressed", F.lit(False))
+    return scan_diff(before, f)
