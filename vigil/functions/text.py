@@ -157,3 +157,110 @@ def path_glob_regex(glob: str) -> str:
         seg = "".join("[^/]*" if ch == "*" else "[^/]" if ch == "?" else re.escape(ch) for ch in part)
         rx.append(seg if last else seg + "/")
     return "^" + "".join(rx) + "$"
+
+
+# ---------------------------------------------------------------- literal prefilter
+def required_atoms(pattern: str) -> tuple[list[str], bool] | None:
+    """Literal strings such that every match of ``pattern`` contains at
+    least one of them (the idea of RE2's FilteredRE2), and whether they must
+    be compared case-insensitively.  ``None`` when no such set exists.
+
+    Derived from Python's own regex parser: a literal run is an atom set of
+    one; a sequence may use the set of any one of its parts (the longest
+    shortest atom wins); an alternation needs a set from every branch and
+    unions them; a repeat keeps its body's set only when it must occur."""
+    try:
+        import re._parser as sre
+        from re._constants import (ASSERT, ASSERT_NOT, AT, BRANCH, IN, LITERAL, MAX_REPEAT, MIN_REPEAT,
+                                   SUBPATTERN)
+    except ImportError:  # pragma: no cover
+        return None
+    try:
+        parsed = sre.parse(pattern)
+    except Exception:
+        return None
+    icase = bool(parsed.state.flags & re.IGNORECASE) or "(?i" in pattern
+
+    def best(sets):
+        sets = [s for s in sets if s]
+        if not sets:
+            return None
+        return max(sets, key=lambda s: (min(len(a) for a in s), -len(s)))
+
+    def seq(items):
+        cands, run = [], []
+        for op, av in items:
+            if op == LITERAL:
+                run.append(chr(av))
+                continue
+            if run:
+                cands.append(["".join(run)])
+                run = []
+            if op in (AT, ASSERT, ASSERT_NOT):
+                continue
+            cands.append(node(op, av))
+        if run:
+            cands.append(["".join(run)])
+        return best(cands)
+
+    def node(op, av):
+        if op == SUBPATTERN:
+            return seq(av[-1])
+        if op == BRANCH:
+            out = []
+            for alt in av[1]:
+                s = seq(alt)
+                if not s:
+                    return None
+                out += s
+            return sorted(set(out))
+        if op in (MAX_REPEAT, MIN_REPEAT):
+            lo, _hi, body = av
+            return seq(body) if lo >= 1 else None
+        if op == IN and not icase:
+            return None
+        return None
+
+    atoms = seq(list(parsed))
+    if not atoms:
+        return None
+    if icase:
+        atoms = sorted({a.lower() for a in atoms})
+    return atoms, icase
+
+
+def gate(line: Column, lower_line: Column, pattern: str) -> Column | None:
+    """Cheap necessary condition for ``line rlike pattern`` (or None)."""
+    r = required_atoms(pattern)
+    if r is None:
+        return None
+    atoms, icase = r
+    src = lower_line if icase else line
+    c = None
+    for a in atoms:
+        x = src.contains(a)
+        c = x if c is None else (c | x)
+    return c
+
+
+def gated_rlike(line: Column, lower_line: Column, pattern: str) -> Column:
+    g = gate(line, lower_line, pattern)
+    return line.rlike(pattern) if g is None else (g & line.rlike(pattern))
+
+
+def gated_first_match(line: Column, lower_line: Column, patterns) -> Column:
+    """``first_match`` whose arms only run the regex when its atoms occur."""
+    expr = None
+    for i, p in enumerate(patterns):
+        cond = gated_rlike(line, lower_line, p)
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return expr
+
+
+def explode_hits(df, keep, arr: Column, alias: str):
+    """Explode an array of hits, dropping rows without any.
+
+    ``explode_outer`` + a null filter *after* the generator: with a plain
+    ``explode`` Spark infers ``size(arr) > 0`` and pushes it below the
+    projection that builds ``arr``, evaluating every rule twice."""
+    return df.select(*keep, F.explode_outer(arr).alias(alias)).where(F.col(alias).isNotNull())

@@ -336,7 +336,7 @@ def debug_artifacts(files: DataFrame, per_pattern: int = R.DEBUG_PER_PATTERN) ->
                    F.struct(F.lit(i).alias("pi"), F.lit(g).alias("glob"), F.lit(desc).alias("desc"),
                             F.lit(sev).alias("sev")))
             for i, (g, desc, sev) in enumerate(R.DEBUG_ARTIFACTS)]
-    m = p.select("package_id", "path", "size", F.explode(F.array(*arms)).alias("x")).where(F.col("x").isNotNull()) \
+    m = p.select("package_id", "path", "size", F.explode_outer(F.array(*arms)).alias("x")).where(F.col("x").isNotNull()) \
         .select("package_id", "path", "size", "x.*")
     w = Window.partitionBy("package_id", "pi").orderBy("path")
     top = m.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_pattern)

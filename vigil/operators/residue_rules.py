@@ -87,7 +87,7 @@ def r5_shell_config(lines: DataFrame) -> DataFrame:
     ln = lines.where(F.col("path").isin(*[p for p, _ in R.SHELL_CONFIGS]))
     hits = F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")))
                      for i, (p, d) in enumerate(R.SHELL_CONFIG_PATTERNS)])
-    x = ln.select("host_id", "path", "line_no", "line", sev.alias("sev"), F.explode(hits).alias("x")) \
+    x = ln.select("host_id", "path", "line_no", "line", sev.alias("sev"), F.explode_outer(hits).alias("x")) \
         .where(F.col("x").isNotNull())
     h = hit("R5", F.col("sev"), 0.7, F.concat(F.lit("Shell config modification: "), F.col("x.d")),
             F.concat(F.lit("Suspicious content in "), F.col("path")), tags=["persistence", "shell_config"],

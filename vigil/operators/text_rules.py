@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import (any_match, b64_decode_lenient, first_match, newline_count, pick,
-                              py_fixed, py_strip, shannon_entropy, snippet)
+from ..functions.text import (any_match, b64_decode_lenient, explode_hits, first_match, gate, gated_first_match, gated_rlike,
+                              newline_count, pick, py_fixed, py_strip, shannon_entropy, snippet)
 from ..rules import packs as R
 from ..schemas import HIT, findings_from_hits, hit
 
@@ -26,7 +26,7 @@ PH_LINE, PH_P5, PH_P7, PH_P8, PH_P9A, PH_P9B, PH_P10 = 0, 1, 2, 3, 4, 5, 6
 
 
 def _compact(*arrays: Column) -> Column:
-    return F.filter(F.concat(*arrays), lambda h: h.isNotNull())
+    return F.array_compact(F.concat(*arrays))
 
 
 def _one(cond: Column, h: Column) -> Column:
@@ -69,6 +69,32 @@ def p2_hits(line: Column) -> Column:
     return F.transform(toks, one)
 
 
+def _p2_from(toks: Column) -> Column:
+    def one(t, i):
+        dec = b64_decode_lenient(t)
+        sev = (F.when(dec.rlike(R.B64_SHELL_WORDS), "critical")
+               .when(dec.rlike(R.B64_URL), "high")
+               .when(dec.rlike(R.B64_CODE_WORDS), "high"))
+        return F.when(sev.isNotNull(), hit(
+            "P2", sev, 0.85, "Base64 encoded suspicious content",
+            "Base64 string decodes to potentially malicious content",
+            evidence=F.concat(F.lit("Decoded: "), F.substring(dec, 1, 100)),
+            tags=["obfuscation", "encoded_payload"], remediation="Remove obfuscated content. Use plain text.",
+            phase=PH_LINE, k=1000 + i))
+    return F.when(F.size(toks) > 0, F.transform(toks, one)).otherwise(F.array().cast(HITS))
+
+
+def _p3_from(line: Column, hx: Column, ux: Column) -> Column:
+    total = hx + ux
+    cond = (((hx >= R.ESCAPE_MIN) | (ux >= R.ESCAPE_MIN)) & ~line.rlike(R.REGEX_CONTEXT)
+            & ~line.rlike(R.MAGIC_BYTES) & ~line.rlike(R.CHAR_CLASS_RANGE))
+    return _one(cond, hit("P3", "medium", 0.7, "Hex/Unicode escape obfuscation",
+                          F.format_string("Line contains %d escape sequences, possible obfuscation", total),
+                          evidence=F.format_string("%d escape sequences", total), tags=["obfuscation"],
+                          remediation="Use plain text strings. Obfuscation is a red flag.",
+                          phase=PH_LINE, k=2000))
+
+
 # ---------------------------------------------------------------- P3
 def p3_counts(line: Column) -> tuple[Column, Column]:
     return F.regexp_count(line, F.lit(R.HEX_ESCAPE)), F.regexp_count(line, F.lit(R.UNICODE_ESCAPE))
@@ -147,7 +173,10 @@ def suspicious_tlds() -> list[str]:
 
 
 def p7_hits(line: Column) -> Column:
-    toks = F.regexp_extract_all(line, F.lit(R.QUOTED_TOKEN), 1)
+    return _p7_from(F.regexp_extract_all(line, F.lit(R.QUOTED_TOKEN), 1))
+
+
+def _p7_from(toks: Column) -> Column:
 
     def one(t, i):
         e = shannon_entropy(t)
@@ -163,12 +192,15 @@ def p7_hits(line: Column) -> Column:
             remediation="If this is a secret, move to environment variable or secrets manager.",
             phase=PH_P7, k=i))
 
-    return F.transform(toks, one)
+    return F.when(F.size(toks) > 0, F.transform(toks, one)).otherwise(F.array().cast(HITS))
 
 
 # ---------------------------------------------------------------- P8
 def p8_hits(line: Column) -> Column:
-    urls = F.regexp_extract_all(line, F.lit(R.URL_PATTERN), 0)
+    return _p8_from(F.regexp_extract_all(line, F.lit(R.URL_PATTERN), 0))
+
+
+def _p8_from(urls: Column) -> Column:
     iocs = R.IOC_PATTERNS
     tlds = suspicious_tlds()
     import re
@@ -192,7 +224,8 @@ def p8_hits(line: Column) -> Column:
             evidence=F.concat(F.lit("URL: "), F.substring(u, 1, 100)), tags=["ioc", "network", "suspicious_tld"],
             remediation="Verify this domain is legitimate.", phase=PH_P8, k=i * 2 + 1))
 
-    return F.concat(F.transform(urls, ioc), F.transform(urls, tld))
+    return F.when(F.size(urls) > 0, F.concat(F.transform(urls, ioc), F.transform(urls, tld))) \
+        .otherwise(F.array().cast(HITS))
 
 
 # ---------------------------------------------------------------- P9b
@@ -206,13 +239,14 @@ def p9_long_hits(line: Column) -> Column:
 
 
 # ---------------------------------------------------------------- P10
-def p10_candidates(line: Column) -> Column:
+def p10_candidates(line: Column, lower_line: Column | None = None) -> Column:
     """Every manipulation pattern hit on a line; ``group`` = tactic and
     ``k`` = pattern index.  Reduced to one per (file, tactic) later."""
     labels = dict(R.TACTIC_LABELS)
     out = []
+    ll = lower_line if lower_line is not None else F.lower(line)
     for i, (p, tactic, sev) in enumerate(R.MANIPULATION_PATTERNS):
-        out.append(F.when(line.rlike(p), hit(
+        out.append(F.when(gated_rlike(line, ll, p), hit(
             "P10", sev, 0.75, "Agent manipulation: " + labels[tactic],
             (f"Text contains a psychological manipulation pattern ({tactic}) that can exploit LLM "
              "alignment training to make agents disable safety features, leak data, or self-destruct."),
@@ -228,7 +262,89 @@ def p10_candidates(line: Column) -> Column:
 LINE_RULES = ("P1", "P2", "P3", "P4", "P6", "P7", "P8", "P9", "P10")
 
 
+def _stage1(rules) -> list[Column]:
+    """Per-line inputs of the rules, each regex evaluated at most once per
+    line and only where its required literals occur (``_ll`` = lower(line))."""
+    L, P, LL = F.col("line"), F.col("path"), F.col("_ll")
+    empty = F.array().cast("array<string>")
+
+    def gated_all(rx, group):
+        g = gate(L, LL, rx)
+        e = F.regexp_extract_all(L, F.lit(rx), group)
+        return e if g is None else F.when(g, e).otherwise(empty)
+
+    c = []
+    if "P1" in rules:
+        c += [gated_first_match(L, LL, [p for _, p, _ in R.SECRET_PATTERNS]).alias("_p1")]
+    if "P2" in rules:
+        c += [F.regexp_extract_all(L, F.lit(R.B64_TOKEN), 1).alias("_b64")]
+    if "P3" in rules:
+        hx, ux = p3_counts(L)
+        c += [F.when(L.contains("\\x"), hx).otherwise(0).alias("_hx"),
+              F.when(L.contains("\\u"), ux).otherwise(0).alias("_ux")]
+    if "P4" in rules:
+        c += [F.when(L.contains("."), F.regexp_extract_all(L, F.lit(R.IPV4_SPARK), 1)).otherwise(empty).alias("_ips"),
+              gated_rlike(L, LL, "(?i)(?:" + "|".join(ddns_patterns()) + ")").alias("_ddns")]
+    if "P6" in rules:
+        c += [gated_first_match(L, LL, [p for p, _ in R.PROMPT_INJECTION_PATTERNS]).alias("_p6")]
+    if "P7" in rules:
+        c += [F.regexp_extract_all(L, F.lit(R.QUOTED_TOKEN), 1).alias("_tok")]
+    if "P8" in rules:
+        c += [gated_all(R.URL_PATTERN, 0).alias("_urls")]
+    if "P10" in rules:
+        c += [F.array_compact(p10_candidates(L, LL)).alias("_p10")]
+    return c
+
+
+def _stage2(rules) -> list[Column]:
+    """array<HIT> pieces built from the stage-1 columns."""
+    L, P = F.col("line"), F.col("path")
+    out = []
+    if "P1" in rules:
+        idx = F.col("_p1")
+        name = pick([n for n, _, _ in R.SECRET_PATTERNS], idx)
+        sev = pick([s for _, _, s in R.SECRET_PATTERNS], idx)
+        cond = idx.isNotNull() & ~L.rlike(R.PLACEHOLDER_PATTERN) & ~is_test_path(P)
+        out.append(_one(cond, hit("P1", sev, 0.9, F.concat(F.lit("Hardcoded credential: "), name),
+                                  F.concat(F.lit("Found "), name, F.lit(" pattern in source code")),
+                                  tags=["credential", "hardcoded_secret"],
+                                  remediation="Move to environment variable or secrets manager.",
+                                  refs=["CWE-798"], phase=PH_LINE, k=0)))
+    if "P2" in rules:
+        out.append(_p2_from(F.col("_b64")))
+    if "P3" in rules:
+        out.append(_p3_from(L, F.col("_hx"), F.col("_ux")))
+    if "P4" in rules:
+        ips = F.col("_ips")
+        out.append(F.when(F.size(ips) > 0, F.transform(ips, lambda ip, i: F.when(public_ip_ok(ip, L), hit(
+            "P4", "medium", 0.7, F.concat(F.lit("Hardcoded public IP: "), ip),
+            "Public IP address found in source code", tags=["network", "hardcoded_ip"],
+            remediation="Use domain names with verified ownership instead of bare IPs.",
+            phase=PH_LINE, k=3000 + i)))).otherwise(F.array().cast(HITS)))
+        out.append(_one(F.col("_ddns"), hit("P4", "high", 0.85, "Dynamic DNS domain detected",
+                                            "Code references a dynamic DNS service commonly used for C2",
+                                            tags=["network", "suspicious_domain"],
+                                            remediation="Verify this domain is legitimate.", phase=PH_LINE, k=4000)))
+    if "P6" in rules:
+        idx = F.col("_p6")
+        sev = pick([s for _, s in R.PROMPT_INJECTION_PATTERNS], idx)
+        out.append(_one(idx.isNotNull(), hit("P6", sev, 0.8, "Prompt injection pattern detected",
+                                             "Text contains a known prompt injection pattern",
+                                             tags=["prompt_injection"], remediation="Remove prompt injection content.",
+                                             refs=["OWASP LLM01"], phase=PH_LINE, k=5000)))
+    if "P7" in rules:
+        out.append(_p7_from(F.col("_tok")))
+    if "P8" in rules:
+        out.append(_p8_from(F.col("_urls")))
+    if "P9" in rules:
+        out.append(p9_long_hits(L))
+    if "P10" in rules:
+        out.append(F.col("_p10"))
+    return out
+
+
 def line_hits(line: Column, path: Column, rules=LINE_RULES) -> Column:
+    """Single-expression form (convenient for ad-hoc use on one column)."""
     parts = []
     if "P1" in rules:
         parts.append(p1_hits(line, path))
@@ -251,26 +367,28 @@ def line_hits(line: Column, path: Column, rules=LINE_RULES) -> Column:
     return _compact(*parts)
 
 
-def reduce_p10(f: DataFrame) -> DataFrame:
-    """Keep one P10 finding per (package, path, tactic): earliest line, then
-    pattern order.  ``min(struct)`` aggregates map-side before the shuffle."""
-    is10 = F.col("rule_id") == "P10"
-    best = f.where(is10).groupBy("package_id", "path", F.col("tags")[2].alias("_tactic")).agg(
-        F.min(F.struct(F.col("line").alias("_l"), F.col("ord.k").alias("_k"),
-                       F.struct(*f.columns).alias("row"))).alias("b"))
-    return f.where(~is10).unionByName(best.select("b.row.*"))
-
-
 def text_findings(lines: DataFrame, rules=LINE_RULES) -> DataFrame:
-    """All line-level P findings in one pass over ``lines``."""
-    hits = lines.select("package_id", "path", "line_no", "line",
-                        line_hits(F.col("line"), F.col("path"), rules).alias("hs")) \
-        .where(F.size("hs") > 0)
-    flat = hits.select("package_id", "path", "line_no", "line", F.explode("hs").alias("h"))
+    """All line-level P findings in one pass over ``lines``.
+
+    Stage 1 evaluates every regex once per line into plain columns; stage 2
+    assembles hit arrays from them; ``explode`` drops lines without hits (no
+    filter in front of it, so nothing is evaluated twice).  P10 then keeps
+    one finding per (file, tactic) in a single group-by over the hits only
+    (every other hit is its own group)."""
+    s0 = lines.select("package_id", "path", "line_no", "line", F.lower("line").alias("_ll"))
+    s1 = s0.select("package_id", "path", "line_no", "line", *_stage1(rules))
+    s2 = s1.select("package_id", "path", "line_no", "line", _compact(*_stage2(rules)).alias("hs"))
+    flat = explode_hits(s2, ["package_id", "path", "line_no", "line"], F.col("hs"), "h")
     f = findings_from_hits(flat, "pattern", "behavior", default_snippet=snippet(F.col("line")))
-    if "P10" in rules:
-        f = reduce_p10(f)
-    return f
+    if "P10" not in rules:
+        return f
+    grp = F.when(F.col("rule_id") == "P10", F.col("tags")[2]).otherwise(
+        F.concat_ws(":", F.col("line").cast("string"), F.col("ord.phase").cast("string"),
+                    F.col("ord.k").cast("string"), F.col("rule_id")))
+    best = f.groupBy("package_id", "path", grp.alias("_g")).agg(
+        F.min(F.struct(F.col("line").alias("_l"), F.col("ord.k").alias("_k"), F.struct(*f.columns).alias("row")))
+        .alias("b"))
+    return best.select("b.row.*")
 
 
 def p3_evidence(findings: DataFrame, lines: DataFrame) -> DataFrame:
@@ -301,7 +419,7 @@ def p5_signatures(files: DataFrame, signatures=None) -> DataFrame:
         # prefix before the first match -> its line; computed only for files that match
         before = F.split(F.col("content"), rx, 2)[0]
         line = newline_count(before) + 1
-        hits.append(F.when(F.col("content").rlike(rx), F.struct(
+        hits.append(F.when(gated_rlike(F.col("content"), F.col("_lc"), rx), F.struct(
             line.cast("int").alias("line"),
             hit("P5", sev, 0.9, "Malicious signature: " + name,
                 f"Matched known malicious signature {sid}: {name}",
@@ -310,8 +428,9 @@ def p5_signatures(files: DataFrame, signatures=None) -> DataFrame:
                 tags=["malicious_signature"] + list(tags),
                 remediation="This file matches a known malicious pattern. Do not install or execute.",
                 refs=list(refs), phase=PH_P5, k=j).alias("h"))))
-    arr = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    flat = files.select("package_id", "path", "content", F.explode(arr).alias("x")) \
+    arr = F.array_compact(F.array(*hits))
+    lc = files.select("package_id", "path", "content", F.lower("content").alias("_lc"))
+    flat = explode_hits(lc, ["package_id", "path", "content"], arr, "x") \
         .select("package_id", "path", "content", F.col("x.line").alias("line_no"), F.col("x.h").alias("h"))
     # snippet: the matched line of the file (python splitlines numbering)
     from .. sources.corpus import LINE_BREAKS
@@ -334,7 +453,14 @@ def p9_obfuscation(files: DataFrame) -> DataFrame:
     is_py = p.endswith(".py")
     js_any = "(?d)(?:" + "|".join(x for x, _ in R.JS_OBFUSCATION_PATTERNS) + ")"
     py_any = "(?d)(?:" + "|".join(x for x, _ in R.PY_OBFUSCATION_PATTERNS) + ")"
-    cand = files.where((is_js & F.col("content").rlike(js_any)) | (is_py & F.col("content").rlike(py_any)))
+    c = F.col("content")
+    js_gate = F.lit(False)
+    for x, _ in R.JS_OBFUSCATION_PATTERNS:
+        js_gate = js_gate | gated_rlike(c, F.lower(c), "(?d)" + x)
+    py_gate = F.lit(False)
+    for x, _ in R.PY_OBFUSCATION_PATTERNS:
+        py_gate = py_gate | gated_rlike(c, F.lower(c), "(?d)" + x)
+    cand = files.where((is_js & js_gate) | (is_py & py_gate))
     ms = cand.select("package_id", "path", F.explode(obfuscation_matches(F.col("content"), is_js)).alias("m"))
     descs = [d for _, d in R.JS_OBFUSCATION_PATTERNS] + [d for _, d in R.PY_OBFUSCATION_PATTERNS]
     out = ms.select("package_id", "path", F.col("m.line").alias("line_no"), hit(

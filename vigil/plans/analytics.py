@@ -133,6 +133,7 @@ def global_rank(df: DataFrame, key: str, n_partitions: int | None = None) -> Dat
     s = df.repartitionByRange(n, key).sortWithinPartitions(key) \
         .withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
+    s = s.checkpoint()  # freeze ids: counts and rows must see the same numbering
     counts = s.groupBy("_pid").agg(F.count("*").alias("_n"))
     offs = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
                          .alias("_off")).fillna(0, ["_off"])
