@@ -38,7 +38,8 @@ def main() -> None:
     work = tempfile.mkdtemp(prefix="vigil-bench-", dir=os.environ.get("TMPDIR", "/tmp"))
     q: dict[str, float] = {}
     t0 = time.time()
-    seeded_files(spark, sf_dir).write.mode("overwrite").parquet(f"{work}/files")
+    # a registry table is many files; spread the corpus so every core gets work
+    seeded_files(spark, sf_dir).repartition(int(cpus) * 4).write.mode("overwrite").parquet(f"{work}/files")
     prep = time.time() - t0
     files = spark.read.parquet(f"{work}/files")
     stats = files.agg(F.count("*").alias("n"), F.sum("size").alias("b"),

@@ -108,16 +108,17 @@ def npm_install_hooks(files: DataFrame) -> DataFrame:
     return _emit(rows, h, F.lit("package.json"))
 
 
-def install_refs(files: DataFrame) -> DataFrame:
+def install_refs(manifests: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(package_id, path) of files an npm install hook names that exist
     in the package, plus setup.py when it overrides install commands."""
-    npm = npm_manifest(files).where(F.col("scripts").isNotNull())
+    files = manifests if files is None else files
+    npm = npm_manifest(manifests).where(F.col("scripts").isNotNull())
     refs = npm.select("package_id", F.explode(F.array(*[F.col("scripts")[h] for h in R.INSTALL_HOOKS])).alias("s")) \
         .where(F.col("s").isNotNull()) \
         .select("package_id", F.explode(F.regexp_extract_all("s", F.lit(R.HOOK_FILE_REF), 0)).alias("ref")) \
         .select("package_id", F.regexp_replace("ref", r"^(?:\./)+", "").alias("path"))
     exist = refs.join(files.select("package_id", "path"), ["package_id", "path"], "left_semi")
-    return exist.unionByName(cmdclass_setups(files).select("package_id", "path")).distinct()
+    return exist.unionByName(cmdclass_setups(manifests).select("package_id", "path")).distinct()
 
 
 def cmdclass_setups(files: DataFrame) -> DataFrame:
@@ -361,15 +362,30 @@ def debug_artifacts(files: DataFrame, per_pattern: int = R.DEBUG_PER_PATTERN) ->
     return a.unionByName(b)
 
 
-def manifest_findings(files: DataFrame, behavior: DataFrame, code: DataFrame | None) -> DataFrame:
+MANIFEST_NAMES = ["package.json", "requirements.txt", "setup.py", "pyproject.toml", "SKILL.md", "mcp.json",
+                  "manifest.json", *R.DESCRIPTION_FILES, R.IGNORE_FILE]
+
+
+def manifest_subset(files: DataFrame) -> DataFrame:
+    """The root manifest files of every package, cut out of ``files`` in one
+    selective pass, so the manifest rules never re-read the bulk content."""
+    return files.where(F.col("path").isin(*sorted(set(MANIFEST_NAMES))))
+
+
+def manifest_findings(files: DataFrame, behavior: DataFrame, code: DataFrame | None,
+                      manifests: DataFrame | None = None) -> DataFrame:
     """Every manifest-engine finding; ``behavior`` feeds capabilities and
-    ``code`` (S findings) feeds S11."""
+    ``code`` (S findings) feeds S11.  ``manifests`` (default: the
+    ``manifest_subset`` of ``files``) is what the content rules read; the
+    debug-artifact and install-reference checks read only paths and sizes
+    of all files."""
+    m = manifests if manifests is not None else manifest_subset(files)
     caps = actual_capabilities(behavior)
-    parts = [npm_install_hooks(files), typosquat(files), pip_cmdclass(files), dangerous_tools(files),
-             malformed_manifest(files), broad_permissions(files), capability_baseline(files, caps),
-             undeclared_capabilities(files, caps), debug_artifacts(files)]
+    parts = [npm_install_hooks(m), typosquat(m), pip_cmdclass(m), dangerous_tools(m),
+             malformed_manifest(m), broad_permissions(m), capability_baseline(m, caps),
+             undeclared_capabilities(m, caps), debug_artifacts(files)]
     if code is not None:
-        parts.append(install_time_elevation(code, install_refs(files)))
+        parts.append(install_time_elevation(code, install_refs(m, files)))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)

@@ -35,38 +35,47 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return df
 
 
-def collect_findings(files: DataFrame, engines=DEFAULT_ENGINES, p3_decode: bool = True) -> DataFrame:
-    """Un-suppressed findings of the selected engines for all packages."""
+def collect_findings(files: DataFrame, engines=DEFAULT_ENGINES, p3_decode: bool = True,
+                     manifests: DataFrame | None = None) -> DataFrame:
+    """Un-suppressed findings of the selected engines for all packages.
+
+    The behavior findings (code + text engines) are checkpointed once: the
+    manifest engine reads them for capabilities and S11, and the result
+    reads them again, without recomputing the rules."""
+    from ..schemas import empty_findings
     scanned = scanned_files(files)
     parts: list[DataFrame] = []
-    code = None
     if "ast" in engines:
         from ..operators.code_rules import code_findings
-        code = code_findings(scanned)
-        parts.append(code)
+        parts.append(code_findings(scanned))
     if "pattern" in engines:
         lines = to_lines(scanned)
         text = TR.text_findings(lines)
         if p3_decode:
             text = TR.p3_evidence(text, lines)
         parts += [text, TR.p5_signatures(scanned), TR.p9_obfuscation(scanned)]
+    behavior = _union(parts).checkpoint() if parts else empty_findings(files.sparkSession)
+    out = [behavior]
     if "manifest" in engines:
-        from ..operators.manifest_rules import manifest_findings
-        behavior = _union(parts) if parts else files.sparkSession.createDataFrame([], files.schema)
-        parts.append(manifest_findings(files, behavior, code))
-        skill = files.where(F.col("path") == "SKILL.md")
-        parts.append(TR.p6_skill_injection(skill, to_lines(skill)))
-    return _union(parts)
+        from ..operators.manifest_rules import manifest_findings, manifest_subset
+        m = manifests if manifests is not None else manifest_subset(files).checkpoint()
+        code = behavior.where(F.col("engine") == "ast") if "ast" in engines else None
+        out.append(manifest_findings(files, behavior, code, manifests=m))
+        skill = m.where(F.col("path") == "SKILL.md")
+        out.append(TR.p6_skill_injection(skill, to_lines(skill)))
+    return _union(out)
 
 
 def scan(files: DataFrame, engines=DEFAULT_ENGINES, suppressions: DataFrame | None = None,
          inline_ignores: bool = False, checkpoint: bool = True) -> ScanResult:
     """Scan all packages.  ``suppressions`` (package_id, rule_id, glob, line)
     adds to each package's own ignore file."""
-    findings = collect_findings(files, engines)
+    from ..operators.manifest_rules import manifest_subset
+    manifests = manifest_subset(files).checkpoint()
+    findings = collect_findings(files, engines, manifests=manifests)
     if checkpoint:
         findings = findings.checkpoint()
-    sup = S.parse_ignore_files(files)
+    sup = S.parse_ignore_files(manifests)
     if suppressions is not None:
         sup = sup.unionByName(suppressions.select(*sup.columns))
     findings = S.apply_suppressions(findings, sup)
