@@ -187,12 +187,27 @@ def required_atoms(pattern: str) -> tuple[list[str], bool] | None:
             return None
         return max(sets, key=lambda s: (min(len(a) for a in s), -len(s)))
 
+    folded = [False]
+
+    def case_pair(op, av):
+        """[hH]-style class: one letter in both cases -> that letter."""
+        if op == IN and len(av) == 2 and all(o == LITERAL for o, _ in av):
+            a, b = chr(av[0][1]), chr(av[1][1])
+            if a != b and a.lower() == b.lower():
+                return a.lower()
+        return None
+
     def seq(items):
         cands, run = [], []
         for op, av in items:
             if op == LITERAL:
                 run.append(chr(av))
                 continue
+            ch = case_pair(op, av)
+            if ch is not None:
+                folded[0] = True
+                run.append(ch)
+                continue
             if run:
                 cands.append(["".join(run)])
                 run = []
@@ -224,6 +239,7 @@ def required_atoms(pattern: str) -> tuple[list[str], bool] | None:
     atoms = seq(list(parsed))
     if not atoms:
         return None
+    icase = icase or folded[0]
     if icase:
         atoms = sorted({a.lower() for a in atoms})
     return atoms, icase

@@ -707,3 +707,55 @@ WHERE hn IS NOT NULL AND hn NOT IN ({std}) AND {has_kw('hn')}
 UNION ALL
 SELECT CAST(host_id AS VARCHAR), 'R10', 'low', 'Residual pip package: ' || name || '==' || coalesce(version, '?'),
   NULL, NULL FROM host_packages WHERE manager = 'pip' AND {has_kw('lower(name)')}"""
+
+
+# ---------------------------------------------------------------- capabilities (text-subset behavior)
+def caps_cte() -> str:
+    rc = " ".join(f"WHEN {q(r)} THEN {q(c)}" for r, c in R.RULE_CAPABILITY)
+    tag_rows = []
+    # tags carried by the text-subset findings, by rule (and P4/P8 variants share theirs)
+    text_tags = {"P1": ["credential", "hardcoded_secret"], "P4": ["network"], "P6": ["prompt_injection"],
+                 "P8": ["ioc", "network"], "P9": ["obfuscation"], "P10": ["manipulation", "social_engineering"]}
+    tc = dict(R.TAG_CAPABILITY)
+    for rule, tags in text_tags.items():
+        for t in tags:
+            if t in tc:
+                tag_rows.append(f"SELECT package_id, {q(tc[t])} AS cap FROM tf WHERE rule_id = {q(rule)}")
+    by_tag = " UNION ALL ".join(tag_rows)
+    return f"""caps AS (
+  SELECT DISTINCT package_id, cap FROM (
+    SELECT package_id, CASE rule_id {rc} END AS cap FROM tf
+    UNION ALL {by_tag}) WHERE cap IS NOT NULL)"""
+
+
+def m1_rows() -> str:
+    rows_ = []
+    for cat, allowed, sus in R.CAPABILITY_BASELINES:
+        for s in sus:
+            rows_.append(f"SELECT {q(cat)} AS category, {q(s)} AS cap")
+    cat_sql = category_rows().replace("WITH descs", "(WITH descs", 1) + ")"
+    return f"""SELECT c.package_id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS line, 'M1' AS rule_id,
+  'high' AS severity, 'Unexpected capability for ' || g.category || ' skill: ' || c.cap AS title
+FROM caps c JOIN {cat_sql} g ON c.package_id = g.package_id
+JOIN ({' UNION ALL '.join(rows_)}) d ON d.category = g.category AND d.cap = c.cap"""
+
+
+def m2a_rows() -> str:
+    return """SELECT c.package_id, m.manifest AS path, CAST(NULL AS INTEGER) AS line, 'M2a' AS rule_id, 'high' AS severity,
+  'Undeclared capability: ' || c.cap AS title
+FROM caps c JOIN (SELECT DISTINCT package_id, manifest FROM decl) m ON c.package_id = m.package_id
+WHERE NOT EXISTS (SELECT 1 FROM decl d WHERE d.package_id = c.package_id AND d.cap = c.cap)"""
+
+
+def decl_cte() -> str:
+    return """decl AS (
+  SELECT * FROM (
+    SELECT package_id, manifest, CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$')
+                                      ELSE json_extract_string(t, '$.name') END AS cap
+    FROM (SELECT package_id, manifest, unnest(json_extract(content, '$.tools[*]')) AS t FROM mcp
+          WHERE ok AND json_type(json_extract(content, '$.tools')) = 'ARRAY')
+    UNION ALL
+    SELECT package_id, manifest, json_extract_string(r, '$.name')
+    FROM (SELECT package_id, manifest, unnest(json_extract(content, '$.resources[*]')) AS r FROM mcp
+          WHERE ok AND json_type(json_extract(content, '$.resources')) = 'ARRAY'))
+  WHERE cap IS NOT NULL AND cap <> '')"""

@@ -543,3 +543,58 @@ def scan_diff_q(spark, sf_dir):
     _, f = subset_scan(spark, sf_dir)
     before = f.withColumn("suppressed", F.lit(False))
     return scan_diff(before, f)
+
+
+# ------------------------------------------------------------------ capabilities, M1, M2a (text-subset behavior)
+def _behavior_caps(spark, sf_dir):
+    from ..operators.manifest_rules import actual_capabilities
+    files, _, lines = corpus(spark, sf_dir)
+    return files, actual_capabilities(TR.text_findings(lines, rules=SUBSET))
+
+
+_CAPS = O.ignore_cte() + ",\n" + O.caps_cte()
+
+
+@register("capabilities", O.with_corpus("SELECT package_id, cap FROM caps", _CAPS))
+def capabilities_q(spark, sf_dir):
+    _, caps = _behavior_caps(spark, sf_dir)
+    return caps
+
+
+@register("m1_capability_baseline", O.with_corpus(
+    f"SELECT package_id, path, line, rule_id, severity, title FROM ({O.m1_rows()})", _CAPS))
+def m1_capability_baseline(spark, sf_dir):
+    from ..operators.manifest_rules import capability_baseline
+    files, caps = _behavior_caps(spark, sf_dir)
+    return capability_baseline(files, caps).select(*FIND_COLS)
+
+
+@register("m2a_undeclared", O.with_corpus(
+    f"SELECT package_id, path, line, rule_id, severity, title FROM ({O.m2a_rows()})",
+    _CAPS + ",\n" + O.mcp_cte() + ",\n" + O.decl_cte()))
+def m2a_undeclared(spark, sf_dir):
+    from ..operators.manifest_rules import undeclared_capabilities
+    files, caps = _behavior_caps(spark, sf_dir)
+    return undeclared_capabilities(files, caps).select(*FIND_COLS)
+
+
+# ------------------------------------------------------------------ full pipeline (code rules inside: rows-only)
+@register("s11_install_time")
+def s11_install_time(spark, sf_dir):
+    """Code findings of install-hook files and cmdclass setup.py, elevated."""
+    from ..operators.code_rules import code_findings
+    from ..operators.manifest_rules import install_refs, install_time_elevation, manifest_subset
+    files, scanned, _ = corpus(spark, sf_dir)
+    refs = install_refs(manifest_subset(files), files)
+    code = code_findings(scanned.join(refs, ["package_id", "path"], "left_semi"))
+    return install_time_elevation(code, refs).select(*FIND_COLS)
+
+
+@register("scan_scores")
+def scan_scores(spark, sf_dir):
+    """Every engine, suppression and scoring: one row per package."""
+    from .scan import scan
+    files, _, _ = corpus(spark, sf_dir)
+    r = scan(files)
+    return r.scores.select("package_id", "grade", "risk_level", "n_critical", "n_high", "n_medium", "n_low",
+                           "n_info", "key_risks", "behavior_tags")
