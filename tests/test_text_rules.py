@@ -109,3 +109,9 @@ def test_p9_obfuscation_every_match_with_lines(make_files):
     assert sorted(rows(f, "path", "line", "title")) == [
         ("o.js", 2, "Code obfuscation: hex-prefixed variables"), ("o.js", 4, "Code obfuscation: hex-prefixed variables"),
         ("o.js", 4, "Code obfuscation: hex-prefixed variables"), ("o.py", 1, "Code obfuscation: chr() chain")]
+
+
+def test_p3_evidence_decoded(make_files):
+    line = 'x = "' + "".join("\\x%02x" % b for b in b"hello world") + '"'
+    f = TR.text_findings(to_lines(scanned_files(make_files({"obf.py": line + "\n"}))), ("P3",), p3_decode=True)
+    assert rows(f, "evidence") == [('Decoded: x = "hello world"',)]

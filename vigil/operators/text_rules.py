@@ -367,7 +367,7 @@ def line_hits(line: Column, path: Column, rules=LINE_RULES) -> Column:
     return _compact(*parts)
 
 
-def text_findings(lines: DataFrame, rules=LINE_RULES) -> DataFrame:
+def text_findings(lines: DataFrame, rules=LINE_RULES, p3_decode: bool = False) -> DataFrame:
     """All line-level P findings in one pass over ``lines``.
 
     Stage 1 evaluates every regex once per line into plain columns; stage 2
@@ -379,6 +379,13 @@ def text_findings(lines: DataFrame, rules=LINE_RULES) -> DataFrame:
     s1 = s0.select("package_id", "path", "line_no", "line", *_stage1(rules))
     s2 = s1.select("package_id", "path", "line_no", "line", _compact(*_stage2(rules)).alias("hs"))
     flat = explode_hits(s2, ["package_id", "path", "line_no", "line"], F.col("hs"), "h")
+    if p3_decode and "P3" in rules:
+        # F10 on hit rows only (they still carry their line): no join back to lines
+        from ..functions.udfs import unicode_escape_evidence
+        is3 = F.col("h.rule_id") == "P3"
+        dec = unicode_escape_evidence(F.when(is3, F.col("line")))
+        flat = flat.withColumn("h", F.when(is3 & dec.isNotNull(), F.col("h").withField("evidence", dec))
+                               .otherwise(F.col("h")))
     f = findings_from_hits(flat, "pattern", "behavior", default_snippet=snippet(F.col("line")))
     if "P10" not in rules:
         return f
@@ -392,7 +399,9 @@ def text_findings(lines: DataFrame, rules=LINE_RULES) -> DataFrame:
 
 
 def p3_evidence(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Replace P3 evidence by the decoded line (F10 pandas UDF, P3 rows only)."""
+    """Replace P3 evidence by the decoded line (F10 pandas UDF, P3 rows only).
+    For findings computed elsewhere; ``text_findings(p3_decode=True)`` does it
+    without this join."""
     from ..functions.udfs import unicode_escape_evidence
     p3 = findings.where(F.col("rule_id") == "P3").alias("f").join(
         lines.alias("l"), (F.col("f.package_id") == F.col("l.package_id")) & (F.col("f.path") == F.col("l.path"))

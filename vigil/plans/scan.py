@@ -50,9 +50,7 @@ def collect_findings(files: DataFrame, engines=DEFAULT_ENGINES, p3_decode: bool
         parts.append(code_findings(scanned))
     if "pattern" in engines:
         lines = to_lines(scanned)
-        text = TR.text_findings(lines)
-        if p3_decode:
-            text = TR.p3_evidence(text, lines)
+        text = TR.text_findings(lines, p3_decode=p3_decode)
         parts += [text, TR.p5_signatures(scanned), TR.p9_obfuscation(scanned)]
     behavior = _union(parts).checkpoint() if parts else empty_findings(files.sparkSession)
     out = [behavior]

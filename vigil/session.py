@@ -41,6 +41,19 @@ def build_session(master: str | None = None, app: str = "vigil",
     return spark
 
 
+# Runtime SQL settings the rule semantics depend on (safe to set on any session)
+SEMANTIC_CONF = {"spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the semantic settings and the checkpoint folder to a session
+    created elsewhere (e.g. by a job driver)."""
+    for k, v in SEMANTIC_CONF.items():
+        spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
