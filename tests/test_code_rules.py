@@ -91,3 +91,11 @@ def test_evidence_and_snippet(findings):
     r = findings.where("path = 'fstring_taint.py' AND rule_id = 'S1'").collect()[0]
     assert r.evidence == "Unsanitized input from os.getenv() flows to subprocess.run()"
     assert r.snippet == 'x = os.getenv("X")\nsubprocess.run(f"echo {x}", shell=True)'
+
+
+def test_add_with_undefined_name_is_internal(spark):
+    from vigil.operators.code_rules import code_findings as cf
+    src = 'import subprocess\ncmd = undefined_base + " -la"\nsubprocess.run(cmd, shell=True)\n'
+    f = spark.createDataFrame([("p", "u.py", len(src), src)], "package_id string, path string, size long, content string")
+    r = cf(f).where("rule_id = 'S1'").collect()
+    assert [(x.severity, x.evidence) for x in r] == [("high", "Variable argument (origin: internal)")]

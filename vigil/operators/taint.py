@@ -69,7 +69,9 @@ def _evaluate(exprs: DataFrame, leaves: DataFrame, reach: DataFrame, state: Data
     ops = exprs.select(*FILE, "expr", "use_key", F.posexplode("operands").alias("oi", "o")) \
         .select(*FILE, "expr", "use_key", "oi", F.col("o.okind").alias("okind"), F.col("o.oname").alias("name"))
     ov = ops.join(reach, [*FILE, "name", "use_key"], "left").join(st, [*FILE, "reach"], "left")
-    op_lit = (F.col("okind") == "lit") | ((F.col("okind") == "name") & (F.col("s_level") == "literal"))
+    # a name with no reaching definition is UNKNOWN, never literal (null must not be skipped by bool_and)
+    op_lit = F.coalesce((F.col("okind") == "lit") | ((F.col("okind") == "name") & (F.col("s_level") == "literal")),
+                        F.lit(False))
     op_agg = ov.groupBy(*FILE, "expr").agg(
         F.bool_and(op_lit).alias("all_lit"),
         F.min(F.struct("oi", F.when(F.col("okind") == "name", F.coalesce("s_level", F.lit("unknown")))
@@ -98,13 +100,16 @@ def propagate_taint(facts: DataFrame, max_rounds: int | None = None) -> tuple[Da
     rounds = 0
     while True:
         res = _evaluate(def_exprs, def_leaves, reach, state)
-        new = defs.select(*FILE, "def_key", "expr").join(res, [*FILE, "expr"], "left").checkpoint()
+        # compare with the previous state in the same job that materialises the new one
+        old = state.select(*FILE, "def_key", F.col("level").alias("o_l"), F.col("src_type").alias("o_t"),
+                           F.col("src_desc").alias("o_d"))
+        new = defs.select(*FILE, "def_key", "expr").join(res, [*FILE, "expr"], "left").join(old, [*FILE, "def_key"])
+        diff = (~F.col("level").eqNullSafe(F.col("o_l")) | ~F.col("src_type").eqNullSafe(F.col("o_t"))
+                | ~F.col("src_desc").eqNullSafe(F.col("o_d")))
+        new = new.select(*FILE, "def_key", "expr", "level", "src_type", "src_desc", diff.alias("changed")).checkpoint()
         rounds += 1
-        a, b = state.alias("a"), new.alias("b")
-        changed = a.join(b, [*FILE, "def_key"]).where(
-            ~F.col("a.level").eqNullSafe(F.col("b.level")) | ~F.col("a.src_type").eqNullSafe(F.col("b.src_type"))
-            | ~F.col("a.src_desc").eqNullSafe(F.col("b.src_desc"))).limit(1).count()
-        state = new
+        changed = new.where("changed").limit(1).count()
+        state = new.drop("changed")
         if changed == 0 or (max_rounds is not None and rounds >= max_rounds):
             break
     resolved = _evaluate(exprs, leaves, reach, state)

@@ -759,3 +759,42 @@ def decl_cte() -> str:
     FROM (SELECT package_id, manifest, unnest(json_extract(content, '$.resources[*]')) AS r FROM mcp
           WHERE ok AND json_type(json_extract(content, '$.resources')) = 'ARRAY'))
   WHERE cap IS NOT NULL AND cap <> '')"""
+
+
+# ---------------------------------------------------------------- taint over event-derived facts
+def event_defs_cte() -> str:
+    return """ev AS (
+  SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS package_id, 'u' || CAST(user_id AS VARCHAR) || '.py' AS path,
+         event_id AS def_key, 'v' || CAST(event_id % 5 AS VARCHAR) AS name,
+         'v' || CAST((event_id * 3 + 1) % 5 AS VARCHAR) AS ref, event_type AS t FROM events),
+refs AS (
+  SELECT package_id, path, ref AS name, def_key AS use_key FROM ev WHERE t IN ('error', 'purchase', 'signup')
+  UNION
+  SELECT DISTINCT package_id, path, 'v' || CAST(i AS VARCHAR), 4611686018427387904 FROM ev, range(5) r(i)),
+reach AS (
+  SELECT r.package_id, r.path, r.name, r.use_key, d.def_key AS reach FROM refs r
+  ASOF LEFT JOIN ev d ON r.package_id = d.package_id AND r.path = d.path AND r.name = d.name
+    AND r.use_key > d.def_key)"""
+
+
+def event_levels_sql() -> str:
+    return f"""WITH RECURSIVE {event_defs_cte()},
+dd AS (
+  SELECT e.*, r.reach FROM ev e LEFT JOIN reach r
+    ON e.package_id = r.package_id AND e.path = r.path AND e.ref = r.name AND e.def_key = r.use_key
+    AND e.t IN ('error', 'purchase', 'signup')),
+res(package_id, path, def_key, level, src_type, src_desc) AS (
+  SELECT package_id, path, def_key,
+    CASE t WHEN 'view' THEN 'literal' WHEN 'click' THEN 'external' WHEN 'purchase' THEN 'internal' ELSE 'unknown' END,
+    CASE WHEN t = 'click' THEN 'env_var' END, CASE WHEN t = 'click' THEN 'os.getenv()' END
+  FROM dd WHERE t IN ('view', 'click') OR reach IS NULL
+  UNION ALL
+  SELECT d.package_id, d.path, d.def_key,
+    CASE WHEN r.level = 'external' THEN 'external'
+         WHEN d.t = 'error' THEN r.level
+         WHEN d.t = 'purchase' THEN CASE WHEN r.level = 'literal' THEN 'literal' ELSE 'internal' END
+         ELSE 'unknown' END,
+    CASE WHEN r.level = 'external' THEN r.src_type END, CASE WHEN r.level = 'external' THEN r.src_desc END
+  FROM dd d JOIN res r ON d.package_id = r.package_id AND d.path = r.path AND d.reach = r.def_key
+  WHERE d.t IN ('error', 'purchase', 'signup'))
+SELECT package_id, path, def_key, level, src_type, src_desc FROM res"""

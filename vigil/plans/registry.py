@@ -598,3 +598,22 @@ def scan_scores(spark, sf_dir):
     r = scan(files)
     return r.scores.select("package_id", "grade", "risk_level", "n_critical", "n_high", "n_medium", "n_low",
                            "n_info", "key_risks", "behavior_tags")
+
+
+# ------------------------------------------------------------------ taint machinery on event-derived facts (SQL oracle)
+@register("taint_events_reach", f"WITH {O.event_defs_cte()}\nSELECT package_id, path, name, use_key, reach FROM reach")
+def taint_events_reach(spark, sf_dir):
+    """T1 on facts synthesised from ``events``."""
+    from ..operators.taint import name_refs, reaching_defs, split_facts
+    from ..sources.event_facts import event_facts
+    p = split_facts(event_facts(spark, sf_dir))
+    return reaching_defs(p["defs"], name_refs(p["exprs"], p["leaves"]))
+
+
+@register("taint_events_levels", O.event_levels_sql())
+def taint_events_levels(spark, sf_dir):
+    """T2 fixpoint on facts synthesised from ``events``."""
+    from ..operators.taint import propagate_taint
+    from ..sources.event_facts import event_facts
+    state, _ = propagate_taint(event_facts(spark, sf_dir).checkpoint())
+    return state.select("package_id", "path", "def_key", "level", "src_type", "src_desc")
