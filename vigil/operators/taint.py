@@ -56,19 +56,29 @@ def reaching_defs(defs: DataFrame, refs: DataFrame) -> DataFrame:
         .where(F.col("is_def") == 0).select(*FILE, "name", F.col("key").alias("use_key"), "reach")
 
 
-def _evaluate(exprs: DataFrame, leaves: DataFrame, reach: DataFrame, state: DataFrame) -> DataFrame:
+def _with_reach(exprs: DataFrame, leaves: DataFrame, reach: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaves and operands joined to their reaching definition.  Static
+    across fixpoint rounds, so computed (and materialised) once."""
+    lr = leaves.join(reach, [*FILE, "name", "use_key"], "left") \
+        .select(*FILE, "expr", "ord", "lkind", "src_type", "src_desc", "reach")
+    ops = exprs.select(*FILE, "expr", "use_key", F.posexplode("operands").alias("oi", "o")) \
+        .select(*FILE, "expr", "use_key", "oi", F.col("o.okind").alias("okind"), F.col("o.oname").alias("name"))
+    orr = ops.join(reach, [*FILE, "name", "use_key"], "left").select(*FILE, "expr", "oi", "okind", "reach")
+    return lr, orr
+
+
+def _evaluate(exprs: DataFrame, lr: DataFrame, orr: DataFrame, state: DataFrame) -> DataFrame:
     """Resolve ``exprs`` against the current definition ``state``:
-    (file, expr) -> level, src_type, src_desc."""
+    (file, expr) -> level, src_type, src_desc.  ``lr`` / ``orr`` are the
+    leaves / operands with their reaching definition (``_with_reach``)."""
     st = state.select(*FILE, F.col("def_key").alias("reach"), F.col("level").alias("s_level"),
                       F.col("src_type").alias("s_type"), F.col("src_desc").alias("s_desc"))
-    lv = leaves.join(reach, [*FILE, "name", "use_key"], "left").join(st, [*FILE, "reach"], "left")
+    lv = lr.join(st, [*FILE, "reach"], "left")
     is_ext = (F.col("lkind") == "source") | ((F.col("lkind") == "name") & (F.col("s_level") == "external"))
     first_ext = lv.where(is_ext).groupBy(*FILE, "expr").agg(F.min(F.struct(
         "ord", F.when(F.col("lkind") == "source", F.col("src_type")).otherwise(F.col("s_type")).alias("t"),
         F.when(F.col("lkind") == "source", F.col("src_desc")).otherwise(F.col("s_desc")).alias("d"))).alias("x"))
-    ops = exprs.select(*FILE, "expr", "use_key", F.posexplode("operands").alias("oi", "o")) \
-        .select(*FILE, "expr", "use_key", "oi", F.col("o.okind").alias("okind"), F.col("o.oname").alias("name"))
-    ov = ops.join(reach, [*FILE, "name", "use_key"], "left").join(st, [*FILE, "reach"], "left")
+    ov = orr.join(st, [*FILE, "reach"], "left")
     # a name with no reaching definition is UNKNOWN, never literal (null must not be skipped by bool_and)
     op_lit = F.coalesce((F.col("okind") == "lit") | ((F.col("okind") == "name") & (F.col("s_level") == "literal")),
                         F.lit(False))
@@ -92,14 +102,18 @@ def propagate_taint(facts: DataFrame, max_rounds: int | None = None) -> tuple[Da
     parts = split_facts(facts)
     defs, exprs, leaves = parts["defs"], parts["exprs"], parts["leaves"]
     reach = reaching_defs(defs, name_refs(exprs, leaves)).checkpoint()
-    def_exprs = exprs.join(defs.select(*FILE, "expr"), [*FILE, "expr"], "left_semi")
-    def_leaves = leaves.join(defs.select(*FILE, "expr"), [*FILE, "expr"], "left_semi")
+    lr_all, or_all = _with_reach(exprs, leaves, reach)
+    lr_all, or_all = lr_all.checkpoint(), or_all.checkpoint()
+    def_ids = defs.select(*FILE, "expr")
+    def_exprs = exprs.join(def_ids, [*FILE, "expr"], "left_semi").checkpoint()
+    lr_def = lr_all.join(def_ids, [*FILE, "expr"], "left_semi").checkpoint()
+    or_def = or_all.join(def_ids, [*FILE, "expr"], "left_semi").checkpoint()
     state = defs.select(*FILE, "def_key", "expr", F.lit(None).cast("string").alias("level"),
                         F.lit(None).cast("string").alias("src_type"), F.lit(None).cast("string").alias("src_desc"))
     state = state.checkpoint()
     rounds = 0
     while True:
-        res = _evaluate(def_exprs, def_leaves, reach, state)
+        res = _evaluate(def_exprs, lr_def, or_def, state)
         # compare with the previous state in the same job that materialises the new one
         old = state.select(*FILE, "def_key", F.col("level").alias("o_l"), F.col("src_type").alias("o_t"),
                            F.col("src_desc").alias("o_d"))
@@ -112,5 +126,6 @@ def propagate_taint(facts: DataFrame, max_rounds: int | None = None) -> tuple[Da
         state = new.drop("changed")
         if changed == 0 or (max_rounds is not None and rounds >= max_rounds):
             break
-    resolved = _evaluate(exprs, leaves, reach, state)
+    # every S rule reads the resolution: materialise it once
+    resolved = _evaluate(exprs, lr_all, or_all, state).checkpoint()
     return state, resolved
