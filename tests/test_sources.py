@@ -1,0 +1,22 @@
+"""Reading package trees from storage."""
+import os
+import tempfile
+
+from conftest import rows
+from vigil.sources.files import read_package_tree, scanned_files
+
+
+def test_read_package_tree(spark):
+    root = tempfile.mkdtemp(prefix="vigil-tree-")
+    for rel, text in {"pkgA/main.py": "print('a')\n", "pkgA/sub/util.js": "x\n", "pkgB/README.md": "hi\n",
+                      "pkgB/node_modules/dep/index.js": "y\n", "pkgB/bad.bin": b"\xff\xfeok"}.items():
+        p = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "wb") as fh:
+            fh.write(text if isinstance(text, bytes) else text.encode())
+    files = read_package_tree(spark, root)
+    got = sorted(rows(files, "package_id", "path", "size"))
+    assert got == [("pkgA", "main.py", 11), ("pkgA", "sub/util.js", 2), ("pkgB", "README.md", 3),
+                   ("pkgB", "bad.bin", 4), ("pkgB", "node_modules/dep/index.js", 2)]
+    assert sorted(rows(scanned_files(files), "path")) == [("README.md",), ("main.py",), ("sub/util.js",)]
+    assert rows(files.where("path = 'bad.bin'"), "content") == [("��ok",)]
