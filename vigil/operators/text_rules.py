@@ -9,7 +9,7 @@ partial-aggregating ``min(struct)``, not a window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,8 +200,11 @@ def p8_hits(line: Column) -> Column:
     return _p8_from(F.regexp_extract_all(line, F.lit(R.URL_PATTERN), 0))
 
 
-def _p8_from(urls: Column) -> Column:
-    iocs = R.IOC_PATTERNS
+def _p8_from(urls: Column, iocs=None) -> Column:
+    if iocs is None:
+        iocs = R.IOC_PATTERNS
+    elif isinstance(iocs, DataFrame):  # a user pack: a small rule table
+        iocs = [(r["pattern"], r["severity"], r["description"]) for r in iocs.collect()]
     tlds = suspicious_tlds()
     import re
 
@@ -296,7 +299,7 @@ def _stage1(rules) -> list[Column]:
     return c
 
 
-def _stage2(rules) -> list[Column]:
+def _stage2(rules, iocs=None) -> list[Column]:
     """array<HIT> pieces built from the stage-1 columns."""
     L, P = F.col("line"), F.col("path")
     out = []
@@ -335,7 +338,7 @@ def _stage2(rules) -> list[Column]:
     if "P7" in rules:
         out.append(_p7_from(F.col("_tok")))
     if "P8" in rules:
-        out.append(_p8_from(F.col("_urls")))
+        out.append(_p8_from(F.col("_urls"), iocs))
     if "P9" in rules:
         out.append(p9_long_hits(L))
     if "P10" in rules:
@@ -367,7 +370,7 @@ def line_hits(line: Column, path: Column, rules=LINE_RULES) -> Column:
     return _compact(*parts)
 
 
-def text_findings(lines: DataFrame, rules=LINE_RULES, p3_decode: bool = False) -> DataFrame:
+def text_findings(lines: DataFrame, rules=LINE_RULES, p3_decode: bool = False, iocs=None) -> DataFrame:
     """All line-level P findings in one pass over ``lines``.
 
     Stage 1 evaluates every regex once per line into plain columns; stage 2
@@ -377,7 +380,7 @@ def text_findings(lines: DataFrame, rules=LINE_RULES, p3_decode: bool = False) -
     (every other hit is its own group)."""
     s0 = lines.select("package_id", "path", "line_no", "line", F.lower("line").alias("_ll"))
     s1 = s0.select("package_id", "path", "line_no", "line", *_stage1(rules))
-    s2 = s1.select("package_id", "path", "line_no", "line", _compact(*_stage2(rules)).alias("hs"))
+    s2 = s1.select("package_id", "path", "line_no", "line", _compact(*_stage2(rules, iocs)).alias("hs"))
     flat = explode_hits(s2, ["package_id", "path", "line_no", "line"], F.col("hs"), "h")
     if p3_decode and "P3" in rules:
         # F10 on hit rows only (they still carry their line): no join back to lines
@@ -412,14 +415,24 @@ def p3_evidence(findings: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- P5 (whole file)
+LITERAL_RULES_MAX = 200
+
+
 def p5_signatures(files: DataFrame, signatures=None) -> DataFrame:
     """First match of every signature in every file.
 
-    ``signatures``: rows (id, name, pattern, multiline, severity, tags, refs);
-    defaults to the built-in pack.  Patterns are plan literals so each regex
-    compiles once per task.
+    ``signatures``: a DataFrame or rows (id, name, pattern, multiline,
+    severity, tags, refs); defaults to the built-in pack.  Up to
+    ``LITERAL_RULES_MAX`` patterns become plan literals (each regex compiled
+    once per task, gated by its required literals); bigger packs are joined
+    as a broadcast rule table (its size is checked first).
     """
-    sigs = signatures if signatures is not None else R.SIGNATURES
+    from ..sources.rule_packs import as_signature_tuples
+    if isinstance(signatures, DataFrame):
+        n = signatures.count()
+        if n > LITERAL_RULES_MAX:
+            return _p5_join(files, signatures)
+    sigs = as_signature_tuples(signatures) if signatures is not None else R.SIGNATURES
     file_hash = F.sha2(F.col("content"), 256)
     hits = []
     for j, (sid, name, pat, multi, sev, tags, refs) in enumerate(sigs):
@@ -447,6 +460,29 @@ def p5_signatures(files: DataFrame, signatures=None) -> DataFrame:
     return findings_from_hits(flat, "pattern", "behavior", default_snippet=F.coalesce(snippet(line_text), F.lit("")))
 
 
+def _p5_join(files: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Large signature packs: theta join of files with the broadcast rule
+    table (a rule table of a few MB; content is never shuffled)."""
+    s = sigs.select("id", "name", "severity", "tags", "refs",
+                    F.concat(F.when(F.col("multiline"), F.lit("(?i)(?s)")).otherwise(F.lit("(?i)")),
+                             F.col("pattern")).alias("rx"),
+                    F.row_number().over(Window.orderBy("id")).alias("j"))  # a few rows: the rule table
+    j = files.join(F.broadcast(s), F.regexp_like(F.col("content"), F.col("rx")))
+    before = F.expr("split(content, rx, 2)[0]")
+    h = hit("P5", F.col("severity"), 0.9, F.concat(F.lit("Malicious signature: "), F.col("name")),
+            F.concat(F.lit("Matched known malicious signature "), F.col("id"), F.lit(": "), F.col("name")),
+            evidence=F.concat(F.lit("Signature "), F.col("id"), F.lit(" matched (SHA256: "),
+                              F.substring(F.sha2(F.col("content"), 256), 1, 16), F.lit("...)")),
+            tags=F.concat(F.array(F.lit("malicious_signature")), F.col("tags")),
+            remediation="This file matches a known malicious pattern. Do not install or execute.",
+            refs=F.col("refs"), phase=PH_P5, k=F.col("j"))
+    flat = j.select("package_id", "path", "content", (newline_count(before) + 1).cast("int").alias("line_no"),
+                    h.alias("h"))
+    from ..sources.corpus import LINE_BREAKS
+    line_text = F.element_at(F.split(F.col("content"), LINE_BREAKS, -1), F.col("line_no"))
+    return findings_from_hits(flat, "pattern", "behavior", default_snippet=F.coalesce(snippet(line_text), F.lit("")))
+
+
 # ---------------------------------------------------------------- P9a (whole file, every match)
 def p9_obfuscation(files: DataFrame) -> DataFrame:
     """Every match of the language's obfuscation patterns, with its line.
