@@ -120,7 +120,7 @@ def test_p3_evidence_decoded(make_files):
 def test_user_signature_pack(spark, make_files, tmp_path):
     import yaml
     from vigil.sources.rule_packs import load_rule_pack, signatures_df
-    pack = {"signatures": [{"id": "X-1", "name": "Test marker", "pattern": "evil\\\\.marker", "severity": "high",
+    pack = {"signatures": [{"id": "X-1", "name": "Test marker", "pattern": r"evil\.marker", "severity": "high",
                             "tags": ["t"]}]}
     p = tmp_path / "pack.yaml"
     p.write_text(yaml.safe_dump(pack))
