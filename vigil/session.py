@@ -38,6 +38,7 @@ def build_session(master: str | None = None, app: str = "vigil",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -47,13 +48,31 @@ SEMANTIC_CONF = {"spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the semantic settings and the checkpoint folder to a session
-    created elsewhere (e.g. by a job driver)."""
+    created elsewhere (e.g. by a job driver), and make the package
+    importable by its Python workers."""
     for k, v in SEMANTIC_CONF.items():
         spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (what
+    ``--py-files`` does), once per SparkContext; the mapInPandas parser and
+    the pandas UDFs are pickled by reference to their modules."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vigil_shipped", False):
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="vigil-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "vigil"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                  base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    sc._vigil_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
