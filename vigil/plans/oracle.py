@@ -335,7 +335,8 @@ def p5_rows() -> str:
     arms = []
     for sid, name, pat, multi, sev, _tags, _refs in R.SIGNATURES:
         rx = ("(?is)" if multi else "(?i)") + pat
-        arms.append(f"""SELECT package_id, path, 1 + {nl_count(f"string_split_regex(content, {q(rx)})[1]")} AS line,
+        arms.append(f"""SELECT package_id, path,
+  CAST(1 + {nl_count(f"string_split_regex(content, {q(rx)})[1]")} AS INTEGER) AS line,
   'P5' AS rule_id, {q(sev)} AS severity, {q('Malicious signature: ' + name)} AS title,
   {q(f'Signature {sid} matched (SHA256: ')} || substring(sha256(content), 1, 16) || '...)' AS evidence
 FROM scanned WHERE regexp_matches(content, {q(rx)})""")
