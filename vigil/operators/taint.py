@@ -102,15 +102,13 @@ def propagate_taint(facts: DataFrame, max_rounds: int | None = None) -> tuple[Da
     parts = split_facts(facts)
     defs, exprs, leaves = parts["defs"], parts["exprs"], parts["leaves"]
     reach = reaching_defs(defs, name_refs(exprs, leaves)).checkpoint()
-    lr_all, or_all = _with_reach(exprs, leaves, reach)
-    lr_all, or_all = lr_all.checkpoint(), or_all.checkpoint()
+    lr_all, or_all = _with_reach(exprs, leaves, reach)  # read twice: cheap joins of checkpointed inputs
     def_ids = defs.select(*FILE, "expr")
     def_exprs = exprs.join(def_ids, [*FILE, "expr"], "left_semi").checkpoint()
     lr_def = lr_all.join(def_ids, [*FILE, "expr"], "left_semi").checkpoint()
     or_def = or_all.join(def_ids, [*FILE, "expr"], "left_semi").checkpoint()
     state = defs.select(*FILE, "def_key", "expr", F.lit(None).cast("string").alias("level"),
                         F.lit(None).cast("string").alias("src_type"), F.lit(None).cast("string").alias("src_desc"))
-    state = state.checkpoint()
     rounds = 0
     while True:
         res = _evaluate(def_exprs, lr_def, or_def, state)
