@@ -182,10 +182,13 @@ def cleanup_plan(findings: DataFrame) -> DataFrame:
            .when((r == "R5") & F.col("path").isNotNull() & F.col("line").isNotNull(), "remove_line")
            .when((r == "R8") & F.col("path").isNotNull(), "fix_permissions")
            .when((r == "R1") & F.col("snippet").isNotNull(), "remove_crontab"))
-    a = findings.select(F.col("package_id").alias("host_id"), "rule_id", "title", "path", "line", "snippet", "ord",
-                        typ.alias("type")).where(F.col("type").isNotNull())
-    w = Window.partitionBy("host_id").orderBy(F.col("ord.phase"), F.col("ord.k"), "path", "line")
-    return a.select("host_id", F.row_number().over(w).alias("n"), "type", "rule_id", "title",
+    from ..plans.analytics import group_rank
+    a = findings.select(F.col("package_id").alias("host_id"), "rule_id", "title", "path", "line", "snippet",
+                        F.col("ord.phase").alias("_ph"), F.col("ord.k").alias("_k"), typ.alias("type")) \
+        .where(F.col("type").isNotNull())
+    # numbering inside a host without a per-host window (a host may hold a third of all rows)
+    ranked = group_rank(a, ["host_id"], ["_ph", "_k", "path", "line", "rule_id", "title"])
+    return ranked.select("host_id", F.col("n").cast("int").alias("n"), "type", "rule_id", "title",
                     F.when(F.col("type") != "remove_crontab", F.col("path")).alias("path"),
                     F.when(F.col("type") == "remove_line", F.col("line")).alias("line"),
                     F.when(F.col("type").isin("remove_line", "remove_crontab"), F.col("snippet")).alias("content"),

@@ -140,6 +140,17 @@ def global_rank(df: DataFrame, key: str, n_partitions: int | None = None) -> Dat
     return s.join(F.broadcast(offs), "_pid").select(*df.columns, (F.col("_off") + F.col("_pos")).alias("rank"))
 
 
+def group_rank(df: DataFrame, group: list[str], order: list[str], n_partitions: int | None = None) -> DataFrame:
+    """1-based position of each row inside its group by ``order``, without a
+    per-group window: a global rank over range-partitioned (group, order)
+    keys, minus the rank of the group's first row.  A group holding a third
+    of all rows spans many partitions instead of one task."""
+    keyed = df.withColumn("_gk", F.struct(*[F.col(c) for c in group + order]))
+    r = global_rank(keyed, "_gk", n_partitions)
+    first = r.groupBy(*group).agg(F.min("rank").alias("_first"))
+    return r.join(first, group).select(*df.columns, (F.col("rank") - F.col("_first") + 1).alias("n"))
+
+
 def systematic_sample(files: DataFrame, every: int = 34) -> DataFrame:
     """Packages that have code files, by name, every ``every``-th one
     (ranks 0, every, 2*every, ...).  A sampling operator: the modulo is the
