@@ -33,13 +33,13 @@ def main() -> None:
     from vigil.plans.scan import scan
     from vigil.sources import fleet as FL
     from vigil.sources.corpus import seeded_files
-    from vigil.sources.files import scanned_files, to_lines
+    from vigil.sources.files import scanned_files, to_lines, write_files_table
 
     work = tempfile.mkdtemp(prefix="vigil-bench-", dir=os.environ.get("TMPDIR", "/tmp"))
     q: dict[str, float] = {}
     t0 = time.time()
     # a registry table is many files; spread the corpus so every core gets work
-    seeded_files(spark, sf_dir).repartition(int(cpus) * 4).write.mode("overwrite").parquet(f"{work}/files")
+    write_files_table(seeded_files(spark, sf_dir).repartition(int(cpus) * 4), f"{work}/files")
     # host inventory tables are inputs too: materialise them with the corpus
     FL.host_files(spark, sf_dir).write.parquet(f"{work}/host_files")
     FL.host_lines(spark, sf_dir).write.parquet(f"{work}/host_lines")

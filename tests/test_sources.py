@@ -20,3 +20,18 @@ def test_read_package_tree(spark):
                    ("pkgB", "bad.bin", 4), ("pkgB", "node_modules/dep/index.js", 2)]
     assert sorted(rows(scanned_files(files), "path")) == [("README.md",), ("main.py",), ("sub/util.js",)]
     assert rows(files.where("path = 'bad.bin'"), "content") == [("��ok",)]
+
+
+def test_kind_partitioned_table_prunes(spark, make_files, tmp_path):
+    from vigil.operators.manifest_rules import manifest_subset
+    from vigil.sources.files import write_files_table
+    files = make_files({"a.py": "x\n", "SKILL.md": "# s\n", "package.json": "{}", "x.map": "m", "setup.py": "s\n"})
+    write_files_table(files, str(tmp_path / "files"))
+    t = spark.read.parquet(str(tmp_path / "files"))
+    assert sorted(rows(t.select("path", "kind"), "path", "kind")) == [
+        ("SKILL.md", "scan_manifest"), ("a.py", "scan"), ("package.json", "manifest"), ("setup.py", "scan_manifest"),
+        ("x.map", "other")]
+    assert sorted(rows(scanned_files(t), "path")) == [("SKILL.md",), ("a.py",), ("setup.py",)]
+    assert sorted(rows(manifest_subset(t), "path")) == [("SKILL.md",), ("package.json",), ("setup.py",)]
+    plan = scanned_files(t)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "kind" in plan

@@ -368,7 +368,10 @@ MANIFEST_NAMES = ["package.json", "requirements.txt", "setup.py", "pyproject.tom
 
 def manifest_subset(files: DataFrame) -> DataFrame:
     """The root manifest files of every package, cut out of ``files`` in one
-    selective pass, so the manifest rules never re-read the bulk content."""
+    selective pass, so the manifest rules never re-read the bulk content
+    (on a ``kind``-partitioned table, by partition pruning)."""
+    if "kind" in files.columns:
+        files = files.where(F.col("kind").isin("manifest", "scan_manifest"))
     return files.where(F.col("path").isin(*sorted(set(MANIFEST_NAMES))))
 
 

@@ -34,14 +34,39 @@ def _escape(s: str) -> str:
     return re.escape(s)
 
 
-def scanned_files(files: DataFrame) -> DataFrame:
-    """SRC1: files the code and text rules look at: not inside an excluded
-    directory (any path segment), suffix in the scanned set."""
-    segs = F.split(F.col("path"), "/")
+def is_scanned(path):
+    """SRC1 predicate: not inside an excluded directory, suffix scanned."""
+    segs = F.split(path, "/")
     excluded = F.arrays_overlap(F.slice(segs, 1, F.greatest(F.size(segs) - 1, F.lit(0))),
                                 F.array(*[F.lit(d) for d in EXCLUDED_DIRS]))
-    suffix = F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1)
-    return files.where(~excluded & suffix.isin(*SCANNED_SUFFIXES))
+    suffix = F.regexp_extract(path, r"(\.[^./]*)$", 1)
+    return ~excluded & suffix.isin(*SCANNED_SUFFIXES)
+
+
+def scanned_files(files: DataFrame) -> DataFrame:
+    """SRC1: files the code and text rules look at: not inside an excluded
+    directory (any path segment), suffix in the scanned set.  On a files
+    table written by ``write_files_table`` the ``kind`` partition column
+    prunes everything else before any content is read."""
+    if "kind" in files.columns:
+        files = files.where(F.col("kind").isin("scan", "scan_manifest"))
+    return files.where(is_scanned(F.col("path")))
+
+
+def file_kind(path):
+    """Partition value: scan / scan_manifest / manifest / other."""
+    from ..operators.manifest_rules import MANIFEST_NAMES
+    man = path.isin(*sorted(set(MANIFEST_NAMES)))
+    sc = is_scanned(path)
+    return (F.when(sc & man, "scan_manifest").when(sc, "scan").when(man, "manifest").otherwise("other"))
+
+
+def write_files_table(files: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a files table partitioned by ``kind`` so the text / code rules,
+    the manifest rules and the path-only rules each read only the
+    partitions they need (partition pruning; content of other files is
+    never read)."""
+    files.withColumn("kind", file_kind(F.col("path"))).write.mode(mode).partitionBy("kind").parquet(path)
 
 
 def all_paths(files: DataFrame) -> DataFrame:
