@@ -9,12 +9,12 @@ partial-aggregating ``min(struct)``, not a window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import (any_match, b64_decode_lenient, explode_hits, first_match, gate, gated_first_match, gated_rlike,
-                              newline_count, pick, py_fixed, py_strip, shannon_entropy, snippet)
+                              newline_count, pick, py_fixed, shannon_entropy, snippet)
 from ..rules import packs as R
 from ..schemas import HIT, findings_from_hits, hit
 

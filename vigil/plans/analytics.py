@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scoring import SEVERITIES, active
-from ..rules import packs as R
 
 GRADES = ["A", "B", "C", "D", "F"]
 
