@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from vigil.llm.simhash_dedup import op10_query
+from vigil.llm.substring_dedup import op1_query
 
 QUERIES = {
+    "op1_substring_count_min": op1_query,
     "op10_simhash_anchor_covering": op10_query,
 }
 ORACLE: dict[str, str] = {}
