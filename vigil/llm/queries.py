@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from vigil.llm.best_fit_packing import op3_query
 from vigil.llm.language_id import op6_query
 from vigil.llm.simhash_dedup import op10_query
 from vigil.llm.substring_dedup import op1_query
@@ -9,8 +11,10 @@ from vigil.llm.toxicity import op5_query
 
 QUERIES = {
     "op1_substring_count_min": op1_query,
+    "op3_packing_exact_complement": op3_query,
     "op5_toxicity_pattern_grammar": op5_query,
     "op6_language_id_ppm": op6_query,
     "op10_simhash_anchor_covering": op10_query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {}
