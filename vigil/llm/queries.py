@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from vigil.llm.best_fit_packing import op3_query
+from vigil.llm.bpe_codec import op9_query
 from vigil.llm.language_id import op6_query
 from vigil.llm.simhash_dedup import op10_query
 from vigil.llm.substring_dedup import op1_query
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_packing_exact_complement": op3_query,
     "op5_toxicity_pattern_grammar": op5_query,
     "op6_language_id_ppm": op6_query,
+    "op9_bpe_tree_concatenation": op9_query,
     "op10_simhash_anchor_covering": op10_query,
     "pipeline": corpus_pipeline.run,
 }
