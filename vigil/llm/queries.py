@@ -5,7 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 from vigil.llm.best_fit_packing import op3_query
 from vigil.llm.bpe_codec import op9_query
+from vigil.llm.cap_filter_dedup import op4_query
 from vigil.llm.language_id import op6_query
+from vigil.llm.permutation_ann import op2_query
 from vigil.llm.simhash_dedup import op10_query
 from vigil.llm.substring_dedup import op1_query
 from vigil.llm.toxicity import op5_query
@@ -13,7 +15,9 @@ from vigil.llm.warc import op7_query
 
 QUERIES = {
     "op1_substring_count_min": op1_query,
+    "op2_ann_permutation_index": op2_query,
     "op3_packing_exact_complement": op3_query,
+    "op4_embedding_cap_filters": op4_query,
     "op5_toxicity_pattern_grammar": op5_query,
     "op6_language_id_ppm": op6_query,
     "op7_warc_chunked_records": op7_query,
