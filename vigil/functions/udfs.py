@@ -1,4 +1,4 @@
-"""The two Python helpers the engine needs (Arrow-batched pandas UDFs).
+"""The two Python helpers the engine needs (Arrow-batched).
 
 Both run only on rows a JVM filter already selected (P3 hits, files whose
 content matches an obfuscation pattern), so they never see the bulk of the
@@ -8,6 +8,8 @@ data.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -30,31 +32,31 @@ def unicode_escape_evidence(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
-_JS = [re.compile(p) for p, _ in R.JS_OBFUSCATION_PATTERNS]
-_PY = [re.compile(p) for p, _ in R.PY_OBFUSCATION_PATTERNS]
-_MATCH = T.ArrayType(T.StructType([
-    T.StructField("idx", T.IntegerType()), T.StructField("k", T.LongType()),
-    T.StructField("line", T.IntegerType()), T.StructField("snippet", T.StringType()),
-]))
-
-
-@F.pandas_udf(_MATCH)
-def obfuscation_matches(content: pd.Series, is_js: pd.Series) -> pd.Series:
-    """Every match of the file's language patterns, in pattern order:
-    (pattern index in JS+PY list, ordinal, line of match start, snippet)."""
-    def one(text, js):
-        if text is None:
-            return []
-        pats = _JS if js else _PY
-        base = 0 if js else len(_JS)
-        lines = text.splitlines()
-        out = []
-        n = 0
-        for j, rx in enumerate(pats):
-            for m in rx.finditer(text):
-                ln = text.count("\n", 0, m.start()) + 1
-                snip = lines[ln - 1].strip()[:120] if ln <= len(lines) else ""
-                out.append({"idx": base + j, "k": (base + j) * 1_000_000 + n, "line": ln, "snippet": snip})
-                n += 1
-        return out
-    return pd.Series([one(t, bool(j)) for t, j in zip(content, is_js)])
+_JS = [re.compile(p, re.ASCII) for p, _ in R.JS_OBFUSCATION_PATTERNS]
+_PY = [re.compile(p, re.ASCII) for p, _ in R.PY_OBFUSCATION_PATTERNS]
+MATCHES = "package_id string, path string, idx int, k long, line_no int, snippet string"
+FLUSH_ROWS = 20_000
+
+
+def obfuscation_matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """P9a over (package_id, path, content, is_js): every match of the file's
+    language patterns, in pattern order: pattern index in the JS+PY list,
+    ordinal, line of the match's start, snippet.  Line ends are found once per
+    file; rows go out in bounded batches however many matches a file has."""
+    cols = [c.split()[0] for c in MATCHES.split(", ")]
+    rows: list[tuple] = []
+    for batch in batches:
+        for pkg, path, text, js in batch.itertuples(index=False):
+            if text is None:
+                continue
+            ends = [m.start() for m in re.finditer("\n", text)]
+            lines, n, first = text.splitlines(), 0, 0 if js else len(_JS)
+            for j, rx in enumerate(_JS if js else _PY, first):
+                for m in rx.finditer(text):
+                    at = bisect_left(ends, m.start())
+                    rows.append((pkg, path, j, n, at + 1, lines[at].strip()[:120] if at < len(lines) else ""))
+                    n += 1
+                    if len(rows) >= FLUSH_ROWS:
+                        yield pd.DataFrame(rows, columns=cols)
+                        rows = []
+    yield pd.DataFrame(rows, columns=cols)

@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
 from ..rules import packs as R
 from ..schemas import findings_from_hits, hit
 from ..sources.code_facts import code_facts
+from ..sources.files import to_lines
 from .taint import FILE, propagate_taint, split_facts
 
 PH_CALL, PH_S8, PH_S10, PH_S1314 = 0, 1, 2, 3
@@ -78,9 +80,8 @@ def _with_arg0(calls: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def _emit(df: DataFrame, h: Column, line: Column | None = None) -> DataFrame:
     line = F.col("line") if line is None else line
-    return findings_from_hits(df.select(*FILE, line.alias("line_no"), F.col("snippet").alias("snip"),
-                                        h.alias("h")).where(F.col("h").isNotNull()),
-                              "ast", "behavior", default_snippet=F.col("snip"))
+    return findings_from_hits(df.select(*FILE, line.alias("line_no"), h.alias("h")).where(F.col("h").isNotNull()),
+                              "ast", "behavior")
 
 
 def _conf_known(level: Column) -> Column:
@@ -261,7 +262,7 @@ def s2_s3_files(c: DataFrame) -> DataFrame:
 
 def s8_exfil(calls: DataFrame, args: DataFrame, resolved: DataFrame) -> DataFrame:
     sinks = calls.where(is_network_sink(F.col("name"), R.NETWORK_SEND_SINKS)).select(
-        *FILE, "seq", "line", "name", "snippet")
+        *FILE, "seq", "line", "name")
     r = resolved.select(*FILE, "expr", "level", "src_type", "src_desc")
     a = args.join(sinks, [*FILE, "seq"]).join(r, [*FILE, "expr"], "left") \
         .where((F.col("level") == "external") & F.col("src_type").isin("env_var", "file_read"))
@@ -302,9 +303,9 @@ def s13_s14_markers(lits: DataFrame) -> DataFrame:
     for mk in R.SYSTEM_CONFIG_MARKERS:
         x = lv.contains(mk.lower())
         m14 = F.when(x, F.lit(mk)) if m14 is None else m14.when(x, F.lit(mk))
-    cand = lits.select(*FILE, "seq", "line", "value", "snippet", m13.alias("m13"), m14.alias("m14")) \
+    cand = lits.select(*FILE, "seq", "line", "value", m13.alias("m13"), m14.alias("m14")) \
         .where(F.col("m13").isNotNull() | F.col("m14").isNotNull())
-    first = cand.groupBy(*FILE, "line").agg(F.min(F.struct("seq", "value", "snippet", "m13", "m14")).alias("x")) \
+    first = cand.groupBy(*FILE, "line").agg(F.min(F.struct("seq", "value", "m13", "m14")).alias("x")) \
         .select(*FILE, "line", "x.*")
     crit13 = None
     for mk in R.PERSISTENCE_CRITICAL:
@@ -356,4 +357,18 @@ def code_findings(files: DataFrame, rules=CALL_RULES, inputs: dict | None = None
     df = outs[0]
     for o in outs[1:]:
         df = df.unionByName(o)
-    return df.where(F.col("rule_id").isin(*rules))
+    return with_snippets(df.where(F.col("rule_id").isin(*rules)), files)
+
+
+def with_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Fill ``snippet`` with a finding's line and the lines around it: one
+    join of the places that have findings with the lines of their files."""
+    at = findings.select(*FILE, "line").distinct().withColumn(
+        "line_no", F.explode(F.array(*[F.col("line") + d for d in (-1, 0, 1)])))
+    py = files.where(F.col("path").endswith(".py"))
+    near = (to_lines(py).withColumnRenamed("line", "text").join(at, [*FILE, "line_no"])
+            .groupBy(*FILE, "line").agg(F.collect_list(F.struct("line_no", "text")).alias("n"))   # three lines at most
+            .select(*FILE, "line", py_strip(F.array_join(F.array_sort("n")["text"], "\n")).alias("near")))
+    cols = findings.columns
+    return (findings.join(near, [*FILE, "line"], "left")
+            .withColumn("snippet", F.coalesce("near", F.lit(""))).select(*cols))

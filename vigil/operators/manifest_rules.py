@@ -110,7 +110,8 @@ def npm_install_hooks(files: DataFrame) -> DataFrame:
 
 def install_refs(manifests: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(package_id, path) of files an npm install hook names that exist
-    in the package, plus setup.py when it overrides install commands."""
+    anywhere in the package (excluded directories too), plus setup.py when it
+    overrides install commands.  A file named by two hooks counts once."""
     files = manifests if files is None else files
     npm = npm_manifest(manifests).where(F.col("scripts").isNotNull())
     refs = npm.select("package_id", F.explode(F.array(*[F.col("scripts")[h] for h in R.INSTALL_HOOKS])).alias("s")) \
@@ -260,14 +261,16 @@ def actual_capabilities(behavior_findings: DataFrame) -> DataFrame:
     return by_rule.unionByName(by_tag).distinct()
 
 
-def description_text(files: DataFrame) -> DataFrame:
-    """SRC10: SKILL.md and README files (5000 chars each), package.json and
-    pyproject descriptions, in that order, joined by newlines, lower-cased."""
+def description_text(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """SRC10: SKILL.md and README files (whole, or ``max_chars`` of each),
+    package.json and pyproject descriptions, in that order, joined by
+    newlines, lower-cased.  A package has at most seven of them."""
     rank = None
     for i, name in enumerate(R.DESCRIPTION_FILES):
         rank = F.when(F.col("path") == name, i) if rank is None else rank.when(F.col("path") == name, i)
     docs = files.where(F.col("path").isin(*R.DESCRIPTION_FILES)).select(
-        "package_id", rank.alias("r"), F.substring("content", 1, R.DESCRIPTION_CHARS).alias("t"))
+        "package_id", rank.alias("r"),
+        (F.col("content") if max_chars is None else F.substring("content", 1, max_chars)).alias("t"))
     npm = npm_manifest(files).where(F.col("description").isNotNull() & (F.col("description") != "")).select(
         "package_id", F.lit(10).alias("r"), F.col("description").alias("t"))
     py = files.where(F.col("path") == "pyproject.toml").select(
@@ -323,43 +326,47 @@ def undeclared_capabilities(files: DataFrame, caps: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M7
-def debug_artifacts(files: DataFrame, per_pattern: int = R.DEBUG_PER_PATTERN) -> DataFrame:
-    """M7: published debug artifacts, at most ``per_pattern`` per (package,
-    pattern) ordered by path, plus one summary row when there are more.
+def debug_artifacts(files: DataFrame, per_pattern: int | None = None) -> DataFrame:
+    """M7: published debug artifacts, one finding each.  With ``per_pattern``
+    at most that many per (package, pattern), ordered by path, plus one
+    summary row when there are more.
 
-    Only (package_id, path, size) are read.  The per-group top-k is a
-    ``row_number() <= k`` filter that Spark turns into a partial
-    WindowGroupLimit before the shuffle, so a hot package is cut map-side."""
+    Only (package_id, path, size) are read.  A limited group is cut map-side:
+    ``row_number() <= k`` becomes a partial WindowGroupLimit."""
     p = files.select("package_id", "path", "size")
     segs = F.split("path", "/")
     p = p.where(~F.arrays_overlap(segs, F.array(*[F.lit(d) for d in R.DEBUG_EXCLUDED_DIRS])))
     arms = [F.when(F.col("path").rlike(path_glob_regex(g)),
                    F.struct(F.lit(i).alias("pi"), F.lit(g).alias("glob"), F.lit(desc).alias("desc"),
-                            F.lit(sev).alias("sev")))
-            for i, (g, desc, sev) in enumerate(R.DEBUG_ARTIFACTS)]
+                            F.lit(sev).alias("sev"), F.lit(advice).alias("advice")))
+            for i, (g, desc, sev, advice) in enumerate(R.DEBUG_ARTIFACTS)]
     m = p.select("package_id", "path", "size", F.explode_outer(F.array(*arms)).alias("x")).where(F.col("x").isNotNull()) \
         .select("package_id", "path", "size", "x.*")
-    w = Window.partitionBy("package_id", "pi").orderBy("path")
-    top = m.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_pattern)
+    tags = ["debug_artifact", "publish_hygiene", "supply_chain"]
+    if per_pattern is None:
+        listed = m
+    else:
+        w = Window.partitionBy("package_id", "pi").orderBy("path")
+        listed = m.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_pattern)
     h = hit("M7", F.col("sev"), 0.9,
             F.concat(F.lit("Publishable package contains "), F.lower("desc"), F.lit(": "), F.col("path")),
             F.concat(F.lit("Found '"), F.col("path"), F.lit("' which is a "), F.lower("desc"),
                      F.lit(". This type of file should not be included in published packages.")),
             evidence=F.concat(F.lit("File: "), F.col("path"), F.lit(" ("), human_size(F.col("size")), F.lit(")")),
-            tags=["debug_artifact", "publish_hygiene", "supply_chain"],
-            remediation=F.col("desc"), refs=["CWE-540"], phase=7, k=F.col("pi") * 10 + F.col("rn"))
-    a = _emit(top, h, F.col("path"))
-    cnt = m.groupBy("package_id", "pi", "glob", "desc", "sev").agg(F.count("*").alias("n")).where(F.col("n") > per_pattern)
+            tags=tags, remediation=F.col("advice"), refs=["CWE-540"], phase=7, k=F.col("pi") * 2)
+    found = _emit(listed, h, F.col("path"))
+    if per_pattern is None:
+        return found
+    cnt = m.groupBy("package_id", "pi", "glob", "desc", "sev", "advice").agg(F.count("*").alias("n")) \
+        .where(F.col("n") > per_pattern)
     hs = hit("M7", F.col("sev"), 0.9,
              F.concat(F.lit("Multiple "), F.lower("desc"), F.lit(" files found ("), F.col("n").cast("string"),
                       F.lit(" total)")),
              F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" files matching '"), F.col("glob"),
                       F.lit(f"'. Only first {per_pattern} are listed individually.")),
              evidence=F.concat(F.lit("Total: "), F.col("n").cast("string"), F.lit(" files matching "), F.col("glob")),
-             tags=["debug_artifact", "publish_hygiene", "supply_chain"], remediation=F.col("desc"),
-             refs=["CWE-540"], phase=7, k=F.col("pi") * 10 + 9)
-    b = _emit(cnt, hs, F.lit(None).cast("string"))
-    return a.unionByName(b)
+             tags=tags, remediation=F.col("advice"), refs=["CWE-540"], phase=7, k=F.col("pi") * 2 + 1)
+    return found.unionByName(_emit(cnt, hs, F.lit(None).cast("string")))
 
 
 MANIFEST_NAMES = ["package.json", "requirements.txt", "setup.py", "pyproject.toml", "SKILL.md", "mcp.json",

@@ -96,13 +96,17 @@ def r5_shell_config(lines: DataFrame) -> DataFrame:
     return _emit(x, h, F.col("path"), F.col("line_no"), 5)
 
 
-def r6_git_hooks(files: DataFrame) -> DataFrame:
+def r6_git_hooks(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Executable hooks that mention an agent anywhere (or in their first
+    ``max_chars`` characters)."""
+    text = F.coalesce("head", F.lit(""))
+    text = text if max_chars is None else F.substring(text, 1, max_chars)
     roots = "|".join(r.replace(".", r"\.") for r in R.GIT_HOOK_ROOTS)
     # hooks dir at most 5 path parts below a search root
     rx = rf"^(?:{roots})(?:/[^/]+){{0,3}}/\.git/hooks$"
     f = files.where(F.col("parent").rlike(rx) & ~F.col("is_dir") & F.col("is_exec")
                     & ~F.col("name").endswith(".sample")
-                    & _has_kw(F.lower(F.substring(F.coalesce("head", F.lit("")), 1, 2000))))
+                    & _has_kw(F.lower(text)))
     f = f.dropDuplicates(["host_id", "path"])
     h = hit("R6", "medium", 0.7, F.concat(F.lit("Agent-related git hook: "), F.col("name")),
             "Git hook contains agent-related keywords", tags=["persistence", "git_hook"],
@@ -184,10 +188,10 @@ def cleanup_plan(findings: DataFrame) -> DataFrame:
            .when((r == "R1") & F.col("snippet").isNotNull(), "remove_crontab"))
     from ..plans.analytics import group_rank
     a = findings.select(F.col("package_id").alias("host_id"), "rule_id", "title", "path", "line", "snippet",
-                        F.col("ord.phase").alias("_ph"), F.col("ord.k").alias("_k"), typ.alias("type")) \
+                        F.col("ord.phase").alias("_ph"), typ.alias("type")) \
         .where(F.col("type").isNotNull())
     # numbering inside a host without a per-host window (a host may hold a third of all rows)
-    ranked = group_rank(a, ["host_id"], ["_ph", "_k", "path", "line", "rule_id", "title"])
+    ranked = group_rank(a, ["host_id"], ["_ph", "path", "line", "rule_id", "title", "snippet"])
     return ranked.select("host_id", F.col("n").cast("int").alias("n"), "type", "rule_id", "title",
                     F.when(F.col("type") != "remove_crontab", F.col("path")).alias("path"),
                     F.when(F.col("type") == "remove_line", F.col("line")).alias("line"),

@@ -35,33 +35,59 @@ def parse_ignore_files(files: DataFrame, name: str = R.IGNORE_FILE) -> DataFrame
 
 
 def glob_regex(glob: Column) -> Column:
-    """fnmatch translation as a column expression: ``*`` -> ``.*``, ``?`` -> ``.``,
-    every other character quoted."""
-    chars = F.split(glob, "")
-    pieces = F.transform(chars, lambda c: F.when(c == "*", F.lit(".*")).when(c == "?", F.lit("."))
-                         .otherwise(F.concat(F.lit("\\Q"), c, F.lit("\\E"))))
-    return F.concat(F.lit("^(?s:"), F.array_join(pieces, ""), F.lit(")$"))
+    """fnmatch translation as a column expression: ``*`` any text, ``?`` any
+    character, ``[seq]`` and ``[!seq]`` one character; a bracket that is never
+    closed and everything else stand for themselves."""
+    tokens = F.regexp_extract_all(glob, F.lit(r"(?s)\[!?\]?[^\]]*\]|."), 0)
 
+    def piece(t):
+        negated = t.startswith("[!")
+        skip = F.when(negated, 3).otherwise(2)
+        inner = F.substr(t, skip, F.length(t) - skip)
+        # reversed ranges match nothing and are dropped; then all but '-' is escaped
+        ranges = F.regexp_extract_all(inner, F.lit("(?s).-."), 0)
+        bad = F.filter(ranges, lambda r: F.ascii(F.substring(r, 1, 1)) > F.ascii(F.substring(r, 3, 1)))
+        kept = F.aggregate(bad, inner, lambda acc, r: F.replace(acc, r, F.lit("")))
+        body = F.regexp_replace(kept, r"([\\\[\]&~|^])", r"\\$1")
+        bracket = (F.when(body == "", F.when(negated, F.lit(".")).otherwise(F.lit("(?!)")))
+                   .otherwise(F.concat(F.lit("["), F.when(negated, F.lit("^")).otherwise(F.lit("")), body, F.lit("]"))))
+        return (F.when(t == "*", F.lit(".*")).when(t == "?", F.lit("."))
+                .when((F.length(t) > 2) & t.startswith("["), bracket)
+                .otherwise(F.concat(F.lit("\\Q"), t, F.lit("\\E"))))
 
-def _sup_match(f: DataFrame, s: DataFrame) -> Column:
-    return ((f["package_id"] == s["package_id"]) & (f["rule_id"] == s["rule_id"])
-            & ((s["glob"] == "*") | (f["path"].isNotNull() & (f["path"] != "") & F.regexp_like(f["path"], s["rx"])))
-            & (s["line"].isNull() | (f["line"] == s["line"])))
+    return F.concat(F.lit("^(?s:"), F.array_join(F.transform(tokens, piece), ""), F.lit(")$"))
+
+
+PLACE = ["package_id", "rule_id", "path", "line"]
 
 
 def apply_suppressions(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """F-SUP: set ``suppressed`` (rows are kept).  Exact rule id, glob on the
     finding path (``*`` also matches findings without a path), optional line.
 
-    Implemented as a semi join (suppressed) plus an anti join (active) on the
-    equi-keys (package_id, rule_id) with the glob/line test as join filter:
-    multiplicity of findings is preserved and nothing is grouped."""
-    s = suppressions.select("package_id", "rule_id", "glob", "line", glob_regex(F.col("glob")).alias("rx")).alias("s")
-    f = findings.alias("f")
-    cond = _sup_match(findings, s)
-    sup = findings.join(s, cond, "left_semi").withColumn("suppressed", F.lit(True))
-    act = findings.join(s, cond, "left_anti").withColumn("suppressed", F.lit(False))
-    return sup.unionByName(act)
+    The distinct places of the findings meet the entries: ``*`` and plain
+    paths by equi-joins, only globs with wildcards by a regex beside the
+    (package, rule) key.  The places found are then one flag joined to the
+    findings, which are read twice (materialise them first)."""
+    s = suppressions.select("package_id", "rule_id", "glob", F.col("line").alias("s_line")).distinct()
+    at = findings.select("package_id", "rule_id", F.coalesce("path", F.lit("")).alias("path"),
+                         F.coalesce("line", F.lit(-1)).alias("line")).distinct()
+    same_line = F.col("s_line").isNull() | (F.col("s_line") == F.col("line"))
+    wild = F.col("glob").rlike(r"[*?\[]")
+    anywhere = at.join(s.where("glob = '*'").drop("glob"), ["package_id", "rule_id"])
+    exact = at.join(s.where(~wild).withColumnRenamed("glob", "path").where("path <> ''"),
+                    ["package_id", "rule_id", "path"])
+    globbed = at.where("path <> ''").join(
+        s.where(wild & (F.col("glob") != "*")).withColumn("rx", glob_regex(F.col("glob"))),
+        ["package_id", "rule_id"]).where(F.regexp_like("path", F.col("rx")))
+    hit = anywhere.where(same_line).select(*PLACE)
+    for x in (exact, globbed):
+        hit = hit.unionByName(x.where(same_line).select(*PLACE))
+    flag = hit.distinct().select("package_id", "rule_id", F.col("path").alias("_p"), F.col("line").alias("_l"),
+                                 F.lit(True).alias("_hit"))
+    keyed = findings.withColumns({"_p": F.coalesce("path", F.lit("")), "_l": F.coalesce("line", F.lit(-1))})
+    return (keyed.join(flag, ["package_id", "rule_id", "_p", "_l"], "left")
+            .select(*findings.columns, F.coalesce("_hit", F.lit(False)).alias("suppressed")))
 
 
 def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
@@ -171,10 +197,6 @@ def layered_report(findings: DataFrame, verbose: bool = False) -> DataFrame:
         .orderBy("package_id", "layer_rank", F.desc("score"), "ord")
 
 
-def layer_counts(findings: DataFrame) -> DataFrame:
-    return active(findings).groupBy("package_id", "layer", "severity").agg(F.count("*").alias("n"))
-
-
 def detail_order(findings: DataFrame) -> DataFrame:
     """SNK5: findings by severity rank with ``path:line`` location text."""
     loc = F.when(F.col("line").isNotNull(), F.concat_ws(":", "path", F.col("line").cast("string"))) \
@@ -184,31 +206,91 @@ def detail_order(findings: DataFrame) -> DataFrame:
         .orderBy("package_id", "rank", "ord")
 
 
+def _level() -> Column:
+    return F.when(F.col("severity").isin("critical", "high"), "error").otherwise("warning")
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """SNK2 rules: one per (package, rule_id), titled by its first finding."""
+    """SNK2 rules: one per (package, rule_id), titled and levelled by its
+    first finding."""
     return active(findings).groupBy("package_id", "rule_id").agg(
-        F.min(F.struct("ord", "title"))["title"].alias("name"))
+        F.min(F.struct("ord", "title", _level().alias("level"))).alias("x")) \
+        .select("package_id", "rule_id", F.col("x.title").alias("name"), F.col("x.level").alias("level"))
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
     """SNK2 results: level error for critical/high else warning; uri '.'
     and startLine 1 when missing."""
-    a = active(findings)
-    level = F.when(F.col("severity").isin("critical", "high"), "error").otherwise("warning")
-    return a.select("package_id", F.col("rule_id").alias("ruleId"), level.alias("level"),
-                    F.col("title").alias("message"),
-                    F.coalesce(F.nullif(F.col("path"), F.lit("")), F.lit(".")).alias("uri"),
-                    F.coalesce(F.col("line"), F.lit(1)).alias("startLine"))
-
-
-def write_scan_json(scores_df: DataFrame, findings: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """SNK1: the scan result per package, normalized for scale: ``scores``
-    (one JSON object per package) and ``findings`` (JSON lines partitioned
-    by package), instead of one nested array per package."""
-    scores_df.write.mode(mode).json(f"{out_dir}/scores")
-    findings.drop("ord").write.mode(mode).partitionBy("package_id").json(f"{out_dir}/findings")
+    return active(findings).select(
+        "package_id", F.col("rule_id").alias("ruleId"), _level().alias("level"),
+        F.col("description").alias("message"), F.coalesce(F.nullif(F.col("path"), F.lit("")), F.lit(".")).alias("uri"),
+        F.coalesce(F.nullif(F.col("line"), F.lit(0)), F.lit(1)).alias("startLine"), "ord")
+
+
+PART_ROWS = 5000     # findings in one nested document; a package with more has several
+
+
+def _parts(findings: DataFrame) -> DataFrame:
+    """Findings with their number in the package (from 0, in report order)
+    and the number of their document part."""
+    from ..plans.analytics import group_rank
+    ranked = group_rank(findings, ["package_id"], ["ord", "title"])
+    return ranked.withColumn("part", F.floor((F.col("n") - 1) / PART_ROWS).cast("int"))
+
+
+def sarif_documents(findings: DataFrame, tool: str = "vigil", version: str = "1.0") -> DataFrame:
+    """SNK2: (package_id, part, ``$schema``, version, runs): SARIF 2.1.0.  A
+    package with more than PART_ROWS findings gets several documents, each
+    with the rules its results use."""
+    a = _parts(active(findings))
+    level = _level()
+    rule = F.struct(F.col("rule_id").alias("id"), F.struct(F.col("title").alias("text")).alias("shortDescription"),
+                    F.struct(level.alias("level")).alias("defaultConfiguration"))
+    rules = a.groupBy("package_id", "part", "rule_id").agg(F.min(F.struct("n", rule.alias("r"))).alias("x")) \
+        .groupBy("package_id", "part").agg(F.array_sort(F.collect_list("x"))["r"].alias("rules"))
+    uri = F.coalesce(F.nullif(F.col("path"), F.lit("")), F.lit("."))
+    result = F.struct(
+        F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("description").alias("text")).alias("message"),
+        F.array(F.struct(F.struct(
+            F.struct(uri.alias("uri")).alias("artifactLocation"),
+            F.struct(F.coalesce(F.nullif(F.col("line"), F.lit(0)), F.lit(1)).alias("startLine")).alias("region"),
+        ).alias("physicalLocation"))).alias("locations"))
+    results = a.groupBy("package_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("n", result.alias("r"))))["r"].alias("results"))
+    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.col("rules"))
+    return results.join(rules, ["package_id", "part"]).select(
+        "package_id", "part", F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"),
+        F.lit("2.1.0").alias("version"),
+        F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"))).alias("runs"))
+
+
+def scan_documents(scores_df: DataFrame, findings: DataFrame, platforms: DataFrame | None = None) -> DataFrame:
+    """SNK1: the nested scan result, one row per package (and part, beyond
+    PART_ROWS findings): target, grade, risk_level, key_risks, behavior_tags
+    and findings[] with the report's field names, suppressed ones included."""
+    finding = F.struct(
+        "rule_id", "engine", "layer", "severity", "confidence", "title", "description",
+        F.col("path").alias("file_path"), "line", F.col("snippet").alias("code_snippet"), "evidence", "tags",
+        "remediation", F.col("refs").alias("references"), "suppressed")
+    parts = _parts(findings).groupBy("package_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("n", finding.alias("f"))))["f"].alias("findings"))
+    s = scores_df if platforms is None else scores_df.join(platforms, "package_id", "left")
+    platform = F.lit(None).cast("string") if platforms is None else F.col("platform")
+    target = F.struct(F.col("package_id").alias("path"), platform.alias("platform"),
+                      F.lit(None).cast("string").alias("url"))
+    return s.join(parts, "package_id", "left").select(
+        "package_id", F.coalesce("part", F.lit(0)).alias("part"), target.alias("target"), "grade", "risk_level",
+        "key_risks", "behavior_tags", F.coalesce("findings", F.array()).alias("findings"),
+        F.lit(0).cast("long").alias("scan_duration_ms"))
+
+
+def write_scan_json(scores_df: DataFrame, findings: DataFrame, out_dir: str, mode: str = "overwrite",
+                    platforms: DataFrame | None = None) -> None:
+    """SNK1 as JSON lines of nested results, which ``read_scan_reports`` reads
+    back.  Files follow the partitions, not the packages."""
+    scan_documents(scores_df, findings, platforms).drop("package_id", "part").write.mode(mode).json(out_dir)
 
 
 def write_sarif(findings: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    sarif_rules(findings).write.mode(mode).json(f"{out_dir}/rules")
-    sarif_results(findings).write.mode(mode).json(f"{out_dir}/results")
+    """SNK2 as JSON lines, one SARIF document each."""
+    sarif_documents(findings).drop("package_id", "part").write.mode(mode).json(out_dir)

@@ -16,12 +16,27 @@ round is checkpointed to the shared checkpoint folder to cut lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILE = ["package_id", "path"]
 
 
+def _last_kw(name: str, value) -> Column:
+    """``value`` of the last keyword argument ``name`` that has one."""
+    got = F.filter(F.transform(F.filter("kws", lambda k: k["name"] == name), value), lambda v: v.isNotNull())
+    return F.get(got, F.size(got) - 1)
+
+
+def _call_modes() -> list[Column]:
+    """shell_true, the mode a file is opened with, and yaml's Loader."""
+    shell = F.coalesce(F.exists("kws", lambda k: (k["name"] == "shell") & k["is_true"]), F.lit(False))
+    mode = F.coalesce(_last_kw("mode", lambda k: F.nullif(k["text"], F.lit(""))), F.nullif("arg1_str", F.lit("")),
+                      F.lit("r"))
+    loader = _last_kw("Loader", lambda k: F.coalesce(k["attr"], k["text"], F.lit("")))
+    return [shell.alias("shell_true"), mode.alias("mode"), loader.alias("loader")]
+
+
 def split_facts(facts: DataFrame) -> dict[str, DataFrame]:
     k = F.col("kind")
     return {
@@ -29,10 +44,10 @@ def split_facts(facts: DataFrame) -> dict[str, DataFrame]:
         "exprs": facts.where(k == "expr").select(*FILE, "expr", "emode", "operands", "use_key"),
         "leaves": facts.where(k == "leaf").select(*FILE, "expr", "ord", "lkind", "name", "src_type", "src_desc",
                                                   "use_key"),
-        "calls": facts.where(k == "call").select(*FILE, "seq", "line", "name", "attr", "n_args", "shell_true",
-                                                 "arg0_str", "arg0_expr", "mode", "loader", "snippet"),
+        "calls": facts.where(k == "call").select(*FILE, "seq", "line", "name", "attr", "n_args", "arg0_str", "arg0_expr",
+                                                 *_call_modes()),
         "args": facts.where(k == "arg").select(*FILE, "seq", "pos", "kw", "expr"),
-        "lits": facts.where(k == "lit").select(*FILE, "seq", "line", F.col("name").alias("value"), "snippet"),
+        "lits": facts.where(k == "lit").select(*FILE, "seq", "line", F.col("name").alias("value")),
     }
 
 

@@ -16,13 +16,15 @@ from pyspark.sql import types as T
 from ..functions.text import (any_match, b64_decode_lenient, explode_hits, first_match, gate, gated_first_match, gated_rlike,
                               newline_count, pick, py_fixed, shannon_entropy, snippet)
 from ..rules import packs as R
-from ..schemas import HIT, findings_from_hits, hit
+from ..schemas import HIT, empty_findings, findings_from_hits, hit
 
 HITS = T.ArrayType(HIT)
 
 
 # phase of each rule inside one file's scan order
 PH_LINE, PH_P5, PH_P7, PH_P8, PH_P9A, PH_P9B, PH_P10 = 0, 1, 2, 3, 4, 5, 6
+# first order key of each line rule: a range of its own, however many hits a line has
+K_P1, K_P2, K_P3, K_P4_IP, K_P4_DNS, K_P6 = (i << 40 for i in range(6))
 
 
 def _compact(*arrays: Column) -> Column:
@@ -38,37 +40,7 @@ def is_test_path(path: Column) -> Column:
     return F.lower(path).rlike("|".join(R.TEST_PATH_WORDS))
 
 
-def p1_hits(line: Column, path: Column) -> Column:
-    idx = first_match(line, [p for _, p, _ in R.SECRET_PATTERNS])
-    name = pick([n for n, _, _ in R.SECRET_PATTERNS], idx)
-    sev = pick([s for _, _, s in R.SECRET_PATTERNS], idx)
-    cond = idx.isNotNull() & ~line.rlike(R.PLACEHOLDER_PATTERN) & ~is_test_path(path)
-    return _one(cond, hit("P1", sev, 0.9, F.concat(F.lit("Hardcoded credential: "), name),
-                          F.concat(F.lit("Found "), name, F.lit(" pattern in source code")),
-                          tags=["credential", "hardcoded_secret"],
-                          remediation="Move to environment variable or secrets manager.",
-                          refs=["CWE-798"], phase=PH_LINE, k=0))
-
-
 # ---------------------------------------------------------------- P2
-def p2_hits(line: Column) -> Column:
-    toks = F.regexp_extract_all(line, F.lit(R.B64_TOKEN), 1)
-
-    def one(t, i):
-        dec = b64_decode_lenient(t)
-        sev = (F.when(dec.rlike(R.B64_SHELL_WORDS), "critical")
-               .when(dec.rlike(R.B64_URL), "high")
-               .when(dec.rlike(R.B64_CODE_WORDS), "high"))
-        return F.when(sev.isNotNull(), hit(
-            "P2", sev, 0.85, "Base64 encoded suspicious content",
-            "Base64 string decodes to potentially malicious content",
-            evidence=F.concat(F.lit("Decoded: "), F.substring(dec, 1, 100)),
-            tags=["obfuscation", "encoded_payload"], remediation="Remove obfuscated content. Use plain text.",
-            phase=PH_LINE, k=1000 + i))
-
-    return F.transform(toks, one)
-
-
 def _p2_from(toks: Column) -> Column:
     def one(t, i):
         dec = b64_decode_lenient(t)
@@ -80,7 +52,7 @@ def _p2_from(toks: Column) -> Column:
             "Base64 string decodes to potentially malicious content",
             evidence=F.concat(F.lit("Decoded: "), F.substring(dec, 1, 100)),
             tags=["obfuscation", "encoded_payload"], remediation="Remove obfuscated content. Use plain text.",
-            phase=PH_LINE, k=1000 + i))
+            phase=PH_LINE, k=F.lit(K_P2) + i))
     return F.when(F.size(toks) > 0, F.transform(toks, one)).otherwise(F.array().cast(HITS))
 
 
@@ -92,7 +64,7 @@ def _p3_from(line: Column, hx: Column, ux: Column) -> Column:
                           F.format_string("Line contains %d escape sequences, possible obfuscation", total),
                           evidence=F.format_string("%d escape sequences", total), tags=["obfuscation"],
                           remediation="Use plain text strings. Obfuscation is a red flag.",
-                          phase=PH_LINE, k=2000))
+                          phase=PH_LINE, k=K_P3))
 
 
 # ---------------------------------------------------------------- P3
@@ -100,18 +72,6 @@ def p3_counts(line: Column) -> tuple[Column, Column]:
     return F.regexp_count(line, F.lit(R.HEX_ESCAPE)), F.regexp_count(line, F.lit(R.UNICODE_ESCAPE))
 
 
-def p3_hits(line: Column) -> Column:
-    hx, ux = p3_counts(line)
-    total = hx + ux
-    cond = (((hx >= R.ESCAPE_MIN) | (ux >= R.ESCAPE_MIN)) & ~line.rlike(R.REGEX_CONTEXT)
-            & ~line.rlike(R.MAGIC_BYTES) & ~line.rlike(R.CHAR_CLASS_RANGE))
-    return _one(cond, hit("P3", "medium", 0.7, "Hex/Unicode escape obfuscation",
-                          F.format_string("Line contains %d escape sequences, possible obfuscation", total),
-                          evidence=F.format_string("%d escape sequences", total), tags=["obfuscation"],
-                          remediation="Use plain text strings. Obfuscation is a red flag.",
-                          phase=PH_LINE, k=2000))
-
-
 # ---------------------------------------------------------------- P4
 def public_ip_ok(ip: Column, line: Column) -> Column:
     """Reference filters for one dotted quad found on ``line``."""
@@ -127,15 +87,6 @@ def public_ip_ok(ip: Column, line: Column) -> Column:
             & ~ctx.rlike(R.VERSION_CONTEXT) & ~((five != "") & five.contains(ip)))
 
 
-def p4_ip_hits(line: Column) -> Column:
-    ips = F.regexp_extract_all(line, F.lit(R.IPV4_SPARK), 1)
-    return F.transform(ips, lambda ip, i: F.when(public_ip_ok(ip, line), hit(
-        "P4", "medium", 0.7, F.concat(F.lit("Hardcoded public IP: "), ip),
-        "Public IP address found in source code", tags=["network", "hardcoded_ip"],
-        remediation="Use domain names with verified ownership instead of bare IPs.",
-        phase=PH_LINE, k=3000 + i)))
-
-
 def ddns_patterns() -> list[str]:
     """Built-in list, then pack globs turned into escaped regexes (dots kept
     literal), duplicates dropped."""
@@ -148,34 +99,12 @@ def ddns_patterns() -> list[str]:
     return out
 
 
-def p4_ddns_hits(line: Column) -> Column:
-    cond = line.rlike("(?i)(?:" + "|".join(ddns_patterns()) + ")")
-    return _one(cond, hit("P4", "high", 0.85, "Dynamic DNS domain detected",
-                          "Code references a dynamic DNS service commonly used for C2",
-                          tags=["network", "suspicious_domain"], remediation="Verify this domain is legitimate.",
-                          phase=PH_LINE, k=4000))
-
-
-# ---------------------------------------------------------------- P6
-def p6_hits(line: Column) -> Column:
-    idx = first_match(line, [p for p, _ in R.PROMPT_INJECTION_PATTERNS])
-    sev = pick([s for _, s in R.PROMPT_INJECTION_PATTERNS], idx)
-    return _one(idx.isNotNull(), hit("P6", sev, 0.8, "Prompt injection pattern detected",
-                                     "Text contains a known prompt injection pattern", tags=["prompt_injection"],
-                                     remediation="Remove prompt injection content.", refs=["OWASP LLM01"],
-                                     phase=PH_LINE, k=5000))
-
-
 # ---------------------------------------------------------------- P7
 def suspicious_tlds() -> list[str]:
     """Built-in and pack TLDs, de-duplicated and sorted (deterministic)."""
     return sorted(set(R.SUSPICIOUS_TLDS_BUILTIN + R.SUSPICIOUS_TLDS_PACK))
 
 
-def p7_hits(line: Column) -> Column:
-    return _p7_from(F.regexp_extract_all(line, F.lit(R.QUOTED_TOKEN), 1))
-
-
 def _p7_from(toks: Column) -> Column:
 
     def one(t, i):
@@ -196,10 +125,6 @@ def _p7_from(toks: Column) -> Column:
 
 
 # ---------------------------------------------------------------- P8
-def p8_hits(line: Column) -> Column:
-    return _p8_from(F.regexp_extract_all(line, F.lit(R.URL_PATTERN), 0))
-
-
 def _p8_from(urls: Column, iocs=None) -> Column:
     if iocs is None:
         iocs = R.IOC_PATTERNS
@@ -312,7 +237,7 @@ def _stage2(rules, iocs=None) -> list[Column]:
                                   F.concat(F.lit("Found "), name, F.lit(" pattern in source code")),
                                   tags=["credential", "hardcoded_secret"],
                                   remediation="Move to environment variable or secrets manager.",
-                                  refs=["CWE-798"], phase=PH_LINE, k=0)))
+                                  refs=["CWE-798"], phase=PH_LINE, k=K_P1)))
     if "P2" in rules:
         out.append(_p2_from(F.col("_b64")))
     if "P3" in rules:
@@ -323,18 +248,18 @@ def _stage2(rules, iocs=None) -> list[Column]:
             "P4", "medium", 0.7, F.concat(F.lit("Hardcoded public IP: "), ip),
             "Public IP address found in source code", tags=["network", "hardcoded_ip"],
             remediation="Use domain names with verified ownership instead of bare IPs.",
-            phase=PH_LINE, k=3000 + i)))).otherwise(F.array().cast(HITS)))
+            phase=PH_LINE, k=F.lit(K_P4_IP) + i)))).otherwise(F.array().cast(HITS)))
         out.append(_one(F.col("_ddns"), hit("P4", "high", 0.85, "Dynamic DNS domain detected",
                                             "Code references a dynamic DNS service commonly used for C2",
                                             tags=["network", "suspicious_domain"],
-                                            remediation="Verify this domain is legitimate.", phase=PH_LINE, k=4000)))
+                                            remediation="Verify this domain is legitimate.", phase=PH_LINE, k=K_P4_DNS)))
     if "P6" in rules:
         idx = F.col("_p6")
         sev = pick([s for _, s in R.PROMPT_INJECTION_PATTERNS], idx)
         out.append(_one(idx.isNotNull(), hit("P6", sev, 0.8, "Prompt injection pattern detected",
                                              "Text contains a known prompt injection pattern",
                                              tags=["prompt_injection"], remediation="Remove prompt injection content.",
-                                             refs=["OWASP LLM01"], phase=PH_LINE, k=5000)))
+                                             refs=["OWASP LLM01"], phase=PH_LINE, k=K_P6)))
     if "P7" in rules:
         out.append(_p7_from(F.col("_tok")))
     if "P8" in rules:
@@ -346,38 +271,26 @@ def _stage2(rules, iocs=None) -> list[Column]:
     return out
 
 
-def line_hits(line: Column, path: Column, rules=LINE_RULES) -> Column:
-    """Single-expression form (convenient for ad-hoc use on one column)."""
-    parts = []
-    if "P1" in rules:
-        parts.append(p1_hits(line, path))
-    if "P2" in rules:
-        parts.append(p2_hits(line))
-    if "P3" in rules:
-        parts.append(p3_hits(line))
-    if "P4" in rules:
-        parts += [p4_ip_hits(line), p4_ddns_hits(line)]
-    if "P6" in rules:
-        parts.append(p6_hits(line))
-    if "P7" in rules:
-        parts.append(p7_hits(line))
-    if "P8" in rules:
-        parts.append(p8_hits(line))
-    if "P9" in rules:
-        parts.append(p9_long_hits(line))
-    if "P10" in rules:
-        parts.append(p10_candidates(line))
-    return _compact(*parts)
-
-
 def text_findings(lines: DataFrame, rules=LINE_RULES, p3_decode: bool = False, iocs=None) -> DataFrame:
-    """All line-level P findings in one pass over ``lines``.
+    """All line-level P findings.
 
     Stage 1 evaluates every regex once per line into plain columns; stage 2
     assembles hit arrays from them; ``explode`` drops lines without hits (no
-    filter in front of it, so nothing is evaluated twice).  P10 then keeps
-    one finding per (file, tactic) in a single group-by over the hits only
-    (every other hit is its own group)."""
+    filter in front of it, so nothing is evaluated twice).  P10 keeps one
+    finding per (file, tactic) and so has a pass and a group-by of its own;
+    the findings of all other rules are never shuffled."""
+    plain = [r for r in rules if r != "P10"]
+    parts = [_line_findings(lines, plain, p3_decode, iocs)] if plain else []
+    if "P10" in rules:
+        f = _line_findings(lines, ["P10"], False, None)
+        best = f.groupBy("package_id", "path", F.col("tags")[2].alias("_g")).agg(
+            F.min(F.struct(F.col("line").alias("_l"), F.col("ord.k").alias("_k"), F.struct(*f.columns).alias("row")))
+            .alias("b"))
+        parts.append(best.select("b.row.*"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _line_findings(lines: DataFrame, rules, p3_decode: bool, iocs) -> DataFrame:
     s0 = lines.select("package_id", "path", "line_no", "line", F.lower("line").alias("_ll"))
     s1 = s0.select("package_id", "path", "line_no", "line", *_stage1(rules))
     s2 = s1.select("package_id", "path", "line_no", "line", _compact(*_stage2(rules, iocs)).alias("hs"))
@@ -389,97 +302,62 @@ def text_findings(lines: DataFrame, rules=LINE_RULES, p3_decode: bool = False, i
         dec = unicode_escape_evidence(F.when(is3, F.col("line")))
         flat = flat.withColumn("h", F.when(is3 & dec.isNotNull(), F.col("h").withField("evidence", dec))
                                .otherwise(F.col("h")))
-    f = findings_from_hits(flat, "pattern", "behavior", default_snippet=snippet(F.col("line")))
-    if "P10" not in rules:
-        return f
-    grp = F.when(F.col("rule_id") == "P10", F.col("tags")[2]).otherwise(
-        F.concat_ws(":", F.col("line").cast("string"), F.col("ord.phase").cast("string"),
-                    F.col("ord.k").cast("string"), F.col("rule_id")))
-    best = f.groupBy("package_id", "path", grp.alias("_g")).agg(
-        F.min(F.struct(F.col("line").alias("_l"), F.col("ord.k").alias("_k"), F.struct(*f.columns).alias("row")))
-        .alias("b"))
-    return best.select("b.row.*")
-
-
-def p3_evidence(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Replace P3 evidence by the decoded line (F10 pandas UDF, P3 rows only).
-    For findings computed elsewhere; ``text_findings(p3_decode=True)`` does it
-    without this join."""
-    from ..functions.udfs import unicode_escape_evidence
-    p3 = findings.where(F.col("rule_id") == "P3").alias("f").join(
-        lines.alias("l"), (F.col("f.package_id") == F.col("l.package_id")) & (F.col("f.path") == F.col("l.path"))
-        & (F.col("f.line") == F.col("l.line_no")))
-    p3 = p3.select(*[F.col("f." + c) for c in findings.columns if c != "evidence"],
-                   F.coalesce(unicode_escape_evidence(F.col("l.line")), F.col("f.evidence")).alias("evidence"))
-    return findings.where(F.col("rule_id") != "P3").unionByName(p3.select(*findings.columns))
+    return findings_from_hits(flat, "pattern", "behavior", default_snippet=snippet(F.col("line")))
 
 
 # ---------------------------------------------------------------- P5 (whole file)
-LITERAL_RULES_MAX = 200
+PLAN_LITERALS = 200      # a longer pack is joined as a rule table instead; findings and order keys are the same
 
 
 def p5_signatures(files: DataFrame, signatures=None) -> DataFrame:
     """First match of every signature in every file.
 
     ``signatures``: a DataFrame or rows (id, name, pattern, multiline,
-    severity, tags, refs); defaults to the built-in pack.  Up to
-    ``LITERAL_RULES_MAX`` patterns become plan literals (each regex compiled
-    once per task, gated by its required literals); bigger packs are joined
-    as a broadcast rule table (its size is checked first).
-    """
-    from ..sources.rule_packs import as_signature_tuples
-    if isinstance(signatures, DataFrame):
-        n = signatures.count()
-        if n > LITERAL_RULES_MAX:
-            return _p5_join(files, signatures)
+    severity, tags, refs); defaults to the built-in pack.  A pack is a
+    dimension held by the driver; a pattern that does not compile is skipped.
+    A finding's order key is its signature's position in the pack (of a
+    DataFrame: by id), whichever way the pack is evaluated: as plan literals,
+    each regex compiled once per task and gated by its required literals, or
+    for long packs as a rule table that files are joined to."""
+    from ..sources.corpus import LINE_BREAKS
+    from ..sources.rule_packs import as_signature_tuples, compiles
+    spark = files.sparkSession
     sigs = as_signature_tuples(signatures) if signatures is not None else R.SIGNATURES
-    file_hash = F.sha2(F.col("content"), 256)
-    hits = []
-    for j, (sid, name, pat, multi, sev, tags, refs) in enumerate(sigs):
-        flags = "(?i)(?s)" if multi else "(?i)"
-        rx = flags + pat
-        # prefix before the first match -> its line; computed only for files that match
-        before = F.split(F.col("content"), rx, 2)[0]
-        line = newline_count(before) + 1
-        hits.append(F.when(gated_rlike(F.col("content"), F.col("_lc"), rx), F.struct(
-            line.cast("int").alias("line"),
-            hit("P5", sev, 0.9, "Malicious signature: " + name,
-                f"Matched known malicious signature {sid}: {name}",
-                evidence=F.concat(F.lit(f"Signature {sid} matched (SHA256: "), F.substring(file_hash, 1, 16),
-                                  F.lit("...)")),
-                tags=["malicious_signature"] + list(tags),
-                remediation="This file matches a known malicious pattern. Do not install or execute.",
-                refs=list(refs), phase=PH_P5, k=j).alias("h"))))
-    arr = F.array_compact(F.array(*hits))
-    lc = files.select("package_id", "path", "content", F.lower("content").alias("_lc"))
-    flat = explode_hits(lc, ["package_id", "path", "content"], arr, "x") \
-        .select("package_id", "path", "content", F.col("x.line").alias("line_no"), F.col("x.h").alias("h"))
-    # snippet: the matched line of the file (python splitlines numbering)
-    from .. sources.corpus import LINE_BREAKS
-    line_text = F.element_at(F.split(F.col("content"), LINE_BREAKS, -1), F.col("line_no"))
-    return findings_from_hits(flat, "pattern", "behavior", default_snippet=F.coalesce(snippet(line_text), F.lit("")))
-
+    pack = [(j, sid, name, ("(?i)(?s)" if multi else "(?i)") + pat, sev, list(tags), list(refs))
+            for j, (sid, name, pat, multi, sev, tags, refs) in enumerate(sigs)]
+    pack = [x for x in pack if signatures is None or compiles(spark, x[3])]
 
-def _p5_join(files: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Large signature packs: theta join of files with the broadcast rule
-    table (a rule table of a few MB; content is never shuffled)."""
-    s = sigs.select("id", "name", "severity", "tags", "refs",
-                    F.concat(F.when(F.col("multiline"), F.lit("(?i)(?s)")).otherwise(F.lit("(?i)")),
-                             F.col("pattern")).alias("rx"),
-                    F.xxhash64("id").alias("j"))
-    j = files.join(F.broadcast(s), F.regexp_like(F.col("content"), F.col("rx")))
-    before = F.expr("split(content, rx, 2)[0]")
-    h = hit("P5", F.col("severity"), 0.9, F.concat(F.lit("Malicious signature: "), F.col("name")),
-            F.concat(F.lit("Matched known malicious signature "), F.col("id"), F.lit(": "), F.col("name")),
-            evidence=F.concat(F.lit("Signature "), F.col("id"), F.lit(" matched (SHA256: "),
+    def found(j, sid, name, rx, sev, tags, refs):
+        # prefix before the first match -> its line; computed only for files that match
+        line = newline_count(F.split(F.col("content"), rx, 2)[0]) + 1
+        return F.struct(line.cast("int").alias("line_no"), hit(
+            "P5", sev, 0.9, F.concat(F.lit("Malicious signature: "), name),
+            F.concat(F.lit("Matched known malicious signature "), sid, F.lit(": "), name),
+            evidence=F.concat(F.lit("Signature "), sid, F.lit(" matched (SHA256: "),
                               F.substring(F.sha2(F.col("content"), 256), 1, 16), F.lit("...)")),
-            tags=F.concat(F.array(F.lit("malicious_signature")), F.col("tags")),
+            tags=F.concat(F.array(F.lit("malicious_signature")), tags),
             remediation="This file matches a known malicious pattern. Do not install or execute.",
-            refs=F.col("refs"), phase=PH_P5, k=F.col("j"))
-    flat = j.select("package_id", "path", "content", (newline_count(before) + 1).cast("int").alias("line_no"),
-                    h.alias("h"))
-    from ..sources.corpus import LINE_BREAKS
-    line_text = F.element_at(F.split(F.col("content"), LINE_BREAKS, -1), F.col("line_no"))
+            refs=refs, phase=PH_P5, k=j).alias("h"))
+
+    text = files.select("package_id", "path", "content", F.lower("content").alias("_lc"))
+    if len(pack) <= PLAN_LITERALS:
+        strings = lambda v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+        arms = [F.when(gated_rlike(F.col("content"), F.col("_lc"), rx),
+                       found(F.lit(j), F.lit(sid), F.lit(name), F.lit(rx), F.lit(sev), strings(tags), strings(refs)))
+                for j, sid, name, rx, sev, tags, refs in pack]
+        flat = explode_hits(text, ["package_id", "path", "content"], F.array_compact(F.array(*arms)), "x") \
+            if arms else None
+    else:
+        rules = spark.createDataFrame(pack, "j long, id string, name string, rx string, severity string, "
+                                            "tags array<string>, refs array<string>")
+        x = found(*(F.col(c) for c in ("j", "id", "name", "rx", "severity", "tags", "refs")))
+        flat = (text.join(F.broadcast(rules), F.regexp_like(F.col("content"), F.col("rx")))
+                .select("package_id", "path", "content", x.alias("x")))
+    if flat is None:
+        return empty_findings(spark)
+    flat = flat.select("package_id", "path", "content", "x.line_no", "x.h")
+    # snippet: the matched line of the file (python splitlines numbering)
+    line_text = F.get(F.split(F.col("content"), LINE_BREAKS, -1), F.col("line_no") - 1)
     return findings_from_hits(flat, "pattern", "behavior", default_snippet=F.coalesce(snippet(line_text), F.lit("")))
 
 
@@ -487,42 +365,41 @@ def _p5_join(files: DataFrame, sigs: DataFrame) -> DataFrame:
 def p9_obfuscation(files: DataFrame) -> DataFrame:
     """Every match of the language's obfuscation patterns, with its line.
 
-    A JVM ``rlike`` on the whole content keeps only files with at least one
-    match; those few go through an Arrow-batched pandas UDF that runs
-    ``finditer`` and counts newlines before each match (exact line numbers
-    for patterns whose ``\\s`` may cross lines).
-    """
-    from ..functions.udfs import obfuscation_matches
-    p = F.col("path")
+    Files without the literals every match must contain are dropped in the
+    JVM by substring search; no backtracking regex runs there, so a long
+    chain cannot overflow its stack.  The others go through an Arrow-batched
+    ``finditer`` (exact line numbers for patterns whose ``\\s`` may cross
+    lines)."""
+    from ..functions.udfs import MATCHES, obfuscation_matches
+    p, c = F.col("path"), F.col("content")
     is_js = p.endswith(".js") | p.endswith(".mjs") | p.endswith(".cjs")
-    is_py = p.endswith(".py")
-    js_any = "(?d)(?:" + "|".join(x for x, _ in R.JS_OBFUSCATION_PATTERNS) + ")"
-    py_any = "(?d)(?:" + "|".join(x for x, _ in R.PY_OBFUSCATION_PATTERNS) + ")"
-    c = F.col("content")
-    js_gate = F.lit(False)
-    for x, _ in R.JS_OBFUSCATION_PATTERNS:
-        js_gate = js_gate | gated_rlike(c, F.lower(c), "(?d)" + x)
-    py_gate = F.lit(False)
-    for x, _ in R.PY_OBFUSCATION_PATTERNS:
-        py_gate = py_gate | gated_rlike(c, F.lower(c), "(?d)" + x)
-    cand = files.where((is_js & js_gate) | (is_py & py_gate))
-    ms = cand.select("package_id", "path", F.explode(obfuscation_matches(F.col("content"), is_js)).alias("m"))
+
+    def may_match(patterns):
+        cond = F.lit(False)
+        for x, _ in patterns:
+            g = gate(c, F.lower(c), x)
+            cond = F.lit(True) if g is None else cond | g
+        return cond
+
+    cand = files.where((is_js & may_match(R.JS_OBFUSCATION_PATTERNS))
+                       | (p.endswith(".py") & may_match(R.PY_OBFUSCATION_PATTERNS)))
+    ms = cand.select("package_id", "path", "content", is_js.alias("is_js")).mapInPandas(obfuscation_matches, MATCHES)
     descs = [d for _, d in R.JS_OBFUSCATION_PATTERNS] + [d for _, d in R.PY_OBFUSCATION_PATTERNS]
-    out = ms.select("package_id", "path", F.col("m.line").alias("line_no"), hit(
-        "P9", "high", 0.8, F.concat(F.lit("Code obfuscation: "), pick(descs, F.col("m.idx"))),
+    out = ms.select("package_id", "path", "line_no", hit(
+        "P9", "high", 0.8, F.concat(F.lit("Code obfuscation: "), pick(descs, F.col("idx"))),
         "Obfuscation pattern detected, common in malicious code", tags=["obfuscation"],
         remediation="Request unobfuscated source. Obfuscation in skills is a strong malice indicator.",
-        snippet=F.col("m.snippet"), phase=PH_P9A, k=F.col("m.k")).alias("h"))
+        snippet=F.col("snippet"), phase=PH_P9A, k=F.col("idx") * F.lit(1 << 40) + F.col("k")).alias("h"))
     return findings_from_hits(out, "pattern", "behavior")
 
 
 # ---------------------------------------------------------------- P6b (SKILL.md description)
-def p6_skill_injection(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """SKILL.md: the first 2000 characters (the reference's section lookup
-    never matches), first injection pattern only; line = first line that
-    contains the matched text (case-insensitive)."""
+def p6_skill_injection(files: DataFrame, lines: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """SKILL.md, whole (or its first ``max_chars`` characters), first
+    injection pattern only; line = first line that contains the matched text
+    (case-insensitive)."""
     skill = files.where(F.col("path") == "SKILL.md")
-    head = F.substring(F.col("content"), 1, R.SKILL_DESCRIPTION_CHARS)
+    head = F.col("content") if max_chars is None else F.substring(F.col("content"), 1, max_chars)
     pats = ["(?i)" + p for p in R.SKILL_INJECTION_PATTERNS]
     idx = first_match(head, pats)
     matched = F.element_at(F.array(*[F.regexp_extract(head, p, 0) for p in pats]), (idx + 1).cast("int"))

@@ -215,12 +215,14 @@ REPORT = T.StructType([
 ])
 
 
-def read_scan_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_scan_reports(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """SRC12: stored per-package scan JSON -> (reports/scores, findings).
 
     The package id is ``_scan_meta.author_skill`` when present, else the
-    target path.  Each file is one multi-line JSON object."""
-    r = spark.read.schema(REPORT).option("multiLine", "true").json(path)
+    target path.  Each file is one multi-line JSON object, or with
+    ``multi_line=False`` JSON lines as ``write_scan_json`` writes them (a
+    package in several parts then has as many report rows)."""
+    r = spark.read.schema(REPORT).option("multiLine", str(multi_line).lower()).json(path)
     pid = F.coalesce(F.col("_scan_meta.author_skill"), F.col("target.path"))
     reports = r.select(pid.alias("package_id"), F.col("target.platform").alias("platform"), "grade", "risk_level",
                        "key_risks", "behavior_tags", "scan_duration_ms")

@@ -51,16 +51,24 @@ def snippet(col: str, n: int = 120) -> str:
     return f"substring({py_strip(col)}, 1, {n})"
 
 
-def pkg(col: str) -> str:
-    return f"('src' || CAST(({col}) % {C.N_PACKAGES} AS VARCHAR))"
+def pkg(table: str, key: str) -> str:
+    per, step = C.PER_PACKAGE[table]
+    return f"('pkg' || CAST(({key} // {per}) * {step} AS VARCHAR))"
+
+
+def doc_pkg(alias: str = "") -> str:
+    return f"CASE WHEN {alias}source = {q(C.HOT_SOURCE)} THEN 'pkg0' ELSE {pkg('documents', alias + 'doc_id')} END"
 
 
 def corpus_ctes() -> str:
     """``WITH`` body defining files, scanned and lines."""
     ext = case_pick("doc_id % 6", C.DOC_EXTS)
-    snip = case_pick(f"doc_id % {len(C.SNIPPETS)}", C.SNIPPETS)
+    every, at = C.CLEAN_PACKAGES
+    snip_no = (f"CASE WHEN (doc_id // 10) % {every} = {at} AND coalesce(source, '') <> {q(C.HOT_SOURCE)} "
+               f"THEN {C.HARMLESS} ELSE doc_id % {len(C.SNIPPETS)} END")
+    snip = case_pick(f"({snip_no})", C.SNIPPETS)
     art = case_pick(f"page_id % {len(C.ARTIFACT_PATHS)}", C.ARTIFACT_PATHS)
-    dep = (f"CASE WHEN p_partkey % 50 < {len(C.PLANTED_DEPS)} THEN {case_pick('p_partkey % 50', C.PLANTED_DEPS)} "
+    dep = (f"CASE WHEN p_partkey % 50 < {len(C.PLANTED_DEPS)} AND (p_partkey // 20) % 3 = 0 THEN {case_pick('p_partkey % 50', C.PLANTED_DEPS)} "
            f"ELSE replace(coalesce(p_name, 'pkg'), ' ', '-') END")
     tool = case_pick(f"(conv_id * 7 + turn) % {len(C.SKILL_TOOLS)}", C.SKILL_TOOLS)
     item = f"CASE WHEN turn % 5 = 4 THEN '#### ' || {tool} ELSE '- ' || {tool} END"
@@ -70,21 +78,24 @@ def corpus_ctes() -> str:
     hook_k = case_pick(f"pk % {len(C.NPM_HOOKS)}", [h for h, _ in C.NPM_HOOKS])
     hook_v = case_pick(f"pk % {len(C.NPM_HOOKS)}", [v for _, v in C.NPM_HOOKS])
     ext_l = case_pick("l.doc_id % 6", C.DOC_EXTS)
+    hooks = " ".join(f"UNION ALL SELECT package_id, {q(p)}, {q(C.HOOK_PY)} FROM pkgs WHERE pk % {len(C.NPM_HOOKS)} = {r}"
+                     for r, p in C.HOOK_FILES)
     scanned_sfx = ", ".join(q(s) for s in R.SCANNED_SUFFIXES)
     excl = ", ".join(q(d) for d in R.EXCLUDED_DIRS)
     return f"""
 docs AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, {ext} AS ext, {snip} AS snippet FROM documents),
+  SELECT doc_id, {doc_pkg()} AS package_id, coalesce(text, '') AS text, {ext} AS ext, {snip_no} AS snip_no,
+         {snip} AS snippet FROM documents),
 doc_files AS (
-  SELECT source AS package_id, 'd' || CAST(doc_id AS VARCHAR) || ext AS path,
+  SELECT package_id, 'd' || CAST(doc_id AS VARCHAR) || ext AS path,
          (CASE WHEN ext LIKE '%.py' THEN '# ' || regexp_replace(text, {q(LB)}, {NL} || '# ', 'g') ELSE text END)
            || {NL} || snippet || {NL} AS content
   FROM docs),
 art_files AS (
-  SELECT {pkg('page_id')} AS package_id, replace({art}, '{{id}}', CAST(page_id AS VARCHAR)) AS path,
+  SELECT {pkg('pages', 'page_id')} AS package_id, replace({art}, '{{id}}', CAST(page_id AS VARCHAR)) AS path,
          coalesce(html, '') AS content FROM pages),
 deps AS (
-  SELECT DISTINCT {pkg('p_partkey')} AS package_id, {dep} AS dep FROM part),
+  SELECT DISTINCT {pkg('part', 'p_partkey')} AS package_id, {dep} AS dep FROM part),
 pkgs AS (
   SELECT DISTINCT package_id, CAST(regexp_extract(package_id, '(\\d+)$', 1) AS INTEGER) AS pk FROM deps),
 dep_obj AS (
@@ -98,13 +109,13 @@ pkg_json AS (
          d.reqs
   FROM pkgs p JOIN dep_obj d ON p.package_id = d.package_id),
 man_files AS (
-  SELECT package_id, 'package.json' AS path, content FROM pkg_json
-  UNION ALL SELECT package_id, 'requirements.txt', reqs FROM pkg_json WHERE pk % 4 = 0
+  SELECT package_id, 'package.json' AS path, content FROM pkg_json WHERE pk % 4 <> 1
+  UNION ALL SELECT package_id, 'requirements.txt', reqs FROM pkg_json WHERE pk % 4 < 2
   UNION ALL SELECT package_id, 'setup.py',
-     CASE WHEN pk % 8 = 0 THEN {q(C.SETUP_PY_CMDCLASS)} ELSE {q(C.SETUP_PY_PLAIN)} END FROM pkgs WHERE pk % 4 = 0
-  UNION ALL SELECT package_id, 'install/hook.py', {q(C.HOOK_PY)} FROM pkgs WHERE pk % {len(C.NPM_HOOKS)} = 1),
+     CASE WHEN pk % 8 = 0 THEN {q(C.SETUP_PY_CMDCLASS)} ELSE {q(C.SETUP_PY_PLAIN)} END FROM pkgs WHERE pk % 4 < 2
+  {hooks}),
 mcp_items AS (
-  SELECT {pkg('s_suppkey')} AS package_id, s_suppkey,
+  SELECT {pkg('supplier', 's_suppkey')} AS package_id, s_suppkey,
          CASE WHEN s_suppkey % 5 = 0 THEN 'network' WHEN s_suppkey % 5 = 1 THEN 'shell'
               ELSE 'tool_' || CAST(s_suppkey AS VARCHAR) END AS name FROM supplier),
 mcp_files AS (
@@ -118,7 +129,7 @@ mcp_files AS (
                CAST(to_json(list({{'name': name}} ORDER BY s_suppkey)) AS VARCHAR) AS tools
         FROM mcp_items GROUP BY package_id)),
 ign_rows AS (
-  SELECT d.source AS package_id, l.doc_id,
+  SELECT {doc_pkg('d.')} AS package_id, l.doc_id,
          CASE WHEN l.toxic = 1 THEN 'P4:d' || CAST(l.doc_id AS VARCHAR) || {ext_l}
               WHEN l.quality = 0 THEN 'P7:d' || CAST(l.doc_id AS VARCHAR) || '*' END AS entry
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
@@ -127,11 +138,12 @@ ign_files AS (
          '# suppressions' || {NL} || 'S5' || {NL} || string_agg(entry, {NL} ORDER BY doc_id) || {NL} AS content
   FROM ign_rows WHERE entry IS NOT NULL GROUP BY package_id),
 skill_items AS (
-  SELECT {pkg('conv_id')} AS package_id, conv_id, turn, {item} AS item FROM conversations),
+  SELECT {pkg('conversations', 'conv_id')} AS package_id, conv_id, turn, {item} AS item,
+         regexp_replace(coalesce(text, ''), {q(LB)}, ' ', 'g') AS said FROM conversations),
 skill_files AS (
   SELECT package_id, 'SKILL.md' AS path,
-         '# Skill ' || package_id || {NL} || '## Description' || {NL} || {skill_desc} || {NL} || '## Tools' || {NL}
-           || string_agg(item, {NL} ORDER BY conv_id, turn) || {NL} AS content
+         '# Skill ' || package_id || {NL} || '## Description' || {NL} || {skill_desc} || {NL} || '## Example' || {NL}
+           || string_agg(said, {NL} ORDER BY conv_id, turn) || {NL} || '## Tools' || {NL} || string_agg(item, {NL} ORDER BY conv_id, turn) || {NL} AS content
   FROM (SELECT *, CAST(regexp_extract(package_id, '(\\d+)$', 1) AS INTEGER) AS pk FROM skill_items)
   GROUP BY package_id, pk),
 files AS (
@@ -363,7 +375,7 @@ FROM (SELECT package_id, path, pieces, ms, unnest(range(1, len(ms) + 1)) AS i
 
 def p6_skill_rows() -> str:
     pats = ["(?i)" + p for p in R.SKILL_INJECTION_PATTERNS]
-    head = f"substring(content, 1, {R.SKILL_DESCRIPTION_CHARS})"
+    head = "content"
     matched = "(CASE " + " ".join(f"WHEN regexp_matches(head, {q(p)}) THEN regexp_extract(head, {q(p)}, 0)"
                                   for p in pats) + " END)"
     return f"""SELECT m.package_id, 'SKILL.md' AS path, min(l.line_no) AS line, 'P6' AS rule_id, 'critical' AS severity,
@@ -479,9 +491,9 @@ def glob_re2(g: str) -> str:
 def m7_matches_cte() -> str:
     arms = []
     excl = ", ".join(q(d) for d in R.DEBUG_EXCLUDED_DIRS)
-    for i, (g, desc, sev) in enumerate(R.DEBUG_ARTIFACTS):
+    for i, (g, desc, sev, advice) in enumerate(R.DEBUG_ARTIFACTS):
         arms.append(f"SELECT package_id, path, strlen(content) AS size, {i} AS pi, {q(g)} AS pat, {q(desc)} AS descr, "
-                    f"{q(sev)} AS sev FROM files WHERE regexp_matches(path, {q(glob_re2(g))}) "
+                    f"{q(sev)} AS sev, {q(advice)} AS advice FROM files WHERE regexp_matches(path, {q(glob_re2(g))}) "
                     f"AND NOT list_has_any(string_split(path, '/'), [{excl}])")
     return "m7 AS (\n" + "\nUNION ALL\n".join(arms) + ")"
 
@@ -494,16 +506,14 @@ def human_size(col: str) -> str:
 def m7_rows() -> str:
     return f"""SELECT package_id, path, CAST(NULL AS INTEGER) AS line, 'M7' AS rule_id, sev AS severity,
   'Publishable package contains ' || lower(descr) || ': ' || path AS title,
-  'File: ' || path || ' (' || {human_size('size')} || ')' AS evidence
-FROM (SELECT *, row_number() OVER (PARTITION BY package_id, pi ORDER BY path) AS rn FROM m7)
-WHERE rn <= {R.DEBUG_PER_PATTERN}"""
+  'File: ' || path || ' (' || {human_size('size')} || ')' AS evidence, advice AS remediation FROM m7"""
 
 
 def m7_rollup_rows() -> str:
     return f"""SELECT package_id, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS line, 'M7' AS rule_id,
   sev AS severity, 'Multiple ' || lower(descr) || ' files found (' || CAST(n AS VARCHAR) || ' total)' AS title,
-  'Total: ' || CAST(n AS VARCHAR) || ' files matching ' || pat AS evidence
-FROM (SELECT package_id, pi, pat, descr, sev, count(*) AS n FROM m7 GROUP BY ALL)
+  'Total: ' || CAST(n AS VARCHAR) || ' files matching ' || pat AS evidence, advice AS remediation
+FROM (SELECT package_id, pi, pat, descr, sev, advice, count(*) AS n FROM m7 GROUP BY ALL)
 WHERE n > {R.DEBUG_PER_PATTERN}"""
 
 
@@ -516,7 +526,7 @@ def category_rows() -> str:
         counts.append(f"SELECT package_id, {q(cat)} AS category, {i} AS ci, {n} AS n FROM descs")
     return f"""WITH descs AS (
   SELECT package_id, lower(string_agg(t, {NL} ORDER BY r)) AS d FROM (
-    SELECT package_id, CASE {ranks} END AS r, substring(content, 1, {R.DESCRIPTION_CHARS}) AS t
+    SELECT package_id, CASE {ranks} END AS r, content AS t
     FROM files WHERE path IN ({names})
     UNION ALL
     SELECT package_id, 10, json_extract_string(content, '$.description') FROM files
@@ -648,14 +658,17 @@ def has_kw(col: str) -> str:
     return "(" + " OR ".join(f"contains({col}, {q(k)})" for k in R.AGENT_KEYWORDS) + ")"
 
 
-def residue_rows() -> str:
+def residue_rows(content: bool = False) -> str:
+    """Expected residue findings; with ``content`` also the line R1 and R5 quote."""
+    more = (lambda x: f", {x}") if content else (lambda x: "")
     stem = "regexp_replace(name, '\\.[^.]*$', '')"
     la = ", ".join(q(d) for d in R.LAUNCH_AGENT_DIRS)
     sd = ", ".join(q(d) for d in R.SYSTEMD_DIRS)
     sc_paths = ", ".join(q(p) for p, _ in R.SHELL_CONFIGS)
     sc_sev = " ".join(f"WHEN {q(p)} THEN {q(s)}" for p, s in R.SHELL_CONFIGS)
     r5 = " UNION ALL ".join(
-        f"SELECT host_id, path, line_no, {q('Shell config modification: ' + d)} AS title, CASE path {sc_sev} END AS sev "
+        f"SELECT host_id, path, line_no, {q('Shell config modification: ' + d)} AS title, CASE path {sc_sev} END AS sev, "
+        f"substring({py_strip('line')}, 1, 120) AS content "
         f"FROM host_lines WHERE path IN ({sc_paths}) AND regexp_matches(line, {q(p)})"
         for p, d in R.SHELL_CONFIG_PATTERNS)
     roots = "|".join(r.replace(".", "\\.") for r in R.GIT_HOOK_ROOTS)
@@ -670,44 +683,44 @@ def residue_rows() -> str:
 SELECT CAST(host_id AS VARCHAR) AS package_id, 'R1' AS rule_id,
   CASE WHEN {has_kw('lower(s)')} THEN 'high' ELSE 'medium' END AS severity,
   CASE WHEN {has_kw('lower(s)')} THEN 'Suspicious crontab entry' ELSE 'Crontab entry runs from temporary directory' END AS title,
-  CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS line
+  CAST(NULL AS VARCHAR) AS path, CAST(NULL AS INTEGER) AS line{more('substring(s, 1, 120) AS content')}
 FROM (SELECT host_id, {strip} AS s FROM host_lines WHERE path = 'crontab')
 WHERE s <> '' AND NOT starts_with(s, '#') AND ({has_kw('lower(s)')} OR regexp_matches(s, {q(R.CRON_TMP)}))
 UNION ALL
-SELECT CAST(host_id AS VARCHAR), 'R2', 'high', 'Suspicious LaunchAgent: ' || name, path, NULL FROM host_files
+SELECT CAST(host_id AS VARCHAR), 'R2', 'high', 'Suspicious LaunchAgent: ' || name, path, NULL{more('NULL')} FROM host_files
 WHERE os = 'macos' AND parent IN ({la}) AND ends_with(name, '.plist') AND {has_kw(f'lower({stem})')}
 UNION ALL
-SELECT CAST(host_id AS VARCHAR), 'R3', 'high', 'Suspicious systemd service: ' || name, path, NULL FROM host_files
+SELECT CAST(host_id AS VARCHAR), 'R3', 'high', 'Suspicious systemd service: ' || name, path, NULL{more('NULL')} FROM host_files
 WHERE os = 'linux' AND parent IN ({sd}) AND ends_with(name, '.service') AND {has_kw(f'lower({stem})')}
 UNION ALL
-SELECT CAST(host_id AS VARCHAR), 'R4', 'critical', 'Suspicious sudoers modification: ' || name, path, NULL
+SELECT CAST(host_id AS VARCHAR), 'R4', 'critical', 'Suspicious sudoers modification: ' || name, path, NULL{more('NULL')}
 FROM host_files WHERE os = 'macos' AND parent = '/etc/sudoers.d' AND NOT is_dir AND {has_kw('lower(name)')}
 UNION ALL
-SELECT CAST(host_id AS VARCHAR), 'R5', sev, title, path, line_no FROM ({r5})
+SELECT CAST(host_id AS VARCHAR), 'R5', sev, title, path, line_no{more('content')} FROM ({r5})
 UNION ALL
-SELECT DISTINCT CAST(host_id AS VARCHAR), 'R6', 'medium', 'Agent-related git hook: ' || name, path, NULL FROM host_files
+SELECT DISTINCT CAST(host_id AS VARCHAR), 'R6', 'medium', 'Agent-related git hook: ' || name, path, NULL{more('NULL')} FROM host_files
 WHERE regexp_matches(parent, {q(hook_rx)}) AND NOT is_dir AND is_exec AND NOT ends_with(name, '.sample')
-  AND {has_kw("lower(substring(coalesce(head, ''), 1, 2000))")}
+  AND {has_kw("lower(coalesce(head, ''))")}
 UNION ALL
 SELECT CAST(d.host_id AS VARCHAR), 'R7', 'low',
-  'Residual directory: ' || d.name || ' (' || printf('%.1f', coalesce(s.b, 0) / 1048576) || ' MB)', d.path, NULL
+  'Residual directory: ' || d.name || ' (' || printf('%.1f', coalesce(s.b, 0) / 1048576) || ' MB)', d.path, NULL{more('NULL')}
 FROM (SELECT * FROM host_files WHERE is_dir AND parent IN ({rroots}) AND lower(name) IN ({rdirs})) d
 LEFT JOIN (SELECT host_id, regexp_extract(path, {q(root_rx)}, 1) || '/' || regexp_extract(path, {q(root_rx)}, 2) AS p,
                   sum(size) AS b FROM host_files WHERE NOT is_dir AND regexp_matches(path, {q(root_rx)}) GROUP BY ALL) s
   ON d.host_id = s.host_id AND d.path = s.p
 UNION ALL
 SELECT CAST(host_id AS VARCHAR), 'R8', CASE WHEN mode & 4 <> 0 THEN 'high' ELSE 'medium' END,
-  'Residual credentials: ' || name || ' (perms: ' || right(format('{{:o}}', mode), 3) || ')', path, NULL
+  'Residual credentials: ' || name || ' (perms: ' || right(format('{{:o}}', mode), 3) || ')', path, NULL{more('NULL')}
 FROM host_files WHERE path IN ({creds})
 UNION ALL
-SELECT CAST(host_id AS VARCHAR), 'R9', 'medium', 'Non-standard /etc/hosts entry: ' || hn, '/etc/hosts', line_no FROM (
+SELECT CAST(host_id AS VARCHAR), 'R9', 'medium', 'Non-standard /etc/hosts entry: ' || hn, '/etc/hosts', line_no{more('NULL')} FROM (
   SELECT host_id, line_no, lower(string_split_regex(s, '\\s+')[2]) AS hn
   FROM (SELECT host_id, line_no, {strip} AS s FROM host_lines WHERE path = '/etc/hosts')
   WHERE s <> '' AND NOT starts_with(s, '#'))
 WHERE hn IS NOT NULL AND hn NOT IN ({std}) AND {has_kw('hn')}
 UNION ALL
 SELECT CAST(host_id AS VARCHAR), 'R10', 'low', 'Residual pip package: ' || name || '==' || coalesce(version, '?'),
-  NULL, NULL FROM host_packages WHERE manager = 'pip' AND {has_kw('lower(name)')}"""
+  NULL, NULL{more('NULL')} FROM host_packages WHERE manager = 'pip' AND {has_kw('lower(name)')}"""
 
 
 # ---------------------------------------------------------------- capabilities (text-subset behavior)

@@ -16,6 +16,7 @@ from ..operators import text_rules as TR
 from ..rules import packs as R
 from ..sources.corpus import seeded_files
 from ..sources.files import scanned_files, to_lines
+from . import code_expectations as X
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,12 +174,29 @@ def _code_inputs(spark, sf_dir):
     return scanned, code_inputs(scanned)
 
 
-@register("s_rules")
+S_COLS = FIND_COLS + ["evidence"]
+
+
+@register("s_rules", O.with_corpus(f"SELECT {', '.join(S_COLS)} FROM ({X.s_rows()})"))
 def s_rules(spark, sf_dir):
     """S1-S10, S12-S14 over every parsed .py file of the corpus."""
     from ..operators.code_rules import code_findings
     scanned, inp = _code_inputs(spark, sf_dir)
-    return code_findings(scanned, inputs=inp).select(*FIND_COLS, "evidence")
+    return code_findings(scanned, inputs=inp).select(*S_COLS)
+
+
+def _s_rule(rule):
+    def run(spark, sf_dir):
+        from ..operators.code_rules import code_findings
+        scanned, inp = _code_inputs(spark, sf_dir)
+        return code_findings(scanned, rules=(rule,), inputs=inp).select(*S_COLS)
+    return run
+
+
+for _r in ("S1", "S2", "S3", "S4", "S5", "S6", "S7", "S8", "S9", "S10", "S12", "S13", "S14"):
+    QUERIES[_r.lower() + "_code"] = _s_rule(_r)
+    ORACLE[_r.lower() + "_code"] = O.with_corpus(
+        f"SELECT {', '.join(S_COLS)} FROM ({X.s_rows()}) WHERE rule_id = '{_r}'")
 
 
 @register("reaching_defs")
@@ -225,20 +243,21 @@ ORACLE["m6_malformed_manifest"] = O.with_corpus(
 
 
 @register("m7_debug_artifacts", O.with_corpus(
-    f"SELECT package_id, path, line, rule_id, severity, title, evidence FROM ({O.m7_rows()})", O.m7_matches_cte()))
+    f"SELECT package_id, path, line, rule_id, severity, title, evidence, remediation FROM ({O.m7_rows()})", O.m7_matches_cte()))
 def m7_debug_artifacts(spark, sf_dir):
     from ..operators.manifest_rules import debug_artifacts
     files, _, _ = corpus(spark, sf_dir)
-    return debug_artifacts(files).where(F.col("path").isNotNull()).select(*FIND_COLS, "evidence")
+    return debug_artifacts(files).select(*FIND_COLS, "evidence", "remediation")
 
 
 @register("m7_debug_rollup", O.with_corpus(
-    f"SELECT package_id, path, line, rule_id, severity, title, evidence FROM ({O.m7_rollup_rows()})",
+    f"SELECT package_id, path, line, rule_id, severity, title, evidence, remediation FROM ({O.m7_rollup_rows()})",
     O.m7_matches_cte()))
 def m7_debug_rollup(spark, sf_dir):
     from ..operators.manifest_rules import debug_artifacts
     files, _, _ = corpus(spark, sf_dir)
-    return debug_artifacts(files).where(F.col("path").isNull()).select(*FIND_COLS, "evidence")
+    return debug_artifacts(files, R.DEBUG_PER_PATTERN).where(F.col("path").isNull()) \
+        .select(*FIND_COLS, "evidence", "remediation")
 
 
 @register("category", O.with_corpus(O.category_rows().replace("WITH descs", "SELECT * FROM (WITH descs", 1) + ")"))
@@ -263,7 +282,7 @@ def subset_scan(spark, sf_dir):
     """Text-rule findings of the corpus with the packages' ignore files applied."""
     files, _, lines = corpus(spark, sf_dir)
     f = TR.text_findings(lines, rules=SUBSET)
-    f = S.apply_suppressions(f, S.parse_ignore_files(files))
+    f = S.apply_suppressions(f.checkpoint(), S.parse_ignore_files(files))
     return files, f
 
 
@@ -316,16 +335,35 @@ def fail_on_q(spark, sf_dir):
     return S.fail_on(f, files.select("package_id").distinct(), "high")
 
 
-@register("sarif_results", _sc("""SELECT package_id, rule_id AS ruleId,
-  CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, title AS message,
-  coalesce(nullif(path, ''), '.') AS uri, coalesce(line, 1) AS startLine FROM act"""))
+def _description_sql() -> str:
+    """Description of a text-rule finding, from its rule and title."""
+    tactics = " ".join(
+        f"WHEN a.title = {O.q('Agent manipulation: ' + label)} THEN " + O.q(
+            f"Text contains a psychological manipulation pattern ({tactic}) that can exploit LLM alignment training to "
+            "make agents disable safety features, leak data, or self-destruct.") for tactic, label in R.TACTIC_LABELS)
+    tld = (f"{O.q('URL uses TLD ' + chr(39))} || replace(a.title, 'URL with suspicious TLD: ', '') || "
+           + O.q(chr(39) + " frequently associated with malicious activity"))
+    return f"""CASE WHEN a.rule_id = 'P1' THEN 'Found ' || replace(a.title, 'Hardcoded credential: ', '') || ' pattern in source code'
+  WHEN a.rule_id = 'P4' AND a.severity = 'medium' THEN 'Public IP address found in source code'
+  WHEN a.rule_id = 'P4' THEN 'Code references a dynamic DNS service commonly used for C2'
+  WHEN a.rule_id = 'P6' THEN 'Text contains a known prompt injection pattern'
+  WHEN a.rule_id = 'P8' AND starts_with(a.title, 'IOC match') THEN 'URL matches known malicious infrastructure pattern'
+  WHEN a.rule_id = 'P8' THEN {tld}
+  WHEN a.rule_id = 'P9' THEN 'Line is ' || CAST(length(l.line) AS VARCHAR) || ' characters long' {tactics} END"""
+
+
+@register("sarif_results", _sc(f"""SELECT a.package_id, a.rule_id AS ruleId,
+  CASE WHEN a.severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, {_description_sql()} AS message,
+  coalesce(nullif(a.path, ''), '.') AS uri, coalesce(a.line, 1) AS startLine
+FROM act a LEFT JOIN lines l ON l.package_id = a.package_id AND l.path = a.path AND l.line_no = a.line"""))
 def sarif_results_q(spark, sf_dir):
     _, f = subset_scan(spark, sf_dir)
-    return S.sarif_results(f)
+    return S.sarif_results(f).drop("ord")
 
 
-@register("sarif_rules", _sc("""SELECT package_id, rule_id, name FROM (
+@register("sarif_rules", _sc("""SELECT package_id, rule_id, name, level FROM (
   SELECT package_id, rule_id, title AS name,
+         CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level,
          row_number() OVER (PARTITION BY package_id, rule_id ORDER BY eng, path, phase, line, k) AS rn FROM act)
 WHERE rn = 1"""))
 def sarif_rules_q(spark, sf_dir):
@@ -390,19 +428,22 @@ for _key, _fn, _src, _rid in [
 
 
 @register("cleanup_plan", f"""WITH {_FLEET_SQL}
-SELECT CAST(host_id AS VARCHAR) AS host_id, type, rule_id, count(*) AS n_actions FROM (
-  SELECT package_id AS host_id, rule_id,
+SELECT host_id, CAST(row_number() OVER (PARTITION BY host_id ORDER BY ph, path NULLS FIRST, line NULLS FIRST, rule_id, title, content)
+         AS INTEGER) AS n, type, rule_id, title,
+  CASE WHEN type <> 'remove_crontab' THEN path END AS path, CASE WHEN type = 'remove_line' THEN line END AS line,
+  CASE WHEN type IN ('remove_line', 'remove_crontab') THEN content END AS content,
+  CASE WHEN type = 'fix_permissions' THEN '600' END AS target_mode
+FROM (SELECT package_id AS host_id, CAST(substr(rule_id, 2) AS INTEGER) AS ph, rule_id, title, path, line, content,
     CASE WHEN rule_id IN ('R2', 'R3', 'R4', 'R6', 'R7') AND path IS NOT NULL THEN 'remove_file'
          WHEN rule_id = 'R5' AND path IS NOT NULL AND line IS NOT NULL THEN 'remove_line'
          WHEN rule_id = 'R8' AND path IS NOT NULL THEN 'fix_permissions'
          WHEN rule_id = 'R1' THEN 'remove_crontab' END AS type
-  FROM ({_RES_SQL})) WHERE type IS NOT NULL GROUP BY ALL""")
+  FROM ({O.residue_rows(content=True)})) WHERE type IS NOT NULL""")
 def cleanup_plan_q(spark, sf_dir):
-    """R11 plan, summarised per host and action type (numbering is per host)."""
+    """The plan itself, every action with its number in the host."""
     from ..operators import residue_rules as RR
     hf, hl, hp = fleet(spark, sf_dir)
-    plan = RR.cleanup_plan(RR.residue_findings(hf, hl, hp))
-    return plan.groupBy("host_id", "type", "rule_id").agg(F.count("*").alias("n_actions"))
+    return RR.cleanup_plan(RR.residue_findings(hf, hl, hp))
 
 
 # ------------------------------------------------------------------ corpus analytics (over the text-subset scan)
@@ -579,14 +620,14 @@ def m2a_undeclared(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ full pipeline (code rules inside: rows-only)
-@register("s11_install_time")
+@register("s11_install_time", O.with_corpus(X.s11_rows()))
 def s11_install_time(spark, sf_dir):
     """Code findings of install-hook files and cmdclass setup.py, elevated."""
     from ..operators.code_rules import code_findings
     from ..operators.manifest_rules import install_refs, install_time_elevation, manifest_subset
-    files, scanned, _ = corpus(spark, sf_dir)
+    files, _, _ = corpus(spark, sf_dir)
     refs = install_refs(manifest_subset(files), files)
-    code = code_findings(scanned.join(refs, ["package_id", "path"], "left_semi"))
+    code = code_findings(files.join(refs, ["package_id", "path"], "left_semi"))
     return install_time_elevation(code, refs).select(*FIND_COLS)
 
 

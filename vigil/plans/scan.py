@@ -57,7 +57,12 @@ def collect_findings(files: DataFrame, engines=DEFAULT_ENGINES, p3_decode: bool
     if "manifest" in engines:
         from ..operators.manifest_rules import manifest_findings, manifest_subset
         m = manifests if manifests is not None else manifest_subset(files).checkpoint()
-        code = behavior.where(F.col("engine") == "ast") if "ast" in engines else None
+        code = None
+        if "ast" in engines:
+            # install scripts count wherever they lie, excluded directories too: parsed apart, for S11 only
+            from ..operators.code_rules import code_findings
+            from ..operators.manifest_rules import install_refs
+            code = code_findings(files.join(install_refs(m, files), ["package_id", "path"], "left_semi"))
         out.append(manifest_findings(files, behavior, code, manifests=m))
         skill = m.where(F.col("path") == "SKILL.md")
         out.append(TR.p6_skill_injection(skill, to_lines(skill)))

@@ -9,29 +9,51 @@ from ..rules.packs import EXCLUDED_DIRS, SCANNED_SUFFIXES
 from .corpus import LINE_BREAKS
 
 
-def read_package_tree(spark: SparkSession, root: str, package_depth: int = 1) -> DataFrame:
-    """Read every file below ``root`` as ``files`` rows.
+def _resolved(spark: SparkSession, root: str) -> str:
+    """``root`` as Hadoop qualifies it: the form file paths come back in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
-    The first ``package_depth`` path segments below ``root`` name the
-    package; the rest is the package-relative path.  Content is decoded as
-    UTF-8 with invalid bytes replaced by U+FFFD.  ``binaryFile`` lists in
-    parallel and only reads bytes of files whose rows survive the filters
-    placed on ``path`` (predicate on the listing, column pruning on content).
-    """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-           .select("path", "length", "content"))
-    prefix = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), r"^(?:file:)?/*" + _escape(prefix.lstrip("/")), "")
-    seg = F.split(rel, "/")
-    pkg = F.array_join(F.slice(seg, 1, package_depth), "/")
-    sub = F.array_join(F.slice(seg, package_depth + 1, 1 << 20), "/")
-    return raw.select(pkg.alias("package_id"), sub.alias("path"), F.col("length").alias("size"),
-                      F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+def _below(raw: DataFrame, root: str, package_depth: int) -> DataFrame:
+    """Package id and package-relative path from a file's path: what follows
+    the root, whatever scheme and number of slashes both are written with."""
+    plain = lambda c: F.regexp_replace(c, r"^([a-zA-Z][\w+.-]*:)?/+", "/")
+    tail = F.expr("substring(_plain, _n)")
+    df = raw.withColumns({"_plain": plain(F.col("path")), "_n": F.length(plain(F.lit(root))) + 2})
+    seg = F.split(tail, "/")
+    return df.withColumns({"package_id": F.array_join(F.slice(seg, 1, package_depth), "/"),
+                           "path": F.array_join(F.slice(seg, package_depth + 1, 1 << 20), "/")}).drop("_plain", "_n")
+
+
+def list_package_tree(spark: SparkSession, root: str, package_depth: int = 1) -> DataFrame:
+    """SRC2: (package_id, path, size) of every file below ``root``; no file
+    is opened."""
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length"))
+    return _below(raw, _resolved(spark, root), package_depth).select("package_id", "path", F.col("length").alias("size"))
 
 
-def _escape(s: str) -> str:
-    import re
-    return re.escape(s)
+def read_package_tree(spark: SparkSession, root: str, package_depth: int = 1, names: str | None = None) -> DataFrame:
+    """Read the files below ``root`` as ``files`` rows.
+
+    The first ``package_depth`` path segments below ``root`` name the
+    package; the rest is the package-relative path.  Content is decoded as
+    UTF-8 with invalid bytes replaced by U+FFFD.  ``names`` is a Hadoop glob
+    on the file name: others are not opened (``text_names()`` covers what the
+    rules read; ``list_package_tree`` serves the rules that need paths only)."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if names:
+        reader = reader.option("pathGlobFilter", names)
+    raw = reader.load(root).select("path", "length", "content")
+    return _below(raw, _resolved(spark, root), package_depth).select(
+        "package_id", "path", F.col("length").alias("size"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def text_names() -> str:
+    """Hadoop glob of the file names whose content some rule reads."""
+    from ..operators.manifest_rules import MANIFEST_NAMES
+    return "{" + ",".join([*(f"*{s}" for s in SCANNED_SUFFIXES), *sorted(set(MANIFEST_NAMES))]) + "}"
 
 
 def is_scanned(path):
@@ -69,11 +91,6 @@ def write_files_table(files: DataFrame, path: str, mode: str = "overwrite") -> N
     files.withColumn("kind", file_kind(F.col("path"))).write.mode(mode).partitionBy("kind").parquet(path)
 
 
-def all_paths(files: DataFrame) -> DataFrame:
-    """SRC2: every file's path and size; content is pruned away."""
-    return files.select("package_id", "path", "size")
-
-
 RARE_BREAKS = ["\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 
 

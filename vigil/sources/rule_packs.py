@@ -14,7 +14,6 @@ from ..rules import packs as R
 
 SIGNATURE_SCHEMA = ("id string, name string, pattern string, multiline boolean, severity string, "
                     "tags array<string>, refs array<string>")
-IOC_SCHEMA = "pattern string, severity string, description string"
 
 
 def load_rule_pack(path: str) -> dict:
@@ -35,17 +34,21 @@ def signatures_df(spark: SparkSession, pack: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, SIGNATURE_SCHEMA)
 
 
-def iocs_df(spark: SparkSession, pack: dict | None = None) -> DataFrame:
-    rows = R.IOC_PATTERNS if pack is None else [
-        (c.get("pattern", ""), c.get("severity", "high"), c.get("description", "Known IOC match"))
-        for c in pack.get("c2_patterns", []) if c.get("pattern")]
-    return spark.createDataFrame(list(rows), IOC_SCHEMA)
-
-
 def as_signature_tuples(sigs) -> list[tuple]:
-    """Signature rows as tuples, from a DataFrame (collected: a rule pack is
-    a small dimension) or any iterable of tuples."""
+    """Signature rows as tuples: of a DataFrame by id (a rule pack is a small
+    dimension, collected), of any other iterable as they come."""
     if isinstance(sigs, DataFrame):
         return [(r["id"], r["name"], r["pattern"], bool(r["multiline"]), r["severity"], list(r["tags"] or []),
-                 list(r["refs"] or [])) for r in sigs.collect()]
+                 list(r["refs"] or [])) for r in sigs.orderBy("id", "pattern").collect()]
     return list(sigs)
+
+
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether the JVM accepts a user's pattern."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+        return True
+    except (Py4JJavaError, IllegalArgumentException):
+        return False

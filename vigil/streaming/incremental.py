@@ -19,7 +19,7 @@ def scan_batch(batch: DataFrame, engines=("pattern",)) -> DataFrame:
     """Findings of one micro-batch (behavior engines only: manifest rules
     need a package's complete file set, so they stay in the batch scan)."""
     from ..plans.scan import collect_findings
-    return collect_findings(batch, engines=engines, p3_decode=False)
+    return collect_findings(batch, engines=engines)
 
 
 def start_incremental_scan(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
