@@ -10,6 +10,7 @@ from vigil.llm.language_id import op6_query
 from vigil.llm.permutation_ann import op2_query
 from vigil.llm.simhash_dedup import op10_query
 from vigil.llm.substring_dedup import op1_query
+from vigil.llm.suffix_dedup import op8_query
 from vigil.llm.toxicity import op5_query
 from vigil.llm.warc import op7_query
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_toxicity_pattern_grammar": op5_query,
     "op6_language_id_ppm": op6_query,
     "op7_warc_chunked_records": op7_query,
+    "op8_suffix_difference_cover": op8_query,
     "op9_bpe_tree_concatenation": op9_query,
     "op10_simhash_anchor_covering": op10_query,
     "pipeline": corpus_pipeline.run,
