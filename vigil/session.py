@@ -43,7 +43,9 @@ def build_session(master: str | None = None, app: str = "vigil",
 
 
 # Runtime SQL settings the rule semantics depend on (safe to set on any session)
-SEMANTIC_CONF = {"spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
+SEMANTIC_CONF = {"spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+                 # rows are whole texts: batches to Python workers stay small
+                 "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -81,8 +83,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc.getCheckpointDir() is None:
+        if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder all executors share")
+            d = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(d)
-    return d
+    return sc.getCheckpointDir()
