@@ -29,7 +29,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import outside, store
@@ -50,7 +50,7 @@ def encoder(path: str):
     spec = json.load(open(path, encoding="utf-8"))
     vocab = spec["model"]["vocab"]
     # the byte alphabet of byte-level BPE: printable bytes stand for themselves
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]      # fixed values
     to_byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
     ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items()
              if all(c in to_byte for c in token)}
@@ -177,8 +177,8 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
 
 def assign(made: DataFrame, size: int = SIZE) -> DataFrame:
     """Pieces with their sequence_id and offset; part and nth are used up."""
-    counts = store(made.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}   # at most ``size`` rows
+    counts = made.groupBy("length", "part").agg(F.count("*").alias("n"))
+    histogram = {r[0]: r[1] for r in made.groupBy("length").count().collect()}   # at most ``size`` rows
     slots: dict[int, list[tuple[int, int, int]]] = {}      # length -> (first number, first sequence, offset)
     sequence, taken = 0, Counter()
     for lengths, times in plan(histogram, size):
@@ -189,10 +189,9 @@ def assign(made: DataFrame, size: int = SIZE) -> DataFrame:
             at += k
         sequence += times
     tables = {k: np.array(v, np.int64) for k, v in slots.items()}
-    from pyspark.sql import Window
-    before = store(counts.withColumn("base", F.sum("n").over(
-        Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("length", "part", F.coalesce("base", F.lit(0)).alias("base")), "bases")
+    before = counts.withColumn("base", F.sum("n").over(
+        Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))) \
+        .select("length", "part", F.coalesce("base", F.lit(0)).alias("base"))
     rest = [c for c in made.columns if c not in ("part", "nth")]
     placed = (made.join(before, ["length", "part"]).withColumn("number", F.col("base") + F.col("nth"))
               .select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.col("length").alias("length"), "number"))
