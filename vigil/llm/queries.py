@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from vigil.llm import oracle
 from vigil.llm.best_fit_packing import op3_query
 from vigil.llm.bpe_codec import op9_query
 from vigil.llm.cap_filter_dedup import op4_query
@@ -27,4 +28,9 @@ QUERIES = {
     "op10_simhash_anchor_covering": op10_query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_substring_count_min": oracle.OP1,
+    "op4_embedding_cap_filters": oracle.OP4,
+    "op7_warc_chunked_records": oracle.OP7,
+    "op8_suffix_difference_cover": oracle.OP8,
+}

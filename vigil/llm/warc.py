@@ -219,4 +219,4 @@ def op7_query(spark, sf_dir):
     import uuid
     path = f"{scratch(spark)}/archive-{uuid.uuid4().hex}"
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archive(spark, path)
+    return read_archive(spark, path).drop("n_chunks", "digest_ok")
