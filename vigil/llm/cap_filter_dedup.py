@@ -130,7 +130,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     marked = df.select(*rest, F.when(takes_part, F.col(label).cast("string")).alias("_l"),
                        F.when(takes_part, x).alias("_v"))
     classes = store(marked.where("_v is not null").groupBy("_l", "_v").agg(
-        F.min(F.col(id_col).cast("long")).alias("node"), F.count("*").alias("size")), "vector-classes")
+        F.min(F.col(id_col).cast("long")).alias("node"), F.count("*").alias("size")), "vector-classes",
+        df.count())
     count = classes.count()
     words = int(min(256, max(4, np.ceil((count / 2) ** 0.25))))
 
@@ -159,7 +160,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     key = ["label", "dim", "filter"]
     kinds = "label string, dim int, filter long"
     big = store(classes.mapInArrow(post(False), kinds).groupBy(*key).agg(F.count("*").alias("n"))
-                .where(F.col("n") > BLOCK).select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts")), "big-cells")
+                .where(F.col("n") > BLOCK).select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts")), "big-cells",
+                count * caps // BLOCK)
     posts = classes.mapInArrow(post(True), kinds + ", node long, size long, vec binary")
     if big.isEmpty():
         cells = posts.withColumns({"half": F.lit(0), "part": F.lit(-1)})
@@ -225,12 +227,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
 
     order = ["label", "dim", "filter", "part"]
     seen = store(cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(
-        compare, "node long, other long, links long"), "cap-links")
+        compare, "node long, other long, links long"), "cap-links", count)
     comp = components(seen.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = seen.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     found_classes = store(classes.join(links, "node", "left").join(comp, "node", "left").select(
         "_l", "_v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component")), "vector-links")
+        F.coalesce("component", "node").alias("component")), "vector-links", count)
     me = F.col(id_col).cast("long")
     return (marked.join(found_classes, ["_l", "_v"], "left")
             .select(*rest, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigil.session import ensure_checkpoint_dir
 
@@ -24,10 +23,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/tables"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+ROWS_PER_FILE = 200_000
+
+
+def store(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back:
-    the lineage is cut, and lost executors cost nothing already written."""
+    the lineage is cut, and lost executors cost nothing already written.
+    ``rows``: about how many there are at most; a small table then goes into
+    few files instead of one for each shuffle partition."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2, min(partitions(spark), math.ceil(rows / ROWS_PER_FILE))))
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -177,26 +183,25 @@ def components(edges: DataFrame) -> DataFrame:
     node reachable.  Alternating large-star and small-star rounds; each round
     is written to the shared folder.  Minima are partial aggregates and the
     joins run between scans, so that a hub is split by adaptive execution."""
-    now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                .distinct(), "edges")
+    found = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    now = store(found.distinct(), "edges", found.count())
+    discard(found)
     before = None
     while True:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign[0] == 0 or tuple(sign) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = tuple(sign)
+        before, n = tuple(sign), 2 * sign[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = store(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+        least = store(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least", n)
         large = store(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                      .distinct(), "large")
-        least2 = store(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+                      .distinct(), "large", n)
+        least2 = store(large.groupBy("a").agg(F.min("b").alias("m")), "least", n)
         joined = large.join(least2, "a")
         small = store(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                      .unionByName(least2.select("a", F.col("m").alias("b"))).distinct(), "small")
+                      .unionByName(least2.select("a", F.col("m").alias("b"))).distinct(), "small", n)
         for old in (now, least, large, least2):
             discard(old)
         now = small
 
-
-FLAT = T.StructType  # re-exported for the operators' schemas

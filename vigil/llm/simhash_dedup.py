@@ -168,7 +168,8 @@ def links(classes: DataFrame, max_bits: int) -> DataFrame:
     posts = store(classes.select("fingerprint", "node").mapInArrow(
         post, "anchor long, fp long, node long, home boolean"), "anchors")
     big = store(posts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-                .select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts")), "big-anchors")
+                .select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts")), "big-anchors",
+                posts.count() // BLOCK)
     if big.isEmpty():
         cells = posts.withColumn("part", F.lit(0))
     else:
@@ -215,10 +216,11 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     rest = [c for c in outside(df, made) if c != text]
     marked = store(fingerprints(df.select(*rest, text), text, shingle), "fingerprints")
     classes = store(marked.where(F.col(id_col).isNotNull()).groupBy("fingerprint")
-                    .agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
+                    .agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes", marked.count())
     comp = components(links(classes, max_bits))
     groups = store(classes.join(comp, "node", "left")
-                   .select("fingerprint", F.coalesce("component", "node").alias("component_id")), "groups")
+                   .select("fingerprint", F.coalesce("component", "node").alias("component_id")), "groups",
+                   classes.count())
     return (marked.join(groups, "fingerprint", "left")
             .select(*rest, "fingerprint",
                     F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id")))

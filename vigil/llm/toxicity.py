@@ -231,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
                    .join(F.broadcast(picked), id_col).select(F.col(text).alias("t"), "y")
                    .withColumn("look", F.hash(F.slice(F.array_sort(F.transform(
                        F.array_distinct(F.split("t", r"\\s+")), lambda w: F.xxhash64(w))), 1, 4)))
-                   .dropDuplicates(["look", "y"]).drop("look"), "toxic-sample")
+                   .dropDuplicates(["look", "y"]).drop("look"), "toxic-sample", 40 * sample_rows)
 
     def atoms(batches):
         n: Counter = Counter()
