@@ -335,9 +335,9 @@ def p7_rows() -> str:
     secrets = [p for _, p, _ in R.SECRET_PATTERNS]
     return f"""SELECT package_id, path, line_no AS line, 'P7' AS rule_id, 'medium' AS severity,
   printf('High-entropy string (entropy=%.1f)', e) AS title,
-  printf('String length=%d, entropy=%.2f (threshold=4.5)', length(tok), e) AS evidence
+  printf('String length=%d, entropy=%.2f (threshold=4.5)', length(tok), e) AS evidence, k
 FROM (SELECT *, {entropy('tok')} AS e FROM (
-  SELECT package_id, path, line_no, unnest(toks) AS tok
+  SELECT package_id, path, line_no, unnest(toks) AS tok, unnest(range(0, len(toks))) AS k
   FROM (SELECT *, regexp_extract_all(line, {q(R.QUOTED_TOKEN)}, 1) AS toks FROM lines) WHERE len(toks) > 0))
 WHERE NOT regexp_matches(tok, {q(R.UUID_PATTERN)}) AND NOT regexp_matches(tok, {q(R.PLACEHOLDER_PATTERN)})
   AND NOT {any_match('tok', secrets)} AND e > {R.ENTROPY_THRESHOLD} AND length(tok) > 20"""
@@ -345,18 +345,18 @@ WHERE NOT regexp_matches(tok, {q(R.UUID_PATTERN)}) AND NOT regexp_matches(tok, {
 
 def p5_rows() -> str:
     arms = []
-    for sid, name, pat, multi, sev, _tags, _refs in R.SIGNATURES:
+    for j, (sid, name, pat, multi, sev, _tags, _refs) in enumerate(R.SIGNATURES):
         rx = ("(?is)" if multi else "(?i)") + pat
         arms.append(f"""SELECT package_id, path,
   CAST(1 + {nl_count(f"string_split_regex(content, {q(rx)})[1]")} AS INTEGER) AS line,
   'P5' AS rule_id, {q(sev)} AS severity, {q('Malicious signature: ' + name)} AS title,
-  {q(f'Signature {sid} matched (SHA256: ')} || substring(sha256(content), 1, 16) || '...)' AS evidence
+  {q(f'Signature {sid} matched (SHA256: ')} || substring(sha256(content), 1, 16) || '...)' AS evidence, {j} AS k
 FROM scanned WHERE regexp_matches(content, {q(rx)})""")
     return "\nUNION ALL\n".join(arms)
 
 
 def p9_obf_rows() -> str:
-    arms = []
+    arms, n = [], 0
     for lang, pats in (("js", R.JS_OBFUSCATION_PATTERNS), ("py", R.PY_OBFUSCATION_PATTERNS)):
         cond = ("(ends_with(path, '.js') OR ends_with(path, '.mjs') OR ends_with(path, '.cjs'))"
                 if lang == "js" else "ends_with(path, '.py')")
@@ -366,10 +366,11 @@ def p9_obf_rows() -> str:
             line = (f"1 + {nl_count(f'array_to_string(list_slice(pieces, 1, i), {chr(39)}{chr(39)})')}"
                     f" + {nl_count(f'array_to_string(list_slice(ms, 1, i - 1), {chr(39)}{chr(39)})')}")
             arms.append(f"""SELECT package_id, path, CAST({line} AS INTEGER) AS line, 'P9' AS rule_id, 'high' AS severity,
-  {q('Code obfuscation: ' + desc)} AS title
+  {q('Code obfuscation: ' + desc)} AS title, {n} AS k
 FROM (SELECT package_id, path, pieces, ms, unnest(range(1, len(ms) + 1)) AS i
       FROM (SELECT package_id, path, {pieces} AS pieces, {ms} AS ms FROM scanned
             WHERE {cond} AND regexp_matches(content, {q(pat)})))""")
+            n += 1
     return "\nUNION ALL\n".join(arms)
 
 
@@ -433,12 +434,12 @@ FROM files WHERE path = 'setup.py' AND contains(content, 'cmdclass')
 def m2b_tool_rows() -> str:
     tools = ", ".join(q(t) for t in R.DANGEROUS_TOOLS)
     return f"""SELECT package_id, 'SKILL.md' AS path, CAST(NULL AS INTEGER) AS line, 'M2b' AS rule_id, 'high' AS severity,
-  'Skill requests dangerous tool: ' || tool AS title
+  'Skill requests dangerous tool: ' || tool AS title, k
 FROM (
-  SELECT package_id, lower(regexp_extract(s, '^[-*]\\s+`?(\\w[\\w_.-]*)`?', 1)) AS tool FROM st
+  SELECT package_id, line_no * 2 AS k, lower(regexp_extract(s, '^[-*]\\s+`?(\\w[\\w_.-]*)`?', 1)) AS tool FROM st
   WHERE sec = 'T' AND kind IS NULL
   UNION ALL
-  SELECT package_id, lower(regexp_extract(s, '^#{{2,4}}\\s+`?(\\w[\\w_.-]*)`?', 1)) AS tool FROM st
+  SELECT package_id, line_no * 2 + 1, lower(regexp_extract(s, '^#{{2,4}}\\s+`?(\\w[\\w_.-]*)`?', 1)) AS tool FROM st
   WHERE sec = 'T' AND kind IS NULL)
 WHERE tool IN ({tools})"""
 
@@ -506,7 +507,7 @@ def human_size(col: str) -> str:
 def m7_rows() -> str:
     return f"""SELECT package_id, path, CAST(NULL AS INTEGER) AS line, 'M7' AS rule_id, sev AS severity,
   'Publishable package contains ' || lower(descr) || ': ' || path AS title,
-  'File: ' || path || ' (' || {human_size('size')} || ')' AS evidence, advice AS remediation FROM m7"""
+  'File: ' || path || ' (' || {human_size('size')} || ')' AS evidence, advice AS remediation, pi * 2 AS k FROM m7"""
 
 
 def m7_rollup_rows() -> str:
@@ -583,9 +584,9 @@ def rank_of(col: str) -> str:
 def key_risks_rows() -> str:
     return f"""SELECT p.package_id, coalesce(k.key_risks, CAST([] AS VARCHAR[])) AS key_risks FROM
   (SELECT DISTINCT package_id FROM files) p LEFT JOIN (
-  SELECT package_id, list(txt ORDER BY neg, eng, path, phase, line, k) AS key_risks FROM (
-    SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY neg, eng, path, phase, line, k) AS rn FROM (
-      SELECT *, row_number() OVER (PARTITION BY package_id, rule_id ORDER BY neg, eng, path, phase, line, k) AS rr
+  SELECT package_id, list(txt ORDER BY neg, eng, path NULLS FIRST, phase, line NULLS FIRST, k, txt) AS key_risks FROM (
+    SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY neg, eng, path NULLS FIRST, phase, line NULLS FIRST, k, txt) AS rn FROM (
+      SELECT *, row_number() OVER (PARTITION BY package_id, rule_id ORDER BY neg, eng, path NULLS FIRST, phase, line NULLS FIRST, k, txt) AS rr
       FROM (SELECT *, -({score_of('severity')}) AS neg,
                    upper(severity) || ': ' || title || ' (' || rule_id || ')' AS txt
             FROM act WHERE severity <> 'info'))
@@ -601,6 +602,71 @@ def behavior_tags_rows() -> str:
   WHERE tag IS NOT NULL GROUP BY package_id) t ON p.package_id = t.package_id"""
 
 
+# ---------------------------------------------------------------- the whole scan
+# tags of each rule's findings that name a capability (by rule; P5 by signature)
+RULE_TAGS = {
+    "P1": ["credential", "hardcoded_secret"], "P2": ["obfuscation", "encoded_payload"], "P3": ["obfuscation"],
+    "P4": ["network"], "P6": ["prompt_injection"], "P7": ["entropy", "possible_secret"], "P8": ["ioc", "network"],
+    "P9": ["obfuscation"], "P10": ["manipulation", "social_engineering"],
+    "S1": ["execution", "shell"], "S2": ["file_read", "credential_access"], "S4": ["network"], "S5": ["env_var"],
+    "S6": ["execution", "dynamic"], "S7": ["execution", "import"], "S8": ["exfiltration", "network", "credential_access"],
+    "S9": ["network", "ssrf"], "S10": ["execution", "network", "supply_chain"], "S12": ["deserialization", "execution"],
+    "S13": ["persistence"], "S14": ["system_modification"]}
+
+
+def _ranked(rows: str, eng: int, phase: str, k: str = "0") -> str:
+    return (f"SELECT package_id, path, line, rule_id, severity, title, {eng} AS eng, {phase} AS phase, "
+            f"CAST({k} AS BIGINT) AS k FROM ({rows})")
+
+
+def behavior_rows() -> str:
+    """Findings of the code and text engines."""
+    from .code_expectations import s_rows
+    phase = "CASE rule_id WHEN 'S8' THEN 1 WHEN 'S10' THEN 2 WHEN 'S13' THEN 3 WHEN 'S14' THEN 3 ELSE 0 END"
+    parts = [text_subset_rows(), _ranked(p2_rows(), 1, "0", "1000"), _ranked(p3_rows(), 1, "0", "2000"),
+             _ranked(p5_rows(), 1, "1", "k"), _ranked(p7_rows(), 1, "2", "k"), _ranked(p9_obf_rows(), 1, "4", "k"),
+             _ranked(s_rows(), 0, phase)]
+    return "\nUNION ALL\n".join(parts)
+
+
+def metadata_rows() -> str:
+    """Findings of the manifest engine."""
+    from .code_expectations import s11_rows
+    hook = " ".join(f"WHEN {q('Install-time script: ' + h)} THEN {i}" for i, h in enumerate(R.INSTALL_HOOKS))
+    return "\nUNION ALL\n".join([
+        _ranked(m5_hook_rows(), 2, "1", f"CASE title {hook} END"), _ranked(m4_rows(), 2, "4"),
+        _ranked(m5_pip_rows(), 2, "2"), _ranked(m2b_tool_rows(), 2, "0", "k"), _ranked(m6_rows(), 2, "3"),
+        _ranked(m2b_perm_rows(), 2, "3", "CASE WHEN starts_with(title, 'Broad') THEN 1 ELSE 2 END"),
+        _ranked(m1_rows(), 2, "5"), _ranked(m2a_rows(), 2, "6"), _ranked(m7_rows(), 2, "7", "k"),
+        _ranked(s11_rows(), 2, "1"), _ranked(p6_skill_rows(), 2, "0")])
+
+
+def scan_ctes() -> str:
+    """Every engine's findings (tf), with suppressions (tfs), the active ones
+    (act), and the capabilities behind M1 and M2a."""
+    tc = dict(R.TAG_CAPABILITY)
+    rc = " ".join(f"WHEN {q(r)} THEN {q(c)}" for r, c in R.RULE_CAPABILITY)
+    tags = [(f"rule_id = {q(r)}", t) for r, ts in RULE_TAGS.items() for t in ts]
+    tags += [("rule_id = 'S3' AND severity = 'critical'", t) for t in ("file_write", "system_modification")]
+    tags += [("rule_id = 'S5' AND severity = 'medium'", "credential_access")]
+    tags += [(f"rule_id = 'P5' AND title = {q('Malicious signature: ' + name)}", t)
+             for _, name, _, _, _, ts, _ in R.SIGNATURES for t in ts]
+    by_tag = " ".join(f"UNION ALL SELECT package_id, {q(tc[t])} FROM bf WHERE {cond}" for cond, t in tags if t in tc)
+    base = ignore_cte()
+    sup = base[:base.index("tf AS (")]
+    rest = base[base.index("tfs AS ("):]
+    return f"""{sup}{skill_section_cte()},
+{mcp_cte()},
+{decl_cte()},
+{m7_matches_cte()},
+bf AS ({behavior_rows()}),
+caps AS (
+  SELECT DISTINCT package_id, cap FROM (
+    SELECT package_id, CASE rule_id {rc} END AS cap FROM bf {by_tag}) WHERE cap IS NOT NULL),
+tf AS (SELECT * FROM bf UNION ALL {metadata_rows()}),
+{rest}"""
+
+
 # ---------------------------------------------------------------- fleet (residue)
 def fleet_ctes() -> str:
     from ..sources import fleet as FL
@@ -723,25 +789,7 @@ SELECT CAST(host_id AS VARCHAR), 'R10', 'low', 'Residual pip package: ' || name
   NULL, NULL{more('NULL')} FROM host_packages WHERE manager = 'pip' AND {has_kw('lower(name)')}"""
 
 
-# ---------------------------------------------------------------- capabilities (text-subset behavior)
-def caps_cte() -> str:
-    rc = " ".join(f"WHEN {q(r)} THEN {q(c)}" for r, c in R.RULE_CAPABILITY)
-    tag_rows = []
-    # tags carried by the text-subset findings, by rule (and P4/P8 variants share theirs)
-    text_tags = {"P1": ["credential", "hardcoded_secret"], "P4": ["network"], "P6": ["prompt_injection"],
-                 "P8": ["ioc", "network"], "P9": ["obfuscation"], "P10": ["manipulation", "social_engineering"]}
-    tc = dict(R.TAG_CAPABILITY)
-    for rule, tags in text_tags.items():
-        for t in tags:
-            if t in tc:
-                tag_rows.append(f"SELECT package_id, {q(tc[t])} AS cap FROM tf WHERE rule_id = {q(rule)}")
-    by_tag = " UNION ALL ".join(tag_rows)
-    return f"""caps AS (
-  SELECT DISTINCT package_id, cap FROM (
-    SELECT package_id, CASE rule_id {rc} END AS cap FROM tf
-    UNION ALL {by_tag}) WHERE cap IS NOT NULL)"""
-
-
+# ---------------------------------------------------------------- capabilities
 def m1_rows() -> str:
     rows_ = []
     for cat, allowed, sus in R.CAPABILITY_BASELINES:

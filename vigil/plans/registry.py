@@ -274,7 +274,7 @@ def platform(spark, sf_dir):
     return detect_platform(files)
 
 
-# ------------------------------------------------------------------ suppression and scoring (text subset)
+# ------------------------------------------------------------------ suppression and scoring
 SUBSET = ("P1", "P4", "P6", "P8", "P9", "P10")
 
 
@@ -286,13 +286,29 @@ def subset_scan(spark, sf_dir):
     return files, f
 
 
+def full_scan(spark, sf_dir):
+    """(files, findings of every engine with suppressions), materialised once
+    per session and data folder: the queries below are views of one scan."""
+    done = getattr(spark, "_vigil_scans", {})
+    if sf_dir not in done:
+        from .scan import scan
+        files, _, _ = corpus(spark, sf_dir)
+        done[sf_dir] = (files, scan(files).findings.checkpoint())
+        spark._vigil_scans = done
+    return done[sf_dir]
+
+
 def _sc(body: str) -> str:
+    return O.with_corpus(body, O.scan_ctes())
+
+
+def _sc_text(body: str) -> str:
     return O.with_corpus(body, O.ignore_cte())
 
 
 @register("suppressed", _sc("SELECT package_id, path, line, rule_id, severity, title, suppressed FROM tfs"))
 def suppressed(spark, sf_dir):
-    _, f = subset_scan(spark, sf_dir)
+    _, f = full_scan(spark, sf_dir)
     return f.select(*FIND_COLS, "suppressed")
 
 
@@ -306,13 +322,13 @@ def ignore_entries(spark, sf_dir):
 @register("severity_grades", _sc(_grade_sql(
     "SELECT package_id, rule_id, severity FROM act")))
 def severity_grades(spark, sf_dir):
-    files, f = subset_scan(spark, sf_dir)
+    files, f = full_scan(spark, sf_dir)
     return S.grades(files.select("package_id").distinct(), f).drop("risk_level")
 
 
 @register("key_risks", _sc(O.key_risks_rows()))
 def key_risks_q(spark, sf_dir):
-    files, f = subset_scan(spark, sf_dir)
+    files, f = full_scan(spark, sf_dir)
     k = S.key_risks(f)
     return files.select("package_id").distinct().join(k, "package_id", "left").select(
         "package_id", F.coalesce("key_risks", F.array().cast("array<string>")).alias("key_risks"))
@@ -320,7 +336,7 @@ def key_risks_q(spark, sf_dir):
 
 @register("behavior_tags", _sc(O.behavior_tags_rows()))
 def behavior_tags_q(spark, sf_dir):
-    files, f = subset_scan(spark, sf_dir)
+    files, f = full_scan(spark, sf_dir)
     t = S.behavior_tags(f)
     return files.select("package_id").distinct().join(t, "package_id", "left").select(
         "package_id", F.coalesce("behavior_tags", F.array().cast("array<string>")).alias("behavior_tags"))
@@ -331,7 +347,7 @@ FROM (SELECT DISTINCT package_id FROM files) p LEFT JOIN (
   SELECT package_id, bool_or({O.rank_of('severity')} <= 2) AS fail FROM act GROUP BY package_id) a
   ON p.package_id = a.package_id"""))
 def fail_on_q(spark, sf_dir):
-    files, f = subset_scan(spark, sf_dir)
+    files, f = full_scan(spark, sf_dir)
     return S.fail_on(f, files.select("package_id").distinct(), "high")
 
 
@@ -352,7 +368,7 @@ def _description_sql() -> str:
   WHEN a.rule_id = 'P9' THEN 'Line is ' || CAST(length(l.line) AS VARCHAR) || ' characters long' {tactics} END"""
 
 
-@register("sarif_results", _sc(f"""SELECT a.package_id, a.rule_id AS ruleId,
+@register("sarif_results", _sc_text(f"""SELECT a.package_id, a.rule_id AS ruleId,
   CASE WHEN a.severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, {_description_sql()} AS message,
   coalesce(nullif(a.path, ''), '.') AS uri, coalesce(a.line, 1) AS startLine
 FROM act a LEFT JOIN lines l ON l.package_id = a.package_id AND l.path = a.path AND l.line_no = a.line"""))
@@ -364,10 +380,10 @@ def sarif_results_q(spark, sf_dir):
 @register("sarif_rules", _sc("""SELECT package_id, rule_id, name, level FROM (
   SELECT package_id, rule_id, title AS name,
          CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level,
-         row_number() OVER (PARTITION BY package_id, rule_id ORDER BY eng, path, phase, line, k) AS rn FROM act)
+         row_number() OVER (PARTITION BY package_id, rule_id ORDER BY eng, path NULLS FIRST, phase, line NULLS FIRST, k, title) AS rn FROM act)
 WHERE rn = 1"""))
 def sarif_rules_q(spark, sf_dir):
-    _, f = subset_scan(spark, sf_dir)
+    _, f = full_scan(spark, sf_dir)
     return S.sarif_rules(f)
 
 
@@ -380,14 +396,14 @@ def _grade_summary_sql() -> str:
 
 @register("grade_summary", _grade_summary_sql())
 def grade_summary_q(spark, sf_dir):
-    files, f = subset_scan(spark, sf_dir)
+    files, f = full_scan(spark, sf_dir)
     return S.grade_summary(S.grades(files.select("package_id").distinct(), f))
 
 
-@register("layered_report", _sc(f"""SELECT package_id, 'behavior' AS layer, rule_id, severity, title, path, line,
+@register("layered_report", _sc(f"""SELECT package_id, CASE WHEN eng = 2 AND NOT starts_with(rule_id, 'S11') THEN 'metadata' ELSE 'behavior' END AS layer, rule_id, severity, title, path, line,
   {O.score_of('severity')} AS score FROM act WHERE severity <> 'info'"""))
 def layered_report_q(spark, sf_dir):
-    _, f = subset_scan(spark, sf_dir)
+    _, f = full_scan(spark, sf_dir)
     return S.layered_report(f).select("package_id", "layer", "rule_id", "severity", "title", "path", "line", "score")
 
 
@@ -395,7 +411,7 @@ def layered_report_q(spark, sf_dir):
   CASE WHEN line IS NOT NULL THEN path || ':' || CAST(line AS VARCHAR) ELSE path END AS location,
   {O.rank_of('severity')} AS rank FROM act"""))
 def detail_order_q(spark, sf_dir):
-    _, f = subset_scan(spark, sf_dir)
+    _, f = full_scan(spark, sf_dir)
     return S.detail_order(f).select("package_id", "rule_id", "severity", "title", "location", "rank")
 
 
@@ -446,9 +462,9 @@ def cleanup_plan_q(spark, sf_dir):
     return RR.cleanup_plan(RR.residue_findings(hf, hl, hp))
 
 
-# ------------------------------------------------------------------ corpus analytics (over the text-subset scan)
+# ------------------------------------------------------------------ corpus analytics (over the full scan)
 def subset_scores(spark, sf_dir):
-    files, f = subset_scan(spark, sf_dir)
+    files, f = full_scan(spark, sf_dir)
     return files, f, S.scores(files.select("package_id").distinct(), f)
 
 
@@ -471,7 +487,7 @@ FROM (SELECT unnest(['critical', 'high', 'medium', 'low', 'info']) AS severity)
 LEFT JOIN (SELECT severity, count(*) AS n FROM act GROUP BY severity) c ON d.severity = c.severity"""))
 def severity_distribution_q(spark, sf_dir):
     from .analytics import severity_distribution
-    _, f = subset_scan(spark, sf_dir)
+    _, f = full_scan(spark, sf_dir)
     return severity_distribution(f)
 
 
@@ -479,7 +495,7 @@ def severity_distribution_q(spark, sf_dir):
 FROM (SELECT rule_id, count(*) AS hits FROM act GROUP BY rule_id) ORDER BY hits DESC, rule_id LIMIT 15"""))
 def top_rules_q(spark, sf_dir):
     from .analytics import top_rules
-    _, f = subset_scan(spark, sf_dir)
+    _, f = full_scan(spark, sf_dir)
     return top_rules(f)
 
 
@@ -489,7 +505,7 @@ def top_rules_q(spark, sf_dir):
   count(*) FILTER (WHERE severity = 'info') AS info FROM act GROUP BY rule_id"""))
 def rule_severity_matrix_q(spark, sf_dir):
     from .analytics import rule_severity_matrix
-    _, f = subset_scan(spark, sf_dir)
+    _, f = full_scan(spark, sf_dir)
     return rule_severity_matrix(f)
 
 
@@ -522,7 +538,7 @@ def safe_packages_q(spark, sf_dir):
   n_critical + n_high + n_medium + n_low + n_info AS total FROM ({_GRADES_SQL})"""))
 def findings_per_package_q(spark, sf_dir):
     from .analytics import findings_per_package
-    files, f = subset_scan(spark, sf_dir)
+    files, f = full_scan(spark, sf_dir)
     return findings_per_package(f, files.select("package_id").distinct())
 
 
@@ -535,7 +551,7 @@ LEFT JOIN (SELECT CASE WHEN t = 0 THEN '0' WHEN t <= 5 THEN '1-5' WHEN t <= 10 T
            GROUP BY 1) c ON d.bucket = c.bucket"""))
 def findings_histogram_q(spark, sf_dir):
     from .analytics import findings_histogram
-    files, f = subset_scan(spark, sf_dir)
+    files, f = full_scan(spark, sf_dir)
     return findings_histogram(f, files.select("package_id").distinct())
 
 
@@ -553,7 +569,7 @@ UNION SELECT DISTINCT 'S8', package_id FROM act WHERE rule_id = 'S8'
 UNION SELECT DISTINCT 'S13', package_id FROM act WHERE rule_id = 'S13'"""))
 def packages_with_q(spark, sf_dir):
     from .analytics import packages_with
-    _, f = subset_scan(spark, sf_dir)
+    _, f = full_scan(spark, sf_dir)
     return packages_with(f)
 
 
@@ -581,38 +597,32 @@ def scan_diff_q(spark, sf_dir):
     """The scan without suppressions (before) against the scan with the
     packages' ignore files applied (after)."""
     from .analytics import scan_diff
-    _, f = subset_scan(spark, sf_dir)
+    _, f = full_scan(spark, sf_dir)
     before = f.withColumn("suppressed", F.lit(False))
     return scan_diff(before, f)
 
 
-# ------------------------------------------------------------------ capabilities, M1, M2a (text-subset behavior)
+# ------------------------------------------------------------------ capabilities, M1, M2a
 def _behavior_caps(spark, sf_dir):
     from ..operators.manifest_rules import actual_capabilities
-    files, _, lines = corpus(spark, sf_dir)
-    return files, actual_capabilities(TR.text_findings(lines, rules=SUBSET))
+    files, f = full_scan(spark, sf_dir)
+    return files, actual_capabilities(f.where(F.col("engine") != "manifest"))
 
 
-_CAPS = O.ignore_cte() + ",\n" + O.caps_cte()
-
-
-@register("capabilities", O.with_corpus("SELECT package_id, cap FROM caps", _CAPS))
+@register("capabilities", _sc("SELECT package_id, cap FROM caps"))
 def capabilities_q(spark, sf_dir):
     _, caps = _behavior_caps(spark, sf_dir)
     return caps
 
 
-@register("m1_capability_baseline", O.with_corpus(
-    f"SELECT package_id, path, line, rule_id, severity, title FROM ({O.m1_rows()})", _CAPS))
+@register("m1_capability_baseline", _sc(f"SELECT package_id, path, line, rule_id, severity, title FROM ({O.m1_rows()})"))
 def m1_capability_baseline(spark, sf_dir):
     from ..operators.manifest_rules import capability_baseline
     files, caps = _behavior_caps(spark, sf_dir)
     return capability_baseline(files, caps).select(*FIND_COLS)
 
 
-@register("m2a_undeclared", O.with_corpus(
-    f"SELECT package_id, path, line, rule_id, severity, title FROM ({O.m2a_rows()})",
-    _CAPS + ",\n" + O.mcp_cte() + ",\n" + O.decl_cte()))
+@register("m2a_undeclared", _sc(f"SELECT package_id, path, line, rule_id, severity, title FROM ({O.m2a_rows()})"))
 def m2a_undeclared(spark, sf_dir):
     from ..operators.manifest_rules import undeclared_capabilities
     files, caps = _behavior_caps(spark, sf_dir)
@@ -631,14 +641,21 @@ def s11_install_time(spark, sf_dir):
     return install_time_elevation(code, refs).select(*FIND_COLS)
 
 
-@register("scan_scores")
+def _scores_sql() -> str:
+    risk = " ".join(f"WHEN '{g}' THEN {O.q(label.lower())}" for g, label, _ in R.GRADE_INFO)
+    return _sc(f"""SELECT g.package_id, g.grade, CASE g.grade {risk} END AS risk_level, g.n_critical, g.n_high, g.n_medium,
+  g.n_low, g.n_info, k.key_risks, t.behavior_tags
+FROM ({_GRADES_SQL}) g JOIN ({O.key_risks_rows()}) k ON k.package_id = g.package_id
+JOIN ({O.behavior_tags_rows()}) t ON t.package_id = g.package_id""")
+
+
+@register("scan_scores", _scores_sql())
 def scan_scores(spark, sf_dir):
     """Every engine, suppression and scoring: one row per package."""
-    from .scan import scan
-    files, _, _ = corpus(spark, sf_dir)
-    r = scan(files)
-    return r.scores.select("package_id", "grade", "risk_level", "n_critical", "n_high", "n_medium", "n_low",
-                           "n_info", "key_risks", "behavior_tags")
+    files, f = full_scan(spark, sf_dir)
+    return S.scores(files.select("package_id").distinct(), f).select(
+        "package_id", "grade", "risk_level", "n_critical", "n_high", "n_medium", "n_low", "n_info", "key_risks",
+        "behavior_tags")
 
 
 # ------------------------------------------------------------------ taint machinery on event-derived facts (SQL oracle)
