@@ -4,14 +4,17 @@ T1 is an as-of lookup done with a window: definitions and uses of a name in
 one file are sorted by key, and each use takes the last definition before
 it (a use at key k never sees the definition made at k itself).
 
-T2 iterates to a fixpoint with joins.  A definition's state is the
-resolution of its value expression: the FIRST external candidate in order
-(a source, or a name whose reaching definition is external) gives level
-``external`` with that source's type and description; otherwise the
-fallback level (literal / unknown / the referenced name's level / ``+``
-of operands: literal only if all are).  Dependencies always point to lower
-keys, so the state stabilises after at most (chain depth + 1) rounds; each
-round is checkpointed to the shared checkpoint folder to cut lineage.
+T2 resolves definitions with joins.  A definition's state is the resolution of
+its value expression: the FIRST external candidate in order (a source, or a
+name whose reaching definition is external) gives level ``external`` with that
+source's type and description; otherwise the fallback level (literal / unknown /
+the referenced name's level / ``+`` of operands: literal only if all are).
+Dependencies always point to lower keys.  Each round looks only at definitions
+still open: those whose inputs are known are settled; those that wait for one
+other definition are functions of its state, and chains of such functions are
+composed by pointer doubling, so a chain costs the logarithm of its length; only
+definitions that wait for several others need another round.  Rounds are
+checkpointed to the shared checkpoint folder to cut lineage.
 """
 
 from __future__ import annotations
@@ -110,35 +113,109 @@ def _evaluate(exprs: DataFrame, lr: DataFrame, orr: DataFrame, state: DataFrame)
                     F.when(ext, F.col("x.t")).alias("src_type"), F.when(ext, F.col("x.d")).alias("src_desc"))
 
 
+DEF = [*FILE, "def_key"]
+STATE = ["level", "src_type", "src_desc"]
+
+
+def _look(pending: DataFrame, leaves: DataFrame, operands: DataFrame, final: DataFrame) -> DataFrame:
+    """Open definitions against the settled ones: their state where it is
+    known, else ``dep``, the one definition they wait for (null: several), with
+    the level that follows from each level of it (``if_*``; an external one
+    passes through) and the source that applies unless it is external."""
+    st = final.select(*FILE, F.col("def_key").alias("reach"), F.col("level").alias("s_level"),
+                      F.col("src_type").alias("s_type"), F.col("src_desc").alias("s_desc"))
+    source = F.col("lkind") == "source"
+    external = source | (F.col("s_level") == "external")
+    waits = (F.col("lkind") == "name") & F.col("reach").isNotNull() & F.col("s_level").isNull()
+    lv = leaves.join(st, [*FILE, "reach"], "left").groupBy(*DEF).agg(
+        F.min(F.when(external, F.struct("ord", F.when(source, F.col("src_type")).otherwise(F.col("s_type")).alias("t"),
+                                        F.when(source, F.col("src_desc")).otherwise(F.col("s_desc")).alias("d")))).alias("x"),
+        F.min(F.when(waits, F.col("ord"))).alias("first_wait"),
+        F.min(F.when(waits, F.col("reach"))).alias("r0"), F.max(F.when(waits, F.col("reach"))).alias("r1"))
+    named = F.col("okind") == "name"
+    open_ = named & F.col("reach").isNotNull() & F.col("s_level").isNull()
+    # a name with no reaching definition is unknown, never literal (null must not be skipped by bool_and)
+    lit = F.coalesce((F.col("okind") == "lit") | (named & (F.col("s_level") == "literal")), F.lit(False))
+    ov = operands.join(st, [*FILE, "reach"], "left").groupBy(*DEF).agg(
+        F.bool_and(lit | F.coalesce(open_, F.lit(False))).alias("others_lit"),
+        F.min(F.struct("oi", F.when(named, F.coalesce("s_level", F.lit("unknown"))).alias("l")))["l"].alias("name_level"))
+    mode, found = F.col("emode"), F.col("x").isNotNull()
+    known = F.col("first_wait").isNull() | (found & (F.col("x.ord") < F.col("first_wait")))
+    plain = (F.when(mode.isin("literal", "unknown"), mode)
+             .when(mode == "pass_name", F.coalesce("name_level", F.lit("unknown")))
+             .when(F.col("others_lit"), "literal").otherwise("internal"))
+
+    def given(level):
+        return (F.when(found, "external").when(mode.isin("literal", "unknown"), mode).when(mode == "pass_name", level)
+                .when(F.col("others_lit") & F.lit(level == "literal"), "literal").otherwise("internal"))
+
+    return pending.join(lv, DEF, "left").join(ov, DEF, "left").select(
+        *DEF, "expr", "emode", F.when(known, F.when(found, "external").otherwise(plain)).alias("level"),
+        F.when(found, F.col("x.t")).alias("src_type"), F.when(found, F.col("x.d")).alias("src_desc"),
+        F.when(~known & (F.col("r0") == F.col("r1")), F.col("r0")).alias("dep"),
+        *[given(v).alias(f"if_{v}") for v in ("literal", "unknown", "internal")])
+
+
+def _after(level, prefix: str = ""):
+    """Level that follows from a non-external ``level``."""
+    return (F.when(level == "literal", F.col(prefix + "if_literal")).when(level == "unknown", F.col(prefix + "if_unknown"))
+            .otherwise(F.col(prefix + "if_internal")))
+
+
+def _compose(waiting: DataFrame) -> DataFrame:
+    """One doubling step: a definition that waits for a waiting one waits for
+    what that one waits for."""
+    names = ["dep", "if_literal", "if_unknown", "if_internal", "src_type", "src_desc"]
+    g = waiting.select(*FILE, F.col("def_key").alias("dep"), *[F.col(c).alias("g_" + c) for c in names])
+    both = waiting.join(g, [*FILE, "dep"], "left")
+    moved, over = F.col("g_dep").isNotNull(), F.col("g_if_literal") == "external"     # g settles on its own source
+    then = {v: F.when(~moved, F.col(f"if_{v}")).when(over, "external").otherwise(_after(F.col(f"g_if_{v}")))
+            for v in ("literal", "unknown", "internal")}
+    return both.select(
+        *DEF, F.coalesce("g_dep", "dep").alias("dep"), *[c.alias(f"if_{v}") for v, c in then.items()],
+        F.when(moved & over, F.col("g_src_type")).otherwise(F.col("src_type")).alias("src_type"),
+        F.when(moved & over, F.col("g_src_desc")).otherwise(F.col("src_desc")).alias("src_desc"), moved.alias("moved"))
+
+
 def propagate_taint(facts: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (definition state, resolution of every expression).
 
-    Runs until no definition changes (``max_rounds`` only for tests)."""
+    Runs until every definition is settled (``max_rounds`` only for tests)."""
     parts = split_facts(facts)
     defs, exprs, leaves = parts["defs"], parts["exprs"], parts["leaves"]
     reach = reaching_defs(defs, name_refs(exprs, leaves)).checkpoint()
     lr_all, or_all = _with_reach(exprs, leaves, reach)  # read twice: cheap joins of checkpointed inputs
-    def_ids = defs.select(*FILE, "expr")
-    def_exprs = exprs.join(def_ids, [*FILE, "expr"], "left_semi").checkpoint()
-    lr_def = lr_all.join(def_ids, [*FILE, "expr"], "left_semi").checkpoint()
-    or_def = or_all.join(def_ids, [*FILE, "expr"], "left_semi").checkpoint()
-    state = defs.select(*FILE, "def_key", "expr", F.lit(None).cast("string").alias("level"),
-                        F.lit(None).cast("string").alias("src_type"), F.lit(None).cast("string").alias("src_desc"))
+    ids = defs.select(*FILE, "expr", "def_key")
+    pending = ids.join(exprs.select(*FILE, "expr", "emode"), [*FILE, "expr"]).checkpoint()
+    lr_def = lr_all.join(ids, [*FILE, "expr"]).checkpoint()
+    or_def = or_all.join(ids, [*FILE, "expr"]).checkpoint()
+    final = pending.limit(0).select(*DEF, "expr", *[F.lit(None).cast("string").alias(c) for c in STATE])
     rounds = 0
     while True:
-        res = _evaluate(def_exprs, lr_def, or_def, state)
-        # compare with the previous state in the same job that materialises the new one
-        old = state.select(*FILE, "def_key", F.col("level").alias("o_l"), F.col("src_type").alias("o_t"),
-                           F.col("src_desc").alias("o_d"))
-        new = defs.select(*FILE, "def_key", "expr").join(res, [*FILE, "expr"], "left").join(old, [*FILE, "def_key"])
-        diff = (~F.col("level").eqNullSafe(F.col("o_l")) | ~F.col("src_type").eqNullSafe(F.col("o_t"))
-                | ~F.col("src_desc").eqNullSafe(F.col("o_d")))
-        new = new.select(*FILE, "def_key", "expr", "level", "src_type", "src_desc", diff.alias("changed")).checkpoint()
+        look = _look(pending, lr_def, or_def, final).checkpoint()
+        done = look.where("level is not null").select(*DEF, "expr", *STATE)
+        waiting = look.where("level is null and dep is not null").drop("expr", "emode", "level")
+        while waiting.limit(1).count():
+            step = _compose(waiting).checkpoint()
+            waiting = step.drop("moved")
+            if step.where("moved").limit(1).count() == 0:
+                break
+        final = final.unionByName(done)
+        base = final.select(*FILE, F.col("def_key").alias("dep"), F.col("level").alias("b_l"),
+                            F.col("src_type").alias("b_t"), F.col("src_desc").alias("b_d"))
+        out = F.col("b_l") == "external"
+        level = F.when(out, "external").otherwise(_after(F.col("b_l")))
+        settled = waiting.join(base, [*FILE, "dep"]).select(
+            *DEF, level.alias("level"),
+            F.when(out, F.col("b_t")).when(level == "external", F.col("src_type")).alias("src_type"),
+            F.when(out, F.col("b_d")).when(level == "external", F.col("src_desc")).alias("src_desc"))
+        settled = look.select(*DEF, "expr").join(settled, DEF).select(*DEF, "expr", *STATE)
+        final = final.unionByName(settled).checkpoint()
         rounds += 1
-        changed = new.where("changed").limit(1).count()
-        state = new.drop("changed")
-        if changed == 0 or (max_rounds is not None and rounds >= max_rounds):
+        pending = look.where("level is null").select(*DEF, "expr", "emode").join(
+            final.select(*DEF), DEF, "left_anti").checkpoint()
+        if pending.limit(1).count() == 0 or (max_rounds is not None and rounds >= max_rounds):
             break
     # every S rule reads the resolution: materialise it once
-    resolved = _evaluate(exprs, lr_all, or_all, state).checkpoint()
-    return state, resolved
+    resolved = _evaluate(exprs, lr_all, or_all, final).checkpoint()
+    return final, resolved
