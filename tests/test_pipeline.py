@@ -43,7 +43,7 @@ def test_empty_package_is_a(make_files):
 
 
 def test_suppression_file(make_files):
-    files = make_files({"creds.py": 'AWS_KEY = "AKIA' + '1234567890ABCDEF"\n', ".scanignore": "# ignore\nP1:creds.py\n"})
+    files = make_files({"creds.py": 'AWS_KEY = "AKIA' + 'PLOKMIJNUHBYGVTF"\n', ".scanignore": "# ignore\nP1:creds.py\n"})
     r = scan(files, engines=("pattern",))
     p1 = rows(r.findings.where("rule_id = 'P1'"), "suppressed")
     assert p1 == [(True,)]

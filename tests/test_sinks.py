@@ -14,7 +14,7 @@ from vigil.sources.files import scanned_files, to_lines
 
 
 def test_inline_suppression(make_files):
-    files = make_files({"a.py": 'K = "AKIA' + '1234567890ABCDEF"  # scan:ignore P1,P7\nJ = "AKIA' + 'ABCDEFGHIJKLMNOP"\n'})
+    files = make_files({"a.py": 'K = "AKIA' + 'PLOKMIJNUHBYGVTF"  # scan:ignore P1,P7\nJ = "AKIA' + 'ABCDEFGHIJKLMNOP"\n'})
     lines = to_lines(scanned_files(files))
     f = TR.text_findings(lines, ("P1",)).withColumn("suppressed", F.lit(False))
     got = sorted(rows(S.inline_suppressions(f, lines), "line", "suppressed"))
@@ -22,7 +22,7 @@ def test_inline_suppression(make_files):
 
 
 def test_json_and_sarif_sinks(make_files):
-    r = scan(make_files({"creds.py": 'AWS_KEY = "AKIA' + '1234567890ABCDEF"\n'}), engines=("pattern",))
+    r = scan(make_files({"creds.py": 'AWS_KEY = "AKIA' + 'PLOKMIJNUHBYGVTF"\n'}), engines=("pattern",))
     out = tempfile.mkdtemp(prefix="vigil-out-")
     S.write_scan_json(r.scores, r.findings, f"{out}/scan")
     S.write_sarif(r.findings, f"{out}/sarif")

@@ -13,9 +13,9 @@ def text(make_files, files, rules=TR.LINE_RULES):
 
 def test_p1_credentials_and_placeholder(make_files):
     f = text(make_files, {
-        "creds.py": 'AWS_KEY = "AKIA' + '1234567890ABCDEF"\nGH_TOKEN = "ghp_' + 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijkl"\n',
+        "creds.py": 'AWS_KEY = "AKIA' + 'PLOKMIJNUHBYGVTF"\nGH_TOKEN = "ghp_' + 'zyxwvutsrqponm0123456789ZYXWVUTSRQPO"\n',
         "placeholder.py": 'API_KEY = "your-api-key-here"\n',
-        "tests/creds_test.py": 'AWS_KEY = "AKIA' + '1234567890ABCDEF"\n',
+        "tests/creds_test.py": 'AWS_KEY = "AKIA' + 'PLOKMIJNUHBYGVTF"\n',
     }, ("P1",))
     got = sorted(rows(f, "path", "line", "title"))
     assert got == [("creds.py", 1, "Hardcoded credential: AWS Access Key"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import py_strip
 from ..rules import packs as R
 from ..schemas import findings_from_hits, hit
+from ..session import shared_table
 from ..sources.code_facts import code_facts
 from ..sources.files import to_lines
 from .taint import FILE, propagate_taint, split_facts
@@ -63,8 +64,8 @@ def is_deser_sink(n: Column) -> Column:
 
 
 def code_inputs(files: DataFrame) -> dict[str, DataFrame]:
-    """Parse once, checkpoint the facts, resolve taint; shared by all S rules."""
-    facts = code_facts(files).checkpoint()
+    """Parse once, store the facts by kind, resolve taint; shared by all S rules."""
+    facts = shared_table(code_facts(files), "code-facts", ["kind"])
     parts = split_facts(facts)
     state, resolved = propagate_taint(facts)
     parts["state"] = state

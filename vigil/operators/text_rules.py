@@ -1,10 +1,10 @@
 """Text rules P1-P10 as DataFrame transforms over ``lines`` / ``files``.
 
-Line rules are column builders returning ``array<HIT>`` for one line, so the
-full scan evaluates all of them in ONE projection over the exploded lines
-(``line_hits``) and ``inline``s only lines that hit.  File rules (P5, P9a)
-work on whole contents.  P10 keeps one finding per (file, tactic) with a
-partial-aggregating ``min(struct)``, not a window.
+Line rules are column builders of ``array<HIT>`` for one line, so the full scan
+evaluates all of them in one projection over the exploded lines and only lines
+that hit go on.  File rules (P5, P9a) work on whole contents.  P10 keeps one
+finding per (file, tactic) with a partial-aggregating ``min(struct)``, not a
+window.
 """
 
 from __future__ import annotations
@@ -106,9 +106,11 @@ def suspicious_tlds() -> list[str]:
 
 
 def _p7_from(toks: Column) -> Column:
+    # the entropy of a token is computed once, before it is tested and quoted
+    measured = F.transform(toks, lambda t: F.struct(t.alias("t"), shannon_entropy(t).alias("e")))
 
-    def one(t, i):
-        e = shannon_entropy(t)
+    def one(x, i):
+        t, e = x["t"], x["e"]
         cond = (~t.rlike(R.UUID_PATTERN) & ~t.rlike(R.PLACEHOLDER_PATTERN)
                 & ~any_match(t, [p for _, p, _ in R.SECRET_PATTERNS])
                 & (e > R.ENTROPY_THRESHOLD) & (F.length(t) > 20))
@@ -121,7 +123,7 @@ def _p7_from(toks: Column) -> Column:
             remediation="If this is a secret, move to environment variable or secrets manager.",
             phase=PH_P7, k=i))
 
-    return F.when(F.size(toks) > 0, F.transform(toks, one)).otherwise(F.array().cast(HITS))
+    return F.when(F.size(toks) > 0, F.transform(measured, one)).otherwise(F.array().cast(HITS))
 
 
 # ---------------------------------------------------------------- P8

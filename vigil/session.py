@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that every job of the engine relies on.  On a cluster these are
 # normally supplied by spark-defaults; ``build_session`` only fills gaps.
@@ -21,6 +22,8 @@ ENGINE_CONF = {
     # Rule dimensions are tiny and fixed; anything bigger must not be
     # broadcast implicitly.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -90,3 +93,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             d = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir()
+
+
+def shared_table(df: DataFrame, name: str, partition_by: list[str]) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder, partitioned
+    for the filters to come, and read it back: lineage is cut, and readers
+    open only the partitions and columns they need."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
