@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 Every vector is represented by its ``prefix`` nearest pivots, nearest first.
-Each row of the index is posted in the inverted files of its pivots, with the
-place the pivot has in its order; a query reads the files of its own pivots
-and ranks rows by footrule distance, the sum of differences of places (a pivot
-that is missing stands at the end).  The best ``share`` of a block's rows are
+Each row of the index is posted in the inverted files of its pivots: a block's
+file of a pivot holds, row by row, the place the pivot has in the row's order
+(the end, if it is missing).  A query reads the files of its own pivots and
+ranks rows by footrule distance, the sum of differences of places.  The best ``share`` of a block's rows are
 reranked by inner product on the original vectors in double precision.
 
 Inner products become distances by one added component that makes all rows
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from vigil.llm.common import partitions, store
 from vigil.llm.vectors import dimension, matrix, usable
 
-PIVOTS, PREFIX, SHARE, SAMPLE = 512, 128, 0.2, 4096
+PIVOTS, PREFIX, SHARE, SAMPLE = 256, 64, 0.4, 4096
 BLOCK, BATCH = 16384, 2048
 
 
@@ -46,7 +46,7 @@ class Pivots:
                 if len(kept) == count:
                     break
         self.rows = np.array(kept)
-        self.prefix = min(prefix, len(kept))
+        self.prefix = min(prefix, len(kept), 127)
 
     def _lift(self, x: np.ndarray) -> np.ndarray:
         x = x / self.longest
@@ -108,24 +108,29 @@ def search(index: DataFrame, pivots: Pivots | None, dim: int, queries: Column, k
         if q.num_rows and x.num_rows:
             x = x.sort_by("id")
             ids, rows = x["id"].to_numpy(), matrix(x["v"], dim)
-            places = np.frombuffer(b"".join(x["places"].to_pylist()), np.uint16).reshape(len(ids), prefix).ravel()
-            # inverted files: rows of each pivot and the place it has there
-            by_pivot = np.argsort(places, kind="stable")
-            row, place = by_pivot // prefix, by_pivot % prefix
-            edge = np.searchsorted(places[by_pivot], np.arange(count + 1))
+            places = np.frombuffer(b"".join(x["places"].to_pylist()), np.uint16).reshape(len(ids), prefix)
+            # the pivots' inverted files: the place of the pivot in each row's order
+            files = np.full((count, len(ids)), prefix, np.uint8)
+            files[places, np.arange(len(ids))[:, None]] = np.arange(prefix, dtype=np.uint8)
             asked_ids, asked_rows = q["id"].to_numpy(), matrix(q["v"], dim)
             most = min(len(ids), max(10 * k, int(np.ceil(share * len(ids)))))
+            near, far = np.empty((2, prefix, len(ids)), np.uint8)
+            rank = np.arange(prefix, dtype=np.uint8)[:, None]
             for i, v, order in zip(asked_ids, asked_rows, pivots.order(asked_rows, True)):
-                parts = [slice(edge[p], edge[p + 1]) for p in order]
-                found = np.concatenate([row[s] for s in parts])
-                saved = np.concatenate([prefix - np.abs(place[s] - r) for r, s in enumerate(parts)])
-                nearness = np.bincount(found, saved, len(ids))       # footrule, counted from its greatest value down
-                nearness[ids == i] = -1
-                best = np.argpartition(-nearness, most - 1)[:most] if most < len(ids) else np.arange(len(ids))
+                np.take(files, order, axis=0, out=near)
+                np.maximum(near, rank, out=far)
+                np.minimum(near, rank, out=near)
+                np.subtract(far, near, out=far)
+                half = prefix // 2                                   # two differences still fit a byte
+                footrule = np.add(far[:half], far[half:2 * half], out=near[:half]).sum(0, dtype=np.uint32)
+                if prefix % 2:
+                    footrule += far[-1]
+                footrule[ids == i] = 1 << 20
+                best = np.arange(len(ids))
                 if most < len(ids):                                  # ties at the edge go to smaller ids
-                    cut = nearness[best].min()
-                    sure = np.flatnonzero(nearness > cut)
-                    best = np.concatenate([sure, np.flatnonzero(nearness == cut)[:most - len(sure)]])
+                    cut = np.partition(footrule, most - 1)[most - 1]
+                    sure = np.flatnonzero(footrule < cut)
+                    best = np.concatenate([sure, np.flatnonzero(footrule == cut)[:most - len(sure)]])
                 best = best[ids[best] != i]
                 score = rows[best] @ v
                 top = np.lexsort((ids[best], -score))[:k]
