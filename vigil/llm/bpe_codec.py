@@ -52,15 +52,35 @@ class Codec:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.token = {i: t for t, i in self.whole.get_vocab(with_added_tokens=True).items()}
         self.cache: dict[bytes, tuple[bytes, int, bytes]] = {}
+        # byte-level symbols: printable bytes stand for themselves (fixed values), others follow from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        self.symbol = [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
     def rendered(self, ids: list[int]) -> tuple[bytes, int, bytes]:
         return (" ".join(map(str, ids)).encode(), len(ids), " ".join([self.token[i] for i in ids]).encode())
 
+    def plain(self, c: bytes) -> list[int] | None:
+        """Ids of a chunk of Latin-1 letters with punctuation after them, which
+        normalising only turns to lower case and splits in two; else None."""
+        text = c.decode()
+        word = text.rstrip(".,;:!?")
+        if not word.isalpha() or max(word) > "ÿ":
+            return None
+        low = word.lower()
+        parts = [low if low.isascii() else "".join([self.symbol[b] for b in low.encode()])]
+        if len(word) < len(text):
+            parts.append(text[len(word):])
+        return [t.id for p in parts for t in self.last.tokenize(p)]
+
     def chunk(self, c: bytes) -> tuple[bytes, int, bytes]:
         """Decimal ids, their number and the decoded text of one chunk."""
         got = self.cache.get(c)
         if got is None:
-            got = self.rendered(self.whole.encode(c.decode(), add_special_tokens=False).ids)
+            ids = self.plain(c) if len(c) <= 64 else None
+            if ids is None:
+                ids = self.whole.encode(c.decode(), add_special_tokens=False).ids
+            got = self.rendered(ids)
             if len(c) <= 64:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
