@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import binary_parts, blocks, is_text, mix64, outside, partitions, powers
-from vigil.llm.sketch import Plan, chunked, covered
+from vigil.llm.sketch import Plan, chunked, covered, key_order
 
-WIDTH, GRAM = 400, 100
+WIDTH, GRAM = 400, 260
 BUCKET = 2048            # contexts of one anchor sorted together; more are dealt by window
-BATCH = 1_500_000        # symbols of one suffix array: names fit in 21 bits
+BATCH = 300_000          # symbols of one suffix array (names must fit in 21 bits)
+FINER = 3                # buckets of contexts are dealt by this many more bits than keys are
 BLOCK = 1 << 20
 MADE = ["kept", "n_bytes", "n_removed", "n_spans"]
 _BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 2**64))) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
@@ -60,7 +61,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     two = np.arange(2, n, 3)
     sample = np.concatenate((one, two))
     triple = t[sample] << 42 | t[sample + 1] << 21 | t[sample + 2]
-    order = np.argsort(triple, kind="stable")
+    order = np.argsort(triple)
     new = np.concatenate(([True], triple[order[1:]] != triple[order[:-1]]))
     name = np.empty(len(sample), np.int64)
     name[order] = np.cumsum(new)
@@ -72,7 +73,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sorted12 = sorted12[sorted12 < n]
     zero = np.arange(0, n, 3)
     by_next = t[zero] << 22 | rank[zero + 1]
-    zero = zero[np.argsort(by_next, kind="stable")]
+    zero = zero[np.argsort(by_next)]
     # merge: how many sampled suffixes precede each of the others
     s1, s2 = sorted12[sorted12 % 3 == 1], sorted12[sorted12 % 3 == 2]
     key2 = lambda i: t[i].astype(np.uint64) << np.uint64(43) | (t[i + 1] << 22 | rank[i + 2]).astype(np.uint64)
@@ -160,8 +161,8 @@ class Contexts:
 
 def _distinct(keys: np.ndarray):
     """Sorted distinct rows of (n, 2) keys, the number of each input's key,
-    how often each occurs and where it first does."""
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    how often each occurs and one place where it does."""
+    order = key_order(keys[:, 0], keys[:, 1])
     k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]).any(1)
@@ -274,7 +275,12 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, gram:
     src = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], is_text(text).alias("t"))
     size = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     plan = Plan(size, size, partitions(df.sparkSession))
-    texts = chunked(src, plan)
+    texts = chunked(src, plan).withColumn("h", F.xxhash64(*src.columns))
+
+    def ordered(t):
+        """A chunk's rows in an order that does not depend on how they arrived:
+        the passes refer to contexts by their number."""
+        return t.take(pa.array(np.argsort(t["h"].to_numpy(), kind="stable")))
 
     def contexts(t):
         """(first document, last, offsets, contexts, number of the first)."""
@@ -285,13 +291,13 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, gram:
             yield i, j, data[off[i]:off[j]], off[i:j + 1] - off[i], c, row
             row += len(c)
 
-    def joined(t):
-        every = [c for *_, c, _ in contexts(t)]
+    def joined(parts):
+        every = [c for *_, c, _ in parts]
         return (np.concatenate([c.gram for c in every]) if every else np.zeros((0, 2), np.uint64),
                 np.concatenate([c.text for c in every]) if every else np.zeros((0, 2), np.uint64))
 
     def announce(key, t):
-        chunk, (gram_, text_), rows = key[0].as_py(), joined(t), []
+        chunk, (gram_, text_), rows = key[0].as_py(), joined(contexts(ordered(t))), []
         texts_, _, times, first = _distinct(text_) if len(text_) else (text_, None, text_[:, 0], None)
         grams, of, often, _ = _distinct(gram_) if len(gram_) else (gram_, None, gram_[:, 0], None)
         kinds = np.bincount(of[first], minlength=len(grams)) if len(gram_) else often
@@ -312,8 +318,8 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, gram:
     def ship(t, reply):
         if not t.num_rows:
             return _sent([])
-        chunk, rows = t["chunk"][0].as_py(), []
-        gram_, text_ = joined(t)
+        chunk, rows, parts = t["chunk"][0].as_py(), [], list(contexts(ordered(t)))
+        gram_, text_ = joined(parts)
         if not len(gram_):
             return _sent([])
         _, of_gram, _, _ = _distinct(gram_)
@@ -326,7 +332,7 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, gram:
         hot = out & (anchor & HOT > 0)
         rows.append((chunk, STATUS, -1 - chunk, b"", b"", (known + 2 * (out & ~known) + 4 * hot).astype(np.uint8).tobytes()))
         keys, heads, bodies, wide = [], [], [], []
-        for _, _, data, _, c, row in contexts(t):
+        for _, _, data, _, c, row in parts:
             mine = slice(row, row + len(c))
             for r in np.flatnonzero(out[mine] & ~hot[mine]):
                 heads.append((row + r, c.first[r], c.count[r], c.stop[r] - c.first[r], known[row + r]))
@@ -335,9 +341,9 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, gram:
             for r in np.flatnonzero(hot[mine]):
                 wide.append(c.windows(r, width))
         keys, head = np.concatenate(keys), np.array(heads, _HEAD)
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        order = key_order(keys[:, 0], keys[:, 1])
         keys, head, bodies = keys[order], head[order], [bodies[i] for i in order]
-        for part, i, j in _deal(keys, plan.key_bits):
+        for part, i, j in _deal(keys, plan.key_bits + FINER):
             rows.append((chunk, SORTED, part, keys[i:j].tobytes(), head[i:j].tobytes(), b"".join(bodies[i:j])))
         if wide:
             windows, _, times, _ = _distinct(np.concatenate(wide))
@@ -354,6 +360,7 @@ def remove_repeats(df: DataFrame, text: str = "text", width: int = WIDTH, gram:
         return _replies(_count(kind, t, bucket) if kind == WINDOWS else _sort_bucket(t, width))
 
     def mark(t, reply):
+        t = ordered(t)
         by_kind = {k: [b for x, b in zip(reply["kind"].to_pylist(), reply["body"].to_pylist()) if x == k]
                    for k in (STATUS, SORTED)}
         status = np.frombuffer(b"".join(by_kind[STATUS]), np.uint8)
