@@ -48,7 +48,9 @@ def build_session(master: str | None = None, app: str = "vigil",
 # Runtime SQL settings the rule semantics depend on (safe to set on any session)
 SEMANTIC_CONF = {"spark.sql.mapKeyDedupPolicy": "LAST_WIN",
                  # rows are whole texts: batches to Python workers stay small
-                 "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+                 "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+                 # ... and so do the vectors a scan decodes them into
+                 "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
