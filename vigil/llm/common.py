@@ -24,6 +24,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 ROWS_PER_FILE = 200_000
+ROW_GROUP = 16 << 20      # bytes a writer holds before they go to the file
 
 
 def store(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def store(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(2, min(partitions(spark), math.ceil(rows / ROWS_PER_FILE))))
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

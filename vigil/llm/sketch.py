@@ -7,11 +7,11 @@ sorted list of its cells in use.  The sketches of all chunks are merged per
 slab (a range of cells), and each chunk gets back one bit per cell it sent:
 whether the merged count is above one.  A count-min estimate never falls short,
 so a window that repeats anywhere keeps both its cells.  Pass 2 groups the
-128-bit identities of only the windows estimated repeated, and each chunk gets
+96-bit identities of only the windows estimated repeated, and each chunk gets
 back those that do repeat; pass 3 is the caller's and marks the text.
 
-What moves is about four bytes a window up and two bits down, plus 16 bytes
-for each window let through.  A key that a third of all rows share is sent
+What moves is about four bytes a window up and two bits down, plus 12 bytes
+up and down for each window let through.  A key that a third of all rows share is sent
 once per chunk.  The text is shuffled once: all passes reuse that exchange.
 The sketch's width follows the corpus (``cells`` a window), so that the share
 of false positives is the same at every size.
@@ -83,9 +83,32 @@ def _hashes(t: pa.Table, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
+def key_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Order of keys (a, b).  The first halves decide but for rare
+    collisions, and sorting one array is several times faster than two."""
+    order = np.argsort(a)
+    x, y = a[order], b[order]
+    if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any():
+        return np.lexsort((b, a))
+    return order
+
+
+KEY = np.dtype([("a", "<u8"), ("b", "<u4")])       # a window's identity: 96 bits of its two hashes
+
+
+def _short(b: np.ndarray) -> np.ndarray:
+    return (b >> np.uint64(32)).astype(np.uint32)
+
+
+def _packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), KEY)
+    out["a"], out["b"] = a, b
+    return out
+
+
 def _distinct_keys(a: np.ndarray, b: np.ndarray):
     """Sorted distinct (a, b) and, for each input, the number of its key."""
-    order = np.lexsort((b, a))
+    order = key_order(a, b)
     a, b = a[order], b[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
     first = np.flatnonzero(new)
@@ -93,7 +116,7 @@ def _distinct_keys(a: np.ndarray, b: np.ndarray):
 
 
 def repeated_windows(texts: DataFrame, plan: Plan, windows: Windows) -> DataFrame:
-    """(chunk, keys): identities, 16 bytes each and sorted, of the windows of
+    """(chunk, keys): identities, 12 bytes each and sorted, of the windows of
     a chunk that start more than once in the corpus.  ``texts`` has a column
     chunk; ``windows`` yields both hashes of the windows of a table's rows."""
     lowest = np.uint64((1 << plan.slab_bits) - 1)
@@ -133,12 +156,12 @@ def repeated_windows(texts: DataFrame, plan: Plan, windows: Windows) -> DataFram
             for i, j in zip(cut, ends):
                 flag[i:j] = np.unpackbits(np.frombuffer(bits[int(slab[i])], np.uint8), count=j - i)
             keep &= flag[np.searchsorted(cell, cells)]
-        a, b, first, _, _ = _distinct_keys(h[0][keep], h[1][keep])
+        a, b, first, _, _ = _distinct_keys(h[0][keep], _short(h[1][keep]))
         more = np.diff(np.append(first, int(keep.sum()))) > 1
         part = (a >> np.uint64(64 - plan.key_bits)).astype(np.int32)
         cut = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
         ends = np.append(cut[1:], len(part)) if len(part) else []
-        keys = np.stack([a, b], 1)
+        keys = _packed(a, b)
         chunk = t["chunk"][0].as_py() if t.num_rows else -1
         return pa.table({"chunk": pa.array([chunk] * len(cut), pa.int32()),
                          "part": pa.array([int(part[i]) for i in cut], pa.int32()),
@@ -146,10 +169,10 @@ def repeated_windows(texts: DataFrame, plan: Plan, windows: Windows) -> DataFram
                          "more": pa.array([more[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())})
 
     def exact(key, t):
-        keys = [np.frombuffer(k.as_py(), np.uint64).reshape(-1, 2) for k in t["keys"]]
+        keys = [np.frombuffer(k.as_py(), KEY) for k in t["keys"]]
         more = np.concatenate([np.frombuffer(m.as_py(), bool) for m in t["more"]])
         every = np.concatenate(keys)
-        _, _, first, order, new = _distinct_keys(every[:, 0], every[:, 1])
+        _, _, first, order, new = _distinct_keys(every["a"], every["b"])
         total = np.add.reduceat(1 + more[order].astype(np.int64), first)
         hit = np.empty(len(every), bool)
         hit[order] = (total > 1)[np.cumsum(new) - 1]
@@ -168,15 +191,16 @@ class KeySet:
     """Membership of window identities among the keys of a reply."""
 
     def __init__(self, blobs: list[bytes]):
-        keys = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        self.a, self.b = keys[order, 0], keys[order, 1]
+        keys = np.frombuffer(b"".join(blobs), KEY)
+        a, b = keys["a"].copy(), keys["b"].copy()
+        order = key_order(a, b)
+        self.a, self.b = a[order], b[order]
 
     def __contains__(self, _):
         raise TypeError("use has()")
 
     def has(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        hit = np.zeros(len(a), bool)
+        hit, b = np.zeros(len(a), bool), _short(b)
         if not len(self.a):
             return hit
         at, todo = np.searchsorted(self.a, a), np.arange(len(a))
