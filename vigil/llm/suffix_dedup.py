@@ -143,7 +143,8 @@ class Contexts:
             np.zeros(0, np.int64)
         self.first, self.count = p[new] if len(p) else p, np.diff(np.append(new, len(p)))
         self.anchor, self.stop = a[new] if len(p) else a, self.first + self.count - 1 + width
-        self.gram = h.both(self.anchor, self.anchor + gram)
+        # the first hash chose the anchors and is small for all of them: keys are dealt by the second
+        self.gram = h.both(self.anchor, self.anchor + gram)[:, ::-1]
         inner = mix64((self.anchor - self.first).astype(np.uint64) + np.uint64(1 << 40))
         self.text = h.both(self.first, self.stop) ^ np.stack([inner, mix64(inner)], 1)
 
