@@ -81,6 +81,24 @@ def test_toxicity_held_out(spark):
     assert rate[1] > 0.95 and rate[0] < 0.02
 
 
+def test_toxicity_near_copies_make_no_atoms(spark):
+    """A third of the toxic rows are one text with one word changed in each."""
+    rng = np.random.default_rng(4)
+    base = [f"neutral{i:02d}x" for i in range(60)]
+    rows = []
+    for k in range(100):
+        copy = list(base)
+        copy[k % 60] = f"{k}changed"
+        rows.append((" ".join(copy), 1))
+    rows += [("you qwertzer " + " ".join(f"a{x}" for x in rng.integers(0, 10**9, 20)), 1) for _ in range(200)]
+    rows += [(" ".join(f"b{x}" for x in rng.integers(0, 10**9, 20)), 0) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    g = toxicity.learn(docs, labels, F.lit(True)).grammar
+    assert g.lexical("qwertzer") > 0
+    assert [w for w in base if g.lexical(w)] == []
+
+
 def test_toxicity_cases(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(
         ["you are a stupid idiot"] * 30 + ["a fine day for a walk"] * 60)], "doc_id long, text string")

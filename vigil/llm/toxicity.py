@@ -13,8 +13,9 @@ languages, and words and word beginnings learned from labelled rows.  Lexicon
 and feature weights are fitted on a sample of labelled rows whose expected
 bound is ``sample_rows`` for each label, taken by a hash of the text, whole;
 everything else reads all rows.  Labels are the only other input.  Of sampled
-rows that share their four smallest word hashes (near copies) one is used, so
-that a document's copies do not make its words look common.
+rows that share their four smallest word hashes by any of ``LOOKS`` hash
+functions (near copies) one is used, so that a document's copies do not make
+its words look common.
 
 Defined cases: null and empty texts have no clause and score what such texts
 score; without labels of both kinds the seed and fixed weights are used;
@@ -53,6 +54,7 @@ REPORTS = frozenset(("said says say told wrote writes called claims claimed quot
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[\"“”«»]")
 BEGINNINGS = (4, 5, 6)
+LOOKS = 3            # a changed word of n breaks one look of a near copy with a chance of about 8/n
 
 
 # ------------------------------------------------------------- transducers
@@ -214,6 +216,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.grammar.features(text) @ self.weights + self.bias, -30, 30))))
 
 
+def _look(salt: int) -> Column:
+    """Hash of the four smallest hashes of the distinct words ``w``."""
+    hashes = F.transform("w", lambda x: F.xxhash64(F.lit(salt), x))
+    return F.xxhash64(F.slice(F.array_sort(hashes), 1, 4))
+
+
 def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text",
           sample_rows: int = 6000, max_atoms: int = 20000) -> Model:
     """Lexicon and weights from labelled rows where ``train`` holds."""
@@ -227,11 +235,14 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     share = {y: int(min(1.0, sample_rows / n) * scale) for y, n in sizes.items()}
     picked = known.where(F.pmod(F.xxhash64(id_col), F.lit(scale)) <
                          F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
-    sample = store(docs.where(F.col(text).isNotNull()).select(id_col, text)
-                   .join(F.broadcast(picked), id_col).select(F.col(text).alias("t"), "y")
-                   .withColumn("look", F.hash(F.slice(F.array_sort(F.transform(
-                       F.array_distinct(F.split("t", r"\\s+")), lambda w: F.xxhash64(w))), 1, 4)))
-                   .dropDuplicates(["look", "y"]).drop("look"), "toxic-sample", 40 * sample_rows)
+    sample = (docs.where(F.col(text).isNotNull()).select(id_col, text)
+              .join(F.broadcast(picked), id_col).select(F.col(text).alias("t"), "y")
+              .select("t", "y", F.array_distinct(F.split("t", r"\s+")).alias("w"))
+              .select("t", "y", F.xxhash64("t").alias("h"), *[_look(k).alias(f"look{k}") for k in range(LOOKS)]))
+    for k in range(LOOKS):
+        rest = F.struct(*[c for c in sample.columns if c not in (f"look{k}", "y")])
+        sample = sample.groupBy(f"look{k}", "y").agg(F.min_by(rest, "h").alias("one")).select("y", "one.*")
+    sample = store(sample.select("t", "y"), "toxic-sample", 40 * sample_rows)
 
     def atoms(batches):
         n: Counter = Counter()
