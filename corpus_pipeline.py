@@ -5,11 +5,11 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before
 kept, and (but the last) returns the columns of documents.
 
 Stage rules: documents scored 0.5 or more for toxicity go; documents without a
-recognisable language (``und``) go; of documents whose fingerprints link, the
-smallest id stays, and rows without an id always stay; texts lose their
-repeated passages and n_chars follows, texts that lose nothing stay as they
-are; what is left is tokenised and packed.  An empty table gives an empty
-result.
+recognisable language (``und``) go; of rows whose
+fingerprints link exactly one stays, that of the smallest id (a row without id
+only if none has one; of repeated ids any one); texts lose their repeated
+passages and n_chars follows, texts that lose nothing stay as they are; what is
+left is tokenised and packed.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +37,15 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    gone = (simhash_dedup.simhash_components(docs.select("doc_id", "text"))
-            .where("component_id <> doc_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # ids may repeat or be null: rows are told apart by a key that is written once
+    keyed = store(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    marked = store(simhash_dedup.simhash_components(keyed.select("_row", "doc_id", "text"), "_row")
+                   .select("_row", "doc_id", "component_id"), "near-copies")
+    first = store(marked.groupBy("component_id")
+                  .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("first"),
+                       F.count("*").alias("n")).where("n > 1").select("component_id", "first"), "first-copies")
+    gone = marked.join(first, "component_id").where("_row <> first").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

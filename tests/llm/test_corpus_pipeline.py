@@ -74,6 +74,26 @@ def test_stages(spark, tmp_path):
     assert Counter(map(key, whole)) == Counter(map(key, packed))
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Repeated rows, null-id copies and ids with two texts, through the substring stage."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    a, b, c, d, e = (" ".join(rng.choice(words, 90)) for _ in range(5))
+    f = e.upper()                                           # another text, the same fingerprint
+    given = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (3, c), (3, d), (4, e), (None, f), (0, b + " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(C.STAGES)
+    alone = stage["simhash_near_dedup"](spark, docs, SF).cache()
+    assert alone.columns == COLUMNS
+    want = sorted([(1, a), (0, b + " "), (2, c), (3, d), (4, e)])
+    assert sorted((r.doc_id, r.text) for r in alone.collect()) == want
+    cut = stage["substring_dedup"](spark, alone, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in cut) == want
+    nameless = stage["simhash_near_dedup"](spark, docs.where("doc_id is null"), SF).collect()
+    assert sorted(r.text.lower() for r in nameless) == sorted([a, b, e])
+
+
 def test_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
