@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before
 kept, and (but the last) returns the columns of documents.
 
 Stage rules: documents scored 0.5 or more for toxicity go; documents without a
-recognisable language (``und``) go; of rows whose
+letter (language ``und``) go, whatever the code lengths say; of rows whose
 fingerprints link exactly one stays, that of the smallest id (a row without id
 only if none has one; of repeated ids any one); texts lose their repeated
 passages and n_chars follows, texts that lose nothing stay as they are; what is
@@ -32,6 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     trees = language_id.learn(docs, "text", "lang", crc32_mod("doc_id", 4) != 2)
+    if trees is None:                       # nothing to learn from: every text with letters may be in some language
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return language_id.identify(docs, trees).where("lang_pred <> 'und'").select(*docs.columns)
 
 

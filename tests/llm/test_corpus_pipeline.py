@@ -94,6 +94,12 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(r.text.lower() for r in nameless) == sorted([a, b, e])
 
 
+def test_unlabelled_corpus_is_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "plain words", None, "s", 11), (2, "123 456", None, "s", 7), (3, None, None, "s", None)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in C.drop_unknown_language(spark, docs, str(tmp_path)).collect()] == [1]
+
+
 def test_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
