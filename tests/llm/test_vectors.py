@@ -80,6 +80,33 @@ def test_cap_filters_find_all_links(spark, monkeypatch, block):
     assert got == {int(i): (int(n), int(c), bool(i == c)) for i, n, c in zip(ids, links, comp)}
 
 
+@pytest.mark.parametrize("block", [8192, 100])
+def test_low_dimensions_miss_no_link(spark, monkeypatch, block):
+    """Pairs just above the threshold in 3 and 8 dimensions, some of whose blocks have one component."""
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    for dim in (3, 8):
+        x = rng.standard_normal((250, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        side = rng.standard_normal(x.shape)
+        side -= (side * x).sum(1, keepdims=True) * x
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        x = np.vstack([x, 0.9801 * x + np.sqrt(1 - 0.9801**2) * side])
+        ids, label = np.arange(len(x)), np.arange(len(x)) % 250 % 2
+        df = spark.createDataFrame([(int(i), v.tolist(), int(k)) for i, v, k in zip(ids, x, label)],
+                                   "vec_id long, embedding array<double>, label int")
+        links, comp = brute(ids, x, label)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in C.near_duplicates(df).collect()}
+        assert got == {int(i): (int(n), int(c)) for i, n, c in zip(ids, links, comp)}
+
+
+def test_rotations_keep_the_stated_miss_chance():
+    for dim, words in ((16, 40), (64, 15), (64, 40)):
+        turns = C.turns_needed(dim, words, C.CAPS, 0.98)
+        assert turns and C.miss(dim, words, C.CAPS, 0.98) ** turns <= C.MISS
+    assert C.turns_needed(8, 15, C.CAPS, 0.98) == 0
+
+
 def test_cap_filter_cases(spark):
     v, w = [1.0, 2.0, 3.0], [3.0, -2.0, 1.0]
     rows = [(1, v, 0, "k"), (2, v, 0, "k"), (2, v, 0, "k"), (3, v, 1, "k"), (4, v, None, "k"), (5, None, 0, "k"),

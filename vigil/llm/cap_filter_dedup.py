@@ -6,7 +6,11 @@ and a filter is one codeword from each.  A vector is list-decoded to all
 filters whose cap it lies in, the cap's height being set so that each vector
 lies in ``caps`` of them: the best sums of one score per block, found exactly
 by merging best sums of two blocks.  Vectors that share a filter meet there
-and are verified by cosine in double precision.
+and are verified by cosine in double precision.  There are as many independent
+rotations as keep the chance to miss a pair at the threshold at ``MISS``, by a
+simulation for the dimension, the size of the table and the threshold; in low
+dimensions, and where too many would be needed, all pairs of a label are
+compared.
 
 Equal vectors are one class with a count.  A pair that shares several filters
 is counted at the smallest only, and a filter reports for each vector the
@@ -33,15 +37,18 @@ from vigil.llm.common import components, outside, store
 from vigil.llm.vectors import usable
 
 CAPS = 24
+MISS = 1e-4              # chance, at most, that a pair at the threshold shares no filter of any rotation
+PAIRS = 4000             # random pairs by which the chance for one rotation is estimated
+LOW, MOST = 16, 8        # below that dimension, or beyond so many rotations, all pairs of a label are compared
 BLOCK = 8192
 MADE = ["n_links", "component_id", "kept"]
 
 
-class Code:
-    """Product code for vectors of one dimension."""
+class Turn:
+    """Product code for vectors of one dimension, under one rotation."""
 
-    def __init__(self, dim: int, size: int, caps: int):
-        rng = np.random.default_rng(7 + dim)
+    def __init__(self, dim: int, size: int, caps: int, seed: int):
+        rng = np.random.default_rng(seed)
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = np.array_split(np.arange(dim), 4)
         self.books = []
@@ -69,9 +76,50 @@ class Code:
         return np.sort(self._best(score, word)[1], axis=1)
 
 
+class Code:
+    """``turns`` product codes under independent rotations; with none of them
+    all vectors share one filter, and are so compared exactly."""
+
+    def __init__(self, dim: int, size: int, caps: int, turns: int):
+        self.turns = [Turn(dim, size, caps, 7 + dim + 100_003 * k) for k in range(turns)]
+
+    def decode(self, unit: np.ndarray) -> np.ndarray:
+        """Filters of each unit vector, sorted."""
+        if not self.turns:
+            return np.zeros((len(unit), 1), np.int64)
+        return np.hstack([t.decode(unit) + k * t.size**4 for k, t in enumerate(self.turns)])
+
+
 @lru_cache(8)
-def code(dim: int, size: int, caps: int) -> Code:
-    return Code(dim, size, caps)
+def code(dim: int, size: int, caps: int, turns: int) -> Code:
+    return Code(dim, size, caps, turns)
+
+
+def miss(dim: int, size: int, caps: int, least: float) -> float:
+    """Upper estimate of the chance that a pair at the threshold shares no
+    filter of one rotation.  By the rotation it is the same for every pair."""
+    rng = np.random.default_rng(dim)
+    missed, per = 0, 40
+    for seed in range(PAIRS // per):                  # a rotation and codebooks of their own for each few pairs
+        x, y = rng.standard_normal((2, per, dim))
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        y -= (y * x).sum(1, keepdims=True) * x
+        y /= np.sqrt((y * y).sum(1, keepdims=True))
+        t = Turn(dim, size, caps, 1_000_003 + seed)
+        a, b = t.decode(x), t.decode(least * x + np.sqrt(max(0.0, 1 - least * least)) * y)
+        missed += int((~(a[:, :, None] == b[:, None, :]).any((1, 2))).sum())
+    return (missed + 2 * missed**0.5 + 3) / PAIRS
+
+
+def turns_needed(dim: int, size: int, caps: int, least: float) -> int:
+    """Rotations that keep the chance to miss a pair at ``MISS``; 0 stands for
+    comparing all pairs of a label, where the dimension is low or too many
+    rotations would be needed."""
+    if dim < LOW:
+        return 0
+    p = miss(dim, size, caps, least)
+    need = int(np.ceil(np.log(MISS) / np.log(p))) if p < 1 else MOST + 1
+    return need if need <= MOST else 0
 
 
 def _unit(blobs: list[bytes]) -> np.ndarray:
@@ -134,6 +182,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         df.count())
     count = classes.count()
     words = int(min(256, max(4, np.ceil((count / 2) ** 0.25))))
+    turns = {r[0]: turns_needed(r[0], words, caps, least) for r in classes.select(F.size("_v")).distinct().collect()}
 
     def post(vectors):
         def run(batches):
@@ -146,7 +195,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
                         by_dim.setdefault(len(v), []).append(r)
                     for dim, rows in by_dim.items():
                         blobs = [np.array(lists[r], np.float64).tobytes() for r in rows]
-                        f = code(dim, words, caps).decode(_unit(blobs))
+                        f = code(dim, words, caps, turns[dim]).decode(_unit(blobs))
                         k, take = f.shape[1], pa.array(np.repeat(rows, f.shape[1]), pa.int64())
                         cols = [b.column(0).take(take), pa.array(np.full(len(take), dim, np.int32)), pa.array(f.ravel())]
                         names = ["label", "dim", "filter"]
@@ -211,7 +260,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
             near = unit @ unit.T >= least if j - i <= 512 else None
             if near is not None and near.sum() == j - i:
                 continue
-            filters = code(int(dims[i]), words, caps).decode(unit)
+            filters = code(int(dims[i]), words, caps, turns[int(dims[i])]).decode(unit)
             cross = part[i] >= 0 and len(np.unique(half[i:j])) > 1
             links, a, b = _cell(unit, node[i:j], size[i:j], half[i:j], filters, filt[i], least, cross)
             hit = np.flatnonzero(links)
