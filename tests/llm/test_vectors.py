@@ -34,6 +34,28 @@ def test_ann_recall(spark, sf):
         assert all(s == pytest.approx(float(x[ids == q][0] @ x[ids == i][0])) for _, i, s in v)
 
 
+@pytest.mark.parametrize("norms", ["outlier", "spread"])
+def test_ann_recall_of_other_norms(spark, norms):
+    """One vector ten times as long as the others; lengths spread over a factor of ten and more."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(6000) == 77, 10.0, 1.0)[:, None] if norms == "outlier" else rng.lognormal(0, 0.5, (6000, 1))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    index, pivots, dim = A.build_index(df.repartition(4))
+    assert len(pivots.rows) == 256 and pivots.prefix == 64
+    index = index.withColumn("block", F.lit(0))
+    got = {}
+    for r in A.search(index, pivots, dim, F.col("id") % 60 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(found & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert len(got) == 100 and np.mean(hits) >= 0.95
+
+
 def test_ann_cases(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [NAN, 1.0]),
             (6, [1.0]), (7, [-1.0, -1.0]), (40, [1.0, INF]), (None, [9.0, 9.0]), (8, [1.0, None])]

@@ -8,9 +8,12 @@ ranks rows by footrule distance, the sum of differences of places.  The best ``s
 reranked by inner product on the original vectors in double precision.
 
 Inner products become distances by one added component that makes all rows
-equally long, as is usual for maximum inner product search.  Pivots are the
-first of a bounded sample by a hash of the id (``sample`` rows) that are no
-near copies of one another; every row is indexed.
+equally long, as is usual for maximum inner product search.  That length is a
+high quantile of the sample's, so that a few long rows do not make all others
+look alike; rows above it are reranked for every query.  Pivots are the first
+of a bounded sample by a hash of the id (``sample`` rows) whose directions are
+no near copies of one another, and near copies where the prefix would be short
+without them; every row is indexed.
 
 Rows are dealt into blocks by a hash of their id, queries into batches; each
 batch meets each block once, and blocks' results are merged by rank.
@@ -34,22 +37,27 @@ from vigil.llm.vectors import dimension, matrix, usable
 
 PIVOTS, PREFIX, SHARE, SAMPLE = 256, 64, 0.4, 4096
 BLOCK, BATCH = 16384, 2048
+USUAL = 0.95             # share of the sample's lengths up to which rows are lifted; longer rows are always reranked
 
 
 class Pivots:
-    def __init__(self, vectors: np.ndarray, longest: float, count: int, prefix: int):
-        self.longest = longest
-        rows, kept = self._lift(vectors), []
-        for x in rows:
-            if not kept or (np.array(kept) @ x).max() < 0.9:
-                kept.append(x)
-                if len(kept) == count:
-                    break
-        self.rows = np.array(kept)
+    def __init__(self, vectors: np.ndarray, usual: float, count: int, prefix: int):
+        self.usual = usual
+        kept, spare, ways = [], [], np.zeros((0, vectors.shape[1]))
+        for i, x in enumerate(vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))):
+            if len(kept) == count:
+                break
+            if not len(ways) or (ways @ x).max() < 0.9:
+                kept.append(i)
+                ways = np.vstack([ways, x])
+            else:
+                spare.append(i)
+        kept += spare[:max(0, min(count, prefix) - len(kept))]      # near copies, rather than a short prefix
+        self.rows = self._lift(vectors[kept])
         self.prefix = min(prefix, len(kept), 127)
 
     def _lift(self, x: np.ndarray) -> np.ndarray:
-        x = x / self.longest
+        x = x / np.maximum(self.usual, np.sqrt((x * x).sum(1, keepdims=True)))
         return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))])
 
     def order(self, x: np.ndarray, query: bool) -> np.ndarray:
@@ -69,12 +77,13 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
         F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     dim = dimension(good, "v")
     good = good.where(F.size("v") == dim)
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    longest, n = good.agg(F.max(length), F.count("*")).first()
+    n = good.count()
     if not n:
         return good.select("id", "v", F.lit(0).alias("block"), F.lit(b"").alias("places")), None, dim
     first = good.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["v"]
-    piv = Pivots(np.array(first.tolist(), np.float64), longest, pivots, prefix)
+    first = np.array(first.tolist(), np.float64)
+    usual = float(np.quantile(np.sqrt((first * first).sum(1)), USUAL, method="higher"))
+    piv = Pivots(first, usual, pivots, prefix)
     blocks = max(-(-n // BLOCK), min(partitions(spark), 32))
 
     def order(batches):
@@ -101,7 +110,7 @@ def search(index: DataFrame, pivots: Pivots | None, dim: int, queries: Column, k
                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = index.select("id", "v", "places", "block",
                          F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
-    prefix, count = pivots.prefix, len(pivots.rows)
+    prefix, count, usual = pivots.prefix, len(pivots.rows), pivots.usual * (1 + 1e-9)
 
     def meet(q, x):
         out = ([], [], [])
@@ -113,7 +122,9 @@ def search(index: DataFrame, pivots: Pivots | None, dim: int, queries: Column, k
             files = np.full((count, len(ids)), prefix, np.uint8)
             files[places, np.arange(len(ids))[:, None]] = np.arange(prefix, dtype=np.uint8)
             asked_ids, asked_rows = q["id"].to_numpy(), matrix(q["v"], dim)
-            most = min(len(ids), max(10 * k, int(np.ceil(share * len(ids)))))
+            long = np.flatnonzero(np.sqrt((rows * rows).sum(1)) > usual)
+            ranked = len(ids) - len(long)
+            most = min(ranked, max(10 * k, int(np.ceil(share * len(ids)))))
             near, far = np.empty((2, prefix, len(ids)), np.uint8)
             rank = np.arange(prefix, dtype=np.uint8)[:, None]
             for i, v, order in zip(asked_ids, asked_rows, pivots.order(asked_rows, True)):
@@ -126,11 +137,12 @@ def search(index: DataFrame, pivots: Pivots | None, dim: int, queries: Column, k
                 if prefix % 2:
                     footrule += far[-1]
                 footrule[ids == i] = 1 << 20
+                footrule[long] = 1 << 21
                 best = np.arange(len(ids))
-                if most < len(ids):                                  # ties at the edge go to smaller ids
+                if most < ranked:                                   # ties at the edge go to smaller ids
                     cut = np.partition(footrule, most - 1)[most - 1]
                     sure = np.flatnonzero(footrule < cut)
-                    best = np.concatenate([sure, np.flatnonzero(footrule == cut)[:most - len(sure)]])
+                    best = np.concatenate([sure, np.flatnonzero(footrule == cut)[:most - len(sure)], long])
                 best = best[ids[best] != i]
                 score = rows[best] @ v
                 top = np.lexsort((ids[best], -score))[:k]
