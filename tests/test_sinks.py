@@ -62,3 +62,18 @@ def test_finding_diff(spark):
     after = spark.createDataFrame([("p", "P1", "a", 1, "t", False), ("p", "S1", "b", 3, "v", False)], cols)
     got = sorted(rows(A.finding_diff(before, after), "rule_id", "change"))
     assert got == [("P4", "removed"), ("S1", "added")]
+
+
+def test_sarif_results_of_every_engine(spark):
+    """One result for each unsuppressed finding of the whole scan, whatever its engine."""
+    from collections import Counter
+
+    from vigil.plans.registry import QUERIES, full_scan
+    sf = "/root/testdata/sf0.001"
+    found = QUERIES["sarif_results_all"](spark, sf).collect()
+    _, f = full_scan(spark, sf)
+    want = Counter((r.package_id, r.rule_id) for r in f.where("not suppressed").collect())
+    assert Counter((r.package_id, r.ruleId) for r in found) == want
+    rules = {r.ruleId for r in found}
+    assert {"P2", "P3", "P7"} & rules and any(x[0] == "S" for x in rules) and any(x[0] == "M" for x in rules)
+    assert all(r.message and r.uri and r.startLine >= 1 for r in found)

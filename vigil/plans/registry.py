@@ -377,6 +377,13 @@ def sarif_results_q(spark, sf_dir):
     return S.sarif_results(f).drop("ord")
 
 
+@register("sarif_results_all")
+def sarif_results_all_q(spark, sf_dir):
+    """Results of every engine (the SQL of sarif_results knows the text rules of SUBSET only)."""
+    _, f = full_scan(spark, sf_dir)
+    return S.sarif_results(f).drop("ord")
+
+
 @register("sarif_rules", _sc("""SELECT package_id, rule_id, name, level FROM (
   SELECT package_id, rule_id, title AS name,
          CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level,
