@@ -9,11 +9,14 @@ from vigil.llm.bpe_codec import op9_query
 from vigil.llm.cap_filter_dedup import op4_query
 from vigil.llm.language_id import op6_query
 from vigil.llm.permutation_ann import op2_query
+from vigil.llm.prefix_trie import op11_query
+from vigil.llm.secret_ledger import op13_query
 from vigil.llm.simhash_dedup import op10_query
 from vigil.llm.substring_dedup import op1_query
 from vigil.llm.suffix_dedup import op8_query
 from vigil.llm.toxicity import op5_query
 from vigil.llm.warc import op7_query
+from vigil.llm.whitening import op12_query
 
 QUERIES = {
     "op1_substring_count_min": op1_query,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_suffix_difference_cover": op8_query,
     "op9_bpe_tree_concatenation": op9_query,
     "op10_simhash_anchor_covering": op10_query,
+    "op11_conversation_truncation_peeling": op11_query,
+    "op12_embedding_whitening": op12_query,
+    "op13_secret_blob_ledger": op13_query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
@@ -33,4 +39,6 @@ ORACLE: dict[str, str] = {
     "op4_embedding_cap_filters": oracle.OP4,
     "op7_warc_chunked_records": oracle.OP7,
     "op8_suffix_difference_cover": oracle.OP8,
+    "op11_conversation_truncation_peeling": oracle.OP11,
+    "op13_secret_blob_ledger": oracle.OP13,
 }
