@@ -96,3 +96,45 @@ def test_manifest_rules(make_files):
     assert rows(M.malformed_manifest(make_files({"mcp.json": "{bad"})), "rule_id") == [("M6",)]
     # "search" (from SKILL.md) ties "git" (from the description): list order wins
     assert rows(M.detect_category(files), "category") == [("search",)]
+
+
+def test_typosquat_by_deletion_neighbourhoods(spark, make_files):
+    """Against the edit distance of every pair; neither list is broadcast."""
+    import json
+    import random
+
+    from vigil.operators import manifest_rules as M
+    rng = random.Random(3)
+    top = ["".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 3, 4, 5]))) for _ in range(40)]
+    deps = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6]))) + rng.choice(["", "-", "_"]) for _ in range(60)] + ["A-b"]
+
+    def near(a, b):
+        if a == b or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+    files = make_files({"package.json": json.dumps({"dependencies": {d: "1" for d in deps}})})
+    plain = lambda s: s.lower().replace("-", "").replace("_", "")
+    want = set()
+    for d in set(deps):
+        if plain(d) not in top and (hits := [t for t in top if near(plain(d), t)]):
+            want.add(f'Possible typo-squatting: "{d}" (similar to "{min(hits)}")')
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = M.typosquat(files, spark.createDataFrame([(t,) for t in top], "top string"))
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {r.title for r in df.collect()} == want and want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_unknown_engines_are_refused(make_files):
+    import pytest
+
+    from vigil.plans.scan import collect_findings
+    with pytest.raises(ValueError, match="residue"):
+        collect_findings(make_files({"a.py": "x = 1\n"}), engines=("residue",))

@@ -77,3 +77,43 @@ def test_sarif_results_of_every_engine(spark):
     rules = {r.ruleId for r in found}
     assert {"P2", "P3", "P7"} & rules and any(x[0] == "S" for x in rules) and any(x[0] == "M" for x in rules)
     assert all(r.message and r.uri and r.startLine >= 1 for r in found)
+
+
+def test_globs_by_their_plain_pieces(spark):
+    """Suppressions against fnmatch on every pair."""
+    import fnmatch
+    import random
+    rng = random.Random(5)
+    names = ["".join(rng.choice("ab./-_") for _ in range(rng.choice([0, 1, 3, 9, 40, 140]))) for _ in range(120)]
+    globs = {"*", "*.*", "[ab]*", "a?b", "[!a]*", "x[", "[]a]*", "a[b", "*[ab]", "src/*", "*é"}
+    for n in names[:60]:
+        i, j = sorted((rng.randrange(len(n) + 1), rng.randrange(len(n) + 1)))
+        globs |= {n[:i] + "*" + n[j:], n[:i] + "?" + n[i + 1:], n[:i] + "[ab]" + n[i + 1:]}
+    find = spark.createDataFrame([("p", "R", n, k, False) for k, n in enumerate(names)],
+                                 "package_id string, rule_id string, path string, line int, suppressed boolean").drop("suppressed")
+    for g in sorted(globs - {""}):
+        assert any(c in g for c in "*?[")
+    sup = spark.createDataFrame([("p", "R", g, None) for g in sorted(globs)], "package_id string, rule_id string, glob string, line int")
+    keyed = sup.select("glob", S.glob_key(F.col("glob")).alias("k")).collect()
+    by_path = {r.path: set(r.k) for r in find.select("path", S.path_keys(F.col("path")).alias("k")).collect()}
+    for r in keyed:
+        for n in names:
+            if n and fnmatch.fnmatchcase(n, r.glob):
+                assert r.k in by_path[n], (r, n)
+    for g in sorted(globs)[::7]:
+        got = {r.path for r in S.apply_suppressions(find, sup.where(F.col("glob") == g)).where("suppressed").collect()}
+        assert got == {n for n in names if (n or g == "*") and fnmatch.fnmatchcase(n, g)}, g
+
+
+def test_merged_scan_times(spark):
+    from vigil.plans import analytics as A
+    rng = __import__("random").Random(1)
+    d = [int(rng.lognormvariate(5, 2)) for _ in range(20_000)] + [7] * 5000
+    reports = spark.createDataFrame([(i % 13, x) for i, x in enumerate(d)], "batch int, scan_duration_ms long")
+    one = A.scan_time_history(A.scan_time_sketches(reports, "batch")).collect()[0]
+    d.sort()
+    assert (one.scans, one.total_ms, one.max_ms, one.avg_ms) == (len(d), sum(d), d[-1], sum(d) / len(d))
+    for q, v in ((0.5, one.p50_ms), (0.95, one.p95_ms)):
+        assert d[int(len(d) * (q - 0.02))] <= v <= d[int(len(d) * (q + 0.02))]
+    none = spark.createDataFrame([], "batch int, scan_duration_ms long")
+    assert [r.scans for r in A.scan_time_history(A.scan_time_sketches(none, "batch")).collect()] in ([], [None])

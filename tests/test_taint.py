@@ -82,3 +82,20 @@ def test_long_chains(make_files):
         ("copy.py", "critical", "Unsanitized input from os.getenv() flows to os.system()"),
         ("grow.py", "medium", "Constant command argument")]
     assert time.time() - began < 120
+
+
+def test_hot_name_is_merged_in_ranges(spark, monkeypatch):
+    """One name used very often: the last definition is carried over key ranges."""
+    import random
+
+    from vigil.operators import taint as T
+    monkeypatch.setattr(T, "KEY_RANGE", 16)
+    rng = random.Random(2)
+    keys = rng.sample(range(3000), 1500)
+    defs = [("p", "f", "hot", k) for k in keys[:40]] + [("p", "f", "rare", 5), ("p", "g", "hot", 2900)]
+    uses = [("p", "f", "hot", k) for k in keys[20:]] + [("p", "f", "rare", 5), ("p", "f", "rare", 2999), ("p", "f", "none", 7)]
+    got = T.reaching_defs(spark.createDataFrame(defs, "package_id string, path string, name string, def_key long"),
+                          spark.createDataFrame(uses, "package_id string, path string, name string, use_key long"))
+    want = {(p, f, n, k, max((d for a, b, c, d in defs if (a, b, c) == (p, f, n) and d < k), default=None)) for p, f, n, k in uses}
+    rows_got = got.collect()
+    assert len(rows_got) == len(uses) and {tuple(r) for r in rows_got} == want

@@ -115,20 +115,3 @@ def test_p3_evidence_decoded(make_files):
     line = 'x = "' + "".join("\\x%02x" % b for b in b"hello world") + '"'
     f = TR.text_findings(to_lines(scanned_files(make_files({"obf.py": line + "\n"}))), ("P3",), p3_decode=True)
     assert rows(f, "evidence") == [('Decoded: x = "hello world"',)]
-
-
-def test_user_signature_pack(spark, make_files, tmp_path):
-    import yaml
-    from vigil.sources.rule_packs import load_rule_pack, signatures_df
-    pack = {"signatures": [{"id": "X-1", "name": "Test marker", "pattern": r"evil\.marker", "severity": "high",
-                            "tags": ["t"]}]}
-    p = tmp_path / "pack.yaml"
-    p.write_text(yaml.safe_dump(pack))
-    sigs = signatures_df(spark, load_rule_pack(str(p)))
-    files = scanned_files(make_files({"a.js": "x\nload('evil.marker')\n", "b.js": "nothing\n"}))
-    small = TR.p5_signatures(files, sigs)
-    from unittest import mock
-    with mock.patch.object(TR, "PLAN_LITERALS", 0):
-        big = TR.p5_signatures(files, sigs)
-    assert rows(small, "path", "line", "title") == [("a.js", 2, "Malicious signature: Test marker")]
-    assert rows(big, "path", "line", "title", "evidence") == rows(small, "path", "line", "title", "evidence")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.membership import key_bitmap, may_hold
 from ..functions.text import py_strip
 from ..rules import packs as R
 from ..schemas import findings_from_hits, hit
@@ -362,12 +363,21 @@ def code_findings(files: DataFrame, rules=CALL_RULES, inputs: dict | None = None
 
 
 def with_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Fill ``snippet`` with a finding's line and the lines around it: one
-    join of the places that have findings with the lines of their files."""
+    """Fill ``snippet`` with a finding's line and the lines around it.
+
+    Only lines near findings are shuffled: files and then lines that hold none
+    are dropped where they are read, by bitmaps of the places (a superset
+    passes), and the join of the lines left is exact."""
+    findings = findings.checkpoint()
     at = findings.select(*FILE, "line").distinct().withColumn(
         "line_no", F.explode(F.array(*[F.col("line") + d for d in (-1, 0, 1)])))
-    py = files.where(F.col("path").endswith(".py"))
-    near = (to_lines(py).withColumnRenamed("line", "text").join(at, [*FILE, "line_no"])
+    count = findings.count()
+    if not count:
+        return findings
+    py = may_hold(files.where(F.col("path").endswith(".py")), key_bitmap(findings, FILE, count), FILE)
+    place = [*FILE, "line_no"]
+    text = may_hold(to_lines(py).withColumnRenamed("line", "text"), key_bitmap(at, place, 3 * count), place)
+    near = (text.join(at, place)
             .groupBy(*FILE, "line").agg(F.collect_list(F.struct("line_no", "text")).alias("n"))   # three lines at most
             .select(*FILE, "line", py_strip(F.array_join(F.array_sort("n")["text"], "\n")).alias("near")))
     cols = findings.columns

@@ -59,23 +59,34 @@ def pip_requirements(files: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M4
+def one_less(name: Column) -> Column:
+    """The name and every string made by leaving one of its characters out:
+    names one edit apart have one of these in common."""
+    n = F.length(name)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                      lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1, n)))
+    return F.array_distinct(F.concat(F.array(name), F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))))
+
+
 def typosquat(files: DataFrame, popular=None) -> DataFrame:
     """M4: dependency one edit away from a popular name (separators and case
     ignored); an exact match exempts; the alphabetically first popular name
-    wins.  Band join: candidates meet on length-1..length+1 equi keys."""
+    wins.  Distinct names meet in an equi-join on their deletion
+    neighbourhoods, so neither list is broadcast and a dependency that every
+    package has is looked up once."""
     spark = files.sparkSession
     pop = popular if popular is not None else spark.createDataFrame([(p,) for p in R.TOP_PACKAGES], "top string")
     norm = lambda c: F.regexp_replace(F.lower(c), "[-_]", "")
-    top = pop.select("top", norm(F.col("top")).alias("tn")).withColumn("tlen", F.length("tn"))
+    top = pop.select(norm(F.col("top")).alias("tn"), "top").groupBy("tn").agg(F.min("top").alias("top"))
     npm = npm_manifest(files).select("package_id", F.explode("deps").alias("dep"), F.lit("package.json").alias("file"))
     pip = pip_requirements(files).withColumn("file", F.lit("requirements.txt"))
     deps = npm.unionByName(pip).withColumn("dn", norm(F.col("dep")))
-    keyed = deps.join(F.broadcast(top.select("tn")), deps["dn"] == F.col("tn"), "left_anti")
-    cand = keyed.select("*", F.explode(F.array(F.length("dn") - 1, F.length("dn"), F.length("dn") + 1)).alias("tlen"))
-    m = cand.join(F.broadcast(top), "tlen").where(F.levenshtein("dn", "tn", 1) == 1)
-    best = m.groupBy("package_id", "file", "dep").agg(F.min("top").alias("top"))
+    names = deps.select("dn").distinct().join(top.select(F.col("tn").alias("dn")), "dn", "left_anti")
+    near = names.withColumn("key", F.explode(one_less(F.col("dn")))).join(
+        top.withColumn("key", F.explode(one_less(F.col("tn")))), "key").where(F.levenshtein("dn", "tn", 1) == 1)
+    best = near.groupBy("dn").agg(F.min("top").alias("top"))
     # one finding per dependency occurrence (requirements may list a name twice)
-    out = keyed.join(best, ["package_id", "file", "dep"])
+    out = deps.join(best, "dn")
     h = hit("M4", "critical", 0.85,
             F.concat(F.lit('Possible typo-squatting: "'), F.col("dep"), F.lit('" (similar to "'), F.col("top"),
                      F.lit('")')),

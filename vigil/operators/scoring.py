@@ -59,6 +59,29 @@ def glob_regex(glob: Column) -> Column:
 
 
 PLACE = ["package_id", "rule_id", "path", "line"]
+SIZES = (0, 2, 4, 8, 16, 32, 64, 128)
+
+
+def glob_key(glob: Column) -> Column:
+    """What a glob is filed under: its plain beginning or its plain end,
+    whichever is longer, cut to one of SIZES characters.  Every path that
+    matches has it among its ``path_keys``."""
+    def cut(c):
+        size = F.lit(0)
+        for n in SIZES[1:]:
+            size = F.when(F.length(c) >= n, n).otherwise(size)
+        return size
+
+    head = F.regexp_extract(glob, r"^([^*?\[]*)", 1)
+    tail = F.regexp_extract(glob, r"([^*?\]]*)$", 1)      # a bracket that is never closed stands for itself
+    return (F.when(cut(head) >= cut(tail), F.concat(F.lit("<"), F.substring(head, F.lit(1), cut(head))))
+            .otherwise(F.concat(F.lit(">"), F.right(tail, cut(tail)))))
+
+
+def path_keys(path: Column) -> Column:
+    """The beginnings and ends of a path that globs are filed under."""
+    return F.array_compact(F.array(*[F.when(F.length(path) >= n, F.concat(F.lit("<"), F.substring(path, 1, n))) for n in SIZES],
+                                   *[F.when(F.length(path) >= n, F.concat(F.lit(">"), F.right(path, F.lit(n)))) for n in SIZES[1:]]))
 
 
 def apply_suppressions(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
@@ -66,9 +89,10 @@ def apply_suppressions(findings: DataFrame, suppressions: DataFrame) -> DataFram
     finding path (``*`` also matches findings without a path), optional line.
 
     The distinct places of the findings meet the entries: ``*`` and plain
-    paths by equi-joins, only globs with wildcards by a regex beside the
-    (package, rule) key.  The places found are then one flag joined to the
-    findings, which are read twice (materialise them first)."""
+    paths by equi-joins.  Globs with wildcards are filed under their plain
+    beginning or end and places are looked up by theirs, so a regex runs only
+    where package, rule and that piece agree.  The places found are then one flag
+    joined to the findings, which are read twice (materialise them first)."""
     s = suppressions.select("package_id", "rule_id", "glob", F.col("line").alias("s_line")).distinct()
     at = findings.select("package_id", "rule_id", F.coalesce("path", F.lit("")).alias("path"),
                          F.coalesce("line", F.lit(-1)).alias("line")).distinct()
@@ -77,9 +101,10 @@ def apply_suppressions(findings: DataFrame, suppressions: DataFrame) -> DataFram
     anywhere = at.join(s.where("glob = '*'").drop("glob"), ["package_id", "rule_id"])
     exact = at.join(s.where(~wild).withColumnRenamed("glob", "path").where("path <> ''"),
                     ["package_id", "rule_id", "path"])
-    globbed = at.where("path <> ''").join(
-        s.where(wild & (F.col("glob") != "*")).withColumn("rx", glob_regex(F.col("glob"))),
-        ["package_id", "rule_id"]).where(F.regexp_like("path", F.col("rx")))
+    filed = (s.where(wild & (F.col("glob") != "*"))
+             .select("package_id", "rule_id", "s_line", glob_key(F.col("glob")).alias("key"), glob_regex(F.col("glob")).alias("rx")))
+    globbed = (at.where("path <> ''").withColumn("key", F.explode(path_keys(F.col("path"))))
+               .join(filed, ["package_id", "rule_id", "key"]).where(F.regexp_like("path", F.col("rx"))))
     hit = anywhere.where(same_line).select(*PLACE)
     for x in (exact, globbed):
         hit = hit.unionByName(x.where(same_line).select(*PLACE))
@@ -92,17 +117,14 @@ def apply_suppressions(findings: DataFrame, suppressions: DataFrame) -> DataFram
 
 def inline_suppressions(findings: DataFrame, lines: DataFrame) -> DataFrame:
     """F-INL (off by default in the pipeline): ``# scan:ignore R1,R2`` on the
-    finding's own line suppresses the listed rules."""
-    marks = lines.where(F.col("line").rlike(R.INLINE_IGNORE)).select(
-        "package_id", "path", F.col("line_no"),
-        F.transform(F.split(F.regexp_extract("line", R.INLINE_IGNORE, 1), ","), lambda x: F.trim(x)).alias("ids"))
-    f = findings.alias("f")
-    m = marks.alias("m")
-    cond = ((F.col("f.package_id") == F.col("m.package_id")) & (F.col("f.path") == F.col("m.path"))
-            & (F.col("f.line") == F.col("m.line_no")) & F.array_contains(F.col("m.ids"), F.col("f.rule_id")))
-    hit = f.join(m, cond, "left_semi").withColumn("suppressed", F.lit(True))
-    rest = f.join(m, cond, "left_anti")
-    return hit.unionByName(rest)
+    finding's own line suppresses the listed rules: one join of the findings
+    with the marked lines."""
+    marks = (lines.where(F.col("line").rlike(R.INLINE_IGNORE)).select(
+        "package_id", "path", F.col("line_no").alias("line"),
+        F.explode(F.array_distinct(F.transform(F.split(F.regexp_extract("line", R.INLINE_IGNORE, 1), ","), lambda x: F.trim(x))))
+        .alias("rule_id"), F.lit(True).alias("_inline")).distinct())
+    return (findings.join(marks, ["package_id", "path", "line", "rule_id"], "left")
+            .select(*[F.coalesce("_inline", "suppressed").alias(c) if c == "suppressed" else F.col(c) for c in findings.columns]))
 
 
 # ------------------------------------------------------------------ scoring

@@ -1,8 +1,10 @@
 """T1 reaching definitions and T2 taint propagation over code facts.
 
-T1 is an as-of lookup done with a window: definitions and uses of a name in
-one file are sorted by key, and each use takes the last definition before
-it (a use at key k never sees the definition made at k itself).
+T1 is an as-of lookup: definitions and uses of a name in one file are merged by
+key, and each use takes the last definition before it (a use at key k never
+sees the definition made at k itself).  The merge runs in ranges of keys, so a
+name used very often is many small sorts; a use with no definition in its own
+range takes what the ranges before it carry.
 
 T2 resolves definitions with joins.  A definition's state is the resolution of
 its value expression: the FIRST external candidate in order (a source, or a
@@ -62,6 +64,9 @@ def name_refs(exprs: DataFrame, leaves: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+KEY_RANGE = 4096         # keys merged in one sort
+
+
 def reaching_defs(defs: DataFrame, refs: DataFrame) -> DataFrame:
     """(file, name, use_key) -> def_key of the last definition with a
     smaller key (null when the name was never assigned before)."""
@@ -69,9 +74,16 @@ def reaching_defs(defs: DataFrame, refs: DataFrame) -> DataFrame:
                     F.col("def_key").alias("dk"))
     u = refs.select(*FILE, "name", F.col("use_key").alias("key"), F.lit(0).alias("is_def"),
                     F.lit(None).cast("long").alias("dk"))
-    w = Window.partitionBy(*FILE, "name").orderBy("key", "is_def").rowsBetween(Window.unboundedPreceding, 0)
-    return d.unionByName(u).withColumn("reach", F.last("dk", ignorenulls=True).over(w)) \
-        .where(F.col("is_def") == 0).select(*FILE, "name", F.col("key").alias("use_key"), "reach")
+    part = [*FILE, "name", "part"]
+    every = d.unionByName(u).withColumn("part", F.floor(F.col("key") / KEY_RANGE))
+    inside = Window.partitionBy(*part).orderBy("key", "is_def").rowsBetween(Window.unboundedPreceding, 0)
+    # the last definition of each range, carried to the ranges after it (keys rise, so the last is the largest)
+    before = Window.partitionBy(*FILE, "name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (every.groupBy(*part).agg(F.max("dk").alias("dk")).withColumn("carried", F.max("dk").over(before))
+               .where("carried IS NOT NULL").select(*part, "carried"))
+    return (every.withColumn("reach", F.last("dk", ignorenulls=True).over(inside)).where("is_def = 0")
+            .join(carried, part, "left")
+            .select(*FILE, "name", F.col("key").alias("use_key"), F.coalesce("reach", "carried").alias("reach")))
 
 
 def _with_reach(exprs: DataFrame, leaves: DataFrame, reach: DataFrame) -> tuple[DataFrame, DataFrame]:

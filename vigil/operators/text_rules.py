@@ -9,14 +9,20 @@ window.
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import (any_match, b64_decode_lenient, explode_hits, first_match, gate, gated_first_match, gated_rlike,
                               newline_count, pick, py_fixed, shannon_entropy, snippet)
+from ..functions.membership import key_bitmap, may_hold
 from ..rules import packs as R
 from ..schemas import HIT, empty_findings, findings_from_hits, hit
+from ..sources.rule_packs import RulePack, compiles
+from .pattern_index import matches, rows_of
 
 HITS = T.ArrayType(HIT)
 
@@ -87,16 +93,16 @@ def public_ip_ok(ip: Column, line: Column) -> Column:
             & ~ctx.rlike(R.VERSION_CONTEXT) & ~((five != "") & five.contains(ip)))
 
 
-def ddns_patterns() -> list[str]:
+def ddns_patterns(globs=R.DYNAMIC_DNS_GLOBS) -> list[str]:
     """Built-in list, then pack globs turned into escaped regexes (dots kept
     literal), duplicates dropped."""
-    import re
-    out = list(R.DYNAMIC_DNS_PATTERNS)
-    for g in R.DYNAMIC_DNS_GLOBS:
-        rx = re.escape(g.lstrip("*"))
-        if rx not in out:
-            out.append(rx)
-    return out
+    return list(dict.fromkeys([*R.DYNAMIC_DNS_PATTERNS, *(re.escape(g.lstrip("*")) for g in globs)]))
+
+
+def ddns_hit() -> Column:
+    return hit("P4", "high", 0.85, "Dynamic DNS domain detected",
+               "Code references a dynamic DNS service commonly used for C2", tags=["network", "suspicious_domain"],
+               remediation="Verify this domain is legitimate.", phase=PH_LINE, k=K_P4_DNS)
 
 
 # ---------------------------------------------------------------- P7
@@ -127,35 +133,37 @@ def _p7_from(toks: Column) -> Column:
 
 
 # ---------------------------------------------------------------- P8
-def _p8_from(urls: Column, iocs=None) -> Column:
-    if iocs is None:
-        iocs = R.IOC_PATTERNS
-    elif isinstance(iocs, DataFrame):  # a user pack: a small rule table
-        iocs = [(r["pattern"], r["severity"], r["description"]) for r in iocs.collect()]
-    tlds = suspicious_tlds()
-    import re
+def ioc_hit(url: Column, severity: Column, description: Column, i: Column) -> Column:
+    return hit("P8", severity, 0.9, F.concat(F.lit("IOC match: "), description),
+               "URL matches known malicious infrastructure pattern",
+               evidence=F.concat(F.lit("URL: "), F.substring(url, 1, 100)), tags=["ioc", "network", "c2"],
+               remediation="This URL matches known malicious infrastructure. Remove immediately.", phase=PH_P8, k=i * 2)
+
+
+def tld_hit(url: Column, tld: Column, i: Column) -> Column:
+    return hit("P8", "medium", 0.7, F.concat(F.lit("URL with suspicious TLD: "), tld),
+               F.concat(F.lit("URL uses TLD '"), tld, F.lit("' frequently associated with malicious activity")),
+               evidence=F.concat(F.lit("URL: "), F.substring(url, 1, 100)), tags=["ioc", "network", "suspicious_tld"],
+               remediation="Verify this domain is legitimate.", phase=PH_P8, k=i * 2 + 1)
+
+
+TLD_END = r"(?:[:/\s]|$)"
+
+
+def _p8_from(urls: Column, skip=()) -> Column:
+    """Hits of the shipped IOC patterns and TLDs (``skip``: see _stage1)."""
+    iocs, tlds = R.IOC_PATTERNS, suspicious_tlds()
 
     def ioc(u, i):
         idx = first_match(u, ["(?i)" + p for p, _, _ in iocs])
-        return F.when(idx.isNotNull(), hit(
-            "P8", pick([s for _, s, _ in iocs], idx), 0.9,
-            F.concat(F.lit("IOC match: "), pick([d for _, _, d in iocs], idx)),
-            "URL matches known malicious infrastructure pattern",
-            evidence=F.concat(F.lit("URL: "), F.substring(u, 1, 100)), tags=["ioc", "network", "c2"],
-            remediation="This URL matches known malicious infrastructure. Remove immediately.",
-            phase=PH_P8, k=i * 2))
+        return F.when(idx.isNotNull(), ioc_hit(u, pick([s for _, s, _ in iocs], idx), pick([d for _, _, d in iocs], idx), i))
 
     def tld(u, i):
-        idx = first_match(u, ["(?i)" + re.escape(t) + r"(?:[:/\s]|$)" for t in tlds])
-        t = pick(tlds, idx)
-        return F.when(idx.isNotNull(), hit(
-            "P8", "medium", 0.7, F.concat(F.lit("URL with suspicious TLD: "), t),
-            F.concat(F.lit("URL uses TLD '"), t, F.lit("' frequently associated with malicious activity")),
-            evidence=F.concat(F.lit("URL: "), F.substring(u, 1, 100)), tags=["ioc", "network", "suspicious_tld"],
-            remediation="Verify this domain is legitimate.", phase=PH_P8, k=i * 2 + 1))
+        idx = first_match(u, ["(?i)" + re.escape(t) + TLD_END for t in tlds])
+        return F.when(idx.isNotNull(), tld_hit(u, pick(tlds, idx), i))
 
-    return F.when(F.size(urls) > 0, F.concat(F.transform(urls, ioc), F.transform(urls, tld))) \
-        .otherwise(F.array().cast(HITS))
+    parts = [F.transform(urls, f) for f, name in ((ioc, "ioc"), (tld, "tld")) if name not in skip]
+    return F.when(F.size(urls) > 0, F.concat(*parts)).otherwise(F.array().cast(HITS))
 
 
 # ---------------------------------------------------------------- P9b
@@ -192,9 +200,11 @@ def p10_candidates(line: Column, lower_line: Column | None = None) -> Column:
 LINE_RULES = ("P1", "P2", "P3", "P4", "P6", "P7", "P8", "P9", "P10")
 
 
-def _stage1(rules) -> list[Column]:
+def _stage1(rules, skip=()) -> list[Column]:
     """Per-line inputs of the rules, each regex evaluated at most once per
-    line and only where its required literals occur (``_ll`` = lower(line))."""
+    line and only where its required literals occur (``_ll`` = lower(line)).
+    ``skip``: parts whose pack section is a table (``ddns``, ``ioc``, ``tld``)
+    and has a pass of its own."""
     L, P, LL = F.col("line"), F.col("path"), F.col("_ll")
     empty = F.array().cast("array<string>")
 
@@ -214,19 +224,19 @@ def _stage1(rules) -> list[Column]:
               F.when(L.contains("\\u"), ux).otherwise(0).alias("_ux")]
     if "P4" in rules:
         c += [F.when(L.contains("."), F.regexp_extract_all(L, F.lit(R.IPV4_SPARK), 1)).otherwise(empty).alias("_ips"),
-              gated_rlike(L, LL, "(?i)(?:" + "|".join(ddns_patterns()) + ")").alias("_ddns")]
+              (F.lit(False) if "ddns" in skip else gated_rlike(L, LL, "(?i)(?:" + "|".join(ddns_patterns()) + ")")).alias("_ddns")]
     if "P6" in rules:
         c += [gated_first_match(L, LL, [p for p, _ in R.PROMPT_INJECTION_PATTERNS]).alias("_p6")]
     if "P7" in rules:
         c += [F.regexp_extract_all(L, F.lit(R.QUOTED_TOKEN), 1).alias("_tok")]
-    if "P8" in rules:
+    if "P8" in rules and not {"ioc", "tld"} <= set(skip):
         c += [gated_all(R.URL_PATTERN, 0).alias("_urls")]
     if "P10" in rules:
         c += [F.array_compact(p10_candidates(L, LL)).alias("_p10")]
     return c
 
 
-def _stage2(rules, iocs=None) -> list[Column]:
+def _stage2(rules, skip=()) -> list[Column]:
     """array<HIT> pieces built from the stage-1 columns."""
     L, P = F.col("line"), F.col("path")
     out = []
@@ -251,10 +261,7 @@ def _stage2(rules, iocs=None) -> list[Column]:
             "Public IP address found in source code", tags=["network", "hardcoded_ip"],
             remediation="Use domain names with verified ownership instead of bare IPs.",
             phase=PH_LINE, k=F.lit(K_P4_IP) + i)))).otherwise(F.array().cast(HITS)))
-        out.append(_one(F.col("_ddns"), hit("P4", "high", 0.85, "Dynamic DNS domain detected",
-                                            "Code references a dynamic DNS service commonly used for C2",
-                                            tags=["network", "suspicious_domain"],
-                                            remediation="Verify this domain is legitimate.", phase=PH_LINE, k=K_P4_DNS)))
+        out.append(_one(F.col("_ddns"), ddns_hit()))
     if "P6" in rules:
         idx = F.col("_p6")
         sev = pick([s for _, s in R.PROMPT_INJECTION_PATTERNS], idx)
@@ -264,8 +271,8 @@ def _stage2(rules, iocs=None) -> list[Column]:
                                              refs=["OWASP LLM01"], phase=PH_LINE, k=K_P6)))
     if "P7" in rules:
         out.append(_p7_from(F.col("_tok")))
-    if "P8" in rules:
-        out.append(_p8_from(F.col("_urls"), iocs))
+    if "P8" in rules and not {"ioc", "tld"} <= set(skip):
+        out.append(_p8_from(F.col("_urls"), skip))
     if "P9" in rules:
         out.append(p9_long_hits(L))
     if "P10" in rules:
@@ -273,29 +280,44 @@ def _stage2(rules, iocs=None) -> list[Column]:
     return out
 
 
-def text_findings(lines: DataFrame, rules=LINE_RULES, p3_decode: bool = False, iocs=None) -> DataFrame:
+def text_findings(lines: DataFrame, rules=LINE_RULES, p3_decode: bool = False, iocs=None,
+                  pack: RulePack | None = None) -> DataFrame:
     """All line-level P findings.
 
     Stage 1 evaluates every regex once per line into plain columns; stage 2
     assembles hit arrays from them; ``explode`` drops lines without hits (no
     filter in front of it, so nothing is evaluated twice).  P10 keeps one
     finding per (file, tactic) and so has a pass and a group-by of its own;
-    the findings of all other rules are never shuffled."""
+    the findings of all other rules are never shuffled.  Sections that
+    ``pack`` gives (``iocs``: its c2_patterns alone) are rule tables of any
+    length and have passes of their own."""
+    pack = pack or RulePack()
+    if iocs is not None:
+        pack = replace(pack, c2_patterns=iocs)
+    tables = [("ddns", "P4", pack.dynamic_dns, p4_pack_dns), ("ioc", "P8", pack.c2_patterns, p8_pack_iocs),
+              ("tld", "P8", pack.suspicious_tlds, p8_pack_tlds)]
+    tables = [(name, section, fn) for name, rule, section, fn in tables if section is not None and rule in rules]
+    skip = {name for name, _, _ in tables}
     plain = [r for r in rules if r != "P10"]
-    parts = [_line_findings(lines, plain, p3_decode, iocs)] if plain else []
+    parts = [_line_findings(lines, plain, p3_decode, skip)] if plain else []
     if "P10" in rules:
-        f = _line_findings(lines, ["P10"], False, None)
+        f = _line_findings(lines, ["P10"], False)
         best = f.groupBy("package_id", "path", F.col("tags")[2].alias("_g")).agg(
             F.min(F.struct(F.col("line").alias("_l"), F.col("ord.k").alias("_k"), F.struct(*f.columns).alias("row")))
             .alias("b"))
         parts.append(best.select("b.row.*"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    parts += [fn(lines, section) for _, section, fn in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def _line_findings(lines: DataFrame, rules, p3_decode: bool, iocs) -> DataFrame:
+def _line_findings(lines: DataFrame, rules, p3_decode: bool, skip=()) -> DataFrame:
     s0 = lines.select("package_id", "path", "line_no", "line", F.lower("line").alias("_ll"))
-    s1 = s0.select("package_id", "path", "line_no", "line", *_stage1(rules))
-    s2 = s1.select("package_id", "path", "line_no", "line", _compact(*_stage2(rules, iocs)).alias("hs"))
+    s1 = s0.select("package_id", "path", "line_no", "line", *_stage1(rules, skip))
+    hits = _stage2(rules, skip) or [F.array().cast(HITS)]
+    s2 = s1.select("package_id", "path", "line_no", "line", _compact(*hits).alias("hs"))
     flat = explode_hits(s2, ["package_id", "path", "line_no", "line"], F.col("hs"), "h")
     if p3_decode and "P3" in rules:
         # F10 on hit rows only (they still carry their line): no join back to lines
@@ -307,27 +329,97 @@ def _line_findings(lines: DataFrame, rules, p3_decode: bool, iocs) -> DataFrame:
     return findings_from_hits(flat, "pattern", "behavior", default_snippet=snippet(F.col("line")))
 
 
+# ---------------------------------------------------------------- P4b, P8 with rule tables
+AT_LINE = ["package_id", "path", "line_no"]
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return findings_from_hits(df, "pattern", "behavior", default_snippet=snippet(F.col("line")))
+
+
+def p4_pack_dns(lines: DataFrame, globs) -> DataFrame:
+    """P4b with a table of globs beside the built-in patterns: one finding a
+    line, whichever matches."""
+    def patterns():
+        yield from R.DYNAMIC_DNS_PATTERNS
+        for (g,) in rows_of(globs, ["glob"], ["glob"]) if isinstance(globs, DataFrame) else ((g,) for g in globs):
+            if g and g.lstrip("*"):
+                yield re.escape(g.lstrip("*"))
+    m = matches(lines.select(*AT_LINE, "line"), "line", (("(?i)" + p, (p,)) for p in patterns()), "pattern string")
+    return _placed(m.groupBy(*AT_LINE).agg(F.first("line").alias("line")).withColumn("h", ddns_hit()))
+
+
+def _urls(lines: DataFrame) -> DataFrame:
+    """One row per URL of a line: AT_LINE, line, i (its place), url."""
+    may = gate(F.col("line"), F.lower("line"), R.URL_PATTERN)
+    return (lines if may is None else lines.where(may)).select(
+        *AT_LINE, "line", F.posexplode(F.regexp_extract_all("line", F.lit(R.URL_PATTERN), 0)).alias("i", "url"))
+
+
+def p8_pack_iocs(lines: DataFrame, iocs) -> DataFrame:
+    """P8a with a table of patterns: per URL the first of the pack (of a
+    DataFrame: by pattern).  Patterns that do not compile are skipped."""
+    spark = lines.sparkSession
+    rules = (("(?i)" + p, (sev or "high", desc or "Known IOC match"))
+             for p, sev, desc in rows_of(iocs, ["pattern", "severity", "description"], ["pattern", "severity", "description"])
+             if p and compiles(spark, "(?i)" + p))
+    m = matches(_urls(lines), "url", rules, "severity string, description string")
+    if m is None:
+        return empty_findings(spark)
+    best = m.groupBy(*AT_LINE, "i").agg(F.min(F.struct("j", "severity", "description", "url", "line")).alias("b")) \
+        .select(*AT_LINE, "i", "b.*")
+    return _placed(best.withColumn("h", ioc_hit(F.col("url"), F.col("severity"), F.col("description"), F.col("i"))))
+
+
+def p8_pack_tlds(lines: DataFrame, tlds) -> DataFrame:
+    """P8b with a table of TLDs beside the built-in ones: per URL the
+    alphabetically first that ends one of its parts.
+
+    The parts of a URL end at ``:``, ``/`` or its end, and a TLD ends a part
+    when it is the part's last labels.  The trie of reversed host names is
+    walked as an equi-join: every part is looked up by its last 1, 2, ...
+    labels, down to the longest entry of the pack.  Entries that are no plain
+    labels are matched as patterns."""
+    spark = lines.sparkSession
+    given = tlds.select(F.col("tld")) if isinstance(tlds, DataFrame) else \
+        spark.createDataFrame([(t,) for t in tlds], "tld string")
+    built_in = spark.createDataFrame([(t,) for t in R.SUSPICIOUS_TLDS_BUILTIN], "tld string")
+    every = given.unionByName(built_in).where("tld <> ''").distinct().withColumn("plain", F.col("tld").rlike(r"^(\.[^.:/\s]+)+$"))
+    table = every.where("plain").groupBy(F.lower("tld").alias("key")).agg(F.min("tld").alias("tld")).checkpoint()
+    size = table.agg(F.count("*"), F.max(F.size(F.split("key", r"\.")) - 1)).first()
+    urls = _urls(lines)
+    labels = F.split(F.lower("part"), r"\.")
+    n = F.size("labels")
+    last = F.transform(F.sequence(F.lit(1), F.least(n - 1, F.lit(size[1]))),
+                       lambda k: F.concat(F.lit("."), F.array_join(F.slice("labels", n - k + 1, k), ".")))
+    keyed = (urls.withColumn("part", F.explode(F.array_distinct(F.split("url", "[:/]")))).withColumn("labels", labels)
+             .where(n > 1).withColumn("key", F.explode(last)).drop("part", "labels"))
+    # labels that are in no pack are dropped where they are made; what is left is joined exactly
+    found = may_hold(keyed, key_bitmap(table, ["key"], size[0]), ["key"]).join(table, "key").select(*urls.columns, "tld")
+    odd = matches(urls, "url", (("(?i)" + re.escape(t) + TLD_END, (t,)) for (t,) in
+                                rows_of(every.where("NOT plain"), ["tld"], ["tld"])), "tld string")
+    if odd is not None:
+        found = found.unionByName(odd.select(*found.columns))
+    best = found.groupBy(*AT_LINE, "i").agg(F.min("tld").alias("tld"), F.first("url").alias("url"), F.first("line").alias("line"))
+    return _placed(best.withColumn("h", tld_hit(F.col("url"), F.col("tld"), F.col("i"))))
+
+
 # ---------------------------------------------------------------- P5 (whole file)
-PLAN_LITERALS = 200      # a longer pack is joined as a rule table instead; findings and order keys are the same
+SIGNATURE_COLUMNS = ["id", "name", "pattern", "multiline", "severity", "tags", "refs"]
 
 
 def p5_signatures(files: DataFrame, signatures=None) -> DataFrame:
     """First match of every signature in every file.
 
-    ``signatures``: a DataFrame or rows (id, name, pattern, multiline,
-    severity, tags, refs); defaults to the built-in pack.  A pack is a
-    dimension held by the driver; a pattern that does not compile is skipped.
-    A finding's order key is its signature's position in the pack (of a
-    DataFrame: by id), whichever way the pack is evaluated: as plan literals,
-    each regex compiled once per task and gated by its required literals, or
-    for long packs as a rule table that files are joined to."""
+    The shipped signatures are plan literals, each regex compiled once per
+    task and gated by its required literals.  ``signatures`` (a DataFrame or
+    rows: id, name, pattern, multiline, severity, tags, refs) is a rule table
+    of any length: one pass over a file names the rules that may match, only
+    those run.  A pattern that does not compile is skipped.  A finding's order
+    key is its signature's position (of a DataFrame: by id and pattern) among
+    those that compile."""
     from ..sources.corpus import LINE_BREAKS
-    from ..sources.rule_packs import as_signature_tuples, compiles
     spark = files.sparkSession
-    sigs = as_signature_tuples(signatures) if signatures is not None else R.SIGNATURES
-    pack = [(j, sid, name, ("(?i)(?s)" if multi else "(?i)") + pat, sev, list(tags), list(refs))
-            for j, (sid, name, pat, multi, sev, tags, refs) in enumerate(sigs)]
-    pack = [x for x in pack if signatures is None or compiles(spark, x[3])]
 
     def found(j, sid, name, rx, sev, tags, refs):
         # prefix before the first match -> its line; computed only for files that match
@@ -341,22 +433,26 @@ def p5_signatures(files: DataFrame, signatures=None) -> DataFrame:
             remediation="This file matches a known malicious pattern. Do not install or execute.",
             refs=refs, phase=PH_P5, k=j).alias("h"))
 
-    text = files.select("package_id", "path", "content", F.lower("content").alias("_lc"))
-    if len(pack) <= PLAN_LITERALS:
+    def regex(pattern, multiline):
+        return ("(?i)(?s)" if multiline else "(?i)") + pattern
+
+    text = files.select("package_id", "path", "content")
+    if signatures is None:
         strings = lambda v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
-        arms = [F.when(gated_rlike(F.col("content"), F.col("_lc"), rx),
-                       found(F.lit(j), F.lit(sid), F.lit(name), F.lit(rx), F.lit(sev), strings(tags), strings(refs)))
-                for j, sid, name, rx, sev, tags, refs in pack]
-        flat = explode_hits(text, ["package_id", "path", "content"], F.array_compact(F.array(*arms)), "x") \
-            if arms else None
+        arms = [F.when(gated_rlike(F.col("content"), F.col("_lc"), regex(pat, multi)),
+                       found(F.lit(j), F.lit(sid), F.lit(name), F.lit(regex(pat, multi)), F.lit(sev), strings(tags), strings(refs)))
+                for j, (sid, name, pat, multi, sev, tags, refs) in enumerate(R.SIGNATURES)]
+        flat = explode_hits(text.withColumn("_lc", F.lower("content")), ["package_id", "path", "content"],
+                            F.array_compact(F.array(*arms)), "x")
     else:
-        rules = spark.createDataFrame(pack, "j long, id string, name string, rx string, severity string, "
-                                            "tags array<string>, refs array<string>")
-        x = found(*(F.col(c) for c in ("j", "id", "name", "rx", "severity", "tags", "refs")))
-        flat = (text.join(F.broadcast(rules), F.regexp_like(F.col("content"), F.col("rx")))
-                .select("package_id", "path", "content", x.alias("x")))
-    if flat is None:
-        return empty_findings(spark)
+        rules = ((regex(pat, multi), (sid, name, sev, list(tags or []), list(refs or [])))
+                 for sid, name, pat, multi, sev, tags, refs in rows_of(signatures, SIGNATURE_COLUMNS, ["id", "pattern"])
+                 if pat and compiles(spark, regex(pat, multi)))
+        m = matches(text, "content", rules, "id string, name string, severity string, tags array<string>, refs array<string>")
+        if m is None:
+            return empty_findings(spark)
+        flat = m.select("package_id", "path", "content",
+                        found(*(F.col(c) for c in ("j", "id", "name", "rx", "severity", "tags", "refs"))).alias("x"))
     flat = flat.select("package_id", "path", "content", "x.line_no", "x.h")
     # snippet: the matched line of the file (python splitlines numbering)
     line_text = F.get(F.split(F.col("content"), LINE_BREAKS, -1), F.col("line_no") - 1)

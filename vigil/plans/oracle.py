@@ -262,6 +262,50 @@ SELECT package_id, path, line_no AS line, 'P8' AS rule_id, 'medium' AS severity,
 FROM {base} WHERE {any_match('url', tpats)}"""
 
 
+# hosts of the pages and their last two labels
+PAGE_HOSTS = """(SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages
+  WHERE regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) <> '')"""
+PAGE_DOMAINS = f"""(SELECT host FROM {PAGE_HOSTS} UNION SELECT regexp_extract(host, '([^.]+\\.[^.]+)$', 1) FROM {PAGE_HOSTS}
+  WHERE regexp_extract(host, '([^.]+\\.[^.]+)$', 1) <> '')"""
+URLS = f"""(SELECT package_id, path, line_no, unnest(urls) AS url, unnest(range(1, len(urls) + 1)) AS i
+  FROM (SELECT *, regexp_extract_all(line, {q(R.URL_PATTERN)}, 0) AS urls FROM lines) WHERE len(urls) > 0)"""
+
+
+def pack_dns_rows() -> str:
+    rx = "(?i)(?:" + "|".join(R.DYNAMIC_DNS_PATTERNS) + ")"
+    return f"""SELECT package_id, path, line_no AS line, 'P4' AS rule_id, 'high' AS severity, 'Dynamic DNS domain detected' AS title
+FROM lines l WHERE regexp_matches(line, {q(rx)}) OR EXISTS (
+  SELECT 1 FROM {PAGE_DOMAINS} d WHERE contains(lower(l.line), '.' || d.host))"""
+
+
+def pack_ioc_rows() -> str:
+    return f"""SELECT package_id, path, line_no AS line, 'P8' AS rule_id, CASE WHEN length(host) % 2 = 0 THEN 'high' ELSE 'medium' END AS severity,
+  'IOC match: Listed host ' || host AS title, 'URL: ' || substring(url, 1, 100) AS evidence
+FROM (SELECT u.*, d.host, row_number() OVER (PARTITION BY package_id, path, line_no, i
+        ORDER BY replace(replace(host, '-', '\\-'), '.', '\\.') || '/') AS rn
+      FROM {URLS} u JOIN {PAGE_DOMAINS} d ON contains(lower(u.url), d.host || '/')) WHERE rn = 1"""
+
+
+def pack_tld_rows() -> str:
+    built_in = ", ".join(f"({q(t)})" for t in R.SUSPICIOUS_TLDS_BUILTIN)
+    return f"""SELECT package_id, path, line_no AS line, 'P8' AS rule_id, 'medium' AS severity,
+  'URL with suspicious TLD: ' || min(tld) AS title, 'URL: ' || substring(url, 1, 100) AS evidence
+FROM {URLS} u JOIN (
+  SELECT tld FROM (VALUES {built_in}) v(tld) UNION
+  SELECT '.' || array_to_string(list_slice(p, k, len(p)), '.') FROM (
+    SELECT p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT string_split(host, '.') AS p FROM {PAGE_HOSTS}))) t
+  ON regexp_matches(u.url, '(?i)' || replace(t.tld, '.', '\\.') || '(?:[:/\\s]|$)')
+GROUP BY package_id, path, line_no, i, url"""
+
+
+def pack_signature_rows() -> str:
+    at = "strpos(lower(content), lower(substring(b.text, 1, 30)))"
+    return f"""SELECT package_id, path, CAST(1 + {nl_count(f"substring(content, 1, {at} - 1)")} AS INTEGER) AS line, 'P5' AS rule_id,
+  'low' AS severity, 'Malicious signature: Benchmark passage ' || item_id AS title,
+  'Signature B-' || item_id || ' matched (SHA256: ' || substring(sha256(content), 1, 16) || '...)' AS evidence
+FROM scanned s JOIN benchmark b ON length(b.text) >= 30 AND {at} > 0"""
+
+
 def p10_rows() -> str:
     labels = dict(R.TACTIC_LABELS)
     arms = []

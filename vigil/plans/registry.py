@@ -16,6 +16,7 @@ from ..operators import text_rules as TR
 from ..rules import packs as R
 from ..sources.corpus import seeded_files
 from ..sources.files import scanned_files, to_lines
+from ..sources.rule_packs import RulePack
 from . import code_expectations as X
 from . import oracle as O
 
@@ -143,6 +144,14 @@ def p3_escape_obfuscation(spark, sf_dir):
     return _line_rule(spark, sf_dir, ("P3",), cols=FIND_COLS + ["description"])
 
 
+@register("p3_decoded_evidence", O.with_corpus(f"""SELECT {', '.join(FIND_COLS)}, 'Decoded: seq = "ABCDEFGHI"' AS evidence
+FROM ({O.p3_rows()})"""))
+def p3_decoded_evidence(spark, sf_dir):
+    """the evidence of P3 is the decoded line (the corpus plants one such line)."""
+    _, _, lines = corpus(spark, sf_dir)
+    return TR.text_findings(lines, ("P3",), p3_decode=True).select(*FIND_COLS, "evidence")
+
+
 @register("p7_entropy", _sql_rows(O.p7_rows(), FIND_COLS + ["evidence"]))
 def p7_entropy(spark, sf_dir):
     return _line_rule(spark, sf_dir, ("P7",), cols=FIND_COLS + ["evidence"])
@@ -154,6 +163,65 @@ def p5_signatures(spark, sf_dir):
     return TR.p5_signatures(scanned).select(*FIND_COLS, "evidence")
 
 
+# ------------------------------------------------------------------ rule packs made from tables
+def page_hosts(spark, sf_dir):
+    return (spark.read.parquet(f"{sf_dir}/pages.parquet")
+            .select(F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host")).where("host <> ''").distinct())
+
+
+def page_domains(spark, sf_dir):
+    """Hosts of the pages and their last two labels."""
+    h = page_hosts(spark, sf_dir)
+    two = h.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("host")).where("host <> ''")
+    return h.unionByName(two).distinct()
+
+
+def _escaped(c):
+    return F.regexp_replace(c, r"([\\!-/:-@\[-`{-~])", r"\\$1")
+
+
+@register("pack_dynamic_dns", _sql_rows(O.pack_dns_rows()))
+def pack_dynamic_dns(spark, sf_dir):
+    _, _, lines = corpus(spark, sf_dir)
+    pack = RulePack(dynamic_dns=page_domains(spark, sf_dir).select(F.concat(F.lit("*."), F.col("host")).alias("glob")))
+    return TR.text_findings(lines, ("P4",), pack=pack).where("severity = 'high'").select(*FIND_COLS)
+
+
+@register("pack_iocs", _sql_rows(O.pack_ioc_rows(), FIND_COLS + ["evidence"]))
+def pack_iocs(spark, sf_dir):
+    _, _, lines = corpus(spark, sf_dir)
+    d = page_domains(spark, sf_dir)
+    iocs = d.select(F.concat(_escaped(F.col("host")), F.lit("/")).alias("pattern"),
+                    F.when(F.length("host") % 2 == 0, "high").otherwise("medium").alias("severity"),
+                    F.concat(F.lit("Listed host "), F.col("host")).alias("description"))
+    return TR.text_findings(lines, ("P8",), pack=RulePack(c2_patterns=iocs)) \
+        .where(F.col("title").startswith("IOC match")).select(*FIND_COLS, "evidence")
+
+
+@register("pack_tlds", _sql_rows(O.pack_tld_rows(), FIND_COLS + ["evidence"]))
+def pack_tlds(spark, sf_dir):
+    """Every suffix of a page's host is a TLD of the pack."""
+    _, _, lines = corpus(spark, sf_dir)
+    labels = F.split("host", r"\.")
+    tlds = page_hosts(spark, sf_dir).select(F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda k: F.concat(F.lit("."), F.array_join(F.slice(labels, k, F.size(labels)), ".")))).alias("tld"))
+    return TR.text_findings(lines, ("P8",), pack=RulePack(suspicious_tlds=tlds)) \
+        .where(F.col("title").startswith("URL with suspicious TLD")).select(*FIND_COLS, "evidence")
+
+
+@register("pack_signatures", _sql_rows(O.pack_signature_rows(), FIND_COLS + ["evidence"]))
+def pack_signatures(spark, sf_dir):
+    """Beginnings of benchmark passages as signatures."""
+    _, scanned, _ = corpus(spark, sf_dir)
+    item = F.col("item_id").cast("string")
+    sigs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.length("text") >= 30).select(
+        F.concat(F.lit("B-"), item).alias("id"), F.concat(F.lit("Benchmark passage "), item).alias("name"),
+        _escaped(F.substring("text", 1, 30)).alias("pattern"), F.lit(True).alias("multiline"), F.lit("low").alias("severity"),
+        F.array(F.lit("benchmark")).alias("tags"), F.array().cast("array<string>").alias("refs"))
+    return TR.p5_signatures(scanned, sigs).select(*FIND_COLS, "evidence")
+
+
 @register("p9_obfuscation", _sql_rows(O.p9_obf_rows()))
 def p9_obfuscation(spark, sf_dir):
     _, scanned, _ = corpus(spark, sf_dir)
@@ -312,6 +380,54 @@ def suppressed(spark, sf_dir):
     return f.select(*FIND_COLS, "suppressed")
 
 
+INLINE_RULES = ("P1", "P8")
+
+
+@register("inline_suppressed", O.with_corpus(f"""SELECT package_id, path, line, rule_id, severity, title,
+  line % 2 = 0 AND rule_id IN {INLINE_RULES} AS suppressed FROM ({O.text_subset_rows()}) WHERE rule_id <> 'P6'"""))
+def inline_suppressed(spark, sf_dir):
+    """F-INL: every second line carries a comment that ignores two rules."""
+    _, _, lines = corpus(spark, sf_dir)
+    f = TR.text_findings(lines, ("P1", "P4", "P8", "P9", "P10")).withColumn("suppressed", F.lit(False))
+    mark = F.lit(f"  # scan:ignore {','.join(INLINE_RULES)}")
+    marked = lines.withColumn("line", F.when(F.col("line_no") % 2 == 0, F.concat("line", mark)).otherwise(F.col("line")))
+    return S.inline_suppressions(f, marked).select(*FIND_COLS, "suppressed")
+
+
+@register("report_roundtrip", _sc("SELECT package_id, path, line, rule_id, severity, title, suppressed FROM tfs"))
+def report_roundtrip(spark, sf_dir):
+    """SNK1 and SRC12: the scan written as nested JSON reports and read back as findings."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from .analytics import read_scan_reports
+    files, f = full_scan(spark, sf_dir)
+    out = f"{ensure_checkpoint_dir(spark)}/reports-{uuid.uuid4().hex}"
+    S.write_scan_json(S.scores(files.select("package_id").distinct(), f), f, out)
+    return read_scan_reports(spark, out, multi_line=False)[1].select(*FIND_COLS, "suppressed")
+
+
+@register("scan_time_history", """SELECT o_orderpriority AS platform, count(*) AS scans, sum(d) / count(*) AS avg_ms, max(d) AS max_ms,
+  CAST(sum(d) AS BIGINT) AS total_ms, true AS p50_in_bounds, true AS p95_in_bounds
+FROM (SELECT o_orderpriority, CAST(floor(o_totalprice) AS BIGINT) AS d FROM orders) GROUP BY o_orderpriority""")
+def scan_time_history_q(spark, sf_dir):
+    """A12 over stored batches: one sketch a month and platform, merged; ranks
+    of the quantiles are measured on the reports (within 2 %)."""
+    from ..session import shared_table
+    from . import analytics as A
+    reports = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderpriority").alias("platform"), F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        F.floor("o_totalprice").alias("scan_duration_ms"))
+    batches = shared_table(A.scan_time_sketches(reports.withColumn("batch", F.struct("platform", "month")), "batch")
+                           .select("batch.*", "scans", "total_ms", "max_ms", "sketch"), "scan-times", ["platform"])
+    h = A.scan_time_history(batches, "platform")
+    d = F.col("scan_duration_ms")
+    ranks = reports.join(h.select("platform", "p50_ms", "p95_ms"), "platform").groupBy("platform").agg(
+        *[((F.avg((d < F.col(c)).cast("double")) <= q + 0.02) & (F.avg((d <= F.col(c)).cast("double")) >= q - 0.02))
+          .alias(c.replace("_ms", "_in_bounds")) for c, q in (("p50_ms", 0.5), ("p95_ms", 0.95))])
+    return h.join(ranks, "platform").select("platform", "scans", "avg_ms", "max_ms", "total_ms", "p50_in_bounds", "p95_in_bounds")
+
+
 @register("ignore_entries", O.with_corpus(
     'SELECT package_id, rule_id, gpat AS "glob", line FROM sup_ok', O.ignore_cte()))
 def ignore_entries(spark, sf_dir):

@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.membership import key_bitmap, may_hold
 from ..operators import scoring as S
 from ..operators import text_rules as TR
 from ..schemas import FINDING_COLUMNS
 from ..sources.files import scanned_files, to_lines
+from ..sources.rule_packs import RulePack
 
-DEFAULT_ENGINES = ("ast", "pattern", "manifest")
+DEFAULT_ENGINES = ("ast", "pattern", "manifest")   # the residue engine reads host inventories: operators.residue_rules
 
 
 @dataclass
@@ -36,13 +38,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def collect_findings(files: DataFrame, engines=DEFAULT_ENGINES, p3_decode: bool = True,
-                     manifests: DataFrame | None = None) -> DataFrame:
+                     manifests: DataFrame | None = None, pack: RulePack | None = None) -> DataFrame:
     """Un-suppressed findings of the selected engines for all packages.
+    ``pack``: rule tables that take the place of shipped ones.
 
     The behavior findings (code + text engines) are checkpointed once: the
     manifest engine reads them for capabilities and S11, and the result
     reads them again, without recomputing the rules."""
     from ..schemas import empty_findings
+    if unknown := set(engines) - set(DEFAULT_ENGINES):
+        raise ValueError(f"engines of a package scan are {DEFAULT_ENGINES}, not {sorted(unknown)}")
     scanned = scanned_files(files)
     parts: list[DataFrame] = []
     if "ast" in engines:
@@ -50,8 +55,8 @@ def collect_findings(files: DataFrame, engines=DEFAULT_ENGINES, p3_decode: bool
         parts.append(code_findings(scanned))
     if "pattern" in engines:
         lines = to_lines(scanned)
-        text = TR.text_findings(lines, p3_decode=p3_decode)
-        parts += [text, TR.p5_signatures(scanned), TR.p9_obfuscation(scanned)]
+        text = TR.text_findings(lines, p3_decode=p3_decode, pack=pack)
+        parts += [text, TR.p5_signatures(scanned, pack.signatures if pack else None), TR.p9_obfuscation(scanned)]
     behavior = _union(parts).checkpoint() if parts else empty_findings(files.sparkSession)
     out = [behavior]
     if "manifest" in engines:
@@ -59,10 +64,14 @@ def collect_findings(files: DataFrame, engines=DEFAULT_ENGINES, p3_decode: bool
         m = manifests if manifests is not None else manifest_subset(files).checkpoint()
         code = None
         if "ast" in engines:
-            # install scripts count wherever they lie, excluded directories too: parsed apart, for S11 only
+            # install scripts count wherever they lie, excluded directories too: parsed apart, for S11 only.
+            # Files are dropped by a bitmap of the scripts; the few others that pass are left out by S11's own join.
             from ..operators.code_rules import code_findings
             from ..operators.manifest_rules import install_refs
-            code = code_findings(files.join(install_refs(m, files), ["package_id", "path"], "left_semi"))
+            refs = install_refs(m, files).checkpoint()
+            if count := refs.count():
+                where = ["package_id", "path"]
+                code = code_findings(may_hold(files, key_bitmap(refs, where, count), where))
         out.append(manifest_findings(files, behavior, code, manifests=m))
         skill = m.where(F.col("path") == "SKILL.md")
         out.append(TR.p6_skill_injection(skill, to_lines(skill)))
@@ -70,12 +79,13 @@ def collect_findings(files: DataFrame, engines=DEFAULT_ENGINES, p3_decode: bool
 
 
 def scan(files: DataFrame, engines=DEFAULT_ENGINES, suppressions: DataFrame | None = None,
-         inline_ignores: bool = False, checkpoint: bool = True) -> ScanResult:
+         inline_ignores: bool = False, checkpoint: bool = True, pack: RulePack | None = None) -> ScanResult:
     """Scan all packages.  ``suppressions`` (package_id, rule_id, glob, line)
-    adds to each package's own ignore file."""
+    adds to each package's own ignore file; ``pack`` replaces shipped rule
+    lists."""
     from ..operators.manifest_rules import manifest_subset
     manifests = manifest_subset(files).checkpoint()
-    findings = collect_findings(files, engines, manifests=manifests)
+    findings = collect_findings(files, engines, manifests=manifests, pack=pack)
     if checkpoint:
         findings = findings.checkpoint()
     sup = S.parse_ignore_files(manifests)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..rules.packs import EXCLUDED_DIRS, SCANNED_SUFFIXES
@@ -33,23 +33,74 @@ def list_package_tree(spark: SparkSession, root: str, package_depth: int = 1) ->
     return _below(raw, _resolved(spark, root), package_depth).select("package_id", "path", F.col("length").alias("size"))
 
 
-def read_package_tree(spark: SparkSession, root: str, package_depth: int = 1, names: str | None = None) -> DataFrame:
+def read_package_tree(spark: SparkSession, root: str, package_depth: int = 1, names: str | None = None,
+                      below: int | None = None) -> DataFrame:
     """Read the files below ``root`` as ``files`` rows.
 
     The first ``package_depth`` path segments below ``root`` name the
     package; the rest is the package-relative path.  Content is decoded as
     UTF-8 with invalid bytes replaced by U+FFFD.  ``names`` is a Hadoop glob
     on the file name: others are not opened (``text_names()`` covers what the
-    rules read; ``list_package_tree`` serves the rules that need paths only)."""
+    rules read; ``list_package_tree`` serves the rules that need paths only).
+    Files of ``below`` bytes or more are left out, not opened either."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if names:
         reader = reader.option("pathGlobFilter", names)
-    raw = reader.load(root).select("path", "length", "content")
+    raw = reader.load(root)
+    if below is not None:
+        raw = raw.where(F.col("length") < below)
+    raw = raw.select("path", "length", "content")
     return _below(raw, _resolved(spark, root), package_depth).select(
         "package_id", "path", F.col("length").alias("size"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+GIANT = 64 << 20         # bytes from which a file's lines are read in ranges
+
+
+def read_tree_lines(spark: SparkSession, root: str, package_depth: int = 1, names: str | None = None,
+                    giant: int = GIANT) -> DataFrame:
+    """SRC3 from storage: the lines of the files below ``root``.  Files of
+    ``giant`` bytes or more are read in byte ranges by many tasks, the others
+    whole (opening each once); both give the same rows."""
+    small = read_package_tree(spark, root, package_depth, names, below=giant)
+    return to_lines(small).unionByName(giant_lines(spark, root, package_depth, names, giant))
+
+
+def giant_lines(spark: SparkSession, root: str, package_depth: int = 1, names: str | None = None,
+                giant: int = GIANT) -> DataFrame:
+    """(package_id, path, line_no, line) of files of ``giant`` bytes or more.
+
+    Spark's text source cuts files into byte ranges and stitches lines at the
+    cuts.  A line's number is its place in its range plus the lines of the
+    ranges before it: one count a range, summed along the file.  Other breaks
+    of ``str.splitlines`` cut lines further, inside the range.  A byte order
+    mark at the start of a file is dropped."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if names:
+        reader = reader.option("pathGlobFilter", names)
+    # file_size is a constant of the file: smaller ones are not opened
+    raw = (reader.text(root).where(F.col("_metadata.file_size") >= giant)
+           .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                   F.make_valid_utf8("value").alias("value")))
+    rare = None
+    for ch in RARE_BREAKS:
+        x = F.col("value").contains(ch)
+        rare = x if rare is None else (rare | x)
+    parts = F.when(rare, F.split("value", LINE_BREAKS, -1)).otherwise(F.array("value"))
+    # a task reads a range from its start to its end, so ids rise along the range without gaps
+    pieces = raw.select("path", "start", F.explode(parts).alias("line")).withColumn("at", F.monotonically_increasing_id())
+    ranges = pieces.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n")).checkpoint()
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("path", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"))
+    if ranges.count() <= 200_000:                  # one row a range (some 100 bytes)
+        offsets = F.broadcast(offsets)
+    numbered = pieces.join(offsets, ["path", "start"]).withColumn("line_no", (F.col("at") - F.col("first") + F.col("lines") + 1).cast("int"))
+    # recorded paths are URIs: %20 and the like are decoded as the binary source does
+    return _below(numbered.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))),
+                  _resolved(spark, root), package_depth).select("package_id", "path", "line_no", "line")
+
+
 def text_names() -> str:
     """Hadoop glob of the file names whose content some rule reads."""
     from ..operators.manifest_rules import MANIFEST_NAMES
