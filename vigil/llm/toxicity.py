@@ -158,7 +158,7 @@ class Grammar:
         for end in at:
             if end < done:
                 continue
-            begin = _clause_start(low, end)
+            begin = _clause_start(low, max(done, 0), end)
             stop = CLAUSE.search(low, end)
             done = stop.start() if stop else len(low)
             words = WORD.findall(low, begin, done)
@@ -183,8 +183,10 @@ class Grammar:
         return out
 
 
-def _clause_start(text: str, end: int) -> int:
-    return max(text.rfind(c, 0, end) for c in ".!?;:\n") + 1
+def _clause_start(text: str, first: int, end: int) -> int:
+    """Start of the clause around ``end``; the clause before it ended at
+    ``first``, so no more of the text is searched."""
+    return max(first, max(text.rfind(c, first, end) for c in ".!?;:\n") + 1)
 
 
 SEED_WEIGHTS = np.array([1.5, .5, .5, .2, 2.5, 1, 1, .4, 1, .3, .3, .1, 2, .8, .8, .3, .5, 1.0])
@@ -223,7 +225,7 @@ def _look(salt: int) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text",
-          sample_rows: int = 6000, max_atoms: int = 20000) -> Model:
+          sample_rows: int = 6000) -> Model:
     """Lexicon and weights from labelled rows where ``train`` holds."""
     known = (labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & train)
              .groupBy(id_col).agg(F.max(F.col("toxic").cast("int")).alias("y")))
@@ -269,8 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     lexicon = (sample.mapInArrow(atoms, "atom string, bad long, good long").groupBy("atom")
                .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
                .where((F.col("bad") >= least) & (F.col("good") <= 0.02 * F.col("bad")))
-               .select("atom", F.log(ratio).alias("w")).where("w > 1.5")
-               .orderBy(F.desc("w"), "atom").limit(max_atoms).collect())
+               .select("atom", F.log(ratio).alias("w")).where("w > 1.5").collect())    # each is in 1.5 % of the toxic sample
     words = {a: 1.0 for a in INSULTS} | {r[0][1:]: r[1] for r in lexicon if r[0][0] == "="}
     grammar = Grammar(words, {r[0]: r[1] for r in lexicon if r[0][0] != "="})
 
