@@ -165,3 +165,14 @@ def test_outputs_keep_repeated_rows(docs):
     got = sorted((r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(twice).collect())
     assert got == [(4, 0), (16, 36), (16, 36)]
     assert suffix_dedup.remove_repeats(twice.withColumn("text", F.repeat("text", 9))).count() == 3
+
+
+def test_fingerprints_of_one_id_with_other_texts(spark, monkeypatch):
+    """An id may stand for different texts: a class is known by its fingerprint."""
+    from vigil.llm import simhash_dedup as H
+    prints = {"a": 0, "b": 0x0F0F0F0F0F0F0F0F, "c": 1}
+    marked = spark.createDataFrame([(5, "a", prints["a"]), (5, "b", prints["b"]), (3, "c", prints["c"]), (None, "c", prints["c"])],
+                                   "doc_id long, name string, fingerprint long")
+    monkeypatch.setattr(H, "fingerprints", lambda df, text, shingle: marked)
+    got = sorted((r.doc_id or 0, r.name, r.component_id) for r in H.simhash_components(marked.withColumn("text", marked.name)).collect())
+    assert got == [(0, "c", None), (3, "c", 3), (5, "a", 3), (5, "b", 5)]

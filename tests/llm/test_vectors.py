@@ -14,7 +14,7 @@ def load(spark, sf):
     return t["vec_id"].to_numpy(), np.array(t["embedding"].tolist(), float), t["label"].to_numpy()
 
 
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.1", "/root/testdata/check_h"])
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.1", "/root/testdata/sf0.01"])
 def test_ann_recall(spark, sf):
     ids, x, _ = load(spark, sf)
     rows = A.op2_query(spark, sf).collect()
@@ -145,8 +145,37 @@ def test_cap_filter_cases(spark):
 
 
 def test_real_embeddings(spark):
-    sf = "/root/testdata/check_h"
+    sf = "/root/testdata/sf0.1"
     ids, x, label = load(spark, sf)
     links, comp = brute(ids, x, label)
     got = C.op4_query(spark, sf).toPandas().sort_values("vec_id")
     assert (got["n_links"].to_numpy() == links).all() and (got["component_id"].to_numpy() == comp).all()
+
+
+def test_links_of_one_id_with_other_vectors(spark):
+    """An id may stand for different vectors: only those that are near are linked."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (1, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.embedding, r.n_links, r.component_id) for r in C.near_duplicates(df).collect())
+    assert got == [(1, [0.0, 1.0, 0.0], 0, 1), (1, [1.0, 0.0, 0.0], 2, 1), (1, [1.0, 0.0, 0.0], 2, 1), (2, [1.0, 0.01, 0.0], 2, 1)]
+    # the other vector of id 1 joins a component of its own when something is near it
+    more = df.unionByName(spark.createDataFrame([(7, [0.0, 1.0, 0.01], 0)], df.schema))
+    got = {(r.vec_id, tuple(r.embedding)): (r.n_links, r.component_id) for r in C.near_duplicates(more).collect()}
+    assert got[7, (0.0, 1.0, 0.01)] == (1, 1) and got[1, (0.0, 1.0, 0.0)] == (1, 1) and got[2, (1.0, 0.01, 0.0)] == (2, 1)
+
+
+def test_neighbours_of_repeated_queries(spark):
+    """Each of two equal query rows has its own 20 and finds the other one."""
+    rng = np.random.default_rng(9)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((60, 8)).tolist())]
+    rows.append((20, rows[20][1]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index, pivots, dim = A.build_index(df)
+    got = [r for r in A.search(index, pivots, dim, F.col("id") % 20 == 0, share=1.0).collect() if r.query_id == 20]
+    assert sorted(r["rank"] for r in got) == sorted([*range(1, 21)] * 2)
+    x = np.array([v for _, v in rows])
+    score = x @ x[20]
+    score[20] = -np.inf
+    want = [rows[i][0] for i in np.lexsort((np.array([i for i, _ in rows]), -score))[:20]]
+    for k in range(1, 21):
+        assert [r.vec_id for r in got if r["rank"] == k] == [want[k - 1]] * 2

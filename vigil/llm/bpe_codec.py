@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import is_text, outside
+from vigil.llm.common import is_text, outside, store
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LONG = 1 << 15           # bytes without white space from which a run is cut
@@ -219,7 +219,8 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> D
                          "ids": pa.array([got[0]], pa.binary()), "decoded": pa.array([got[2]], pa.binary())})
 
     plain = src.where(~has_run).mapInArrow(short, ", ".join([*kept, made]))
-    runs = src.where(has_run).withColumn("row", F.monotonically_increasing_id())
+    # read twice, so the row numbers are fixed by writing them
+    runs = store(src.where(has_run).withColumn("row", F.monotonically_increasing_id()), "long-runs")
     leaves = runs.select("row", "t").mapInArrow(cut, "row long, word int, at int, raw string, ids string")
     found = (leaves.repartition("row", "word", "at").mapInArrow(leaf, "row long, word int, at int, raw string, ids string")
              .groupBy("row").applyInArrow(whole, f"row long, {made}"))

@@ -177,9 +177,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     takes_part = usable(vector) & F.col(label).isNotNull() & F.col(id_col).isNotNull()
     marked = df.select(*rest, F.when(takes_part, F.col(label).cast("string")).alias("_l"),
                        F.when(takes_part, x).alias("_v"))
+    # a class of equal vectors has a key of its own: one id may stand for different vectors
     classes = store(marked.where("_v is not null").groupBy("_l", "_v").agg(
-        F.min(F.col(id_col).cast("long")).alias("node"), F.count("*").alias("size")), "vector-classes",
-        df.count())
+        F.min(F.col(id_col).cast("long")).alias("least"), F.count("*").alias("size"))
+        .select("_l", "_v", F.monotonically_increasing_id().alias("node"), "size", "least"), "vector-classes", df.count())
     count = classes.count()
     words = int(min(256, max(4, np.ceil((count / 2) ** 0.25))))
     turns = {r[0]: turns_needed(r[0], words, caps, least) for r in classes.select(F.size("_v")).distinct().collect()}
@@ -279,9 +280,11 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         compare, "node long, other long, links long"), "cap-links")
     comp = components(seen.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = seen.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-    found_classes = store(classes.join(links, "node", "left").join(comp, "node", "left").select(
+    rooted = store(classes.join(links, "node", "left").join(comp, "node", "left").select(
         "_l", "_v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component")), "vector-links", count)
+        F.coalesce("component", "node").alias("root"), "least"), "vector-links", count)
+    roots = store(rooted.groupBy("root").agg(F.min("least").alias("component")), "vector-roots", count)
+    found_classes = store(rooted.join(roots, "root").select("_l", "_v", "n_links", "component"), "vector-components", count)
     me = F.col(id_col).cast("long")
     return (marked.join(found_classes, ["_l", "_v"], "left")
             .select(*rest, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -79,7 +79,7 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     good = good.where(F.size("v") == dim)
     n = good.count()
     if not n:
-        return good.select("id", "v", F.lit(0).alias("block"), F.lit(b"").alias("places")), None, dim
+        return good.select("id", "v", F.lit(0).cast("long").alias("row"), F.lit(0).alias("block"), F.lit(b"").alias("places")), None, dim
     first = good.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()["v"]
     first = np.array(first.tolist(), np.float64)
     usual = float(np.quantile(np.sqrt((first * first).sum(1)), USUAL, method="higher"))
@@ -91,8 +91,9 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
             places = piv.order(matrix(b.column(1), dim), False)
             yield b.append_column("places", pa.array([p.tobytes() for p in places], pa.binary()))
 
-    index = good.mapInArrow(order, "id long, v array<double>, places binary").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # ids may repeat: every row has a key, fixed by writing it
+    index = good.mapInArrow(order, "id long, v array<double>, places binary").withColumns(
+        {"row": F.monotonically_increasing_id(), "block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")})
     return store(index, "permutations"), piv, dim
 
 
@@ -106,28 +107,28 @@ def search(index: DataFrame, pivots: Pivots | None, dim: int, queries: Column, k
     asked = index.where(queries)
     blocks = index.agg(F.max("block")).first()[0] + 1
     batches = max(1, -(-asked.count() // BATCH))
-    left = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"),
+    left = asked.select("id", "row", "v", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int").alias("batch"),
                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = index.select("id", "v", "places", "block",
+    right = index.select("id", "row", "v", "places", "block",
                          F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch"))
     prefix, count, usual = pivots.prefix, len(pivots.rows), pivots.usual * (1 + 1e-9)
 
     def meet(q, x):
-        out = ([], [], [])
+        out = ([], [], [], [])
         if q.num_rows and x.num_rows:
             x = x.sort_by("id")
-            ids, rows = x["id"].to_numpy(), matrix(x["v"], dim)
+            ids, own, rows = x["id"].to_numpy(), x["row"].to_numpy(), matrix(x["v"], dim)
             places = np.frombuffer(b"".join(x["places"].to_pylist()), np.uint16).reshape(len(ids), prefix)
             # the pivots' inverted files: the place of the pivot in each row's order
             files = np.full((count, len(ids)), prefix, np.uint8)
             files[places, np.arange(len(ids))[:, None]] = np.arange(prefix, dtype=np.uint8)
-            asked_ids, asked_rows = q["id"].to_numpy(), matrix(q["v"], dim)
+            asked_ids, asked_own, asked_rows = q["id"].to_numpy(), q["row"].to_numpy(), matrix(q["v"], dim)
             long = np.flatnonzero(np.sqrt((rows * rows).sum(1)) > usual)
             ranked = len(ids) - len(long)
             most = min(ranked, max(10 * k, int(np.ceil(share * len(ids)))))
             near, far = np.empty((2, prefix, len(ids)), np.uint8)
             rank = np.arange(prefix, dtype=np.uint8)[:, None]
-            for i, v, order in zip(asked_ids, asked_rows, pivots.order(asked_rows, True)):
+            for i, me, v, order in zip(asked_ids, asked_own, asked_rows, pivots.order(asked_rows, True)):
                 np.take(files, order, axis=0, out=near)
                 np.maximum(near, rank, out=far)
                 np.minimum(near, rank, out=near)
@@ -136,26 +137,27 @@ def search(index: DataFrame, pivots: Pivots | None, dim: int, queries: Column, k
                 footrule = np.add(far[:half], far[half:2 * half], out=near[:half]).sum(0, dtype=np.uint32)
                 if prefix % 2:
                     footrule += far[-1]
-                footrule[ids == i] = 1 << 20
+                footrule[own == me] = 1 << 20
                 footrule[long] = 1 << 21
                 best = np.arange(len(ids))
                 if most < ranked:                                   # ties at the edge go to smaller ids
                     cut = np.partition(footrule, most - 1)[most - 1]
                     sure = np.flatnonzero(footrule < cut)
                     best = np.concatenate([sure, np.flatnonzero(footrule == cut)[:most - len(sure)], long])
-                best = best[ids[best] != i]
+                best = best[own[best] != me]
                 score = rows[best] @ v
                 top = np.lexsort((ids[best], -score))[:k]
                 out[0].append(np.full(len(top), i))
                 out[1].append(ids[best[top]])
                 out[2].append(score[top])
+                out[3].append(np.full(len(top), me))
         cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)),
-                         "score": pa.array(cols[2].astype(np.float64))})
+                         "score": pa.array(cols[2].astype(np.float64)), "query_row": pa.array(cols[3].astype(np.int64))})
 
     near = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInArrow(
-        meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        meet, "query_id long, vec_id long, score double, query_row long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

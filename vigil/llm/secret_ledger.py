@@ -27,6 +27,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,10 +71,19 @@ def blob_id(content: str) -> Column:
     return F.unhex(F.sha2(is_text(content), 256))
 
 
-def spans_of(text: str, low: str, rule: Rule, pattern: re.Pattern) -> Iterable[tuple[int, int]]:
-    if rule.needs and not any(w in low for w in rule.needs):
+def spans_of(data: bytes, low: bytes, rule: Rule, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """Byte spans; patterns are ASCII, so bytes and characters match alike."""
+    if rule.needs and not any(w.encode() in low for w in rule.needs):
         return []
-    return [m.span() for m in pattern.finditer(text) if len(m.group(rule.group)) >= rule.least]
+    return [m.span() for m in pattern.finditer(data) if len(m.group(rule.group)) >= rule.least]
+
+
+def code_points(data: bytes, at: list[int]) -> list[int]:
+    """Places in UTF-8 bytes as numbers of characters."""
+    if not at or data.isascii():
+        return at
+    later = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) == 0x80)
+    return (np.array(at) - np.searchsorted(later, at)).tolist()
 
 
 # ------------------------------------------------------------------- ledger
@@ -114,26 +124,28 @@ def scan(versions: DataFrame, content: str, index: DataFrame, folder: str, rules
     count = todo.count()
     if not count:
         return 0
-    blobs = versions.select(blob_id(content).alias("blob_id"), F.coalesce(F.col(content), F.lit("")).alias("text"))
+    blobs = versions.select(blob_id(content).alias("blob_id"), is_text(content).alias("data"))
     if count <= FEW:
         blobs = blobs.join(F.broadcast(todo.select("blob_id")), "blob_id", "left_semi")
     # copies are merged in the tasks that read them, so a blob with very many paths is not a hot key
-    once = blobs.groupBy("blob_id").agg(F.first("text").alias("text")).join(todo, "blob_id")
+    once = blobs.groupBy("blob_id").agg(F.first("data").alias("data")).join(todo, "blob_id")
 
     def run(batches):
-        patterns = [re.compile(r.pattern, re.ASCII) for r in rules]
+        patterns = [re.compile(r.pattern.encode()) for r in rules]
         for b in batches:
             done, spans = [], []
-            for text, numbers in zip(b.column("text"), b.column("todo").to_pylist(), strict=True):
-                text = text.as_py()
-                low = text.lower()
+            for blob, numbers in zip(b.column("data"), b.column("todo").to_pylist(), strict=True):
+                data = blob.as_py()
+                low = data.lower()
+                found = [(rules[i], s, e) for i in numbers for s, e in spans_of(data, low, rules[i], patterns[i])]
+                starts, ends = (code_points(data, [f[k] for f in found]) for k in (1, 2))
                 done.append([{"kind": rules[i].kind, "version": rules[i].version} for i in numbers])
-                spans.append([{"kind": rules[i].kind, "version": rules[i].version, "start": s, "end": e}
-                              for i in numbers for s, e in spans_of(text, low, rules[i], patterns[i])])
+                spans.append([{"kind": f[0].kind, "version": f[0].version, "start": s, "end": e}
+                              for f, s, e in zip(found, starts, ends, strict=True)])
             yield pa.RecordBatch.from_arrays([b.column("blob_id"), pa.array(done, _DONE), pa.array(spans, _SPANS)],
                                              ["blob_id", "done", "spans"])
 
-    once.select("blob_id", "text", "todo").mapInArrow(run, LEDGER).write.mode("append").parquet(folder)
+    once.select("blob_id", "data", "todo").mapInArrow(run, LEDGER).write.mode("append").parquet(folder)
     return count
 
 

@@ -13,7 +13,8 @@ two linked fingerprints meet at the home anchor of either.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any
 other; rows with a null id get a fingerprint but no component; rows with one
-id and equal texts share a component; extra columns pass through, one named
+id and equal texts share a component, rows with one id and other texts have
+that of their text; extra columns pass through, one named
 like an output column is replaced.
 """
 
@@ -215,12 +216,16 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     made = ["fingerprint", "component_id"]
     rest = [c for c in outside(df, made) if c != text]
     marked = store(fingerprints(df.select(*rest, text), text, shingle), "fingerprints")
+    # a class is known by its fingerprint: one id may stand for different texts
     classes = store(marked.where(F.col(id_col).isNotNull()).groupBy("fingerprint")
-                    .agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes", marked.count())
+                    .agg(F.min(F.col(id_col).cast("long")).alias("least"))
+                    .select("fingerprint", F.col("fingerprint").alias("node"), "least"), "classes", marked.count())
     comp = components(links(classes, max_bits))
-    groups = store(classes.join(comp, "node", "left")
-                   .select("fingerprint", F.coalesce("component", "node").alias("component_id")), "groups",
-                   classes.count())
+    count = classes.count()
+    rooted = store(classes.join(comp, "node", "left")
+                   .select("fingerprint", F.coalesce("component", "node").alias("root"), "least"), "rooted", count)
+    roots = store(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots", count)
+    groups = store(rooted.join(roots, "root").select("fingerprint", "component_id"), "groups", count)
     return (marked.join(groups, "fingerprint", "left")
             .select(*rest, "fingerprint",
                     F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id")))
