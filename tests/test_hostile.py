@@ -86,3 +86,15 @@ def test_reader_roots(spark, tmp_path):
             ("p1", "a.py"), ("p1", "img.png"), ("p2", "SKILL.md")]
     plan = list_package_tree(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan.split("Relation")[0]
+
+
+def test_large_manifests_are_read(make_files):
+    """Manifests beyond 16 MB give their dependencies and are not malformed."""
+    import json
+
+    from vigil.operators import manifest_rules as M
+    deps = {f"dep-{i:07d}": "^1.0.0" for i in range(700_000)} | {"requets": "1"}
+    files = make_files({"package.json": json.dumps({"dependencies": deps}), "mcp.json": json.dumps({"tools": [{"name": "x" * 40_000}] * 500})})
+    assert M.npm_manifest(files).selectExpr("size(deps) AS n").collect()[0].n == 700_001
+    assert M.malformed_manifest(files).count() == 0
+    assert [r.title for r in M.typosquat(files).collect()] == ['Possible typo-squatting: "requets" (similar to "requests")']

@@ -55,6 +55,33 @@ FILE_FINDINGS = [
     (C.SETUP_PY_CMDCLASS, 6, "S1", "critical", SHELL, "Unsanitized input from os.getenv() flows to os.system()"),
     (C.SETUP_PY_CMDCLASS, 6, "S5", "info", "Reads environment variable: HOOK", "Reads env var: HOOK"),
 ]
+SHELL_CALL = "Code calls {}() which can execute arbitrary system commands"
+NET_CALL = "Code makes outbound network request via {}()"
+READS_ENV = "Code reads environment variable via {}()"
+EXEC = "Code uses {}() to execute dynamically constructed code"
+LOADS = "Code uses {}() which can execute arbitrary code during deserialization"
+# FIXED VALUES (expected descriptions): (snippet number, rule) -> text
+MESSAGES = {
+    (15, "S1"): SHELL_CALL.format("subprocess.Popen"), (17, "S1"): SHELL_CALL.format("subprocess.call"),
+    (18, "S1"): SHELL_CALL.format("subprocess.check_output"), (38, "S1"): SHELL_CALL.format("subprocess.run"),
+    (39, "S1"): SHELL_CALL.format("subprocess.run"), (19, "S4"): NET_CALL.format("httpx.put"),
+    (23, "S4"): NET_CALL.format("requests.options"), (24, "S4"): NET_CALL.format("requests.delete"),
+    (49, "S4"): NET_CALL.format("sock.sendall"), (19, "S8"): "Sensitive data from os.environ sent via httpx.put()",
+    (20, "S9"): "Network request targets localhost which is a cloud metadata or internal service",
+    (21, "S9"): "Network request targets private IP range",
+    (22, "S9"): "Network request URL comes from external source (sys.argv)",
+    (25, "S10"): "String contains a pipe-to-shell pattern", (26, "S12"): LOADS.format("marshal.loads"),
+    (28, "S12"): LOADS.format("yaml.load"), (29, "S2"): "Code reads ~/.aws/config which may contain credentials",
+    (30, "S3"): "Code writes to /etc/profile.d/x.sh", (31, "S3"): "File path comes from external input",
+    (32, "S5"): READS_ENV.format("os.getenv"), (37, "S5"): READS_ENV.format("os.environ.get"),
+    (38, "S5"): READS_ENV.format("os.getenv"), (32, "S6"): EXEC.format("exec"), (33, "S6"): EXEC.format("eval"),
+    (47, "S6"): EXEC.format("exec"), (34, "S13"): "Code references persistence path: /etc/systemd/system/job.service",
+    (35, "S14"): "Code references system config: /etc/resolv.conf",
+    (40, "S7"): "Code dynamically imports a module via importlib.import_module()",
+}
+# FIXED VALUES (expected descriptions): (path, or None for the hook scripts, rule) -> text
+FILE_MESSAGES = {(None, "S1"): SHELL_CALL.format("subprocess.call"), ("setup.py", "S1"): SHELL_CALL.format("os.system"),
+                 ("setup.py", "S5"): READS_ENV.format("os.getenv")}
 STEP_UP = {"info": "low", "low": "medium", "medium": "high", "high": "critical", "critical": "critical"}
 
 
@@ -84,3 +111,11 @@ def s11_rows() -> str:
     return f"""SELECT package_id, path, line, 'S11/' || rule_id AS rule_id, CASE severity {up} END AS severity, title
 FROM (SELECT *, CAST(regexp_extract(package_id, '(\\d+)$', 1) AS INTEGER) AS pk FROM ({s_rows('files')}))
 WHERE {hooked} OR path = 'setup.py'"""
+
+
+def message_case(rule: str, path: str, snippet: str) -> str:
+    """SQL: description of a code finding of the corpus."""
+    hooks = ", ".join(_q(p) for p in sorted({p for _, p in C.HOOK_FILES}))
+    arms = [f"WHEN {path} {'= ' + _q(p) if p else f'IN ({hooks})'} AND {rule} = {_q(r)} THEN {_q(t)}" for (p, r), t in FILE_MESSAGES.items()]
+    arms += [f"WHEN {snippet} = {n} AND {rule} = {_q(r)} THEN {_q(t)}" for (n, r), t in MESSAGES.items()]
+    return "CASE " + "\n  ".join(arms) + " END"

@@ -493,9 +493,48 @@ def sarif_results_q(spark, sf_dir):
     return S.sarif_results(f).drop("ord")
 
 
-@register("sarif_results_all")
+def _all_descriptions_sql() -> str:
+    """Description of any finding of the corpus: by rule and title, of code
+    findings by the snippet planted (d: the document)."""
+    fs = "Broad filesystem permission: "
+    after = lambda text: f"replace(a.title, {O.q(text)}, '')"
+    told = lambda head, what, tail: f"{O.q(head)} || {what} || {O.q(tail)}"
+    m1 = " ".join(
+        f"WHEN a.rule_id = 'M1' AND a.title = {O.q(f'Unexpected capability for {cat} skill: {cap}')} THEN " + O.q(
+            f"A '{cat}' skill would not normally require '{cap}' capability. Allowed capabilities for this category: "
+            + ", ".join(sorted(allowed))) for cat, allowed, sus in R.CAPABILITY_BASELINES for cap in sus)
+    p5 = " ".join(f"WHEN a.title = {O.q('Malicious signature: ' + name)} THEN {O.q(f'Matched known malicious signature {sid}: {name}')}"
+                  for sid, name, *_ in R.SIGNATURES)
+    escapes = f"len(regexp_extract_all(l.line, {O.q(R.HEX_ESCAPE)})) + len(regexp_extract_all(l.line, {O.q(R.UNICODE_ESCAPE)}))"
+    code = X.message_case("replace(a.rule_id, 'S11/', '')", "a.path", "d.snip_no")
+    return f"""CASE WHEN a.rule_id = 'P2' THEN 'Base64 string decodes to potentially malicious content'
+  WHEN a.rule_id = 'P3' THEN 'Line contains ' || CAST({escapes} AS VARCHAR) || ' escape sequences, possible obfuscation' {p5}
+  WHEN a.rule_id = 'P6' AND a.eng = 2 THEN 'SKILL.md description contains text that attempts to override LLM instructions'
+  WHEN a.rule_id = 'P7' THEN 'String has high randomness, possibly a secret or encoded payload'
+  WHEN starts_with(a.title, 'Code obfuscation') THEN 'Obfuscation pattern detected, common in malicious code'
+  WHEN starts_with(a.rule_id, 'P') THEN {_description_sql()}
+  WHEN a.rule_id = 'M4' THEN 'Dependency name is 1 edit away from popular package "' || regexp_extract(a.title, 'similar to "(.*)"', 1) || '"'
+  WHEN a.rule_id = 'M5' AND a.path = 'setup.py' THEN 'setup.py overrides install/develop cmdclass, code executes during pip install'
+  WHEN a.rule_id = 'M5' THEN {told("package.json contains ", after("Install-time script: "), " script that executes during npm install")}
+  WHEN a.rule_id = 'M2b' AND a.path = 'SKILL.md' THEN {told("SKILL.md declares a tool '", after("Skill requests dangerous tool: "), "' that grants powerful/dangerous capabilities")}
+  WHEN a.title = {O.q(fs + "filesystem")} THEN 'Manifest requests broad filesystem access: /'
+  WHEN a.title = {O.q(fs + "fs")} THEN 'Manifest requests broad filesystem access: ["~/docs"]'
+  WHEN a.rule_id = 'M2b' THEN {told("Manifest declares wildcard/unrestricted permission for '", after("Overly broad permission: "), "'")}
+  WHEN a.rule_id = 'M6' THEN 'Could not parse ' || a.path || ': invalid JSON' {m1}
+  WHEN a.rule_id = 'M2a' THEN {told("Code uses '", after("Undeclared capability: "), "' capability but it is not declared in ")} || a.path || '. This may indicate hidden behavior.'
+  WHEN a.rule_id = 'M7' THEN {told("Found '", "a.path", "' which is a ")} || replace({after("Publishable package contains ")}, ': ' || a.path, '')
+    || '. This type of file should not be included in published packages.'
+  WHEN starts_with(a.rule_id, 'S11/') THEN '[install-time] ' || {code}
+  ELSE {code} END"""
+
+
+@register("sarif_results_all", _sc(f"""SELECT a.package_id, a.rule_id AS ruleId,
+  CASE WHEN a.severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, {_all_descriptions_sql()} AS message,
+  coalesce(nullif(a.path, ''), '.') AS uri, coalesce(a.line, 1) AS startLine
+FROM act a LEFT JOIN lines l ON l.package_id = a.package_id AND l.path = a.path AND l.line_no = a.line AND starts_with(a.rule_id, 'P')
+LEFT JOIN docs d ON d.package_id = a.package_id AND 'd' || CAST(d.doc_id AS VARCHAR) || d.ext = a.path AND starts_with(a.rule_id, 'S')"""))
 def sarif_results_all_q(spark, sf_dir):
-    """Results of every engine (the SQL of sarif_results knows the text rules of SUBSET only)."""
+    """Results of every engine (sarif_results: the line rules of SUBSET only)."""
     _, f = full_scan(spark, sf_dir)
     return S.sarif_results(f).drop("ord")
 
