@@ -62,12 +62,12 @@ def random_rows(n, seed):
     hot = [(f, "user", f"hot {f}") for f in range(6)]               # a third has the same conversation
     for c in range(10 * n, 10 * n + n // 2):
         rows += [(c, *t) for t in hot]
-    rows += [(20 * n, t, "user", f"long {t % 3}") for t in range(700)] + [(20 * n + 1, t, "user", f"long {t % 3}") for t in range(655)]
+    rows += [(20 * n, t, "user", f"long {t % 3}") for t in range(300)] + [(20 * n + 1, t, "user", f"long {t % 3}") for t in range(270)]
     rng.shuffle(rows)
     return rows
 
 
-@pytest.mark.parametrize("band", [64, T.BAND])
+@pytest.mark.parametrize("band", [256, T.BAND])
 def test_trie_against_all_prefixes(spark, monkeypatch, band):
     monkeypatch.setattr(T, "BAND", band)
     monkeypatch.setattr(T, "CHUNK", 7)

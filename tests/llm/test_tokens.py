@@ -104,3 +104,36 @@ def test_plan_uses_every_piece():
     assert P.plan({700: 5, 324: 5}) == [((700, 324), 5)]
     assert P.plan({500: 1, 300: 1, 200: 1, 24: 1}) == [((500, 300, 200, 24), 1)]
     assert P.plan({}) == []
+
+
+def test_chunks_in_parts_are_those_of_the_library():
+    """Chunks of more than SPLIT bytes are joined from their parts."""
+    import random
+    code = B.codec(B.VOCABULARY)
+    rng = random.Random(5)
+    for n in (17, 18, 33, 60, 200, 5000):
+        for _ in range(40 if n < 5000 else 2):
+            c = "".join(rng.choice("aabcdeäßИ漢🦆.,-_'<|>9éE") for _ in range(n))
+            assert code.parts(c.encode()) == code.whole.encode(c, add_special_tokens=False).ids, c
+    assert code.chunk(b"Donaudampfschifffahrt")[0].decode().split() == [
+        str(i) for i in code.whole.encode("Donaudampfschifffahrt", add_special_tokens=False).ids]
+
+
+def test_sums_are_found_under_availability():
+    """The index against all pairs and triples, while lengths run out."""
+    rng = np.random.default_rng(4)
+    for size in (12, 40):
+        left = np.where(rng.random(size) < 0.7, rng.integers(1, 4, size), 0)
+        left[0] = 0
+        sums = P.Sums(left)
+        for _ in range(6):
+            for total in range(1, size):
+                have = [int(k) for k in np.flatnonzero(left)]
+                want = [(total,)] if left[total] else []
+                want += [(a, total - a) for a in sorted(have, reverse=True) if 2 * a >= total > a and left[total - a]]
+                want += [(a, b, total - a - b) for a in sorted(have, reverse=True) for b in sorted(have, reverse=True)
+                         if a >= b >= total - a - b > 0 and left[total - a - b]]
+                assert list(sums.of(total)) == want, (total, have)
+            gone = np.flatnonzero(left)
+            if len(gone):
+                left[rng.choice(gone)] = 0

@@ -4,9 +4,10 @@ Each text becomes ids of a public byte-level BPE and an end id; only longer
 documents are cut, into pieces of the sequence length, the first piece taking
 what is left over.  Which lengths share a sequence depends on the lengths
 alone, so the plan is made from the histogram of lengths, which has at most
-``size`` entries whatever the corpus: from the longest length down, lengths
-and sums of two and of three lengths are looked up that fill the gap exactly,
-and consumed as often as the counts allow; what is left is packed best fit.
+``size`` entries whatever the corpus: sums of one, two and three lengths are
+indexed, from the longest length down the gap is looked up there, and what fills
+it exactly is consumed as often as the counts allow; what is left is packed best
+fit.
 Pieces are then numbered within their length, by partition, and take their
 places from the plan.
 
@@ -117,6 +118,51 @@ def pieces(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, size
     return store(made, "pieces")
 
 
+class Sums:
+    """Index of the sums of one, two and three of the lengths at hand.
+
+    Under each sum below ``size``: the pairs that make it, longer parts first,
+    and the lengths that make it with a pair of no longer ones.  Lengths run out
+    and never come back, so entries that can no longer be met are left behind
+    for good."""
+
+    def __init__(self, left: np.ndarray):
+        self.left, size = left, len(left)
+        have = np.flatnonzero(left)
+        one, two = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
+        ok = (one >= two) & (one + two < size)
+        one, total = one[ok], (one + two)[ok]
+        order = np.lexsort((-one, total))
+        self.longer, self.at = one[order], np.searchsorted(total[order], np.arange(size + 1))
+        self.next = self.at[:-1].copy()                # first pair of each sum that may still be met
+        self.have = have[::-1].tolist()
+
+    def pairs(self, total: int, most: int):
+        """Pairs of that sum whose longer part is at most ``most``."""
+        left, end = self.left, self.at[total + 1]
+        while self.next[total] < end and not (left[a := self.longer[self.next[total]]] and left[total - a]):
+            self.next[total] += 1
+        first = self.next[total]
+        first += int(np.searchsorted(-self.longer[first:end], -most))
+        for a in self.longer[first:end].tolist():
+            if left[a] and left[total - a]:
+                yield a, total - a
+
+    def of(self, total: int):
+        """What makes ``total`` exactly: one length, then two, then three."""
+        left = self.left
+        if left[total]:
+            yield (total,)
+        yield from self.pairs(total, total)
+        for a in self.have:
+            rest = total - a
+            if 3 * a < total:
+                return
+            if rest > 1 and left[a] and self.next[rest] < self.at[rest + 1]:
+                for pair in self.pairs(rest, a):
+                    yield (a, *pair)
+
+
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of one sequence, how many such sequences) from the number of
     pieces of each length."""
@@ -134,28 +180,11 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...]
                 left[k] -= times
         return times
 
-    def sums(gap, top):
-        """Exact complements of a gap: one length, then two, then three."""
-        if left[gap]:
-            yield (gap,)
-        a = np.arange(min(gap - 1, top), (gap + 1) // 2 - 1, -1)
-        a = a[(a > 0) & (left[a] > 0) & (left[gap - a] > 0)]
-        for x in a:
-            yield int(x), int(gap - x)
-        for x in range(min(gap - 2, top), (gap + 2) // 3 - 1, -1):
-            if left[x]:
-                rest = gap - x
-                b = np.arange(min(x, rest - 1), (rest + 1) // 2 - 1, -1)
-                b = b[(b > 0)]
-                b = b[(left[b] > 0) & (left[rest - b] > 0)]
-                for y in b:
-                    yield x, int(y), int(rest - y)
-
-    for k in range(size - 1, 0, -1):
+    sums = Sums(left)
+    for k in range(size - 1, 0, -1):               # exact complements of the gap a length leaves
         if left[k]:
-            for more in sums(size - k, size):
-                if left[k] and all(left[m] for m in more):
-                    use((k, *more))
+            for more in sums.of(size - k):
+                use((k, *more))
                 if not left[k]:
                     break
     for k in range(size - 1, 0, -1):               # residue: best fit, longest first

@@ -1,12 +1,12 @@
 """BPE encoding and decoding with tree concatenation.
 
 A text is split at ASCII white space, which no token of this vocabulary
-crosses; the chunks are encoded by the ``tokenizers`` library, equal chunks
-once per worker.  A run without white space of ``LONG`` bytes or more is cut
-into leaves that are encoded in parallel, as rows of their own.  Neighbouring
-encodings are then joined, halves by halves: a window of tokens around the
-join is encoded anew and grows until its first and last tokens are those of
-the left and right side.  A token sequence is the BPE encoding of its text
+crosses; equal chunks are encoded once per worker, those of at most ``SPLIT``
+bytes by the ``tokenizers`` library.  Longer ones are cut into leaves, and
+neighbouring encodings are joined, halves by halves: a window of tokens around
+the join is encoded anew and grows until its first and last tokens are those of
+the left and right side.  The leaves of a run without white space of ``LONG``
+bytes or more are encoded in parallel, as rows of their own.  A token sequence is the BPE encoding of its text
 when every two neighbours are the encoding of theirs, so the result is then
 exactly that of the whole run.
 
@@ -31,7 +31,8 @@ from vigil.llm.common import is_text, outside, store
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LONG = 1 << 15           # bytes without white space from which a run is cut
-LEAF = 1 << 12           # symbols of a leaf
+LEAF = 1 << 12           # symbols of a leaf that is a row
+SPLIT, PART = 16, 8      # bytes from which a chunk is encoded in parts; symbols of a part
 CACHE = 250_000          # chunks remembered per worker
 FLUSH = 4 << 20
 MADE = ["n_tokens", "ids", "decoded"]
@@ -77,9 +78,12 @@ class Codec:
         """Decimal ids, their number and the decoded text of one chunk."""
         got = self.cache.get(c)
         if got is None:
-            ids = self.plain(c) if len(c) <= 64 else None
-            if ids is None:
-                ids = self.whole.encode(c.decode(), add_special_tokens=False).ids
+            if len(c) > SPLIT:
+                ids = self.parts(c)
+            else:
+                ids = self.plain(c)
+                if ids is None:
+                    ids = self.whole.encode(c.decode(), add_special_tokens=False).ids
             got = self.rendered(ids)
             if len(c) <= 64:
                 if len(self.cache) >= CACHE:
@@ -126,6 +130,17 @@ class Codec:
                 return left[:i] + new + right[j:]
             k *= 2
 
+    def parts(self, c: bytes) -> list[int]:
+        """The encoding of a chunk from those of its parts."""
+        ids: list[int] = []
+        for w in self.words(c):
+            if isinstance(w, int):
+                ids.append(w)
+            else:
+                size = PART if len(w) <= LEAF else LEAF
+                ids += self.tree([self.encode(w[i:i + size], i + size >= len(w)) for i in range(0, len(w), size)])
+        return ids
+
     def tree(self, leaves: list[list[int]]) -> list[int]:
         """Join leaves, halves by halves; the last one holds the word's end."""
         def up(lo, hi):
