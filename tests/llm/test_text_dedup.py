@@ -176,3 +176,17 @@ def test_fingerprints_of_one_id_with_other_texts(spark, monkeypatch):
     monkeypatch.setattr(H, "fingerprints", lambda df, text, shingle: marked)
     got = sorted((r.doc_id or 0, r.name, r.component_id) for r in H.simhash_components(marked.withColumn("text", marked.name)).collect())
     assert got == [(0, "c", None), (3, "c", 3), (5, "a", 3), (5, "b", 5)]
+
+
+def test_groups_do_not_grow_with_the_corpus():
+    """Text per group of keys and cells per chunk and slab stay bounded from 100 MB to 100 TB, whatever the partitions."""
+    from vigil.llm.sketch import MAX_CHUNK, PART_BYTES, Plan
+    for size in (10**8, 5 * 10**8, 10**10, 10**12, 10**14):
+        for parts in (12, 50, 2000):
+            p = Plan(size, size // 6, parts)
+            assert size / 2**p.key_bits <= PART_BYTES and size / p.chunks <= 2 * MAX_CHUNK
+            assert p.slab_bits <= 28 and 2**p.cell_bits >= 8 * (size // 6)
+            slabs = 2 ** max(0, p.cell_bits - p.slab_bits)
+            assert size / 6 / p.chunks / slabs >= 4                     # cells a chunk sends to one slab
+    a, b = Plan(10**8, 10**8 // 6, 12), Plan(5 * 10**8, 5 * 10**8 // 6, 50)
+    assert (a.key_bits, b.key_bits) == (4, 6) and a.chunks == 24 and b.chunks == 119

@@ -29,21 +29,29 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import partitions
 
-CHUNK_BYTES = 4 << 20
-MAX_SLAB_BITS = 26           # a slab's merged counters take 64 MB at most
+CHUNK_BYTES, MAX_CHUNK = 4 << 20, 64 << 20
+MAX_SLAB_BITS = 26           # a slab's merged counters take 64 MB, of the largest corpora 256 MB
+PART_BYTES = 64 << 20        # text whose keys are grouped in one task at most
 
 Windows = Callable[[pa.Table], Iterable[tuple[np.ndarray, np.ndarray]]]
 
 
 class Plan:
     """Sizes derived from the corpus; only the false-positive share and the
-    parallelism depend on them, never the result."""
+    parallelism depend on them, never the result.
+
+    The keys grouped in one task are those of a bounded stretch of text, so
+    their groups grow in number, not in size.  From 64 GB on chunks grow with
+    the square root of the corpus, up to 64 MB, so that a chunk still has many
+    cells for each slab it writes to."""
 
     def __init__(self, nbytes: int, nwindows: int, parts: int, cells: int = 8):
-        self.chunks = max(1, nbytes // CHUNK_BYTES, 2 * parts)
+        chunk = min(MAX_CHUNK, max(CHUNK_BYTES, round(CHUNK_BYTES * math.sqrt(nbytes / (64 << 30)))))
+        self.chunks = max(1, nbytes // chunk, 2 * parts)
         self.cell_bits = max(16, math.ceil(math.log2(max(2, nwindows * cells))))
-        self.slab_bits = min(MAX_SLAB_BITS, max(12, self.cell_bits - max(0, round(math.log2(max(1, parts / 2))))))
-        self.key_bits = max(1, math.ceil(math.log2(max(2, parts))))
+        widest = MAX_SLAB_BITS if self.cell_bits <= 40 else MAX_SLAB_BITS + 2
+        self.slab_bits = min(widest, max(12, self.cell_bits - max(0, round(math.log2(max(1, parts / 2))))))
+        self.key_bits = max(1, math.ceil(math.log2(max(2, parts, nbytes / PART_BYTES))))
 
 
 def chunked(df: DataFrame, plan: Plan) -> DataFrame:
