@@ -56,7 +56,7 @@ def test_files_of_install_hooks_are_not_shuffled(spark, make_files, monkeypatch)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         got = [(r.rule_id, r.path) for r in collect_findings(files).collect()]
-        assert all("content" not in shuffled_columns(f) for f in seen) and len(seen) == 2
+        assert "content" not in shuffled_columns(seen[0]) and len(seen) == 1      # one pass over scanned and hidden scripts
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert {g for g in got if g[0].startswith("S11")} == {("S11/S1", "node_modules/x/run.py")}

@@ -394,9 +394,9 @@ def manifest_subset(files: DataFrame) -> DataFrame:
 
 
 def manifest_findings(files: DataFrame, behavior: DataFrame, code: DataFrame | None,
-                      manifests: DataFrame | None = None) -> DataFrame:
+                      manifests: DataFrame | None = None, refs: DataFrame | None = None) -> DataFrame:
     """Every manifest-engine finding; ``behavior`` feeds capabilities and
-    ``code`` (S findings) feeds S11.  ``manifests`` (default: the
+    ``code`` (S findings) feeds S11, with ``refs`` (default: looked up).  ``manifests`` (default: the
     ``manifest_subset`` of ``files``) is what the content rules read; the
     debug-artifact and install-reference checks read only paths and sizes
     of all files."""
@@ -406,7 +406,7 @@ def manifest_findings(files: DataFrame, behavior: DataFrame, code: DataFrame | N
              malformed_manifest(m), broad_permissions(m), capability_baseline(m, caps),
              undeclared_capabilities(m, caps), debug_artifacts(files)]
     if code is not None:
-        parts.append(install_time_elevation(code, install_refs(m, files)))
+        parts.append(install_time_elevation(code, refs if refs is not None else install_refs(m, files)))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)

@@ -18,7 +18,7 @@ from ..functions.membership import key_bitmap, may_hold
 from ..operators import scoring as S
 from ..operators import text_rules as TR
 from ..schemas import FINDING_COLUMNS
-from ..sources.files import scanned_files, to_lines
+from ..sources.files import is_scanned, scanned_files, to_lines
 from ..sources.rule_packs import RulePack
 
 DEFAULT_ENGINES = ("ast", "pattern", "manifest")   # the residue engine reads host inventories: operators.residue_rules
@@ -50,29 +50,31 @@ def collect_findings(files: DataFrame, engines=DEFAULT_ENGINES, p3_decode: bool
         raise ValueError(f"engines of a package scan are {DEFAULT_ENGINES}, not {sorted(unknown)}")
     scanned = scanned_files(files)
     parts: list[DataFrame] = []
+    m = refs = code = None
+    if "manifest" in engines:
+        from ..operators.manifest_rules import install_refs, manifest_findings, manifest_subset
+        m = manifests if manifests is not None else manifest_subset(files).checkpoint()
     if "ast" in engines:
         from ..operators.code_rules import code_findings
-        parts.append(code_findings(scanned))
+        parsed = scanned
+        if m is not None:
+            # install scripts count wherever they lie, in excluded directories too: parsed along, for S11 only.
+            # Other files are dropped by a bitmap of the scripts; the few that pass are left out by S11's own join.
+            refs = install_refs(m, files).checkpoint()
+            hidden = refs.where(~is_scanned(F.col("path")))
+            if count := hidden.count():
+                where = ["package_id", "path"]
+                parsed = scanned.unionByName(may_hold(files.where(~is_scanned(F.col("path"))), key_bitmap(hidden, where, count), where))
+        code = code_findings(parsed).checkpoint()
+        parts.append(code.where(is_scanned(F.col("path"))))
     if "pattern" in engines:
         lines = to_lines(scanned)
         text = TR.text_findings(lines, p3_decode=p3_decode, pack=pack)
         parts += [text, TR.p5_signatures(scanned, pack.signatures if pack else None), TR.p9_obfuscation(scanned)]
     behavior = _union(parts).checkpoint() if parts else empty_findings(files.sparkSession)
     out = [behavior]
-    if "manifest" in engines:
-        from ..operators.manifest_rules import manifest_findings, manifest_subset
-        m = manifests if manifests is not None else manifest_subset(files).checkpoint()
-        code = None
-        if "ast" in engines:
-            # install scripts count wherever they lie, excluded directories too: parsed apart, for S11 only.
-            # Files are dropped by a bitmap of the scripts; the few others that pass are left out by S11's own join.
-            from ..operators.code_rules import code_findings
-            from ..operators.manifest_rules import install_refs
-            refs = install_refs(m, files).checkpoint()
-            if count := refs.count():
-                where = ["package_id", "path"]
-                code = code_findings(may_hold(files, key_bitmap(refs, where, count), where))
-        out.append(manifest_findings(files, behavior, code, manifests=m))
+    if m is not None:
+        out.append(manifest_findings(files, behavior, code, manifests=m, refs=refs))
         skill = m.where(F.col("path") == "SKILL.md")
         out.append(TR.p6_skill_injection(skill, to_lines(skill)))
     return _union(out)
