@@ -64,7 +64,7 @@ def name_refs(exprs: DataFrame, leaves: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-KEY_RANGE = 4096         # keys merged in one sort
+KEY_RANGE = 4096 << 16   # keys merged in one sort: those of 4,096 statements, which are 65,536 apart
 
 
 def reaching_defs(defs: DataFrame, refs: DataFrame) -> DataFrame:

@@ -119,3 +119,36 @@ def message_case(rule: str, path: str, snippet: str) -> str:
     arms = [f"WHEN {path} {'= ' + _q(p) if p else f'IN ({hooks})'} AND {rule} = {_q(r)} THEN {_q(t)}" for (p, r), t in FILE_MESSAGES.items()]
     arms += [f"WHEN {snippet} = {n} AND {rule} = {_q(r)} THEN {_q(t)}" for (n, r), t in MESSAGES.items()]
     return "CASE " + "\n  ".join(arms) + " END"
+
+
+# FIXED VALUES (expected definitions): (snippet number, statement, level, type and description of the source).
+# A key is the place of its statement in the walk times 65,536; what calls are given is looked up behind the last statement.
+CONSTANTS = (*range(15), 34, 35, 42, 45, 46)
+DEFINITIONS = [(n, 1, "literal", None, None) for n in CONSTANTS] + [
+    (18, 2, "unknown", None, None), (19, 2, "external", "env_var", "os.environ"), (24, 2, "unknown", None, None),
+    (29, 1, "unknown", None, None), (32, 2, "external", "env_var", "os.getenv()"), (36, 2, "external", "env_var", "os.getenv()"),
+    (37, 2, "external", "env_var", "os.environ.get()"), (38, 2, "external", "env_var", "os.getenv()"),
+    (38, 3, "external", "env_var", "os.getenv()"), (39, 2, "literal", None, None), (39, 3, "literal", None, None),
+    (43, 1, "internal", None, None), (44, 1, "internal", None, None), (48, 2, "unknown", None, None)]
+END = (1 << 62) >> 16
+# FIXED VALUES (expected references): (snippet number, name, statement of the use, statement of the definition)
+REFERENCES = [
+    (18, "job", END, 2), (19, "mark", END, 2), (24, "where", END, 2), (27, "text", END, None), (32, "recipe", END, 2),
+    (38, "user", 3, 2), (38, "line", END, 3), (39, "head", 3, 2), (39, "tail", END, 3), (43, "_0xbeef01", 1, None),
+    (43, "_0xfade22", 1, None), (49, "data", END, None)]
+
+
+def _planted(columns: str, names: str, rows: list[tuple]) -> str:
+    """SQL: rows expected of each planted snippet of the Python files."""
+    cell = lambda x: "NULL" if x is None else _q(x) if isinstance(x, str) else str(x)
+    values = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+    return f"""SELECT d.package_id, 'd' || CAST(d.doc_id AS VARCHAR) || d.ext AS path, {columns}
+FROM docs d JOIN (VALUES {values}) e({names}) ON d.snip_no = e.n WHERE d.ext LIKE '%.py'"""
+
+
+def definition_rows() -> str:
+    return _planted("CAST(e.pos AS BIGINT) * 65536 AS def_key, e.level, e.src_type, e.src_desc", "n, pos, level, src_type, src_desc", DEFINITIONS)
+
+
+def reference_rows() -> str:
+    return _planted("e.name, CAST(e.pos AS BIGINT) * 65536 AS use_key, CAST(e.def AS BIGINT) * 65536 AS reach", "n, name, pos, def", REFERENCES)

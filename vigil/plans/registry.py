@@ -267,7 +267,7 @@ for _r in ("S1", "S2", "S3", "S4", "S5", "S6", "S7", "S8", "S9", "S10", "S12", "
         f"SELECT {', '.join(S_COLS)} FROM ({X.s_rows()}) WHERE rule_id = '{_r}'")
 
 
-@register("reaching_defs")
+@register("reaching_defs", O.with_corpus(X.reference_rows()))
 def reaching_defs_q(spark, sf_dir):
     """For every name use, the definition it reads."""
     from ..operators.taint import name_refs, reaching_defs, split_facts
@@ -277,7 +277,7 @@ def reaching_defs_q(spark, sf_dir):
     return reaching_defs(p["defs"], name_refs(p["exprs"], p["leaves"]))
 
 
-@register("taint_levels")
+@register("taint_levels", O.with_corpus(X.definition_rows()))
 def taint_levels(spark, sf_dir):
     """Resolved taint level of every assignment."""
     _, inp = _code_inputs(spark, sf_dir)
