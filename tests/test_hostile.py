@@ -98,3 +98,18 @@ def test_large_manifests_are_read(make_files):
     assert M.npm_manifest(files).selectExpr("size(deps) AS n").collect()[0].n == 700_001
     assert M.malformed_manifest(files).count() == 0
     assert [r.title for r in M.typosquat(files).collect()] == ['Possible typo-squatting: "requets" (similar to "requests")']
+
+
+def test_manifests_are_parsed_once_for_their_names(make_files):
+    """No filter below the list of dependencies parses each manifest again; empty and odd manifests give no names."""
+    import json
+
+    from vigil.operators import manifest_rules as M
+    odd = [{}, {"dependencies": None}, {"dependencies": {}}, [], {"dependencies": {"": "1"}}, {"devDependencies": {"requets": "1"}}]
+    one = [make_files({"package.json": json.dumps(m)}, f"p{i}") for i, m in enumerate(odd)] + [make_files({"package.json": "{"}, "bad")]
+    files = one[0]
+    for f in one[1:]:
+        files = files.unionByName(f)
+    assert [(r.package_id, r.path) for r in M.typosquat(files).collect()] == [("p5", "package.json")]
+    plan = M.typosquat(one[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2        # the names, and the rows they belong to
